@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, quality, secrets, sharding, sst
+from . import bpe, chat, decontaminate, quality, secrets, sharding, sst, substrings
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -50,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_decontaminate, op5_minimax_shards, op6_byte_pair_encoding, op7_token_shards, op8_chat_formatting, op9_secrets, op10_quality_rules,
+        op1_substring_dedup, op2_decontaminate, op5_minimax_shards, op6_byte_pair_encoding, op7_token_shards, op8_chat_formatting, op9_secrets, op10_quality_rules,
     )}
 
 
