@@ -144,16 +144,17 @@ def encoder(path: str) -> BytePairEncoder:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded text per document."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
         for b in batches:
             ids = [bpe.encode(t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+            same = [bpe.decode(x) == (t or "") for x, t in zip(ids, b["text"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"].values, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "round_trip": same})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary, round_trip boolean")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -145,40 +145,62 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, n_words, n_hit, n_items, items_sha256, contaminated and removal spans."""
+def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in shards of at most SHARD_BYTES characters, a longer text being one of its own."""
+    sizes = [len(t) if t else 0 for t in batch["text"]]
+    at = 0
+    while at < len(sizes):
+        end, n = at, 0
+        while end < len(sizes) and (n < SHARD_BYTES or end == at):
+            n += sizes[end]
+            end += 1
+        yield batch.iloc[at:end]
+        at = end
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the removal spans of every document."""
     shared = _blocks(benchmark, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = [b.value for b in shared]
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            at = 0
-            while at < len(texts):
-                end, n = at, 0
-                while end < len(texts) and (n < SHARD_BYTES or end == at):
-                    n += len(texts[end])
-                    end += 1
-                yield _judged(batch.iloc[at:end], texts[at:end], blocks)
-                at = end
-
-    def _judged(part: pd.DataFrame, texts: list[str], blocks: list[Windows]) -> pd.DataFrame:
-        split = [words(t) for t in texts]
-        hit, items = search_shard(split, blocks)
-        first = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(hit)])
-        n_hit = total[first[1:]] - total[first[:-1]]
-        found = [sorted(s) for s in items]
-        out = part.drop(columns="text") if "text" not in keep else part.copy()
-        return out.assign(
-            n_words=np.diff(first), n_hit=n_hit, n_items=[len(x) for x in found],
-            items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in found],
-            contaminated=n_hit > 0,
-            spans=[_spans(texts[k], hit[first[k] : first[k + 1]]) if n_hit[k] else [] for k in range(len(texts))],
-        )
-
-    columns = ["doc_id", *[c for c in keep if c not in ("doc_id", "text")]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns, *(["text"] if "text" in keep else [])).schema)
-    return docs.select(*columns, "text").mapInPandas(
-        run, f"{schema}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
+            for part in _parts(batch):
+                texts = [t or "" for t in part["text"]]
+                split = [words(t) for t in texts]
+                hit, items = search_shard(split, blocks)
+                first = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                n_hit = total[first[1:]] - total[first[:-1]]
+                found = [sorted(s) for s in items]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].values, "n_words": np.diff(first), "n_hit": n_hit,
+                    "n_items": [len(x) for x in found],
+                    "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found],
+                    "contaminated": n_hit > 0,
+                    "spans": [_spans(texts[k], hit[first[k] : first[k + 1]]) if n_hit[k] else [] for k in range(len(texts))],
+                })
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(
+        run,
+        f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean,"
+        " spans array<struct<start:int,end:int>>",
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of docs in which no window occurs, with all their columns."""
+    shared = _blocks(benchmark, size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = [b.value for b in shared]
+        for batch in batches:
+            for part in _parts(batch):
+                split = [words(t) for t in part["text"]]
+                hit, _ = search_shard(split, blocks)
+                first = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                yield part[total[first[1:]] == total[first[:-1]]]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -150,3 +150,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
         *[f"cut_{s}" for s in SIGNALS],
         (~base_failed() & ~over[0] & ~over[1] & ~over[2]).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; no text is shuffled."""
+    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
+    measured = materialise(metrics(docs.select("doc_id", "text", stratum), ("doc_id", "stratum")), "quality-metrics")
+    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta), "quality-cutoffs")
+    rows = metrics(docs.select(F.struct(*docs.columns).alias("row"), "text", stratum), ("row", "stratum"))
+    # the condition names the partition, so that it is not moved below the metrics and does not compute them anew
+    rows = rows.withColumn("partition", F.spark_partition_id())
+    kept = ~base_failed() & (F.col("partition") >= 0)
+    for s in SIGNALS:
+        kept &= ~F.coalesce(_exceeds(s, F.col(f"cut_{s}")), F.lit(False))
+    return rows.join(small_side(cutoffs, MAX_STRATA), "stratum", "left").where(kept).select("row.*")

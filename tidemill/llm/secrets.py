@@ -65,10 +65,10 @@ def _matches(kind: str) -> Column:
     return F.when(gate, rows).otherwise(none)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *keep: Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text), 256)
-    return docs.select("doc_id", text.alias("text"), key.alias("key"))
+    return docs.select("doc_id", text.alias("text"), key.alias("key"), *keep)
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -145,3 +145,44 @@ def secrets_report(docs: DataFrame) -> DataFrame:
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+    """docs with every reported span replaced by mark; n_chars, if there, follows. All rows stay."""
+    found = parts(docs)
+    spans = found.where(F.col("kind") < len(BASE)).unionByName(linked(found))
+    by_doc = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = _keyed(docs, F.struct(*docs.columns).alias("row")).join(by_doc, "key", "left")
+    bounds = "array<struct<start:bigint,end:bigint>>"
+    merged = F.aggregate(
+        "spans",
+        F.array().cast(bounds),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]),
+            F.concat(
+                F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)),
+                F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
+    )
+    text = F.col("text")
+    # the one-element array binds the merged spans to a name, so that they are built once
+    pieces = F.transform(
+        F.array(merged),
+        lambda m: F.concat(
+            F.transform(m, lambda x, i: F.concat(text.substr(_after(m, i) + 1, (x["start"] - _after(m, i)).cast("int")), F.lit(mark))),
+            F.array(text.substr(_after(m, F.size(m)) + 1, F.length(text))),
+        ),
+    )[0]
+    clean = F.when(F.col("spans").isNotNull(), F.array_join(pieces, ""))
+    fields = [
+        F.coalesce(clean, F.col("row.text")).alias("text") if c == "text"
+        else F.when(clean.isNotNull(), F.length(clean)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars"
+        else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+    return rows.select(*fields)
+
+
+def _after(spans: Column, i: Column) -> Column:
+    return F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)).cast("int")

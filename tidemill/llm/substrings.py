@@ -48,18 +48,20 @@ _ANCHOR = np.dtype([("hash", "<u8"), ("context", "<u8"), ("ord", "<i8"), ("at",
 _SLAB = 60_000
 
 
-def with_order(docs: DataFrame) -> DataFrame:
-    """(ord, doc_id, text): ord is unique per (doc_id, text) and orders documents; it is doc_id itself if that is unique."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def with_order(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, doc_id, text, and keep): ord is unique per (doc_id, text) and orders documents; it is doc_id itself if that is unique."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     clash = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if clash.isEmpty():
-        return rows.select(F.col("doc_id").cast("long").alias("ord"), "doc_id", "text")
+        return rows.select(F.col("doc_id").cast("long").alias("ord"), "doc_id", "text", *keep)
     hashed = rows.withColumn("tie", F.xxhash64("text"))
     ordered = hashed.select("doc_id", "tie").distinct().orderBy(F.asc_nulls_first("doc_id"), "tie")
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(f"id {kind}, tie long, ord long")
     numbered = materialise(numbered, "document-order")
-    return hashed.join(numbered, F.col("doc_id").eqNullSafe(F.col("id")) & (hashed["tie"] == numbered["tie"])).select("ord", "doc_id", "text")
+    return hashed.join(numbered, F.col("doc_id").eqNullSafe(F.col("id")) & (hashed["tie"] == numbered["tie"])).select(
+        "ord", "doc_id", "text", *keep
+    )
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[bytes]]]:
