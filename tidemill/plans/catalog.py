@@ -1,15 +1,275 @@
-"""The registered queries and the SQL each is checked against."""
+"""The registered queries over the test tables, and the SQL each is checked against.
+
+Postings are bound to the tables as follows: from pages, company is the host, position the first
+heading, description the article, location the language; from documents, company is the source,
+position the first 40 characters, description the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+from ..functions import urls as U
+from ..operators import dedupe, rank, scan, scoring, sync
+from ..schema import MATERIAL
+from . import pipeline, samples
+from . import oracle as Q
+
+TODAY = "2024-01-01"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def page_postings(spark: SparkSession, d: str) -> DataFrame:
+    pages = _t(spark, d, "pages")
+    return pages.select(
+        F.col("page_id").alias("seq"), U.host("url").alias("company"),
+        X.strip_html(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("position"),
+        "url", F.lit("").alias("date"), F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("location"),
+        F.lit("pages").alias("source"),
+        X.strip_html(F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)).alias("description"),
+        F.contains("url", F.lit("?")).alias("easy_apply"), F.lit("").alias("search_keyword"), U.posting_id("url").alias("job_id"),
+    )
+
+
+def document_postings(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    joined = docs.join(labels, "doc_id", "left")
+    return joined.select(
+        F.col("doc_id").alias("seq"), F.col("source").alias("company"), F.substring("text", 1, 40).alias("position"),
+        F.lit("").alias("url"), F.lit("").alias("date"), F.col("lang").alias("location"), F.lit("documents").alias("source"),
+        F.col("text").alias("description"), (F.coalesce("q", F.lit(0)) == 1).alias("easy_apply"),
+        F.lit("").alias("search_keyword"), F.lit("").alias("job_id"),
+    )
+
+
+def turn_postings(spark: SparkSession, d: str) -> DataFrame:
+    turns = _t(spark, d, "conversations")
+    return turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("company"), F.substring("text", 1, 40).alias("position"),
+        F.lit("").alias("url"), F.lit("").alias("date"), F.lit("").alias("location"), F.lit("turns").alias("source"),
+        F.col("text").alias("description"), (F.col("turn") == 0).alias("easy_apply"), F.lit("").alias("search_keyword"), F.lit("").alias("job_id"),
+    )
+
+
+def text_normal(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select(
+        "doc_id", F.md5(X.squeeze("text")).alias("squeezed"), F.md5(X.token("text")).alias("tokens"),
+        X.posting_key("source", F.substring("text", 1, 40)).alias("posting_key"), X.slug(F.substring("text", 1, 40)).alias("slug"),
+        F.md5(X.body_of("source", "text", "lang")).alias("body"),
+    )
+
+
+def url_fields(spark, d):
+    pages = _t(spark, d, "pages").withColumn("cleaned", U.clean("url"))
+    return pages.select("page_id", "cleaned", U.source("url").alias("site"), U.posting_id("url").alias("posting_id"))
+
+
+def url_dedupe(spark, d):
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("seq"), U.clean("url").alias("url"))
+    return dedupe.keep_first(pages, ["url"]).select("seq", "url", "first_seen")
+
+
+def page_fields(spark, d):
+    return page_postings(spark, d).where("company <> '' AND position <> ''").select(
+        "seq", "company", "position", "location", F.md5("description").alias("description_md5"), F.length("description").cast("long").alias("n")
+    )
+
+
+def page_cards(spark, d):
+    from ..functions.extract import cards
+
+    pages = _t(spark, d, "pages")
+    each = pages.select("page_id", F.posexplode(cards("html", 1)).alias("card_no", "card"))
+    return each.select("page_id", F.col("card_no").cast("long").alias("card_no"), X.strip_html("card").alias("card"))
+
+
+def merge_sources(spark, d):
+    out = pipeline.merge(page_postings(spark, d), document_postings(spark, d), turn_postings(spark, d))
+    return out.select("file_ord", "seq", "company", "position", "source", F.length("description").cast("long").alias("n"), "first_seen")
+
+
+def fetch_dedupe(spark, d):
+    docs = document_postings(spark, d)
+    return dedupe.keep_first(docs, [dedupe.fetch_key()]).select("seq", "company", "position", "location")
+
+
+def generation_dedupe(spark, d):
+    turns = turn_postings(spark, d)
+    return dedupe.keep_first(turns, [X.posting_key("company", "position")]).select("seq", "company", "position")
+
+
+def hard_filters(spark, d):
+    out = pipeline.rejected(document_postings(spark, d), samples.rules())
+    return out.select("seq", "reason")
+
+
+def keyword_scores(spark, d):
+    return _scores(document_postings(spark, d))
+
+
+def page_scores(spark, d):
+    return _scores(page_postings(spark, d))
+
+
+def _scores(postings: DataFrame) -> DataFrame:
+    out = pipeline.scored(postings, samples.rules())
+    b = lambda n: F.col(f"score_breakdown.{n}")
+    return out.select(
+        "seq", "matching_score", *[b(n).alias(n) for n in (
+            "role_track_fit", "best_track", "evidence_skill_fit", "seniority_training_fit", "delivery_workflow_fit", "visa_work_auth_fit",
+            "visa_bucket", "application_effort_bonus", "unsupported_stack_penalty", "experience_penalty", "risk_penalty")],
+        *[F.array_join(b(n), ",").alias(n) for n in ("evidence_groups", "unsupported_stack_flags", "risk_flags")],
+    )
+
+
+def breakdown_text(spark, d):
+    out = pipeline.scored(page_postings(spark, d), samples.rules())
+    return out.select("seq", scoring.breakdown_text().alias("breakdown"))
+
+
+def scored_dedupe(spark, d):
+    best = dedupe.best_scored(pipeline.scored(document_postings(spark, d), samples.rules()))
+    return best.select("seq", "company", "matching_score", "first_seen")
+
+
+def shortlist_pages(spark, d):
+    out = pipeline.shortlist(page_postings(spark, d), samples.rules(), min_score=30, k=10)
+    return out.select("seq", "company", "position", "matching_score", "first_seen")
+
+
+def sentence_split(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence")).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("sentence").alias("sentence_md5")
+    )
+
+
+def context_sentences(spark, d):
+    docs = _t(spark, d, "documents")
+    found = rank.context_sentences("text", samples.CONTEXT, samples.HIGH_VALUE, samples.BANNED)
+    return docs.select("doc_id", F.posexplode(found).alias("rank", "sentence")).select("doc_id", F.col("rank").cast("long").alias("rank"), "sentence")
+
+
+def _signals(spark, d):
+    return rank.with_signals(turn_postings(spark, d), samples.FAMILIES)
+
+
+def role_signals(spark, d):
+    return _signals(spark, d).select("seq", "role_family", F.array_join("matched_keywords", ",").alias("matched"))
+
+
+def materials(spark: SparkSession) -> DataFrame:
+    rows = [(k, i, n, t, "", "", "", tags, b, v, targets, o) for k, i, n, t, tags, b, v, targets, o in samples.MATERIALS]
+    return spark.createDataFrame(rows, T.StructType(MATERIAL.fields))
+
+
+def material_ranking(spark, d):
+    out = rank.rank_materials(_signals(spark, d), materials(spark), {"experience": 1, "project": 2}, {"experience": 2, "project": 1})
+    return out.select("seq", "kind", "item_rank", "id", "item_score", F.array_join("selected_bullets", "|").alias("bullets"))
+
+
+def private_data(spark, d):
+    docs = _t(spark, d, "documents")
+    allowed = docs.sparkSession.createDataFrame([("email", "you@example.com"), ("phone", "+44 0000 000000")], "kind string, value string")
+    return scan.findings(docs, "text", ("doc_id",), allowed)
+
+
+def upsert_plan(spark, d):
+    orders = _t(spark, d, "orders")
+    local = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("http://c/"), F.col("o_custkey")).alias("url"), "o_orderstatus")
+    remote = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(
+        F.concat(F.lit("rec"), "c_custkey").alias("record_id"), F.col("c_custkey").alias("at"),
+        F.to_json(F.struct(F.concat(F.lit("http://c/"), F.floor(F.col("c_custkey") / 2)).alias("link"))).alias("cell"),
+    )
+    return sync.plan_upserts(local, sync.remote_lookup(remote, "cell", "at")).select("seq", "url", "record_id", "action")
+
+
+def upsert_counts(spark, d):
+    return sync.action_counts(upsert_plan(spark, d)).select("action", "n")
+
+
+def manifest_join(spark, d):
+    scored = _t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("company"), F.lit("x").alias("position"), F.col("s_suppkey").alias("seq_s"), F.lit("u").alias("url"))
+    made = _t(spark, d, "customer").where("c_nationkey < 12").select(
+        F.col("c_nationkey").cast("string").alias("company"), F.lit("x").alias("position"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("resume_path")
+    )
+    remote = spark.createDataFrame([], "url string, record_id string")
+    return sync.plan_upserts(scored, remote, made).select("seq_s", "resume_path", "action")
+
+
+def payload_fields(spark, d):
+    nation = _t(spark, d, "nation")
+    values = nation.select("n_nationkey", F.explode(F.create_map(
+        F.lit("link"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(""),
+        F.lit("status"), F.col("n_name"), F.lit("tags"), F.col("n_name"), F.lit("made"), F.col("n_name"),
+        F.lit("score_breakdown"), F.col("n_name"), F.lit("note"), F.lit(""),
+    )).alias("field", "value"))
+    fields = spark.createDataFrame([("link", "Url"), ("status", "SingleSelect"), ("tags", "MultiSelect"), ("made", "CreatedTime")], "field string, ui_type string")
+    return sync.payload(values, fields).select("n_nationkey", "field", "json")
+
+
+def region_titles(spark, d):
+    regions, titles = _t(spark, d, "region"), _t(spark, d, "nation")
+    return regions.crossJoin(F.broadcast(titles)).select(  # a fixed table of nations
+        (F.col("r_regionkey") * 1000 + F.col("n_nationkey")).cast("long").alias("seq"), "r_name", "n_name"
+    )
+
+
+def query_limits(spark, d):
+    orders = _t(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return dedupe.limit_per(orders, "o_custkey", 3, "o_orderkey")
+
+
+def hydrated(spark, d):
+    first = _t(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(24)
+    return first.join(_t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").select(
+        "o_orderkey", F.coalesce("c_name", F.lit("")).alias("detail")
+    )
+
+
+def fallback_rows(spark, d):
+    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    live = nation.where("n_nationkey < 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return dedupe.or_else(live, region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
+
+
+def text_escapes(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("_{&%$\\"), "p_type").alias("t"))
+    template = F.lit("Hi {{NAME}}, {{NAME}}: {{KIND}}")
+    return part.select("p_partkey", X.latex("t").alias("escaped"), X.fill(template, {"{{NAME}}": F.col("t"), "{{KIND}}": "x"}).alias("filled"))
+
+
+def manual_lines(spark, d):
+    from ..sources.files import normal_line, parse_lines
+
+    lines = _t(spark, d, "pages").select(
+        F.col("page_id").alias("seq"),
+        F.concat(F.when(F.col("page_id") % 7 == 0, "# ").when(F.col("page_id") % 5 == 0, "ftp").otherwise(" "), "url", F.lit(" | Acme  Co | Dev |  | a  b")).alias("value"),
+    )
+    rows = parse_lines(lines, TODAY, keep=("seq",))
+    return dedupe.keep_first(rows, ["url"]).select("seq", "source", "job_id", normal_line().alias("line"))
+
+
+_QUERIES = (
+    text_normal, url_fields, url_dedupe, page_fields, page_cards, merge_sources, fetch_dedupe, generation_dedupe, hard_filters,
+    keyword_scores, page_scores, breakdown_text, scored_dedupe, shortlist_pages, sentence_split, context_sentences, role_signals,
+    material_ranking, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
+    fallback_rows, text_escapes, manual_lines,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: getattr(Q, f.__name__)() for f in _QUERIES if hasattr(Q, f.__name__)}
