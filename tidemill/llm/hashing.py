@@ -44,30 +44,27 @@ def words_of(buffer: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def hash_words(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte range, by differences of one running polynomial sum."""
-    power, inverse = _power_tables(len(buffer) + 1)
+def running_sums(buffer: bytes) -> np.ndarray:
+    """Prefix sums of the polynomial hash; every range's hash is a difference of two."""
+    power, _ = _power_tables(len(buffer) + 1)
     sums = np.zeros(len(buffer) + 1, U64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[np.frombuffer(buffer, np.uint8)] * power[: len(buffer)], out=sums[1:])
+    return sums
+
+
+def hash_ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte range."""
+    _, inverse = _power_tables(len(sums))
+    with np.errstate(over="ignore"):
         return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def hash_grams(buffer: bytes, width: int) -> np.ndarray:
-    """A hash of the width bytes at each position; width is a sum of two powers of two or one."""
-    data = _BYTE[np.frombuffer(buffer, np.uint8)]
-    if len(data) < width:
-        return np.zeros(0, U64)
-    spans, w = {1: data}, 1
+def hash_grams(sums: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width bytes at each position, good in its upper bits."""
+    _, inverse = _power_tables(len(sums))
     with np.errstate(over="ignore"):
-        while w * 2 <= width:
-            spans[w * 2] = spans[w][:-w] * U64(pow(BASE, w, 1 << 64)) + spans[w][w:]
-            w *= 2
-        out, done, n = spans[w], w, len(data) - width + 1
-        if done < width:
-            rest = width - done
-            out = out[:n] * U64(pow(BASE, rest, 1 << 64)) + spans[rest][done : done + n]
-        return mix(out[:n])
+        return (sums[width:] - sums[:-width]) * inverse[: len(sums) - width] * _M1
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,32 +74,3 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-w], out[w:])
         w *= 2
     return np.minimum(out[: len(out) - (width - w)], out[width - w :]) if w < width else out
-
-
-def shingles(word_hashes: np.ndarray, doc_of_word: np.ndarray, size: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, hash) of each distinct run of size words, sorted by both.
-
-    A document of fewer words, but not none, has its whole sequence as its one shingle.
-    """
-    counts = np.bincount(doc_of_word, minlength=docs)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    n = len(word_hashes)
-    at, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        if n >= size:
-            at = np.flatnonzero(doc_of_word[: n - size + 1] == doc_of_word[size - 1 :])
-            doc = doc_of_word[at]
-        h = np.full(len(at), size, U64)
-        for j in range(size):
-            h = mix(h * U64(BASE) + word_hashes[at + j])
-        short = np.flatnonzero((counts > 0) & (counts < size))
-        rest = counts[short].astype(U64)
-        for j in range(size - 1):
-            on = counts[short] > j
-            rest[on] = mix(rest[on] * U64(BASE) + word_hashes[first[short[on]] + j])
-    doc, h = np.concatenate([doc, short]), np.concatenate([h, rest])
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return doc[keep], h[keep]

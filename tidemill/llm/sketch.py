@@ -1,7 +1,7 @@
-"""A counting sketch of fixed size: how often hashes fall into each of CELLS cells, over all tasks.
+"""Sketches of fixed size over all tasks: how often hashes fall into each of CELLS cells, and which ids occur.
 
-It only ranks hashes by frequency; whatever order comes out of it, the operators that use it stay
-exact. Its size does not grow with the data: a hash stands out once it holds more than a few
+The first only ranks hashes by frequency; whatever order comes out of it, the operators that use it
+stay exact. Its size does not grow with the data: a hash stands out once it holds more than a few
 millionths of all occurrences.
 """
 
@@ -11,14 +11,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .hashing import mix
 
 CELLS = 1 << 18
 _BLOCKS = 64
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+    """The cell of each hash: its top bits."""
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _merged(parts: DataFrame, cells_: int, kind, join) -> np.ndarray:
+    """The elementwise join of all tasks' arrays, given as (block, data) rows; the driver gets _BLOCKS rows."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, data in zip(b["block"], b["data"]):
+                part = np.frombuffer(data, kind)
+                found[block] = join(found[block], part) if block in found else part
+        yield pd.DataFrame({"block": list(found), "data": [x.tobytes() for x in found.values()]})
+
+    whole = np.zeros((_BLOCKS, cells_ // _BLOCKS), kind)
+    for block, data in parts.repartition(8, "block").mapInPandas(add, _PARTS).collect():
+        whole[block] = join(whole[block], np.frombuffer(data, kind))
+    return whole.ravel()
+
+
+_PARTS = "block int, data binary"
+
+
+def _rows(whole: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"block": range(_BLOCKS), "data": [x.tobytes() for x in whole.reshape(_BLOCKS, -1)]})
 
 
 def frequency_classes(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
@@ -29,23 +57,48 @@ def frequency_classes(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray
         for b in batches:
             total += np.bincount(cells(hashes(b)), minlength=CELLS)
         if total.any():
-            yield pd.DataFrame({"block": range(_BLOCKS), "counts": [x.tobytes() for x in total.reshape(_BLOCKS, -1)]})
+            yield _rows(total)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, data in zip(b["block"], b["counts"]):
-                part = np.frombuffer(data, np.int64)
-                sums[block] = sums[block] + part if block in sums else part
-        yield pd.DataFrame({"block": list(sums), "counts": [x.tobytes() for x in sums.values()]})
-
-    schema = "block int, counts binary"
-    summed = df.mapInPandas(count, schema).repartition(8, "block").mapInPandas(add, schema)
-    total = np.zeros((_BLOCKS, CELLS // _BLOCKS), np.int64)
-    for block, data in summed.collect():  # 64 rows of 32 KB whatever the input
-        total[block] += np.frombuffer(data, np.int64)
-    total = total.ravel()
+    total = _merged(df.mapInPandas(count, _PARTS), CELLS, np.int64, np.add)
     typical = np.median(total) if total.any() else 0
     limit = typical + 6 * np.sqrt(typical) + 8
     ratio = np.maximum(total, 1) / limit
     return np.where(total > limit, np.minimum(15, 1 + np.floor(np.log2(np.maximum(ratio, 1)))), 0).astype(np.uint8)
+
+
+FILTER_BYTES = 1 << 20
+
+
+def _probes(ids: np.ndarray) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    bits = np.uint64(8 * FILTER_BYTES - 1)
+    return [(h & bits).astype(np.int64), ((h >> np.uint64(32)) & bits).astype(np.int64)]
+
+
+def membership_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A predicate that holds for all values of the only column of ids, and for few others while it is not full.
+
+    A Bloom filter of fixed size: it spares a later join's shuffle most rows without a partner. With
+    more ids than it has room for it lets more rows pass; the join decides in any case.
+    """
+    name = ids.columns[0]
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FILTER_BYTES, np.uint8)
+        for b in batches:
+            for at in _probes(b[name].to_numpy()):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if bits.any():
+            yield _rows(bits)
+
+    whole = _merged(ids.mapInPandas(mark, _PARTS), FILTER_BYTES, np.uint8, np.bitwise_or)
+    shared = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def member(x: pd.Series) -> pd.Series:
+        bits, found = shared.value, np.ones(len(x), bool)
+        for at in _probes(x.to_numpy()):
+            found &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(found)
+
+    return member

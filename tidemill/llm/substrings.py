@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, width
-from .hashing import U64, hash_grams, hash_words, sliding_min
+from .hashing import U64, hash_grams, hash_ranges, mix, running_sums, sliding_min
 from .sketch import cells, frequency_classes
 from .suffixes import maximal_repeats
 
 LEAST = 100
 GRAM = 16
-CHUNK_BYTES = 8 << 20
+#: Texts are hashed in pieces that fit a processor cache; anchors are sent in pages from several of them.
+CHUNK_BYTES = 1 << 18
+PAGE_ANCHORS = 200_000
 _PLACE = 26
 #: One anchor as it is sent: 16-gram hash, context hash, document, anchor, bytes of context before and after it.
 _ANCHOR = np.dtype([("hash", "<u8"), ("context", "<u8"), ("ord", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
@@ -80,35 +82,39 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[bytes]]
             yield ids, texts
 
 
-def anchors(text: bytes, ends: np.ndarray, classes: np.ndarray | None, least: int):
-    """(hash, anchor, first string's start, last string's end) per context of texts that end at ends, 0xFF after each.
+def anchors(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray | None, least: int):
+    """(hash, anchor, first string's start, last string's end) per context of the texts at starts to ends.
 
-    classes: the frequency class of each sketch cell, or None for plain order.
+    sums: the running sums of the joined texts. classes: the frequency class of each sketch cell, or
+    None for plain order.
     """
     empty = np.zeros(0, np.int64)
-    grams = hash_grams(text, GRAM)
     w = least - GRAM + 1
-    if len(grams) < w:
+    n = len(sums) - least
+    long_ = ends - starts >= least
+    if n <= 0 or not long_.any():
         return np.zeros(0, U64), empty, empty, empty
+    grams = hash_grams(sums, GRAM)
     found = []
     step = (1 << _PLACE) - 2 * least  # places must fit their bits; parts overlap by the strings that span the bound
-    for base in range(0, len(grams) - w + 1, step):
+    for base in range(0, n, step):
         part = grams[base : base + step + w - 1]
         key = (part >> U64(_PLACE + 4)) << U64(_PLACE) | np.arange(len(part), dtype=U64)
         if classes is not None:
             key |= classes[cells(part)].astype(U64) << U64(60)
         found.append((sliding_min(key, w) & U64((1 << _PLACE) - 1)).astype(np.int64) + base)
-    at = np.concatenate(found)
-    start = np.arange(len(at))
-    inside = start + least <= ends[np.searchsorted(ends, start).clip(max=len(ends) - 1)]
-    at, start = at[inside], start[inside]
-    if not len(at):
-        return np.zeros(0, U64), empty, empty, empty
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
+    at = found[0] if len(found) == 1 else np.concatenate(found)
+    # strings within one text: those that start at starts to ends - least
+    marks = np.zeros(len(at) + 1, np.int8)
+    marks[starts[long_]] += 1
+    marks[ends[long_] - least + 1] -= 1
+    inside = np.cumsum(marks[:-1], dtype=np.int8).astype(bool)
+    new = inside.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return grams[at[first]], at[first], start[first], start[last] + least
+    stop = inside.copy()
+    stop[:-1] &= new[1:] | ~inside[1:]
+    return grams[at[first]], at[first], first, np.flatnonzero(stop) + least
 
 
 def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -119,30 +125,39 @@ def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def _anchor_pages(parts: int, classes, least: int):
-    """Batches of documents -> pages (part, kind, data): anchors by hash, and spans already settled within the batch."""
+    """Batches of documents -> pages (part, kind, data): anchors by hash, and spans already settled on the way."""
+
+    def pages(held: list[np.ndarray]) -> pd.DataFrame:
+        page = np.concatenate(held)
+        page = page[np.lexsort((page["at"], page["ord"], page["context"], page["hash"]))]
+        again = np.zeros(len(page), bool)
+        again[1:] = (page["hash"][1:] == page["hash"][:-1]) & (page["context"][1:] == page["context"][:-1])
+        part = (mix(page["hash"]) % U64(parts)).astype(np.int64)
+        rows = [(int(part[0]), 1, page[again].tobytes())] if again.any() else []
+        page, part = page[~again], part[~again]
+        order = np.argsort(part, kind="stable")
+        page, bounds = page[order], np.searchsorted(part[order], np.arange(parts + 1))
+        rows += [(p, 0, page[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
+        return pd.DataFrame(rows, columns=["part", "kind", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = classes.value
+        known, held, n = classes.value, [], 0
         for ids, texts in chunks(batches):
             joined, starts, ends = _joined(texts)
-            h, at, lo, hi = anchors(joined, ends, known, least)
-            if not len(h):
-                continue
-            doc = np.searchsorted(ends, at, side="right")
+            sums = running_sums(joined)
+            h, at, lo, hi = anchors(sums, starts, ends, known, least)
+            doc = np.searchsorted(ends, at)
             page = np.zeros(len(h), _ANCHOR)
-            page["hash"], page["context"] = h, hash_words(joined, lo, hi)
+            page["hash"], page["context"] = h, hash_ranges(sums, lo, hi)
             page["ord"], page["at"] = np.array(ids, np.int64)[doc], at - starts[doc]
             page["before"], page["after"] = at - lo, hi - at
-            page = page[np.lexsort((page["at"], page["ord"], page["context"], page["hash"]))]
-            again = np.zeros(len(page), bool)
-            again[1:] = (page["hash"][1:] == page["hash"][:-1]) & (page["context"][1:] == page["context"][:-1])
-            rows = [(int(page["hash"][0] % U64(parts)), 1, page[again].tobytes())] if again.any() else []
-            page = page[~again]
-            part = (page["hash"] % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            page, bounds = page[order], np.searchsorted(part[order], np.arange(parts + 1))
-            rows += [(p, 0, page[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
-            yield pd.DataFrame(rows, columns=["part", "kind", "data"])
+            held.append(page)
+            n += len(page)
+            if n >= PAGE_ANCHORS:
+                yield pages(held)
+                held, n = [], 0
+        if n:
+            yield pages(held)
 
     return run
 
@@ -286,8 +301,8 @@ def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     def hashes(b: pd.DataFrame) -> np.ndarray:
         out = [np.zeros(0, U64)]
         for _, texts in chunks([b]):
-            joined, _, ends = _joined(texts)
-            out.append(anchors(joined, ends, None, least)[0])
+            joined, starts, ends = _joined(texts)
+            out.append(anchors(running_sums(joined), starts, ends, None, least)[0])
         return np.concatenate(out)
 
     ordered = with_order(docs)
