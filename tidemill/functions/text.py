@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space in the Unicode sense; the engine's own class misses some of it.
 WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
@@ -49,7 +50,7 @@ def unescape(x: Column) -> Column:
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(x: pd.Series) -> pd.Series:
     """Every HTML entity; use it where the texts hold more than the common ones."""
     return x.map(html.unescape, na_action="ignore")

@@ -131,7 +131,8 @@ def rank_materials(jobs: DataFrame, materials: DataFrame, items: dict[str, int],
     below a checked number of rows.
     """
     few = F.broadcast(materials) if materials.limit(1001).count() <= 1000 else materials
-    scored = jobs.crossJoin(few).withColumn("item_score", item_score())
+    needed = jobs.select(key, "role_family", "norm_body", "matched_keywords", "focus_terms")
+    scored = needed.crossJoin(few).withColumn("item_score", item_score())
     order = Window.partitionBy(key, "kind").orderBy(F.desc("item_score"), "ord")
     limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in items.items()], F.lit(0))
     best = scored.withColumn("item_rank", F.row_number().over(order)).where(F.col("item_rank") <= limit)
@@ -145,7 +146,7 @@ def rank_materials(jobs: DataFrame, materials: DataFrame, items: dict[str, int],
 def ordered_skills(skills: dict[str, list[str]], limit: int = 12) -> Column:
     """Array of (group, skills): the posting's family first; within a group those in the body first, then by name."""
     rows = []
-    for i, (group, names) in enumerate(skills.items()):
+    for i, (group, names) in enumerate((g, n) for g, n in skills.items() if n):
         keyed = F.array(*[F.struct(F.when(F.contains(F.col("norm_body"), token(F.lit(s))), 0).otherwise(1).alias("a"), F.lit(s.lower()).alias("l"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(names)])
         text = F.array_join(F.transform(F.slice(F.sort_array(keyed), 1, limit), lambda x: x["s"]), ", ")
         rows.append(F.struct(F.when(F.col("role_family") == group, -1).otherwise(i).alias("o"), F.lit(group).alias("group"), text.alias("skills")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import body_of, contains_any, hits, matching, points, title_of
-from ..rules import DOWNGRADE, SECTOR_TERMS, Rules
+from ..rules import DOWNGRADE, RISK_DEFAULTS, SECTOR_TERMS, Rules
 
 
 def with_texts(df: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _risk(rules: Rules) -> tuple[Column, Column]:
     medium = contains_any(body, rules.medium_risks)
     soft = matching(body, rules.soft_risks)
     sector = F.exists(soft, lambda h: contains_any(h, list(SECTOR_TERMS)))
-    clear, defence, export = rules.risk["clearance_eligibility_risk"], rules.risk["defence_security_sector"], rules.risk["regulated_or_export_risk"]
+    clear, defence, export = ({**RISK_DEFAULTS, **rules.risk}[k] for k in RISK_DEFAULTS)
     penalty = F.when(medium, clear).otherwise(0) + F.when(F.size(soft) == 0, 0).when(sector, defence).otherwise(export)
     kind = F.when(F.size(soft) == 0, F.lit(None)).when(sector, F.lit("defence_security_sector")).otherwise("regulated_or_export_risk")
     return penalty, F.array_compact(F.array(F.when(medium, F.lit("clearance_eligibility_risk")), kind))

@@ -72,4 +72,4 @@ def write_lines(df: DataFrame, path: str, seq: str = "seq") -> None:
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the text files below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(is_text_path(F.col("path"))).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.where(is_text_path(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("content"))
