@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, quality, secrets, sharding, sst, substrings
+from . import bpe, chat, decontaminate, jaccard, oracle, quality, secrets, sharding, sst, substrings
 from .common import table
 
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
