@@ -174,14 +174,13 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
             F.array(text.substr(_after(m, F.size(m)) + 1, F.length(text))),
         ),
     )[0]
-    clean = F.when(F.col("spans").isNotNull(), F.array_join(pieces, ""))
-    fields = [
-        F.coalesce(clean, F.col("row.text")).alias("text") if c == "text"
-        else F.when(clean.isNotNull(), F.length(clean)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars"
-        else F.col(f"row.`{c}`").alias(c)
-        for c in docs.columns
-    ]
-    return rows.select(*fields)
+    clean = rows.select("row", F.when(F.col("spans").isNotNull(), F.array_join(pieces, "")).alias("clean"))
+    changed = F.col("clean").isNotNull()
+    fields = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    fields["text"] = F.coalesce("clean", fields["text"])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(changed, F.length("clean")).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[x.alias(c) for c, x in fields.items()])
 
 
 def _after(spans: Column, i: Column) -> Column:
