@@ -9,7 +9,8 @@ are one point.
    the other; the points that share one such shingle form a region. Within a batch equal points go
    once.
 2. A region of at most LEAF points is joined directly, keeping the pairs that their sizes and the
-   places of the shared shingle allow. These pairs are checked on the texts.
+   places of the shared shingle allow. A parity bitmap of each set gives a lower bound of the
+   difference, which rules most other pairs out; the rest are checked on the texts.
 3. Larger regions that overlap are put together and split by pivots. Each pivot's distance to every
    point is measured. Points within the threshold of a pivot need no further link among themselves.
    The others are dealt into blocks by their distance to the first pivot, and each block is compared
@@ -33,20 +34,35 @@ from pyspark.sql import functions as F
 
 from .common import materialise, width
 from .components import connected_components
-from .hashing import U64, hash_words, mix, words_of
-from .sketch import cells, frequency_classes
+from .hashing import U64, hash_ranges, mix, running_sums, words_of
+from .sketch import cells, frequency_classes, membership_filter
 from .substrings import chunks, with_order
 
 SIZE = 5
 THRESHOLD = 75
-LEAF = 64
+LEAF = 256
+CELLS = 1 << 20
 PIVOTS = 8
+PAGE_ENTRIES = 300_000
+#: Characters of text whose sets are held at once when pairs are measured.
+MEASURED = 1 << 20
 BLOCK = 256
 #: Width of the distance ranges by which blocks are dealt, in thousandths.
 RANGE = 50
+_STEP = U64(0x9E3779B97F4A7C15)
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
-_ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("size", "<u4"), ("place", "<u2")])
+#: One shingle of a point as it is sent; before: the one ahead of it in the order, 0 for the first.
+_ENTRY = np.dtype([("token", "<u8"), ("before", "<u8"), ("key", "<i8"), ("size", "<u4"), ("place", "<u2")])
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size word hashes."""
+    n = len(h) - size + 1
+    out = np.full(n, size, U64)
+    for j in range(size):
+        out = out * _STEP + h[j : j + n]
+    return mix(out)
 
 
 class Sets:
@@ -56,30 +72,28 @@ class Sets:
         joined = b"\n".join(texts).lower()  # bytes.lower() changes A-Z only
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         starts, ends = words_of(joined, _WORD)
-        h = hash_words(joined, starts, ends)
+        h = hash_ranges(running_sums(joined), starts, ends)
         word = np.searchsorted(starts, bounds)
         counts = np.diff(word)
-        n, tokens = max(0, len(h) - SIZE + 1), np.zeros(0, U64)
+        parts = []
         with np.errstate(over="ignore"):
-            if n:
-                tokens = np.full(n, SIZE, U64)
-                for j in range(SIZE):
-                    tokens = mix(tokens * U64(0x9E3779B97F4A7C15) + h[j : j + n])
-            parts = []
-            for k, c in enumerate(counts.tolist()):
-                at = int(word[k])
+            whole = _shingles(h, SIZE) if len(h) >= SIZE else h[:0]
+            for at, c in zip(word.tolist(), counts.tolist()):
                 if c >= SIZE:
-                    parts.append(np.unique(tokens[at : at + c - SIZE + 1]))
-                elif c:
-                    one = np.full(1, c, U64)
-                    for j in range(c):
-                        one = mix(one * U64(0x9E3779B97F4A7C15) + h[at + j])
-                    parts.append(one)
+                    own = whole[at : at + c - SIZE + 1]
+                    own.sort()
                 else:
-                    parts.append(np.zeros(0, U64))
-            self.sizes = np.array([len(p) for p in parts], np.int64)
-            self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-            self.tokens = np.concatenate([np.zeros(0, U64), *parts])
+                    own = _shingles(h[at : at + c], c) if c else h[:0]
+                parts.append(own)
+            tokens = np.concatenate([np.zeros(0, U64), *parts])
+            lengths = np.array([len(p) for p in parts], np.int64)
+            first = np.cumsum(lengths) - lengths
+            keep = np.ones(len(tokens), bool)
+            keep[1:] = tokens[1:] != tokens[:-1]
+            keep[first[lengths > 0]] = True
+            self.tokens = tokens[keep]
+            self.first = np.concatenate([[0], np.cumsum(keep)])[np.append(first, len(tokens))]
+            self.sizes = np.diff(self.first)
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.tokens))])
             self.keys = mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(U64)).view(np.int64)
 
@@ -91,38 +105,66 @@ def links(common: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold:
     return 100 * common >= threshold * (size_a + size_b - common)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """One bit per cell, of about as many cells as tokens: whether an odd number of tokens fall there."""
+    cells_ = 1 << max(6, int(len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & U64(cells_ - 1)).astype(np.int64), minlength=cells_)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """No more than the number of tokens in one set only: cells whose parities differ, at the coarser width."""
+    x, y = (np.frombuffer(p, np.uint8) for p in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for ids, texts in chunks(batches):
         s = Sets(texts)
-        yield pd.DataFrame({"ord": ids, "n_shingles": s.sizes, "key": s.keys})
+        yield pd.DataFrame({"ord": ids, "n_shingles": s.sizes, "key": s.keys, "parity": [parity(s[k]) for k in range(len(ids))]})
 
 
 def _region_pages(parts: int, classes, threshold: int):
+    """Batches of documents -> pages (part, data) of the entries of each point once a page."""
+
+    def entries(s: Sets, seen: set[int], known: np.ndarray) -> Iterator[np.ndarray]:
+        for k, (key, n) in enumerate(zip(s.keys.tolist(), s.sizes.tolist())):
+            if not n or key in seen:
+                continue
+            seen.add(key)
+            own, length = s[k], n - -(-threshold * n // 100) + 1
+            rank = known[cells(own, CELLS)]
+            if rank.any():
+                own = own[np.argsort(rank, kind="stable")]
+            page = np.zeros(length, _ENTRY)
+            page["token"], page["key"], page["size"] = own[:length], key, n
+            page["before"][1:] = own[: length - 1]
+            page["place"] = np.minimum(np.arange(length), 65535)
+            yield page
+
+    def pages(held: list[np.ndarray]) -> pd.DataFrame:
+        page = np.concatenate(held)
+        part = (page["token"] % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        page, bounds = page[order], np.searchsorted(part[order], np.arange(parts + 1))
+        full = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
+        return pd.DataFrame({"part": full, "data": [page[bounds[p] : bounds[p + 1]].tobytes() for p in full]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = classes.value
+        known, held, seen, n = classes.value, [], set(), 0
         for _, texts in chunks(batches):
-            s = Sets(texts)
-            _, one = np.unique(s.keys, return_index=True)
-            one = one[s.sizes[one] > 0]
-            rows = []
-            for k in one:
-                own, n = s[k], int(s.sizes[k])
-                length = n - -(-threshold * n // 100) + 1
-                rank = known[cells(own)]
-                if rank.any():
-                    own = own[np.argsort(rank, kind="stable")]
-                page = np.zeros(length, _ENTRY)
-                page["token"], page["key"], page["size"] = own[:length], s.keys[k], n
-                page["place"] = np.minimum(np.arange(length), 65535)
-                rows.append(page)
-            if not rows:
-                continue
-            page = np.concatenate(rows)
-            part = (page["token"] % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            page, bounds = page[order], np.searchsorted(part[order], np.arange(parts + 1))
-            full = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-            yield pd.DataFrame({"part": full, "data": [page[bounds[p] : bounds[p + 1]].tobytes() for p in full]})
+            for page in entries(Sets(texts), seen, known):
+                held.append(page)
+                n += len(page)
+            if n >= PAGE_ENTRIES:
+                yield pages(held)
+                held, seen, n = [], set(), 0
+        if n:
+            yield pages(held)
 
     return run
 
@@ -138,6 +180,7 @@ def _regions(threshold: int):
             sx, sy = x["size"].astype(np.int64), y["size"].astype(np.int64)
             most = 1 + np.minimum(sx - x["place"], sy - y["place"]) - 1
             ok = links(np.minimum(most, np.minimum(sx, sy)), sx, sy, threshold)
+            ok &= (x["before"] != y["before"]) | (x["before"] == 0)  # else they also met at the shingle before
             found = np.stack([x["key"][ok], y["key"][ok]], axis=1)
             yield np.unique(np.sort(found, axis=1), axis=0)
 
@@ -173,28 +216,55 @@ def _regions(threshold: int):
 def _measure(threshold: int):
     """Pairs with both texts -> common shingles, sizes and whether they link."""
 
+    def measured(b: pd.DataFrame) -> pd.DataFrame:
+        texts: dict[str, int] = {}
+        left = [texts.setdefault(t, len(texts)) for t in b["text_a"]]
+        right = [texts.setdefault(t, len(texts)) for t in b["text_b"]]
+        s = Sets([t.encode() for t in texts])
+        common = np.array([len(np.intersect1d(s[x], s[y], assume_unique=True)) for x, y in zip(left, right)], np.int64)
+        sa, sb = s.sizes[left], s.sizes[right]
+        union = np.maximum(1, sa + sb - common)
+        return pd.DataFrame(
+            {"a": b["a"], "b": b["b"], "linked": links(common, sa, sb, threshold), "distance": 1000 * (union - common) // union}
+        )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts: dict[str, int] = {}
-            left = [texts.setdefault(t, len(texts)) for t in b["text_a"]]
-            right = [texts.setdefault(t, len(texts)) for t in b["text_b"]]
-            s = Sets([t.encode() for t in texts])
-            common = np.array([len(np.intersect1d(s[x], s[y], assume_unique=True)) for x, y in zip(left, right)], np.int64)
-            sa, sb = s.sizes[left], s.sizes[right]
-            union = np.maximum(1, sa + sb - common)
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "linked": links(common, sa, sb, threshold), "distance": 1000 * (union - common) // union})
+            size = np.cumsum(b["text_a"].str.len().to_numpy() + b["text_b"].str.len().to_numpy())
+            for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(size // MEASURED)) + 1):
+                if len(part):
+                    yield measured(b.iloc[part])
 
     return run
 
 
-def _check(pairs: DataFrame, classes: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
-    """pairs (a, b) of points -> a, b, linked, distance in thousandths, by their texts."""
-    place = classes.select("key", "rep")
-    named = pairs.join(place.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
-        place.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b"
-    )
-    one = dealt.select(F.col("ord").alias("ra"), F.col("text").alias("text_a"))
-    two = dealt.select(F.col("ord").alias("rb"), F.col("text").alias("text_b"))
+def _possible(threshold: int):
+    """Pairs whose parities allow a link: as many different tokens rule it out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            apart = np.array([least_difference(x, y) for x, y in zip(b["parity_a"], b["parity_b"])], np.int64)
+            ok = apart * (100 + threshold) <= (100 - threshold) * (b["n_a"] + b["n_b"]).to_numpy()
+            yield b.loc[ok, ["a", "b", "ra", "rb"]]
+
+    return run
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of points with the documents that stand for them, sizes and parities."""
+    for x in "ab":
+        names = [F.col("key").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")]
+        pairs = pairs.join(classes.select(*names), x)
+    return pairs
+
+
+def _check(named: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, ra, rb) -> a, b, linked, distance in thousandths, by the texts of the documents ra and rb."""
+    named = materialise(named.select("a", "b", "ra", "rb"), "pairs")
+    wanted = membership_filter(named.select(F.explode(F.array("ra", "rb")).alias("ord")))
+    few = dealt.where(wanted(F.col("ord")))
+    one = few.select(F.col("ord").alias("ra"), F.col("text").alias("text_a"))
+    two = few.select(F.col("ord").alias("rb"), F.col("text").alias("text_b"))
     return named.join(one, "ra").join(two, "rb").select("a", "b", "text_a", "text_b").mapInPandas(
         _measure(threshold), "a long, b long, linked boolean, distance long"
     )
@@ -261,7 +331,7 @@ def _large_regions(found: DataFrame, classes: DataFrame, dealt: DataFrame, thres
     pivots = members.groupBy("region", F.pmod(drawn, F.lit(PIVOTS)).alias("p")).agg(F.min_by("key", drawn).alias("pivot"))
     pivots = materialise(pivots, "pivots")
     spokes = members.join(pivots, "region").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    measured = materialise(_check(spokes, classes, dealt, threshold), "spokes")
+    measured = materialise(_check(_named(spokes, classes), dealt, threshold), "spokes")
     near = measured.where("linked").select("a", "b")
     # the points that one pivot's links connect are settled among themselves: the largest such group of a region
     groups = connected_components(near)
@@ -297,7 +367,9 @@ def _large_regions(found: DataFrame, classes: DataFrame, dealt: DataFrame, thres
     one = met.select("region", F.col("at_0").alias("at"), F.lit(True).alias("open"), F.col("block_0").alias("block"), "pair", F.lit(0).alias("side"))
     two = met.select("region", F.col("at_1").alias("at"), F.col("open_1").alias("open"), F.col("block_1").alias("block"), "pair", F.lit(1).alias("side"))
     sides = spot.join(one.unionByName(two), ["region", "at", "open", "block"]).select("pair", "side", "key")
-    texts = members.select("key").distinct().join(classes, "key").join(dealt, F.col("rep") == F.col("ord")).select("key", "text")
+    spots = members.join(classes.select("key", F.col("rep").alias("ord")), "key").select("key", "ord")
+    wanted = membership_filter(spots.select("ord"))
+    texts = dealt.where(wanted(F.col("ord"))).join(spots, "ord").select("key", "text")
     placed = sides.join(texts, "key").repartition(width(spark), "pair").sortWithinPartitions("pair", "side")
     compared = placed.select("pair", "side", "key", "text").mapInPandas(_block_links(threshold), "a long, b long")
     return near.unionByName(compared)
@@ -313,19 +385,22 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
     def tokens(b: pd.DataFrame) -> np.ndarray:
         return np.concatenate([np.zeros(0, U64), *(Sets(t).tokens for _, t in chunks([b]))])
 
-    classes_of = spark.sparkContext.broadcast(frequency_classes(texts, tokens))
-    points = materialise(texts.mapInPandas(_points, "ord long, n_shingles long, key long"), "points")
-    classes = materialise(points.where("n_shingles > 0").groupBy("key").agg(F.min("ord").alias("rep")), "classes")
+    classes_of = spark.sparkContext.broadcast(frequency_classes(texts, tokens, CELLS))
+    points = materialise(texts.mapInPandas(_points, "ord long, n_shingles long, key long, parity binary"), "points")
+    classes = materialise(points.where("n_shingles > 0").groupBy("key").agg(
+        F.min("ord").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")
+    ), "classes")
     pages = texts.mapInPandas(_region_pages(parts, classes_of, threshold), "part int, data binary")
     found = pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, a long, b long")
     found = materialise(found, "regions")
-    dealt = ordered.select("ord", "text").where("ord IS NOT NULL").repartition(width(spark), "ord")
+    dealt = ordered.select("ord", "text").where("ord IS NOT NULL")
     pairs = found.where("kind = 1").select("a", "b").distinct()
-    edges = _check(pairs, classes, dealt, threshold).where("linked").select("a", "b")
+    possible = _named(pairs, classes).mapInPandas(_possible(threshold), "a long, b long, ra long, rb long")
+    edges = _check(possible, dealt, threshold).where("linked").select("a", "b")
     if not found.where("kind = 2").isEmpty():
         edges = edges.unionByName(_large_regions(found, classes, dealt, threshold))
     roots = connected_components(edges)
-    named = points.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
+    named = points.drop("parity").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "ord", "n_shingles", F.coalesce("root", "key").alias("root")
     )
     return ordered.select("ord", "doc_id").join(named.distinct(), "ord", "left")

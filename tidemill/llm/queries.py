@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, oracle, quality, secrets, sharding, sst, substrings
+from . import bpe, chat, chunking, decontaminate, jaccard, oracle, quality, secrets, sharding, sst, substrings
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.remove_chunks(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -58,8 +62,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_decontaminate, op3_jaccard_join, op5_minimax_shards, op6_byte_pair_encoding,
-        op7_token_shards, op8_chat_formatting, op9_secrets, op10_quality_rules,
+        op1_substring_dedup, op2_decontaminate, op3_jaccard_join, op4_content_chunks, op5_minimax_shards,
+        op6_byte_pair_encoding, op7_token_shards, op8_chat_formatting, op9_secrets, op10_quality_rules,
     )}
 
 

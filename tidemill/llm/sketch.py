@@ -1,4 +1,4 @@
-"""Sketches of fixed size over all tasks: how often hashes fall into each of CELLS cells, and which ids occur.
+"""Sketches of fixed size over all tasks: how often hashes fall into each of its cells, and which ids occur.
 
 The first only ranks hashes by frequency; whatever order comes out of it, the operators that use it
 stay exact. Its size does not grow with the data: a hash stands out once it holds more than a few
@@ -20,9 +20,9 @@ CELLS = 1 << 18
 _BLOCKS = 64
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    """The cell of each hash: its top bits."""
-    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def cells(hashes: np.ndarray, n: int = CELLS) -> np.ndarray:
+    """The cell of each hash, out of n (a power of two): its top bits."""
+    return (hashes >> np.uint64(65 - n.bit_length())).astype(np.int64)
 
 
 def _merged(parts: DataFrame, cells_: int, kind, join) -> np.ndarray:
@@ -49,17 +49,17 @@ def _rows(whole: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"block": range(_BLOCKS), "data": [x.tobytes() for x in whole.reshape(_BLOCKS, -1)]})
 
 
-def frequency_classes(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+def frequency_classes(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], n: int = CELLS) -> np.ndarray:
     """Per cell: 0 if it holds no more than chance puts there, else 1 to 15, by powers of two above that."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(n, np.uint32)
         for b in batches:
-            total += np.bincount(cells(hashes(b)), minlength=CELLS)
+            np.add.at(total, cells(hashes(b), n), 1)
         if total.any():
             yield _rows(total)
 
-    total = _merged(df.mapInPandas(count, _PARTS), CELLS, np.int64, np.add)
+    total = _merged(df.mapInPandas(count, _PARTS), n, np.uint32, np.add).astype(np.int64)
     typical = np.median(total) if total.any() else 0
     limit = typical + 6 * np.sqrt(typical) + 8
     ratio = np.maximum(total, 1) / limit

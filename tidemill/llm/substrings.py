@@ -124,22 +124,24 @@ def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b"\xff".join(texts) + b"\xff", ends - sizes, ends
 
 
+def anchor_page(held: list[np.ndarray], parts: int) -> pd.DataFrame:
+    """(part, kind, data): entries by part (kind 0), and those equal to an earlier one of the page (kind 1)."""
+    page = np.concatenate(held)
+    page = page[np.lexsort((page["at"], page["ord"], page["context"], page["hash"]))]
+    again = np.zeros(len(page), bool)
+    again[1:] = (page["hash"][1:] == page["hash"][:-1]) & (page["context"][1:] == page["context"][:-1])
+    part = (mix(page["hash"]) % U64(parts)).astype(np.int64)
+    rows = [(int(part[0]), 1, page[again].tobytes())] if again.any() else []
+    page, part = page[~again], part[~again]
+    order = np.argsort(part, kind="stable")
+    page, bounds = page[order], np.searchsorted(part[order], np.arange(parts + 1))
+    rows += [(p, 0, page[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
+    return pd.DataFrame(rows, columns=["part", "kind", "data"])
+
+
 def _anchor_pages(parts: int, classes, least: int):
     """Batches of documents -> pages (part, kind, data): anchors by hash, and spans already settled on the way."""
 
-    def pages(held: list[np.ndarray]) -> pd.DataFrame:
-        page = np.concatenate(held)
-        page = page[np.lexsort((page["at"], page["ord"], page["context"], page["hash"]))]
-        again = np.zeros(len(page), bool)
-        again[1:] = (page["hash"][1:] == page["hash"][:-1]) & (page["context"][1:] == page["context"][:-1])
-        part = (mix(page["hash"]) % U64(parts)).astype(np.int64)
-        rows = [(int(part[0]), 1, page[again].tobytes())] if again.any() else []
-        page, part = page[~again], part[~again]
-        order = np.argsort(part, kind="stable")
-        page, bounds = page[order], np.searchsorted(part[order], np.arange(parts + 1))
-        rows += [(p, 0, page[bounds[p] : bounds[p + 1]].tobytes()) for p in range(parts) if bounds[p] < bounds[p + 1]]
-        return pd.DataFrame(rows, columns=["part", "kind", "data"])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, n = classes.value, [], 0
         for ids, texts in chunks(batches):
@@ -154,10 +156,10 @@ def _anchor_pages(parts: int, classes, least: int):
             held.append(page)
             n += len(page)
             if n >= PAGE_ANCHORS:
-                yield pages(held)
+                yield anchor_page(held, parts)
                 held, n = [], 0
         if n:
-            yield pages(held)
+            yield anchor_page(held, parts)
 
     return run
 
