@@ -9,7 +9,7 @@ are one point.
    the other; the points that share one such shingle form a region. Within a batch equal points go
    once.
 2. A region of at most LEAF points is joined directly, keeping the pairs that their sizes and the
-   places of the shared shingle allow. A parity bitmap of each set gives a lower bound of the
+   places of the shared shingle allow and that did not meet at a shingle just before. A parity bitmap of each set gives a lower bound of the
    difference, which rules most other pairs out; the rest are checked on the texts.
 3. Larger regions that overlap are put together and split by pivots. Each pivot's distance to every
    point is measured. Points within the threshold of a pivot need no further link among themselves.
@@ -52,8 +52,9 @@ RANGE = 50
 _STEP = U64(0x9E3779B97F4A7C15)
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
-#: One shingle of a point as it is sent; before: the one ahead of it in the order, 0 for the first.
-_ENTRY = np.dtype([("token", "<u8"), ("before", "<u8"), ("key", "<i8"), ("size", "<u4"), ("place", "<u2")])
+BEFORE = 3
+#: One shingle of a point as it is sent; before: those just ahead of it in the order, 0 for none.
+_ENTRY = np.dtype([("token", "<u8"), ("before", "<u8", BEFORE), ("key", "<i8"), ("size", "<u4"), ("place", "<u2")])
 
 
 def _shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -142,7 +143,8 @@ def _region_pages(parts: int, classes, threshold: int):
                 own = own[np.argsort(rank, kind="stable")]
             page = np.zeros(length, _ENTRY)
             page["token"], page["key"], page["size"] = own[:length], key, n
-            page["before"][1:] = own[: length - 1]
+            for j in range(1, min(BEFORE, length - 1) + 1):
+                page["before"][j:, j - 1] = own[: length - j]
             page["place"] = np.minimum(np.arange(length), 65535)
             yield page
 
@@ -173,14 +175,16 @@ def _regions(threshold: int):
     def leaf_pairs(page: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
         """Pairs of the regions of one size that sizes and places allow."""
         i, j = np.triu_indices(size, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for c in range(0, len(starts), step):
             at = starts[c : c + step, None]
             x, y = page[(at + i).ravel()], page[(at + j).ravel()]
             sx, sy = x["size"].astype(np.int64), y["size"].astype(np.int64)
             most = 1 + np.minimum(sx - x["place"], sy - y["place"]) - 1
             ok = links(np.minimum(most, np.minimum(sx, sy)), sx, sy, threshold)
-            ok &= (x["before"] != y["before"]) | (x["before"] == 0)  # else they also met at the shingle before
+            for k in range(BEFORE):  # pairs with a shingle in common among those just before also met there
+                own = x["before"][:, k]
+                ok &= (own == 0) | (y["before"] != own[:, None]).all(axis=1)
             found = np.stack([x["key"][ok], y["key"][ok]], axis=1)
             yield np.unique(np.sort(found, axis=1), axis=0)
 
@@ -206,9 +210,11 @@ def _regions(threshold: int):
             pairs += leaf_pairs(page, starts[sizes == size], int(size))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         yield pd.DataFrame({"kind": 1, "a": pairs[:, 0], "b": pairs[:, 1]})
-        for at, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-            members = page["key"][at : at + size]
-            yield pd.DataFrame({"kind": 2, "a": members[0], "b": members})
+        large = sizes > LEAF
+        inside = np.repeat(large, sizes)
+        heads = np.repeat(page["key"][starts[large]], sizes[large])
+        stars = np.unique(np.stack([heads, page["key"][inside]], axis=1), axis=0)
+        yield pd.DataFrame({"kind": 2, "a": stars[:, 0], "b": stars[:, 1]})
 
     return run
 
