@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemill.llm import chunking
+from tidemill.llm import chunking, queries
 
 
 def plain(rows):
@@ -48,3 +48,19 @@ def test_chunks_hard_rows(spark, hard_docs, hard_rows, no_docs):
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in chunking.remove_chunks(hard_docs).collect())
     assert got == collections.Counter((i, *want[o]) for (i, _), (o, _) in zip(hard_rows, rows))
     assert chunking.remove_chunks(no_docs).count() == 0
+
+
+def test_query_removes_exact_copies_whole(spark, tmp_path):
+    r = random.Random(5)
+    texts = ["x", "short text", "a" * 39, "é" * 20, *("".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(30, 420, 7))]
+    rows = [(k * 1000 + i, t) for k in range(3) for i, t in enumerate(texts)]
+    rows += [(5000 + i, t + " and more of it") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in queries.op4_content_chunks(spark, str(tmp_path)).collect()}
+    least = {r.doc_id: r.n_removed for r in chunking.remove_chunks(docs).collect()}
+    for i, t in rows:
+        n = len(t.encode())
+        if i < 5000:
+            assert got[i] == (n, n if i >= 1000 else 0)
+        assert least[i] <= got[i][1] < n + (i >= 1000)

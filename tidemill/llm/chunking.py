@@ -9,9 +9,13 @@ cuts behind it fall into place again. Chunks are known by a 128-bit digest; of e
 Within a page of documents equal chunks are settled at once and only the first is sent on, so a
 passage in any number of documents costs one entry a page.
 
-Defined cases: a null or empty text has no chunk; a last piece of fewer than LEAST bytes is no chunk
-and stays; rows with a null doc_id come first; rows that share a doc_id are ordered by a hash of
-their text, fully equal rows are the same document; extra columns are ignored.
+A last piece of fewer than LEAST bytes is too short to be known by itself. With `whole`, as in op4, it
+is known by its bytes and those of the chunk before it, and a text under LEAST by all its bytes, so an
+exact copy loses every byte; without, such pieces stay.
+
+Defined cases: a null or empty text has no chunk; rows with a null doc_id come first; rows that share a
+doc_id are ordered by a hash of their text, fully equal rows are the same document; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -53,19 +57,20 @@ def cut(allowed: list[int], start: int, end: int) -> list[int]:
     return out
 
 
-def _pages(parts: int):
+def _pages(parts: int, whole: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for ids, texts in chunks(batches):
             joined, starts, ends = _joined(texts)
             allowed, rows = cut_places(joined).tolist(), []
             for i, start, end in zip(ids, starts.tolist(), ends.tolist()):
-                at = start
+                before = at = start
                 for stop in cut(allowed, start, end):
-                    if stop - at >= LEAST:
-                        digest = hashlib.blake2b(joined[at:stop], digest_size=16).digest()
+                    short = stop - at < LEAST
+                    if whole or not short:
+                        digest = hashlib.blake2b(joined[before if short else at : stop], digest_size=16).digest()
                         rows.append((int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"), i, at - start, 0, stop - at))
-                    at = stop
+                    before, at = at, stop
             if rows:
                 held.append(np.array(rows, _ANCHOR))
                 n += len(rows)
@@ -78,11 +83,11 @@ def _pages(parts: int):
     return run
 
 
-def remove_chunks(docs: DataFrame) -> DataFrame:
+def remove_chunks(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans per document."""
     spark = docs.sparkSession
     ordered = with_order(docs)
-    pages = ordered.select("ord", "text").mapInPandas(_pages(4 * width(spark)), "part int, kind int, data binary")
+    pages = ordered.select("ord", "text").mapInPandas(_pages(4 * width(spark), whole), "part int, kind int, data binary")
     found = materialise(pages.repartition(width(spark), "part").mapInPandas(_meet, _FOUND), "chunks")
     by_doc = found.where("kind = 0").groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()

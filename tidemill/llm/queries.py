@@ -25,7 +25,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.remove_chunks(table(spark, sf_dir, "documents")).drop("spans")
+    return chunking.remove_chunks(table(spark, sf_dir, "documents"), whole=True).drop("spans")
 
 
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
