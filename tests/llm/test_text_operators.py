@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
+from tests.llm.conftest import words
 from tidemill.llm import bpe, chat, decontaminate, fmindex, secrets, sharding, sst, substrings, suffixes
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +76,52 @@ def test_repeat_groups_are_repeats(spark, documents, texts):
     assert groups and all(len(g) > 1 for g in groups.values())
 
 
+def maximal(texts, least):
+    """string -> places, for every maximal repeat of least bytes or more: each has two places that differ on both sides."""
+    at, out = collections.defaultdict(list), {}
+    for i, b in texts.items():
+        for k in range(len(b) - least + 1):
+            at[b[k : k + least]].append((i, k))
+    for places in at.values():
+        for n, (i, k) in enumerate(places):
+            for j, m in places[:n]:
+                a, b = texts[i], texts[j]
+                if k and m and a[k - 1] == b[m - 1]:
+                    continue
+                d = least
+                while k + d < len(a) and m + d < len(b) and a[k + d] == b[m + d]:
+                    d += 1
+                out[a[k : k + d]] = None
+    for w in out:
+        out[w] = {(i, k) for i, k in at[w[:least]] if texts[i].startswith(w, k)}
+    return out
+
+
+def test_repeat_groups_are_complete(spark):
+    r = random.Random(8)
+    passage, long_ = words(r, 110), words(r, 400)  # about 600 and 2,200 bytes
+    rows = [words(r, 60) for _ in range(4)]
+    rows += [words(r, r.randint(0, 20)) + passage + words(r, r.randint(0, 20)) for _ in range(6)]
+    rows += [passage, passage, long_, long_, words(r, 9) + long_[300:1900], long_[:1000] + "!" + long_[1000:]]
+    rows += [long_[:700] + passage[100:400] + long_[900:], "a" * 160, "ab" * 90, ("x" + words(r, 12) + "y") * 4]
+    texts = {i: t.encode() for i, t in enumerate(rows)}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    groups = collections.defaultdict(list)
+    for x in substrings.repeat_groups(docs).collect():
+        groups[x.hash, x.before, x.length, texts[x.ord][x.start : x.start + x.length]].append((x.ord, x.start))
+    want = maximal(texts, 100)
+    assert len({w for *_, w in groups}) == len(groups)  # each repeat is reported once
+    assert all(len(g) == len(set(g)) for g in groups.values())
+    assert {w: set(g) for (*_, w), g in groups.items()} == want
+    assert max(map(len, want)) > 2000 and max(map(len, want.values())) > 8
+
+
+def test_repeat_groups_hard_rows(spark, hard_docs, no_docs):
+    assert substrings.repeat_groups(no_docs).count() == 0
+    rows = substrings.repeat_groups(hard_docs).select("ord", "start", "length")
+    assert rows.count() == rows.distinct().count() > 0
+
+
 # -- decontamination --
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialise, width
 from .hashing import U64, hash_grams, hash_ranges, mix, running_sums, sliding_min
 from .sketch import cells, frequency_classes
-from .suffixes import maximal_repeats
+from .suffixes import maximal_repeats, piecewise_repeats
 
 LEAST = 100
 GRAM = 16
@@ -249,12 +249,85 @@ def _repeats(least: int):
     return run
 
 
-def _occurrences(least: int):
+def _plain_anchors(classes, least: int):
+    """Documents -> every anchor, none settled; the strings of its context start from `before` to `fewest` bytes before it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for slab, found in _repeats(least)(batches):
-            ord_, at, h = slab["ord"].tolist(), slab["at"].tolist(), slab["hash"].tolist()
-            rows = [(h[g[0]], before, before + after, ord_[m], at[m] - before) for before, after, g in found for m in g]
-            yield pd.DataFrame(rows, columns=["hash", "before", "length", "ord", "start"])
+        for ids, texts in chunks(batches):
+            joined, starts, ends = _joined(texts)
+            h, at, lo, hi = anchors(running_sums(joined), starts, ends, classes.value, least)
+            doc = np.searchsorted(ends, at)
+            ord_ = np.array(ids, np.int64)[doc]
+            yield pd.DataFrame({"hash": h.view(np.int64), "ord": ord_, "at": at - starts[doc], "before": at - lo, "fewest": at - hi + least})
+
+    return run
+
+
+def _pieces(depth: int, size: int):
+    """Documents with the anchors asked of them -> per anchor the bytes before it and the size bytes from depth behind it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in f"{_ASKED}, {_PIECE}".split(", ")]
+        for b in batches:
+            rows, held = [], 0
+            for ord_, text, asked in zip(b["ord"], b["text"], b["asked"]):
+                data = text.encode()
+                for a in asked:
+                    at, before, fewest = a["at"], a["before"], a["fewest"]
+                    piece = data[at + depth : at + depth + size]
+                    rows.append((a["hash"], a["key_ord"], a["key_at"], ord_, at, before, fewest, data[max(0, at - before - 1) : at][::-1], piece))
+                    held += len(piece) + 200
+                    if held >= _PIECE_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+_ASKED = "hash long, key_ord long, key_at long, ord long, at long, before long, fewest long"
+_PIECE = "left binary, piece binary"
+_GROUPS = f"{_ASKED}, length long, start long"
+_PIECE_BYTES = 1 << 24
+_FIRST_PIECE = 128
+_MOST_ROWS = 1 << 18
+
+
+def _piece_groups(least: int, depth: int, size: int):
+    """Pieces in order of key -> occurrences of the repeats that end in them (length set), and anchors to go on with (length null)."""
+
+    def keys(batches):
+        held = []
+        for b in batches:
+            for key, own in b.groupby(["hash", "key_ord", "key_at"], sort=False):
+                if held and held[0] != key:
+                    yield held[0], pd.concat(held[1], ignore_index=True)
+                    held = []
+                held = held or [key, []]
+                held[1].append(own)
+        if held:
+            yield held[0], pd.concat(held[1], ignore_index=True)
+
+    def table(rows):
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in _GROUPS.split(", ")]).astype({"length": "Int64", "start": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for key, own in keys(batches):
+            own = own.drop_duplicates(["ord", "at"])  # rows that are fully equal are one document
+            if len(own) < 2:
+                continue
+            ord_, at, before, fewest = (own[c].tolist() for c in ("ord", "at", "before", "fewest"))
+            ended, onward = piecewise_repeats(own["left"].tolist(), before, fewest, own["piece"].tolist(), least, depth, size)
+            for shared, d, group in ended:
+                rows += [(key[0], 0, 0, ord_[m], at[m], shared, fewest[m], shared + d, at[m] - shared) for m in group]
+                if len(rows) >= _MOST_ROWS:
+                    yield table(rows)
+                    rows = []
+            for group in onward:
+                o, a = min((ord_[m], at[m]) for m in group)
+                rows += [(key[0], o, a, ord_[m], at[m], before[m], fewest[m], None, None) for m in group]
+        yield table(rows)
 
     return run
 
@@ -295,10 +368,8 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Documents dealt by ord, and what their anchors' meeting found."""
-    spark = docs.sparkSession
-    parts = 4 * width(spark)
+def _with_classes(docs: DataFrame, least: int):
+    """Documents with their order, those of least bytes or more, and the frequency classes of their 16-grams."""
 
     def hashes(b: pd.DataFrame) -> np.ndarray:
         out = [np.zeros(0, U64)]
@@ -309,7 +380,14 @@ def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     ordered = with_order(docs)
     long_enough = ordered.where(F.octet_length("text") >= least).select("ord", "text")
-    classes = spark.sparkContext.broadcast(frequency_classes(long_enough, hashes))
+    return ordered, long_enough, docs.sparkSession.sparkContext.broadcast(frequency_classes(long_enough, hashes))
+
+
+def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt by ord, and what their anchors' meeting found."""
+    spark = docs.sparkSession
+    parts = 4 * width(spark)
+    ordered, long_enough, classes = _with_classes(docs, least)
     pages = long_enough.mapInPandas(_anchor_pages(parts, classes, least), "part int, kind int, data binary")
     found = pages.repartition(width(spark), "part").mapInPandas(_meet, _FOUND)
     # both later joins with the texts use this exchange, so they name the same columns and filter
@@ -326,12 +404,35 @@ def _with_texts(dealt: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(hash, before, length, ord, start): the occurrences of the maximal repeats that are no whole equal contexts.
-
-    Occurrences with the same hash, before and length that spell the same string form a group.
+    """(hash, before, length, ord, start): all occurrences of every maximal repeat of least bytes or more, however long.
+
+    Occurrences with the same hash, before and length that spell the same string form a group. A repeat
+    is found at the first anchor in it. Texts are compared from there on in pieces of doubling size; only
+    sets that share a whole piece and differ in the byte ahead of their contexts (or start a text) ask for
+    the next one, so inside equal passages nothing is fetched again. The occurrences of all maximal repeats
+    can outgrow the texts by far (a run of n equal bytes has about n * n / 2): `remove_repeats` needs none
+    of them. All contexts of one 16-gram are compared in one task.
     """
-    dealt, found = _contexts(docs, least)
-    return _with_texts(dealt, found).mapInPandas(_occurrences(least), "hash long, before long, length long, ord long, start long")
+    spark = docs.sparkSession
+    ordered, long_enough, classes = _with_classes(docs, least)
+    found = materialise(long_enough.mapInPandas(_plain_anchors(classes, least), "hash long, ord long, at long, before long, fewest long"), "anchors")
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    none = F.lit(0).cast("long")
+    asked = found.join(often, "hash", "left_semi").select("hash", none.alias("key_ord"), none.alias("key_at"), "ord", "at", "before", "fewest")
+    dealt = materialise(long_enough.dropDuplicates(["ord"]), "repeat-texts")
+    steps, depth, size = [], 0, _FIRST_PIECE
+    while not steps or not asked.isEmpty():
+        by_doc = asked.groupBy("ord").agg(F.collect_set(F.struct("hash", "key_ord", "key_at", "at", "before", "fewest")).alias("asked"))
+        pieces = dealt.join(by_doc, "ord").select("ord", "text", "asked").mapInPandas(_pieces(depth, size), f"{_ASKED}, {_PIECE}")
+        key = ["hash", "key_ord", "key_at"]
+        step = pieces.repartition(width(spark), *key).sortWithinPartitions(*key).mapInPandas(_piece_groups(least, depth, size), _GROUPS)
+        steps.append(materialise(step, "repeat-groups"))
+        asked = steps[-1].where("length IS NULL").drop("length", "start")
+        depth, size = depth + size, 2 * size
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out.where("length IS NOT NULL").select("hash", "before", "length", "ord", "start")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:

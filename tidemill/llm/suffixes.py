@@ -90,20 +90,27 @@ def maximal_repeats(
         depths = lcp[first : first + size].tolist()
         depths[0] = 0
         members = order[first : first + size].tolist()
-        place = {m: k for k, m in enumerate(members)}
-        for depth, lo, hi in common_prefix_intervals(depths, max(1, least - left_size)):
-            need = max(0, least - depth)
-            if hi - lo == 2:
-                x, y = members[lo], members[lo + 1]
-                if (shared := left_shared(x, y)) >= need:
-                    yield shared, depth, [x, y]
-                continue
-            own = sorted(members[lo:hi], key=left_rank.__getitem__)
-            before = [0] + [left_shared(x, y) for x, y in zip(own, own[1:])]
-            if need == 0 and min(before[1:]) == 0:
-                yield from _if_diverse(0, depth, own, place, depths)
-            for shared, i, j in common_prefix_intervals(before, max(1, need)):
-                yield from _if_diverse(shared, depth, own[i:j], place, depths)
+        yield from _of_key(members, depths, left_rank, left_shared, least, max(1, least - left_size), None)
+
+
+def _of_key(members: list[int], depths: list[int], left_rank, left_shared, least: int, from_depth: int, below: int | None):
+    """The maximal repeats of sorted members of one key, by the lengths they share to the right; below leaves out deeper ones."""
+    place = {m: k for k, m in enumerate(members)}
+    for depth, lo, hi in common_prefix_intervals(depths, from_depth):
+        if below is not None and depth >= below:
+            continue
+        need = max(0, least - depth)
+        if hi - lo == 2:
+            x, y = members[lo], members[lo + 1]
+            if (shared := left_shared(x, y)) >= need:
+                yield shared, depth, [x, y]
+            continue
+        own = sorted(members[lo:hi], key=left_rank.__getitem__)
+        before = [0] + [left_shared(x, y) for x, y in zip(own, own[1:])]
+        if need == 0 and min(before[1:]) == 0:
+            yield from _if_diverse(0, depth, own, place, depths)
+        for shared, i, j in common_prefix_intervals(before, max(1, need)):
+            yield from _if_diverse(shared, depth, own[i:j], place, depths)
 
 
 def _if_diverse(shared: int, depth: int, group: list[int], place: dict[int, int], depths: list[int]):
@@ -112,3 +119,34 @@ def _if_diverse(shared: int, depth: int, group: list[int], place: dict[int, int]
     low, high = min(at), max(at)
     if min(depths[low + 1 : high + 1]) == depth:
         yield shared, depth, group
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def piecewise_repeats(left: list[bytes], before: list[int], fewest: list[int], piece: list[bytes], least: int, depth: int, size: int):
+    """One step to the right in the maximal repeats of one key: (those that end in this piece, the sets that go on).
+
+    The members share `depth` bytes from the anchor on; piece has the next bytes, fewer than size only at
+    the end of a text. left: the text before each anchor, reversed, of at most before + 1 bytes: the
+    context and the byte ahead of it. A set that shares that byte too is reported from an earlier anchor,
+    one that shares fewer than `fewest` bytes before the anchor from a later one; and one that shares
+    the byte ahead and the whole piece has nothing more to report here.
+    """
+    members = sorted(range(len(piece)), key=piece.__getitem__)
+    depths = [0] + [depth + common_prefix(piece[x], piece[y]) for x, y in zip(members, members[1:])]
+    rank = {m: k for k, m in enumerate(sorted(members, key=left.__getitem__))}
+    found = _of_key(members, depths, rank, lambda x, y: common_prefix(left[x], left[y]), least, 1, depth + size)
+    ended = ((shared, d, g) for shared, d, g in found if fewest[g[0]] <= shared <= before[g[0]])
+    onward, first = [], 0
+    for k in range(1, len(members) + 1):
+        if k == len(members) or depths[k] < depth + size:
+            own = members[first:k]
+            if len(own) > 1 and (len(left[own[0]]) <= before[own[0]] or any(left[m] != left[own[0]] for m in own)):
+                onward.append(own)
+            first = k
+    return ended, onward
