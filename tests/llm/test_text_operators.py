@@ -241,6 +241,24 @@ def test_runs_equal_whole_texts(texts):
         assert list(array.array("I", own.encode(t))) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_of_single_characters_equal_the_library():
+    library, own = Tokenizer.from_file(WORD), sst.WordTokenizer(WORD)
+    for c in map(chr, [*range(0x300), *range(0x2000, 0x2070), 0x20AC]):
+        for t in (c, f"a{c}", f"{c}b", f"A{c} 1{c}"):
+            assert list(array.array("I", own.encode(t))) == library.encode(t, add_special_tokens=False).ids
+    long_ = "word, " * 400_000 + "x" * 3000 + "\n" + "1y " * 90_000
+    assert len(list(sst.stretches(long_))) > 2 and "".join(sst.stretches(long_)) == long_
+    assert list(array.array("I", own.encode(long_))) == library.encode(long_, add_special_tokens=False).ids
+    assert [len(x) for x in sst.stretches("z" * 1_500_000 + " z")] == [1_500_000, 2]
+
+
+def test_shard_ids_are_exact_beside_nulls(spark):
+    ids = [None, 2**63 - 1, 2**63 - 2, -(2**63), 2**53 + 1, 0]
+    docs = spark.createDataFrame([(i, f"t {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    rows = sorted(sst.token_shards(docs, WORD).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, -(2**63), 0, 2**53 + 1, 2**63 - 2, 2**63 - 1]
+
+
 def test_token_shards(spark, hard_docs, hard_rows, no_docs, tmp_path):
     own, end = sst.WordTokenizer(WORD), array.array("I", [2]).tobytes()
     rows = sst.token_shards(hard_docs, WORD).collect()

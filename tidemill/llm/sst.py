@@ -6,15 +6,17 @@ the shared folder, and all reading goes through these files. A shard is
     data blocks | block index | Bloom filter | footer
 
 A data block holds entries in key order, keys prefix-compressed against the entry before, and is
-compressed as a whole. The sparse index has one entry per block (first key, place, ids before it).
+compressed as a whole (zstandard). The sparse index has one entry per block (first key, place, ids before it).
 The footer has the places of both and a magic number. `Shard.get` looks a key up by Bloom filter, a
 binary search in the index and one block; `Shard.scan` reads blocks in order.
 
 Each task attempt writes a file of its own name and reports it in the manifest; only files in the
 manifest are read, so a lost or repeated task leaves no trace in the result.
 
-Defined cases: a null or empty text has only the end id; a null doc_id sorts first; rows with equal
-doc_id all stay, ordered by a hash of their text; an empty table writes no shard.
+Defined cases: a null or empty text has only the end id; a null doc_id sorts first; ids are exact over
+the whole range of a long, beside nulls too; rows with equal doc_id all stay, ordered by a hash of their
+text; a text of any length is encoded whole, a stretch at a time; other columns are ignored; an empty
+table writes no shard.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _Cache
+from .bpe import byte_alphabet
 from .common import materialise, scratch_path, width
 
 END_ID = 2
@@ -43,7 +48,7 @@ MAGIC = b"SSTTOK01"
 _FOOTER = struct.Struct("<QQQQQQ8s")
 _INDEX = struct.Struct("<QIQI")  # offset, bytes, ids before, first entry
 _PROBES, _BITS_PER_KEY = 7, 10
-_CHUNK = re.compile(r"[^ \t-\r]+")
+_U64 = (1 << 64) - 1
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -77,7 +82,7 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 def _probes(key: bytes, bits: int) -> Iterator[int]:
     a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return ((a + k * b) % bits for k in range(_PROBES))
+    return ((a + k * b & _U64) % bits for k in range(_PROBES))
 
 
 class ShardWriter:
@@ -88,6 +93,7 @@ class ShardWriter:
         self.first = self.last = b""
         self._index: list[tuple[bytes, int, int, int, int]] = []
         self._hashes = array("Q")
+        self._packer = zstandard.ZstdCompressor(level=1)
         self._open()
 
     def _open(self) -> None:
@@ -119,7 +125,7 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self._block:
-            packed = zlib.compress(bytes(self._block), 1)
+            packed = self._packer.compress(bytes(self._block))
             self._index.append((self._first, self.at, len(packed), *self._start))
             self._write(packed)
         self._open()
@@ -130,12 +136,11 @@ class ShardWriter:
         for key, at, size, before, entry in self._index:
             self._write(_varint(len(key)) + key + _INDEX.pack(at, size, before, entry))
         bloom_at, bits = self.at, max(64, self.entries * _BITS_PER_KEY)
-        bloom = bytearray((bits + 7) // 8)
-        for k in range(0, len(self._hashes), 2):
+        marked, hashes = np.zeros(bits, bool), np.frombuffer(self._hashes, np.uint64)
+        with np.errstate(over="ignore"):
             for j in range(_PROBES):
-                p = (self._hashes[k] + j * self._hashes[k + 1]) % bits
-                bloom[p >> 3] |= 1 << (p & 7)
-        self._write(bytes(bloom))
+                marked[(hashes[::2] + np.uint64(j) * hashes[1::2]) % np.uint64(bits)] = True
+        self._write(np.packbits(marked, bitorder="little").tobytes())
         self._write(_FOOTER.pack(index_at, len(self._index), bloom_at, bits, self.entries, self.ids, MAGIC))
         self.out.close()
 
@@ -144,7 +149,7 @@ class Shard:
     """A written shard, opened for lookups and scans."""
 
     def __init__(self, source):
-        self.source = source
+        self.source, self._unpacker = source, zstandard.ZstdDecompressor()
         source.seek(source.size() - _FOOTER.size)
         index_at, blocks, bloom_at, self.bits, self.entries, self.ids, magic = _FOOTER.unpack(source.read(_FOOTER.size))
         if magic != MAGIC:
@@ -162,7 +167,7 @@ class Shard:
     def _entries(self, block: int) -> Iterator[tuple[bytes, bytes, int]]:
         _, at, size, before, _ = self.index[block]
         self.source.seek(at)
-        data, at, key = zlib.decompress(self.source.read(size)), 0, b""
+        data, at, key = self._unpacker.decompress(self.source.read(size)), 0, b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             own, at = _read_varint(data, at)
@@ -192,11 +197,45 @@ class Shard:
         return found
 
 
+#: Characters outside ASCII that the tokenizer's normaliser at most changes to lower case: letters whose lower-case forms
+#: are single and among them, and marks that are neither letter, digit, space nor combining.
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_MARKS = "\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20ac"
+_NOT_QUICK = re.compile(rf"[^\x00-\x7f{_LETTERS}{_MARKS}]")
+#: The pre-tokenizer's pieces of such texts, in lower case; and runs between white space for all others.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^\t-\r a-z{_LETTERS}0-9]+")
+_RUNS = re.compile(r"[^ \t-\r]+")
+#: str.split() also cuts at these, which are no white space to the tokenizer.
+_CONTROL = re.compile("[\x1c-\x1f]")
+CACHED, _KEPT_LENGTH = 400_000, 64
+
+
+class Recent(dict):
+    """make(key) for missing keys; holds at most two generations of CACHED values of short keys."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make, self._old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(key) <= _KEPT_LENGTH:
+            if len(self) >= CACHED:
+                self._old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordTokenizer:
-    """The tokenizers library, called once per distinct run between ASCII white space.
+    """The tokenizers library, whose model is called once per piece of text that was not met lately.
 
-    The tokenizer's normaliser and pre-tokenizer treat white space as a hard bound and drop it, so
-    the ids of a text are those of its runs in order.
+    The normaliser and pre-tokenizer of these files drop white space and cut a text into pieces that are
+    encoded each by itself, so the ids of a text are those of its runs between white space in order, and
+    those of a run are those of its pieces. A text with characters beyond the simple ones goes through the
+    whole library by runs.
     """
 
     def __init__(self, path: str):
@@ -205,18 +244,55 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._runs = _Cache(self._ids)
+        self._model, self._shown = self._tokenizer.model, {b: c for c, b in byte_alphabet().items()}
+        self._pieces = Recent(self._of_piece)
+        self._runs = Recent(self._of_run)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _ids(self, run: str) -> bytes:
-        return array("I", self._tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+    def _of_piece(self, piece: str) -> bytes:
+        shown = "".join(map(self._shown.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
+
+    def _of_run(self, run: str) -> bytes:
+        pieces = _PIECES.findall(run)
+        return self._pieces[run] if len(pieces) == 1 else b"".join(map(self._pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
-        runs = text.split() if text.isascii() and not _CONTROL.search(text) else _CHUNK.findall(text)
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self._of_stretch, stretches(text)))
+
+    def _of_stretch(self, text: str) -> bytes:
+        if _special(text):
+            return b"".join(map(self._library, _RUNS.findall(text)))
+        low = text.lower()
+        runs = low.split() if low.isascii() and not _CONTROL.search(low) else _RUNS.findall(low)
         return b"".join(map(self._runs.__getitem__, runs))
 
 
-#: str.split() also cuts at these, which are no white space to the tokenizer.
-_CONTROL = re.compile("[\x1c-\x1f]")
+def _special(text: str) -> bool:
+    """Whether the pieces of text are not those of _PIECES: characters beyond the simple ones, or the mark of an added token."""
+    return "<|" in text or not text.isascii() and _NOT_QUICK.search(text) is not None
+
+
+_SPACE = re.compile(r"[ \t-\r]")
+
+
+def stretches(text: str) -> Iterator[str]:
+    """text in parts of at most a million characters, cut at white space; a longer run is a part of its own."""
+    if len(text) <= 1_000_000:
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        end = at + 1_000_000
+        if end < len(text):
+            cut = max(text.rfind(c, at + 1, end) for c in " \n\t\r")
+            m = None if cut > at else _SPACE.search(text, end)
+            end = cut if cut > at else m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -225,26 +301,30 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def _open(uri: str):
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path
+    """The file system and path of a URI; Spark's names for S3 are the one that pyarrow knows."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+_MANIFEST = "shard string, first_key binary, last_key binary, entries long, ids long"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
-    """Write docs as shards under folder; the manifest: shard, first_key, entries and ids per file."""
+    """Write docs as shards under folder; the manifest: shard, first_key, last_key, entries and ids per file."""
     end = array("I", [end_id]).tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, encode = None, f"{folder}/{uuid.uuid4().hex}.sst", word_tokenizer(tokenizer).encode
         for b in batches:
-            if out is None and len(b):
+            if out is None and b.num_rows:
                 system, path = _open(uri)
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = ShardWriter(system.open_output_stream(path))
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                out.add(key_of(None if pd.isna(doc_id) else doc_id), encode(text or "") + end)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                out.add(key_of(doc_id), encode(text.as_py() or "") + end)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"shard": [uri], "first_key": [out.first], "last_key": [out.last], "entries": [out.entries], "ids": [out.ids]})
+            found = {"shard": uri, "first_key": out.first, "last_key": out.last, "entries": out.entries, "ids": out.ids}
+            yield pa.RecordBatch.from_pylist([found])
 
     order = F.xxhash64("text")
     ranged = (
@@ -252,33 +332,32 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         .repartitionByRange(width(docs.sparkSession), "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
     )
-    return ranged.select("doc_id", "text").mapInPandas(run, "shard string, first_key binary, last_key binary, entries long, ids long")
+    return ranged.select("doc_id", "text").mapInArrow(run, _MANIFEST)
+
+
+_ENTRY = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, read back from the files of manifest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(uri: str, base: int) -> Iterator[dict]:
+        system, path = _open(uri)
+        with system.open_input_file(path) as source:
+            for key, ids, before in Shard(source).scan():
+                yield {"doc_id": id_of(key), "start": base + before, "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, base in zip(b["shard"], b["base"]):
-                system, path = _open(uri)
-                with system.open_input_file(path) as source:
-                    rows = []
-                    for key, ids, before in Shard(source).scan():
-                        rows.append((id_of(key), base + before, len(ids) // 4, zlib.crc32(ids)))
-                        if len(rows) >= 20_000:
-                            yield _frame(rows)
-                            rows = []
-                    yield _frame(rows)
-
-    def _frame(rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-        return out.astype({"doc_id": "Int64"})
+            for uri, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                each = rows(uri, base)
+                while held := list(islice(each, 20_000)):
+                    yield pa.RecordBatch.from_pylist(held, _ENTRY)
 
     # one row per file
     before = Window.orderBy("first_key", "last_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return based.repartition(width(manifest.sparkSession)).mapInPandas(
+    return based.repartition(width(manifest.sparkSession)).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
