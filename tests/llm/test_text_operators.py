@@ -335,10 +335,32 @@ def test_chat_parts(spark):
         chat.format_turn("user", [{"kind": "video"}])
     schema = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
     turns = spark.createDataFrame([(1, 0, "user", [("text", "hi", None, None, None, None, None), ("image", None, "u", 10, 10, None, None)]), (1, 1, "user", None)], schema)
-    rows = chat.format_turns(turns).orderBy("turn").collect()
+    rows = chat.format_turns(turns, "parts").orderBy("turn").collect()
     assert rows[0].segment == "[INST]user\nhi[IMG:0:255][/INST]" and rows[0].attachments[0].uri == "u" and rows[1].segment == "[INST]user\n[/INST]"
 
 
+def test_chat_ids_and_clashing_columns(spark):
+    rows = [(2**63 - 1, 0, "user", "a", 5, "x"), (None, 0, "user", "b", 6, "y"), (2**53 + 1, 0, "assistant", "c", 7, "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts int, segment string").coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_digests(turns).collect()}
+    assert got == {2**63 - 1: (1, 0), None: (1, 0), 2**53 + 1: (1, 1)}
+
+
+@pytest.mark.parametrize("text", ["a b, c. [x] \\ <y>\n" * 1_000_000, "[" * 5_000_000])
+def test_chat_parses_long_turns_in_linear_memory(text):
+    import tracemalloc
+
+    segment, lo, hi, _ = chat.format_turn("assistant", [{"kind": "text", "text": text}])
+    tracemalloc.start()
+    role, found = chat.parse_segment(segment)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (role, found) == ("assistant", text) and hi - lo == len(segment) - 9 and peak < 300e6
+    for bad in ("[ANS]a[b</s>", "[ANS]a\\</s>", "[INST]user[/INST]", "[INST]a[b\nc[/INST]", "x"):
+        with pytest.raises(ValueError):
+            chat.parse_segment(bad)
+
+
 # -- secrets --
 
 
@@ -385,3 +407,26 @@ def test_redaction(spark, hard_docs, hard_rows):
     kept = collections.Counter({k: n for k, n in multiset(out, "doc_id", "text").items() if k[0] not in found})
     assert kept == collections.Counter((i, t) for i, t in hard_rows if i not in found)
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+# -- files of another kind --
+
+
+def test_tokenizer_files_of_another_kind(spark, tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    with pytest.raises(ValueError):
+        bpe.BytePairEncoder(WORD)
+    spec["normalizer"] = None
+    (tmp_path / "w.json").write_text(json.dumps(spec))
+    own, library = sst.WordTokenizer(str(tmp_path / "w.json")), Tokenizer.from_file(str(tmp_path / "w.json"))
+    for t in ("Upper lower", "a b\nc", "", "Éx"):
+        assert list(array.array("I", own.encode(t))) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_encoding_ids_are_exact_beside_nulls(spark):
+    docs = spark.createDataFrame([(None, "a"), (2**63 - 1, "b"), (2**53 + 1, None)], "doc_id long, text string").coalesce(1)
+    for found in (bpe.encode_documents(docs, BYTE), bpe.encoding_digests(docs, BYTE)):
+        assert {r.doc_id: r.n_tokens for r in found.collect()} == {None: 1, 2**63 - 1: 1, 2**53 + 1: 0}

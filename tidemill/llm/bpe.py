@@ -10,7 +10,8 @@ The ids of a pre-token are kept in a two-generation cache of bounded size, since
 common words.
 
 Defined cases: a null or empty text has no tokens; a text of any length is encoded whole; repeated
-rows give repeated results.
+rows give repeated results; doc_id may be of any type and is passed on as it is; other columns are
+ignored; a tokenizer file of another kind is refused.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -71,6 +72,11 @@ class BytePairEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], spec.get("added_tokens", [])
+        split, plain = spec.get("pre_tokenizer") or {}, ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "dropout")
+        if (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) != ("ByteLevel", True, False):
+            raise ValueError("only byte-level pre-tokenizers by the usual pattern, without a prefix space, are supported")
+        if spec.get("normalizer") or model.get("type", "BPE") != "BPE" or any(model.get(k) for k in plain):
+            raise ValueError("only plain byte-pair models without a normaliser are supported")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that strip or need word bounds are not supported")
         to_byte = byte_alphabet()
@@ -146,32 +152,36 @@ def encoder(path: str) -> BytePairEncoder:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for b in batches:
-            ids = [bpe.encode(t or "") for t in b["text"]]
-            same = [bpe.decode(x) == (t or "") for x, t in zip(ids, b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].values, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "round_trip": same})
+            texts = [t.as_py() or "" for t in b.column(1)]
+            ids = [bpe.encode(t) for t in texts]
+            same = [bpe.decode(x) == t for x, t in zip(ids, texts)]
+            n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            columns = [b.column(0), n, pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, round_trip boolean")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256; ids and texts stay in the task that made them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = encoder(path), hashlib.sha256
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                ids = bpe.encode(t or "")
-                rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(bpe.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].values)
-            yield out
+            n, made, back = [], [], []
+            for t in b.column(1):
+                ids = bpe.encode(t.as_py() or "")
+                n.append(len(ids) // 4)
+                made.append(sha(ids).hexdigest())
+                back.append(sha(bpe.decode(ids).encode()).hexdigest())
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -15,18 +15,21 @@ Segments are stored in order of (conv_id, turn); reading back streams them per c
 digests piece by piece, so a conversation of any length needs no more memory than its longest turn.
 
 Defined cases: a null text is empty, a null role is '', a null turn sorts first; turns with the same
-number are ordered by role, then text; a null conv_id is a conversation of its own.
+number are ordered by role, then text; a null conv_id is a conversation of its own; conv_ids are exact
+over the whole range of a long; a turn of any length is formatted and parsed in memory in proportion to
+it; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +40,26 @@ ASSISTANT = "assistant"
 IMAGE_BASE, IMAGE_TILE, AUDIO_SECOND, DOCUMENT_PAGE = 85, 170, 25, 560
 
 _ESCAPED = re.compile(r"[\\\[<]")
-_UNESCAPE = re.compile(r"\\(.)", re.S)
-_SEGMENT = re.compile(
-    r"\[INST\]((?:\\.|[^\\\n\[<])*)\n((?:\\.|[^\\\[<]|\[(?:IMG|AUD|DOC):\d+:\d+\])*)\[/INST\]"
-    r"|\[ANS\]((?:\\.|[^\\\[<]|\[(?:IMG|AUD|DOC):\d+:\d+\])*)</s>",
-    re.S,
-)
-_PLACEHOLDER = re.compile(r"(\\.)|\[(?:IMG|AUD|DOC):\d+:\d+\]", re.S)
+#: What a content may hold: plain text, escaped characters, placeholders; each by the run, so that parsing is linear.
+_CONTENT = re.compile(r"([^\\\[<]++)|((?:\\.){1,1000}+)|\[(?:IMG|AUD|DOC):\d+:\d+\]", re.S)
+_ROLE = re.compile(r"(?:[^\\\n\[<]++|\\.)*+", re.S)
 
 
 def escape(text: str) -> str:
     return _ESCAPED.sub(r"\\\g<0>", text)
 
 
-def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+def unescape(content: str) -> str:
+    """The text of a content: escapes undone, placeholders left out; anything else is an error."""
+    out, at = io.StringIO(newline=""), 0
+    for m in _CONTENT.finditer(content):
+        if m.start() != at:
+            break
+        out.write(m[1] or (m[2] or "")[1::2])  # an escaped run is pairs of a backslash and its character
+        at = m.end()
+    if at != len(content):
+        raise ValueError("a control character stands alone")
+    return out.getvalue()
 
 
 @dataclass
@@ -107,77 +115,100 @@ def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int, int, lis
 
 def parse_segment(segment: str) -> tuple[str, str]:
     """(role, text) of a segment; attachments leave no text."""
-    m = _SEGMENT.fullmatch(segment)
-    if not m:
-        raise ValueError("not a segment")
-    content = m[2] if m[3] is None else m[3]
-    text = unescape(_PLACEHOLDER.sub(lambda p: p[1] or "", content))
-    return (ASSISTANT if m[3] is not None else unescape(m[1])), text
+    if segment.startswith("[ANS]") and segment.endswith("</s>"):
+        return ASSISTANT, unescape(segment[5:-4])
+    if segment.startswith("[INST]") and segment.endswith("[/INST]"):
+        role = _ROLE.match(segment, 6, len(segment) - 7)
+        if segment[role.end()] == "\n":
+            return unescape(role[0]), unescape(segment[role.end() + 1 : -7])
+    raise ValueError("not a segment")
 
 
 _SEGMENTS = (
     "conv_id long, turn long, role string, segment string, mask_start int, mask_end int,"
     " attachments array<struct<number:int,kind:string,uri:string,tokens:int>>"
 )
+_ATTACHMENT = pa.struct([("number", pa.int32()), ("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int32())])
+_SEGMENT_SCHEMA = pa.schema([
+    ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("segment", pa.string()),
+    ("mask_start", pa.int32()), ("mask_end", pa.int32()), ("attachments", pa.list_(_ATTACHMENT)),
+])
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
-    """A segment per row of turns (conv_id, turn, role, text, and optionally parts instead of text)."""
-    typed = "parts" in turns.columns
+def format_turns(turns: DataFrame, parts: str | None = None) -> DataFrame:
+    """A segment per row of turns (conv_id, turn, role, text); parts: a column of typed parts to take instead of text."""
+    content = parts or "text"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = b["parts"] if typed else ([{"kind": "text", "text": t}] for t in b["text"])
-            rows = [format_turn(r, list(p) if p is not None else []) for r, p in zip(b["role"], parts)]
-            out = pd.DataFrame(rows, columns=["segment", "mask_start", "mask_end", "attachments"])
-            for k, c in enumerate(("conv_id", "turn", "role")):
-                out.insert(k, c, b[c].values if c == "role" else b[c].astype("Int64").values)
-            yield out
+            conv, turn, role, _ = b.columns
+            rows = []
+            for r, x in zip(role, b.column(3)):
+                x = x.as_py()
+                rows.append(format_turn(r.as_py(), (x or []) if parts else [{"kind": "text", "text": x}]))
+            made = list(zip(*rows)) or [[]] * 4
+            kinds = _SEGMENT_SCHEMA.types[3:]
+            yield pa.RecordBatch.from_arrays([conv, turn, role, *[pa.array(x, k) for x, k in zip(made, kinds)]], schema=_SEGMENT_SCHEMA)
+
+    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), content]
+    return turns.select(*columns).mapInArrow(run, _SEGMENTS)
+
+
+_DIGESTS = pa.schema([
+    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+    ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+])
+
+
+class _Digest:
+    """What is reported of one conversation, fed segment by segment."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.turns, self.loss_chars, self.formatted_chars = conv, 0, 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, segment: str, lo: int, hi: int) -> None:
+        role, text = parse_segment(segment)
+        self.turns += 1
+        for x in (role, "\n", text, "\n"):
+            self.said.update(x.encode())
+        if hi > lo:
+            under = unescape(segment[lo:hi])
+            self.loss_chars += len(under)
+            self.loss.update(under.encode())
+        self.formatted_chars += len(segment)
 
-    columns = ["conv_id", "turn", "role", "parts" if typed else "text"]
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *columns[2:]).mapInPandas(run, _SEGMENTS)
+    def row(self) -> dict:
+        values = (self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars)
+        return dict(zip(_DIGESTS.names, values))
 
 
 def read_back(segments: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, streamed from segments in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current, started = None, None, False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = None
         for b in batches:
             rows = []
-            for conv, segment, lo, hi in zip(b["conv_id"], b["segment"], b["mask_start"], b["mask_end"]):
-                conv = None if pd.isna(conv) else int(conv)
-                if not started or conv != current:
-                    if started:
-                        rows.append(_finish(current, state))
-                    current, started, state = conv, True, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse_segment(segment)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if hi > lo:
-                    under = unescape(_PLACEHOLDER.sub(lambda p: p[1] or "", segment[lo:hi]))
-                    state[2] += len(under)
-                    state[3].update(under.encode())
-                state[4] += len(segment)
-            yield _frame(rows)
-        if started:
-            yield _frame([_finish(current, state)])
-
-    def _finish(conv, s) -> tuple:
-        return conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
-
-    def _frame(rows: list) -> pd.DataFrame:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            convs, lows, highs = (b.column(k).to_pylist() for k in (0, 2, 3))
+            for conv, segment, lo, hi in zip(convs, b.column(1), lows, highs):
+                if current is None or conv != current.conv:
+                    if current is not None:
+                        rows.append(current.row())
+                    current = _Digest(conv)
+                current.add(segment.as_py(), lo, hi)
+            yield pa.RecordBatch.from_pylist(rows, _DIGESTS)
+        if current is not None:
+            yield pa.RecordBatch.from_pylist([current.row()], _DIGESTS)
 
     ordered = segments.repartition(width(segments.sparkSession), "conv_id").sortWithinPartitions(
         "conv_id", "turn", "role", "segment"
     )
-    return ordered.select("conv_id", "segment", "mask_start", "mask_end").mapInPandas(
+    return ordered.select("conv_id", "segment", "mask_start", "mask_end").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
-def chat_digests(turns: DataFrame) -> DataFrame:
+def chat_digests(turns: DataFrame, parts: str | None = None) -> DataFrame:
     """Format all turns, write them out, and report on each conversation from the output."""
-    return read_back(materialise(format_turns(turns), "chat-segments"))
+    return read_back(materialise(format_turns(turns, parts), "chat-segments"))

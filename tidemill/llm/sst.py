@@ -22,6 +22,7 @@ table writes no shard.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -207,6 +208,23 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^\t-\r a
 _RUNS = re.compile(r"[^ \t-\r]+")
 #: str.split() also cuts at these, which are no white space to the tokenizer.
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: The normaliser and pre-tokenizer under which texts may be cut into pieces: fixed values of the file's format.
+_CUTS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 CACHED, _KEPT_LENGTH = 400_000, 64
 
 
@@ -244,6 +262,9 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self._cuts = all(spec.get(k) == v for k, v in _CUTS.items()) and not spec["model"].get("dropout")
         self._model, self._shown = self._tokenizer.model, {b: c for c, b in byte_alphabet().items()}
         self._pieces = Recent(self._of_piece)
         self._runs = Recent(self._of_run)
@@ -260,8 +281,8 @@ class WordTokenizer:
         return self._pieces[run] if len(pieces) == 1 else b"".join(map(self._pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._of_stretch, stretches(text)))
+        """The ids as little-endian unsigned 32-bit integers; a file of another kind gets each text whole."""
+        return b"".join(map(self._of_stretch, stretches(text))) if self._cuts else self._library(text)
 
     def _of_stretch(self, text: str) -> bytes:
         if _special(text):
