@@ -152,9 +152,31 @@ def test_contamination(spark, hard_docs, hard_rows, no_docs, monkeypatch):
         assert multiset(found, "doc_id", *columns) == want
     assert decontaminate.contamination(no_docs, bench).count() == 0
     assert decontaminate.contamination(hard_docs, bench.limit(0)).where("contaminated").count() == 0
-    kept = decontaminate.keep_clean(hard_docs, bench)
-    assert kept.columns == hard_docs.columns
-    assert multiset(kept, "doc_id", "text") == collections.Counter((i, t) for i, t in hard_rows if not brute.contaminated(t, items)[4])
+    for block in (200_000, 5):
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+        kept = decontaminate.keep_clean(hard_docs, bench)
+        assert kept.columns == hard_docs.columns
+        assert multiset(kept, "doc_id", "text") == collections.Counter((i, t) for i, t in hard_rows if not brute.contaminated(t, items)[4])
+        assert decontaminate.keep_clean(no_docs, bench).count() == 0
+
+
+def test_decontamination_passes_columns_as_they_are(spark):
+    rows = [(None, "x", None, None), (2**63 - 1, "y", 2**53 + 1, [1, None]), (2**53 + 1, None, None, None), (1, "bad words", 7, [2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, tags array<int>").coalesce(1)
+    bench = spark.createDataFrame([(1, "bad words")], "item_id long, text string")
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[:3], key=repr)
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()} == {None: 0, 2**63 - 1: 0, 2**53 + 1: 0, 1: 2}
+    assert decontaminate.keep_clean(docs, bench.limit(0)).count() == 4
+
+
+def test_removal_spans(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Aa, bb cc; dd aa bb")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "bb cc"), (2, "aa"), (3, "cc dd")], "item_id long, text string")
+    for block in (200_000, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+        row = decontaminate.contamination(docs, bench).first()
+        assert [tuple(s) for s in row.spans] == [(0, 16)] and (row.n_hit, row.n_items) == (5, 3)
 
 
 # -- sharding --

@@ -5,7 +5,8 @@ an endpoint) say little by themselves; they are reported only when the parts tha
 start within `scope` code points in the same document: a name needs a secret, a token needs an
 identifier, an endpoint needs both. Access identifiers and base secrets count as such parts. The
 parts meet in an interval join on (document, stretch of `scope` code points, role), so that no
-document's parts are paired beyond one stretch and its neighbours.
+document's parts are paired beyond one stretch and its neighbours. The matches, few beside the texts,
+are written to the shared folder, so that the patterns run over the texts once.
 
 Spans are code-point offsets, end exclusive. They come from the lengths of the matches and of the
 gaps between them, summed by a window over the document's matches.
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SCOPE = 200
 #: kind: (pattern, group whose length counts, least length, role); fixed values of the contract for the base kinds.
 KINDS = {
@@ -127,7 +130,7 @@ def _joined(spans: Column) -> Column:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, key, base_spans and spans (arrays of start, kind, end), in order."""
-    found = parts(docs)
+    found = materialise(parts(docs), "secret-parts")
     all_spans = found.where(F.col("kind") < len(BASE)).unionByName(linked(found))
     span = F.struct("start", "kind", "end")
     by_doc = all_spans.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
@@ -149,7 +152,7 @@ def secrets_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """docs with every reported span replaced by mark; n_chars, if there, follows. All rows stay."""
-    found = parts(docs)
+    found = materialise(parts(docs), "secret-parts")
     spans = found.where(F.col("kind") < len(BASE)).unionByName(linked(found))
     by_doc = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     rows = _keyed(docs, F.struct(*docs.columns).alias("row")).join(by_doc, "key", "left")
