@@ -1,11 +1,13 @@
 import collections
 import math
+import random
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.conftest import words
 from tidemill.llm import bpe, components, jaccard, quality
 
 
@@ -74,6 +76,13 @@ def tail(n, k, p):
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
 
 
+def test_fewest_labels(spark):
+    row = spark.range(1).select(quality.fewest_labels(1).alias("a"), quality.fewest_labels(4).alias("b")).first()
+    for n, strata in ((row.a, 1), (row.b, 4)):
+        assert tail(n, 0, quality.RISK) <= quality.DELTA / strata < tail(n - 1, 0, quality.RISK)
+    assert (row.a, row.b) == (149, 217)
+
+
 def test_binomial_tail(spark):
     cases = [(50, 0), (50, 3), (2000, 5), (100000, 600)]
     df = spark.createDataFrame(cases, "n long, k long")
@@ -81,21 +90,38 @@ def test_binomial_tail(spark):
         assert math.isclose(row.t, tail(row.n, row.k, 0.01), rel_tol=1e-6)
 
 
+def labelled(spark, rows):
+    docs = spark.createDataFrame([r[:3] + (r[0], "x") for r in rows], "doc_id long, text string, lang string, n_words long, row string")
+    return docs, spark.createDataFrame([(r[0], r[3]) for r in rows if r[3] is not None] + [(7, None), (None, 1)], "doc_id long, quality int")
+
+
 def test_cutoffs_keep_their_promise(spark, hard_docs, no_docs):
     text = lambda sym: " ".join(f"w{k}" for k in range(30)) + " " + "#" * sym
     rows = [(k, text(0 if k % 500 else 20), "en", 1) for k in range(4000)] + [(5000 + k, text(20), "en", 0) for k in range(50)] + [(9000, text(20), "xx", 1)]
-    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(7, None)], "doc_id long, quality int")
+    docs, labels = labelled(spark, rows)
     got = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
     assert got[1].cut_symbols == 5 and got[1].kept and not got[5001].kept  # 8 of 4,000 good ones over it: certified
     assert got[9000].kept and got[9000].cut_symbols is None  # one label certifies nothing
-    assert tail(4000, 8, quality.RISK) <= quality.DELTA / 36 < tail(1, 0, quality.RISK)
-    same = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
-    assert same == {i for i, r in got.items() if r.kept}
+    want = brute.kept([(i, s, t) for i, t, s, _ in rows], {r[0] for r in rows if r[3]}, quality.LADDER)
+    assert {i for i, r in got.items() if r.kept} == want
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     empty = labels.limit(0)
     assert quality.quality_rules(hard_docs, empty).where("kept = base_failed").count() == 0
     assert quality.keep_good(hard_docs, empty).columns == hard_docs.columns
-    assert quality.quality_rules(no_docs, labels).count() == 0
+    assert quality.quality_rules(no_docs, labels).count() == 0 and quality.keep_good(no_docs, labels).count() == 0
+
+
+def test_thin_strata_share_a_rule_and_a_failed_step_ends_the_ladder(spark):
+    text = lambda k, sym: " ".join(f"w{k}x{j}" for j in range(25)) + " " + "#" * sym
+    rows = [(1000 * n + k, text(k, 0), s, 1) for n, s in enumerate(("de", "fr", None)) for k in range(110)]
+    rows += [(9000 + n, text(n, 30), s, None) for n, s in enumerate(("de", "fr", "new", None, "en"))]
+    rows += [(20000 + k, text(k, 12 if k % 20 == 0 else 0), "en", 1) for k in range(400)]  # 5 % have 12 symbols
+    docs, labels = labelled(spark, rows)
+    got = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
+    assert [got[9000 + n].kept for n in range(5)] == [False, False, False, False, False]
+    assert got[0].cut_symbols == got[9002].cut_symbols == 5 and got[20001].cut_symbols == 80 and got[20001].cut_dup_lines == 50
+    assert {i for i, r in got.items() if r.kept} == brute.kept([(i, s or "", t) for i, t, s, _ in rows], {r[0] for r in rows if r[3]}, quality.LADDER)
 
 
 def test_queries_run_and_oracles_agree(spark, sf):
@@ -106,25 +132,51 @@ def test_queries_run_and_oracles_agree(spark, sf):
         assert assert_same(queries.queries()[name](spark, sf), sf, sql) > 0, name
 
 
-def test_pipeline_against_brute_force(spark, sf, documents, texts):
+@pytest.fixture(scope="module")
+def planted(spark, sf, tmp_path_factory):
+    """The smallest tables with more labelled documents, so that cutoffs are certified, and documents that they reject."""
+    r, folder = random.Random(3), f"file://{tmp_path_factory.mktemp('planted')}"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    clean = [(100_000 + k, words(r, 40), "en", "s", 0) for k in range(300)]
+    junk = [(200_000 + k, words(r, 25) + " " + "#$%" * 20, "en", "s", 0) for k in range(6)]
+    weak = [(300_000, words(r, 30) + " user=bob Zx9Zx9Zx9Zx9Zx9Zx9QQ https://x.org/a end", "en", "s", 0), (300_001, words(r, 30) + " user=bob", "xx", "s", 0)]
+    more = spark.createDataFrame(clean + junk + weak, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(more).repartition(5).write.parquet(f"{folder}/documents.parquet")
+    good = spark.createDataFrame([(i, 1) for i, *_ in clean], "doc_id long, quality int")
+    labels.unionByName(good, allowMissingColumns=True).write.parquet(f"{folder}/labels.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_against_brute_force(spark, planted):
     import corpus_pipeline
 
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    # with this few labels no cutoff is certified, so only the base rules reject
-    kept = [(i, t) for i, t in texts if (m := brute.metrics(t))[0] >= 20 and 100 * m[4] <= 30 * m[0]]
+    documents = spark.read.parquet(f"{planted}/documents.parquet")
+    texts = [tuple(r) for r in documents.select("doc_id", F.coalesce("lang", F.lit("")), "text").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{planted}/benchmark.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{planted}/labels.parquet").where("quality > 0").collect()}
+    stays = brute.kept(texts, good, quality.LADDER)
+    passed_base = {i for i, _, t in texts if not brute.base_fails(brute.metrics(t))}
+    assert len(passed_base) > len(stays) and not stays & set(range(200_000, 200_006))  # a certified cutoff rejects
+    kept = [(i, t) for i, _, t in texts if i in stays]
     root = brute.components({i: brute.shingle_set(t) for i, t in kept})
     kept = [(i, t) for i, t in kept if root[i] == i and not brute.contaminated(t, bench)[4]]
-    own, want = bpe.BytePairEncoder(public_tokenizers.path("byte_bpe_50k.json")), {}
-    for i, t in kept:
-        out, at = "", 0
-        for a, _, b in brute.base_spans(t):
-            out, at = (out + t[at:a] + "<SECRET>", b) if a >= at else (out, max(at, b))
-        want[i] = own.encode(out + t[at:])
-    got = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert any(k > 2 for i, t in kept for _, k, _ in brute.all_spans(t))  # a weak part is linked
+    own = bpe.BytePairEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: own.encode(brute.redacted(t)) for i, t in kept}
+    got = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, planted).collect()}
     assert set(got) == set(want)
     assert sum(got[i] != want[i] for i in want) == 0
-    docs = documents
-    for _, stage in corpus_pipeline.STAGES[:2]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == documents.columns
-    assert docs.select(F.count(F.lit(1))).first()[0] >= len(want)
+
+
+def test_pipeline_stages_return_the_columns_of_documents(spark, sf, documents):
+    import corpus_pipeline
+
+    docs, empty = documents, documents.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf)
+        nothing = stage(spark, empty, sf)
+        assert nothing.count() == 0 and nothing.columns == found.columns
+        if name != corpus_pipeline.STAGES[-1][0]:
+            docs = found
+            assert docs.columns == documents.columns

@@ -58,19 +58,14 @@ def op8_chat_formatting() -> str:
 
 def op10_quality_rules() -> str:
     words = _WORDS.format("t")
-    over = {
-        "symbols": "100 * n_symbols > {} * n_words",
-        "dup_lines": "100 * n_dup_lines > {} * n_lines",
-        "long_words": "10 * word_chars > {} * n_words",
-    }
-    tests = [(s, c) for s, (_, _, cutoffs) in quality.SIGNALS.items() for c in cutoffs]
+    over = ("100 * n_symbols > {} * n_words", "100 * n_dup_lines > {} * n_lines", "10 * word_chars > {} * n_words")
+    fails = lambda cuts: "(" + " OR ".join(f"coalesce({o.format(c)}, false)" for o, c in zip(over, cuts)) + ")"
     counts = " UNION ALL ".join(
-        f"SELECT stratum, '{s}' AS signal, {c} AS cutoff, count(*) AS n, count_if({over[s].format(c)}) AS k FROM good GROUP BY stratum" for s, c in tests
+        f"SELECT stratum, {k} AS step, count(*) AS n, count_if({fails(step)}) AS k FROM good GROUP BY stratum" for k, step in enumerate(quality.LADDER)
     )
+    steps = ", ".join(f"({k}, {', '.join(map(str, step))})" for k, step in enumerate(quality.LADDER))
     p, q = repr(quality.RISK), repr(1 - quality.RISK)
     tail = f"list_sum(list_transform(range(0, k::bigint + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}::double) + (n - i) * ln({q}::double))))"
-    cut = ", ".join(f"min(cutoff) FILTER (WHERE signal = '{s}') AS {s}" for s in quality.SIGNALS)
-    rejected = " OR ".join(f"coalesce({over[s].format(f'cuts.{s}')}, false)" for s in quality.SIGNALS)
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents),
       w AS (SELECT *, {words} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
       x AS (SELECT doc_id, array_to_string(w[k + 1 : k + 8], ' ') AS s, k FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS k FROM w WHERE len(w) > 7)),
@@ -82,10 +77,16 @@ def op10_quality_rules() -> str:
       v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
       good AS (SELECT v.* FROM v JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) > 0) l ON v.doc_id = l.doc_id WHERE NOT base_failed),
       tests AS ({counts}),
-      passed AS (SELECT *, (SELECT count(DISTINCT stratum) FROM good) AS strata FROM tests WHERE k < {p} * n),
-      cuts AS (SELECT stratum, {cut} FROM passed WHERE {tail} <= {quality.DELTA} / ({len(tests)} * strata) GROUP BY stratum)
+      thin AS (SELECT DISTINCT stratum, n < ceil(ln({quality.DELTA} / (SELECT count(DISTINCT stratum) FROM good)) / ln({q})) AS pooled FROM tests),
+      grouped AS (SELECT CASE WHEN pooled THEN NULL ELSE stratum END AS of_, pooled, step, sum(n)::bigint AS n, sum(k)::bigint AS k
+        FROM tests JOIN thin USING (stratum) GROUP BY ALL),
+      judged AS (SELECT *, k < {p} * n AND {tail} <= {quality.DELTA} / (SELECT count(*) FROM grouped WHERE step = 0) AS ok FROM grouped),
+      last AS (SELECT of_, pooled, coalesce(min(step) FILTER (WHERE NOT ok), {len(quality.LADDER)}) - 1 AS step FROM judged GROUP BY ALL),
+      rules AS (SELECT of_, pooled, s.* FROM last JOIN (VALUES {steps}) s(step, symbols, dup_lines, long_words) ON last.step = s.step),
+      cuts AS (SELECT v.*, CASE WHEN thin.pooled IS NULL OR thin.pooled THEN true ELSE false END AS in_pool FROM v LEFT JOIN thin ON v.stratum = thin.stratum)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        NOT base_failed AND NOT ({rejected}) AS kept FROM v LEFT JOIN cuts ON v.stratum = cuts.stratum"""
+        NOT base_failed AND NOT {fails(('symbols', 'dup_lines', 'long_words'))} AS kept
+      FROM cuts LEFT JOIN rules ON in_pool = rules.pooled AND (in_pool OR stratum = of_)"""
 
 
 def sql() -> dict[str, str]:

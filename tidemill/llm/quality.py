@@ -1,32 +1,51 @@
 """Quality rules whose cutoffs carry a guarantee on wrongly rejected good documents.
 
-Word and line metrics are computed per whole text. For each stratum (language), signal and
-candidate cutoff, the labelled good documents are a holdout: a cutoff may be used only if an
-exact binomial test rejects "more than `risk` of the good documents of this stratum exceed it".
-The tests share the error budget `delta` by Bonferroni over all strata, signals and cutoffs, so
-with probability 1 - delta every chosen cutoff keeps its promise. Per stratum and signal the
-lowest certified cutoff is used; with none, the signal rejects nothing there.
+Word and line metrics are computed per whole text. A ladder of rules goes from loose to strict: each
+step tightens the cutoff of one signal, and a document fails a step if any of its signals exceeds its
+cutoff there. For each stratum (language) the labelled good documents that pass the base rules are a
+holdout. Step by step an exact binomial test asks whether more than `risk` of the stratum's good
+documents fail; the last step before the first that cannot rule this out is the stratum's rule. Tests
+in a fixed order need no division of the error by the number of steps, so each stratum has
+delta / (number of strata) to itself, and with probability 1 - delta every rule keeps its promise: at
+most `risk` of a stratum's good documents are wrongly rejected. With no step certified the ladder
+rejects nothing there.
+
+A stratum with fewer good labels than could certify anything (`fewest_labels`: 149 for one stratum at
+the default risk and error, 217 for four) is thin. All thin strata are tested together as one, named
+POOL, and share its rule; the promise then holds for the good documents of the pool as a whole. A
+language without labels belongs to the pool.
 
 Defined cases: a null or empty text has no words, hence base_failed. A null language is the
-stratum ''. Label rows with a null quality are ignored; of several rows for a document the best
-counts. Repeated documents are judged one by one. Without labels only the base rules reject.
+stratum ''. Label rows with a null quality or doc_id are ignored; of several rows for a document the
+best counts. Repeated documents are judged one by one, each counting in the holdout. Without labels only
+the base rules reject. Other columns are ignored by the report and passed on by `keep_good`, whatever
+their names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, materialise, small_side
 
-#: Signal -> (numerator, denominator, cutoffs); a document exceeds cutoff c if num > c * den.
+#: Signal -> (numerator, denominator, cutoffs from loose to strict); a document exceeds cutoff c if num > c * den.
 SIGNALS = {
-    "symbols": (lambda c: 100 * c("n_symbols"), lambda c: c("n_words"), (5, 10, 20, 40, 80, 160)),
-    "dup_lines": (lambda c: 100 * c("n_dup_lines"), lambda c: c("n_lines"), (10, 20, 30, 40, 50, 60)),
-    "long_words": (lambda c: 10 * c("word_chars"), lambda c: c("n_words"), (65, 70, 75, 80, 90, 100)),
+    "symbols": (lambda c: 100 * c("n_symbols"), lambda c: c("n_words"), (160, 80, 40, 20, 10, 5)),
+    "dup_lines": (lambda c: 100 * c("n_dup_lines"), lambda c: c("n_lines"), (60, 50, 40, 30, 20, 10)),
+    "long_words": (lambda c: 10 * c("word_chars"), lambda c: c("n_words"), (100, 90, 80, 75, 70, 65)),
 }
-RISK = 0.02 / len(SIGNALS)
+#: The steps, each a cutoff per signal in order: all at their loosest, then one signal tighter at a time, in turn.
+LADDER = [
+    tuple(cutoffs[level + (k < turn)] for k, (_, _, cutoffs) in enumerate(SIGNALS.values()))
+    for level in range(5)
+    for turn in range(len(SIGNALS))
+] + [tuple(cutoffs[5] for _, _, cutoffs in SIGNALS.values())]
+RISK = 0.02
 DELTA = 0.05
+POOL = "*"
 WINDOW = 8
 MAX_STRATA = 10_000
 
@@ -95,6 +114,20 @@ def _exceeds(signal: str, cutoff: Column | int) -> Column:
     return num(F.col) > cutoff * den(F.col)
 
 
+def _fails(cutoffs) -> Column:
+    """Whether a signal exceeds its cutoff; a null cutoff is never exceeded."""
+    out = F.lit(False)
+    for s, c in zip(SIGNALS, cutoffs):
+        out = out | F.coalesce(_exceeds(s, c), F.lit(False))
+    return out
+
+
+def fewest_labels(strata: Column | int, risk: float = RISK, delta: float = DELTA) -> Column:
+    """The number of good labels below which even a step that none of them fails is not certified."""
+    level = F.lit(delta) / (strata if isinstance(strata, Column) else F.lit(strata))
+    return F.ceil(F.log(level) / math.log(1 - risk))
+
+
 def _tail(n: str, k: str, p: float) -> Column:
     """P(Binomial(n, p) <= k), exactly: each term follows from the one before, scaled by the latest."""
     step = f"((CAST({n} AS DOUBLE) - i + 1) / i * {p / (1 - p)!r}D)"
@@ -107,34 +140,44 @@ def _tail(n: str, k: str, p: float) -> Column:
 
 
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column per signal): the lowest cutoff that passes the exact test, or null."""
-    best = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = measured.join(best.where("quality > 0"), "doc_id").where(~base_failed())
-    counts = good.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.count_if(_exceeds(s, c)).alias(f"{s}_{c}")
-            for s, (_, _, cutoffs) in SIGNALS.items()
-            for c in cutoffs
-        ],
-    )
-    tests = [(s, c) for s, (_, _, cutoffs) in SIGNALS.items() for c in cutoffs]
-    long = counts.select(
-        "stratum",
-        "n",
-        F.explode(
-            F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("cutoff"), F.col(f"{s}_{c}").alias("k")) for s, c in tests])
-        ).alias("t"),
-    ).select("stratum", "n", "t.*")
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    passed = (
-        long.where(F.col("k") < risk * F.col("n"))
-        .crossJoin(F.broadcast(strata))  # a single row
-        .where(_tail("n", "k", risk) <= F.lit(delta) / (F.lit(len(tests)) * F.col("strata")))
-    )
-    return passed.groupBy("stratum").agg(
-        *[F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in SIGNALS]
-    )
+    """(stratum, pooled, one column per signal): the rule of each labelled stratum and of POOL; null cutoffs where none is certified.
+
+    pooled strata are those that take POOL's rule. measured: stratum, doc_id and the metrics.
+    """
+    best = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    good = measured.join(best.where("quality > 0").select("doc_id"), "doc_id").where(~base_failed())
+    fails = F.array(*[F.count_if(_fails(step)) for step in LADDER])
+    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), fails.alias("k"))
+    # one row per language from here on
+    total = counts.agg(F.count(F.lit(1)).alias("strata"))
+    sized = counts.crossJoin(F.broadcast(total)).withColumn("pooled", F.col("n") < fewest_labels(F.col("strata"), risk, delta))  # a single row
+    group = F.when(F.col("pooled"), POOL).otherwise(F.concat(F.lit("="), "stratum"))
+    groups = sized.groupBy(group.alias("of")).agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.get("k", F.lit(i))) for i in range(len(LADDER))]).alias("k"),
+        F.collect_list("stratum").alias("strata"), F.first("pooled").alias("pooled"),
+    )
+    many = groups.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("tested"))))  # a single row
+    steps = many.select("of", "n", "tested", F.posexplode("k").alias("step", "fail"))
+    failed = steps.where(~((F.col("fail") < risk * F.col("n")) & (_tail("n", "fail", risk) <= F.lit(delta) / F.col("tested"))))
+    last = failed.groupBy("of").agg(F.min("step").alias("stop"))
+    table = F.array(*[F.struct(*[F.lit(c).alias(f"cut_{s}") for s, c in zip(SIGNALS, step)]) for step in LADDER])
+    rule = F.get(table, F.coalesce("stop", F.lit(len(LADDER))) - 1)
+    ruled = groups.join(last, "of", "left").withColumn("rule", rule)
+    names = F.when(F.col("pooled"), F.array(F.lit(None).cast("string"))).otherwise(F.col("strata"))
+    return ruled.select(F.explode(names).alias("stratum"), "pooled", *[F.col(f"rule.cut_{s}").alias(f"cut_{s}") for s in SIGNALS])
+
+
+def _ruled(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """rows (with stratum and the metrics) with the cutoffs of their stratum, else those of the pool."""
+    cuts = [f"cut_{s}" for s in SIGNALS]
+    own = cutoffs.where("NOT pooled").select("stratum", F.lit(True).alias("own"), *cuts)
+    pool = cutoffs.where("pooled").agg(*[F.first(c).alias(f"pool_{c}") for c in cuts])
+    joined = rows.join(small_side(own, MAX_STRATA), "stratum", "left").crossJoin(F.broadcast(pool))  # a single row
+    return joined.withColumns({c: F.when(F.col("own"), F.col(c)).otherwise(F.col(f"pool_{c}")) for c in cuts}).drop("own", *[f"pool_{c}" for c in cuts])
+
+
+def _kept() -> Column:
+    return ~base_failed() & ~_fails([F.col(f"cut_{s}") for s in SIGNALS])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -142,25 +185,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     keep = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"))
     measured = materialise(metrics(keep, ("doc_id", "stratum")), "quality-metrics")
     cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta), "quality-cutoffs")
-    joined = measured.join(small_side(cutoffs, MAX_STRATA), "stratum", "left")
-    over = [F.coalesce(_exceeds(s, F.col(f"cut_{s}")), F.lit(False)) for s in SIGNALS]
-    return joined.select(
+    return _ruled(measured, cutoffs).select(
         "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"),
-        *[f"cut_{s}" for s in SIGNALS],
-        (~base_failed() & ~over[0] & ~over[1] & ~over[2]).alias("kept"),
+        base_failed().alias("base_failed"), *[f"cut_{s}" for s in SIGNALS], _kept().alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; no text is shuffled."""
-    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
-    measured = materialise(metrics(docs.select("doc_id", "text", stratum), ("doc_id", "stratum")), "quality-metrics")
-    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta), "quality-cutoffs")
-    rows = metrics(docs.select(F.struct(*docs.columns).alias("row"), "text", stratum), ("row", "stratum"))
-    # the condition names the partition, so that it is not moved below the metrics and does not compute them anew
-    rows = rows.withColumn("partition", F.spark_partition_id())
-    kept = ~base_failed() & (F.col("partition") >= 0)
-    for s in SIGNALS:
-        kept &= ~F.coalesce(_exceeds(s, F.col(f"cut_{s}")), F.lit(False))
-    return rows.join(small_side(cutoffs, MAX_STRATA), "stratum", "left").where(kept).select("row.*")
+    """The rows of docs that the rules keep, with all their columns.
+
+    The rows are written once beside their metrics; the cutoffs are taken from
+    the metrics alone and the rows filtered on reading, so that no text is shuffled or measured twice.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keep = docs.select(row, "doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"))
+    measured = materialise(metrics(keep, ("row", "doc_id", "stratum")), "quality-rows")
+    cutoffs = materialise(certified_cutoffs(measured.drop("row"), labels, risk, delta), "quality-cutoffs")
+    return _ruled(measured, cutoffs).where(_kept()).select("row.*")
