@@ -45,8 +45,21 @@ def test_jaccard(spark, hard_docs, hard_rows, no_docs, monkeypatch, leaf):
         kept = jaccard.keep_one(hard_docs)
         assert kept.columns == hard_docs.columns
         want = len({r for k, r in brute.components({k: brute.shingle_set(t) for k, (_, t) in enumerate(hard_rows)}).items() if brute.shingle_set(hard_rows[k][1])})
-        empty = len({(i, t or "") for i, t in hard_rows if not brute.shingle_set(t)})
+        empty = sum(not brute.shingle_set(t) for _, t in hard_rows)
         assert kept.count() == want + empty
+        assert jaccard.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_loses_no_row(spark):
+    same = "one two three four five six seven"
+    rows = [(1, None, "a"), (1, "", "b"), (1, None, "c"), (1, None, "c"), (None, " ", "d"), (2, same, "x"), (2, same, "y"), (2, same, None), (3, same, "z"), (None, "alone here", "e")]
+    docs = spark.createDataFrame([(i, t, x, None) for i, t, x in rows], "doc_id long, text string, ord string, root int")
+    kept = [jaccard.keep_one(docs.repartition(n)) for n in (1, 4)]
+    one, two = ([tuple(r) for r in k.collect()] for k in kept)
+    assert kept[0].columns == docs.columns and sorted(one, key=repr) == sorted(two, key=repr)
+    got = collections.Counter(r[:3] for r in one)
+    assert all(got[r] == n for r, n in collections.Counter(r for r in rows if not (r[1] or "").strip()).items())
+    assert sum(n for r, n in got.items() if r[1] == same) == 1 and got[None, "alone here", "e"] == 1 and len(one) == 7
 
 
 def test_jaccard_documents(spark, documents, texts):

@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine will do for a local session only; a cluster has to name one.
+    """
     found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT} to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
         spark.conf.set(_CHECKPOINT, found)
     return found.rstrip("/")
@@ -32,9 +37,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
+    return read_scratch(write_scratch(df, name), df)
+
+
+def write_scratch(df: DataFrame, name: str) -> str:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_scratch(path: str, like: DataFrame) -> DataFrame:
+    return like.sparkSession.read.schema(like.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

@@ -412,22 +412,32 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
     return ordered.select("ord", "doc_id").join(named.distinct(), "ord", "left")
 
 
+def _is_empty():
+    return F.coalesce("n_shingles", F.lit(0)) == 0
+
+
 def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    rows = _rooted(docs, threshold)
-    least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(least, "root", "left")
-    return joined.select(
-        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"),
-        F.when(F.coalesce("n_shingles", F.lit(0)) > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    rows = materialise(_rooted(docs, threshold), "rooted")
+    some = rows.where(~_is_empty())
+    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    none = rows.where(_is_empty()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.join(least, "root").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id").unionByName(none)
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs with one document, the first, of each group of linked ones; empty sets all stay."""
+    """The rows of docs with one row, of the first document, of each group of linked ones.
+
+    Every row with an empty set stays, repeated or not. Of several rows with the first document's id and
+    text the one stays whose JSON form has the least digest; rows that are equal in all columns are one.
+    """
     rows = materialise(_rooted(docs, threshold), "rooted")
-    first = rows.where("n_shingles > 0").groupBy("root").agg(F.min("ord").alias("ord")).select("ord")
-    kept = rows.where("n_shingles IS NULL OR n_shingles = 0").select("ord").distinct().unionByName(first)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    some = rows.where(~_is_empty())
+    first = some.groupBy("root").agg(F.min("ord").alias("ord")).select("ord")
+    again = some.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ord", F.lit(True).alias("again"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     numbered = with_order(whole, ("row",))
-    return numbered.join(kept, "ord", "left_semi").dropDuplicates(["ord"]).select("row.*")
+    empty = numbered.join(rows.where(_is_empty()).select("ord").distinct(), "ord", "left_semi").select("row.*")
+    stays = numbered.join(first.join(again, "ord", "left"), "ord").select("ord", "row", F.coalesce("again", F.lit(False)).alias("again"))
+    repeated = stays.where("again").groupBy("ord").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return stays.where("NOT again").select("row.*").unionByName(repeated.select("row.*")).unionByName(empty)
