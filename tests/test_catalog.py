@@ -18,30 +18,3 @@ def test_entry_module(spark, sf):
     assert set(catalog.queries()) <= set(names)
     assert set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).count() > 0
-
-
-def test_material_ranking_against_plain_python(spark, sf):
-    from tidemill.plans import samples
-
-    got = {(r.seq, r.kind, r.item_rank): (r.id, r.item_score) for r in catalog.material_ranking(spark, sf).collect()}
-    jobs = catalog.turn_postings(spark, sf).collect()
-
-    def tok(s):
-        import re
-
-        return re.sub("[^a-z0-9]+", " ", " ".join(s.split()).lower()).strip()
-
-    for job in jobs[::7]:
-        title, body = tok(job.position), tok(f"{job.position} {job.description}")
-        raw = {f: sum(k in body for k in ks) + 2 * sum(k in title for k in ks) for f, ks in samples.FAMILIES.items()}
-        family = max(raw, key=raw.get) if max(raw.values()) else "software_engineer"
-        words = [k for k in samples.FAMILIES.get(family, ()) if k in body]
-        for kind, keep in (("experience", 1), ("project", 2)):
-            scored = []
-            for m in (m for m in samples.MATERIALS if m[0] == kind):
-                bullets = m[6].get(family, []) + m[5]
-                score = 5 * sum(tok(t) in body for t in m[4]) + (8 if family in m[7] else 0)
-                score += 2 * sum(k in tok(b) for b in bullets for k in words)
-                scored.append((-score, m[8], m[1]))
-            for n, (s, _, i) in enumerate(sorted(scored)[:keep], 1):
-                assert got[job.seq, kind, n] == (i, -s)

@@ -1,3 +1,7 @@
+import html
+import html.entities
+import random
+
 from pyspark.sql import functions as F
 
 from tidemill.functions import extract, text, urls
@@ -27,8 +31,17 @@ def test_half_even(spark):
 
 
 def test_html(spark):
-    page = "<p>A &amp; B</p>&lt;b&gt; &#233;"
-    assert one(spark, text.strip_html(F.lit(page)), text.unescape_all(F.lit("&eacute;&#x41;"))) == ("A & B <b> &#233;", "éA")
+    page = "<p>A &amp; B</p>&lt;b&gt; &#233; Caf&eacute; &#8211; &amp;lt;"
+    assert one(spark, text.strip_html(F.lit(page)), text.strip_html(F.lit(None).cast("string"))) == ("A & B <b> é Café – &lt;", "")
+
+
+def test_entities_equal_the_standard_library(spark):
+    r = random.Random(1)
+    cases = ["&notit; &notin; &copy2 &amp &#x41; &#x80; &#129; &#0; &#xD800; &#99999999999; &#1; &unknown; & x &; a&b &ltfoo; &#x1F600; &#xFFFE; &#38;lt;", "plain", ""]
+    names = sorted(html.entities.html5)
+    cases += ["".join(r.choice([f"&{r.choice(names)}", f"&#{r.randint(0, 70000)};", "x ", "&", ";"]) for _ in range(6)) for _ in range(400)]
+    found = spark.createDataFrame([(c,) for c in cases], "c string").select("c", text.unescape(F.col("c")).alias("u")).collect()
+    assert [(x.c, x.u) for x in found] == [(x.c, html.unescape(x.c)) for x in found]
 
 
 def test_section_replacement_is_literal(spark):

@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -137,3 +138,74 @@ def test_fallback_and_limits(spark):
     a, b = spark.createDataFrame([], "k int, seq int"), spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "k int, seq int")
     assert dedupe.or_else(a, b).count() == 3 and dedupe.or_else(b, a).count() == 3
     assert {(r.k, r.seq) for r in dedupe.limit_per(b, "k", 1).collect()} == {(1, 1), (2, 3)}
+
+
+def test_merged_postings_go_on_to_the_shortlist(spark):
+    one = postings(spark, [(1, "a", "dev", "", "", "x1", False), (2, "b", "dev", "", "", "", False), (3, "c", "ops", "", "", "x1", False)])
+    two = postings(spark, [(1, "A", "Dev", "", "", "x1 longer", False), (2, "d", "dev", "", "", "x1", False)])
+    merged = pipeline.merge(one, two)
+    assert sorted((r.company, tuple(r.first_seen)) for r in merged.collect()) == [("A", (0, 1)), ("b", (0, 2)), ("c", (0, 3)), ("d", (1, 2))]
+    out = pipeline.shortlist(merged, RULES, min_score=0, k=3).collect()
+    assert [(r.company, tuple(r.first_seen)) for r in out] == [("c", (0, 3)), ("A", (0, 1)), ("d", (1, 2))]
+
+
+def test_run_of_the_stages(spark, tmp_path):
+    materials = spark.createDataFrame([("project", "p", "Proj", None, "", "", "", ["x1"], ["Did it."], {}, [], 0)], MATERIAL)
+    one = postings(spark, [(1, "a", "dev", "u1", "", "x1", False), (2, "b", "ops", "", "", "x1", False)])
+    two = postings(spark, [(1, "c", "dev", "u3", "", "x1", False), (1, "", "dev", "", "", "x1", False)])
+    remote = spark.createDataFrame([("u1", "r1")], "url string, record_id string")
+    definitions = spark.createDataFrame([("Link", "Url"), ("Made", "CreatedTime")], "field string, ui_type string")
+    fields = {"company": "Company", "position": "Role", "url": "Link", "status": "State", "progress": "Made", "matching_score": "Score", "resume_draft": "Resume"}
+    profile = {k: k for k in ("full_name", "email", "phone", "linkedin_url", "portfolio_url", "closing_name")}
+    texts = {"skills": {"ai_engineer": ["SQL"]}, "snippets": {"mine": ["At the mill I ground."]}, "profile": profile, "template": "\\section{Experience}\\section{Projects}\\section{Technical Skills}\\end{document}"}
+    folder = f"file://{tmp_path}/docs"
+    found = pipeline.run([one, two], RULES, materials, remote, **texts, folder=folder, min_score=0, k=9, fields=fields, definitions=definitions, internship="mine")
+    plan = {(r.company, r.url): r for r in found.plan.collect()}
+    assert {k: (r.action, r.record_id) for k, r in plan.items()} == {("a", "u1"): ("update", "r1"), ("b", ""): ("create", None), ("c", "u3"): ("create", None), ("", ""): ("create", None)}
+    assert json.loads(plan["a", "u1"].payload) == {"Company": "a", "Link": {"link": "u1", "text": "u1"}, "Resume": f"{folder}/resumes/a-dev.tex", "Role": "dev", "Score": plan["a", "u1"].matching_score, "State": "Need Review"}
+    assert "Link" not in json.loads(plan["b", ""].payload)
+    made = {r.company: r for r in found.documents.collect()}
+    assert made[""].resume_path.endswith("/resumes/dev.tex") and "At the mill I ground." in made["a"].letter and len(made) == 4
+    pipeline.write_documents(found.documents, folder)
+    assert (tmp_path / "docs/coverletters/a-dev.tex").read_text() == made["a"].letter
+    assert spark.read.json(f"{folder}/generated_manifest").count() == 4
+    args = (found.chosen, materials, texts["skills"], texts["snippets"], profile, texts["template"], "out")
+    short = pipeline.tailor_to_fit(lambda t: F.length("letter") < F.when(F.col("company") == "a", 1).otherwise(10_000), *args, min_score=0)
+    assert {r.company: r.attempt for r in short.collect()} == {"a": 3, "b": 0, "c": 0, "": 0}
+
+
+def test_collection(spark):
+    from tests.test_functions import CARD_1, CARD_2
+    from tidemill.plans import collect
+
+    more = CARD_1.replace("acme-99", "acme-77").replace("dev-2-at", "dev-at").replace("Acme", "Other")
+    pages = spark.createDataFrame([(0, "r", "k", CARD_1 + more + CARD_1), (1, "r", "l", more)], "seq int, region string, search_keyword string, html string")
+    details = spark.createDataFrame([("77", '<div class="show-more-less-html__markup">Body &eacute;</div>')], "job_id string, html string")
+    out = collect.collect(pages, details, 1, "2024-01-01", "site").orderBy("seq").collect()
+    assert [(r.seq, r.company, r.description, r.search_keyword, r.source) for r in out] == [(0, "Acme", "", "k", "site"), (1, "Other", "Body é", "k", "site")]
+    assert [r.company for r in collect.collect(pages, details, 1, "", "site", rows=1).orderBy("seq").collect()] == ["Acme", "Other"]
+    mined = '{"jobkey":"a1","displayTitle":"D","company":"X"}'
+    two = spark.createDataFrame([(0, "r", "k", CARD_2 + mined), (1, "r", "k", CARD_2), (2, "r", "k", "cf-challenge" + CARD_2.replace("k1", "k2"))], pages.schema)
+    none = spark.createDataFrame([], details.schema)
+    assert {r.job_id for r in collect.collect(two, none, 2, "", "site").collect()} == {"a1", "k1"}
+    cached = postings(spark, [(5, "c", "p", "u", "", "", False)]).withColumns({c: F.lit("") for c in ("date", "source", "search_keyword", "job_id")})
+    assert [r.seq for r in collect.collect(two.where("seq = 2"), none, 2, "", "site", fallback=cached).collect()] == [5]
+
+
+def test_plan_normalises_texts_once(spark):
+    df = postings(spark, [(1, "c", "Dev", "", "", "x1", False)])
+    plan = pipeline.scored(df, RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws( , coalesce(position") == 1 and plan.index("Filter") < plan.index("Generate")
+
+
+def test_payload_kinds(spark):
+    values = spark.createDataFrame([(1, "n", "5", True), (1, "m", "5", True), (1, "z", "0", True), (1, "s", "5", True), (1, "q", 'a"b', False)], "seq int, field string, value string, number boolean")
+    kinds = spark.createDataFrame([("m", "MultiSelect"), ("z", "SingleSelect"), ("s", "SingleSelect")], "field string, ui_type string")
+    assert sync.records(sync.payload(values, kinds)).first().payload == '{"m":["5"],"n":5,"q":"a\\"b","s":"5"}'
+
+
+def test_manifest_misses(spark):
+    scored = postings(spark, [(1, "a", "x", "u", "", "", False), (2, "b", "x", "v", "", "", False)])
+    made = spark.createDataFrame([("a", "x", 1, "old"), ("a", "x", 2, "new")], "company string, position string, seq int, resume_path string")
+    out = sync.plan_upserts(scored, spark.createDataFrame([("v", "r")], "url string, record_id string"), made)
+    assert {(r.seq, r.resume_path, r.action) for r in out.collect()} == {(1, "new", "create"), (2, None, "update")}

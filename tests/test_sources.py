@@ -2,17 +2,30 @@ import json
 import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tidemill import rules
 from tidemill.plans import pipeline
-from tidemill.sources import files, remote
-from tidemill.streaming.incremental import keep_merged
+from tidemill.sources import files, remote, settings
+from tidemill.streaming.incremental import keep_merged, latest
 
 
-def page(title, region, hours, limit):
+def page(layout, asked):
+    title = asked["keywords" if layout == 1 else "q"]
     if title == "broken":
         raise OSError("down")
-    return f"{title}/{region}/{hours}/{limit}"
+    return "x WAF_BLOCK" if title == "refused" else "/".join(asked.values())
+
+
+def detail(layout, job_id):
+    if job_id == "j2":
+        raise OSError("down")
+    return f"page of {job_id} in {layout}"
+
+
+def field_client():
+    return {"items": [{"field_name": "Link", "ui_type": "Url"}, {"field_name": "State", "ui_type": "SingleSelect"}]}
 
 
 def records(page_size, token):
@@ -21,18 +34,32 @@ def records(page_size, token):
     return {"items": items, "has_more": at + 2 < 5, "page_token": str(at + 2)}
 
 
-def send(action, record_id, payload):
-    with open(os.environ["TIDEMILL_SENT"], "a") as f:
-        f.write(json.dumps([action, record_id, payload]) + "\n")
+def send(action, record_id, payload, key):
+    # a worker does not see the environment of a test, so there the payload names the file
+    with open(json.loads(payload).get("to") or os.environ["TIDEMILL_SENT"], "a") as f:
+        f.write(json.dumps([action, record_id, payload, key]) + "\n")
 
 
 def test_search_pages(spark):
     remote.register(spark)
     df = spark.read.format("search_pages").options(
-        fetcher="tests.test_sources:page", regions='["r1","r2"]', titles='["a","broken","b"]', limit=5
+        fetcher="tests.test_sources:page", regions='["r1","r2"]', titles='["a","broken","b"]'
     ).load()
-    assert [(r.seq, r.html) for r in df.orderBy("seq").collect()] == [(0, "a/r1/24/5"), (2, "b/r1/24/5"), (3, "a/r2/24/5"), (5, "b/r2/24/5")]
-    assert (remote.recency(24, 1), remote.recency(5, 2)) == ("r86400", "1")
+    got = [(r.seq, r.html) for r in df.orderBy("seq").collect()]
+    assert got == [(0, "a/r1/r86400/DD/0"), (2, "b/r1/r86400/DD/0"), (3, "a/r2/r86400/DD/0"), (5, "b/r2/r86400/DD/0")]
+    two = spark.read.format("search_pages").options(fetcher="tests.test_sources:page", titles='["a","refused"]', layout=2, hours=5).load()
+    assert [(r.seq, r.html) for r in two.collect()] == [(0, "a//1/date")]
+    with pytest.raises(remote.Blocked):
+        remote.refuse_blocked("<title>Blocked - Indeed.com</title>")
+
+
+def test_details_and_field_definitions(spark):
+    remote.register(spark)
+    rows = spark.createDataFrame([(0, 0, "j1"), (0, 1, ""), (0, 2, "j2"), (1, 0, "j3"), (1, 1, "j4")], "seq int, card_no int, job_id string")
+    found = remote.fetch_details(rows, "tests.test_sources:detail", 2, 4)
+    assert {(r.job_id, r.html) for r in found.collect()} == {("j1", "page of j1 in 2"), ("j3", "page of j3 in 2")}
+    fields = spark.read.format("remote_fields").option("client", "tests.test_sources:field_client").load()
+    assert {tuple(r) for r in fields.collect()} == {("Link", "Url"), ("State", "SingleSelect")}
 
 
 def test_remote_records_follow_pages(spark):
@@ -44,14 +71,26 @@ def test_remote_records_follow_pages(spark):
 def test_upserts_and_alert(spark, tmp_path, monkeypatch):
     sent = tmp_path / "sent"
     monkeypatch.setenv("TIDEMILL_SENT", str(sent))
-    plan = spark.createDataFrame([("create", None, "{}"), ("update", "r1", "{}")], "action string, record_id string, payload string")
+    to = json.dumps({"to": str(sent)})
+    plan = spark.createDataFrame([("create", None, to), ("update", "r1", to)], "action string, record_id string, payload string")
     assert {(r.action, r.n) for r in remote.apply_upserts(plan, "tests.test_sources:send").collect()} == {("create", 1), ("update", 1)}
     assert not sent.exists()  # a dry run sends nothing
     assert remote.alert("s", "d" * 300, "tests.test_sources:send")["details"] == "d" * 120
     with pytest.raises(ZeroDivisionError):
         pipeline.guarded(lambda: 1 / 0, lambda kind, text: remote.alert(kind, text, "tests.test_sources:send"))
     assert len(sent.read_text().splitlines()) == 2
-    assert pipeline.chosen_sources({"source": "a"}) == {"a"} and pipeline.chosen_sources({"sources": ["x", "y"]}) == {"x", "y"}
+    for _ in range(2):  # the same row has the same key in every attempt
+        remote.apply_upserts(plan, "tests.test_sources:send", dry_run=False).collect()
+    keys = [json.loads(line)[3] for line in sent.read_text().splitlines()[2:]]
+    assert len(keys) == 4 and len(set(keys)) == 2
+
+    def broken(kind, text):
+        raise OSError("no alert")
+
+    with pytest.raises(ZeroDivisionError):
+        pipeline.guarded(lambda: 1 / 0, broken)
+    assert pipeline.chosen_sources({"source": " a "}) == {"a"} and pipeline.chosen_sources({"sources": ["x", "y"]}) == {"x", "y"}
+    assert pipeline.chosen_sources({}) == {"linkedin"} and pipeline.chosen_sources({"source": ""}) == set()
 
 
 def test_files(spark, tmp_path):
@@ -69,13 +108,45 @@ def test_files(spark, tmp_path):
     assert tree.count() == 1 and files.read_lines(spark, f"{path}/none", "").count() == 0
 
 
+def test_written_files(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    rows = spark.createDataFrame([(f"{path}/a/x.tex", "é1"), (f"{path}/b/y.tex", None)], "path string, text string")
+    for _ in range(2):
+        files.write_named_texts(rows)
+    assert (tmp_path / "a/x.tex").read_text() == "é1" and (tmp_path / "b/y.tex").read_text() == ""
+    files.write_json(rows, f"{path}/j")
+    assert spark.read.json(f"{path}/j").count() == 2
+
+
+def test_settings(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    assert settings.read_settings(spark, f"{path}/none.yaml") == {} and settings.profile({}) == settings.PROFILE
+    (tmp_path / "p.yaml").write_text("identity:\n  full_name: Ann\n  email: ''\n  phone: 123\n")
+    found = settings.profile(settings.read_settings(spark, f"{path}/p.yaml"))
+    assert (found["full_name"], found["email"], found["phone"]) == ("Ann", settings.PROFILE["email"], "123")
+    (tmp_path / "e.yaml").write_text("experience:\n  - id: e1\n    company: Lab\n    title: Intern\n    tags:\n      - api\n    bullets:\n      - Did it.\n    bullet_variants:\n      ai_engineer:\n        - Did AI.\n    role_targets:\n      - ai_engineer\n")
+    (tmp_path / "q.yaml").write_text("projects:\n  - id: p1\n    name: Proj\n    date_range: 2025\n    repo_url: http://r\n")
+    rows = settings.materials(spark, *(settings.read_settings(spark, f"{path}/{n}.yaml") for n in "eq")).orderBy("kind").collect()
+    assert [(r.kind, r.id, r.name, r.date_range, r.ord) for r in rows] == [("experience", "e1", "Lab", None, 0), ("project", "p1", "Proj", "2025", 0)]
+    assert rows[0].bullet_variants == {"ai_engineer": ["Did AI."]} and rows[1].bullets == []
+    assert settings.materials(spark, {}, {}).count() == 0
+    assert settings.word_lists({"skills": {"a": ["x", 1], "b": None}}, "skills") == {"a": ["x", "1"], "b": []}
+    (tmp_path / "r.yaml").write_text("hard_filters:\n  title_contains:\n    - Lead\n")
+    assert rules.load(f"{path}/r.yaml", spark=spark).hard_title == ["lead"] == rules.load(str(tmp_path / "r.yaml")).hard_title
+
+
 def test_incremental_merge(spark, tmp_path):
     schema = "seq long, company string, position string, url string, description string, easy_apply boolean"
     source = tmp_path / "in"
     stream = lambda: spark.readStream.schema(schema).json(str(source))
+    assert latest(spark, f"file://{tmp_path}/out") is None
     rows = [[(1, "a", "x", "", "d", False), (2, "b", "x", "", "", False)], [(3, "a", "x", "", "long", False), (4, "a", "x", "", "dd", False)]]
     for part in rows:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(source))
         keep_merged(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
-    got = spark.read.parquet(f"file://{tmp_path}/out/v1").select("seq", "company", F.length("description")).collect()
+    got = latest(spark, f"file://{tmp_path}/out").select("seq", "company", F.length("description")).collect()
     assert {tuple(r) for r in got} == {(3, "a", 4), (2, "b", 0)}
+    (tmp_path / "out/v1/_SUCCESS").unlink()
+    spark.createDataFrame(rows[0], schema).coalesce(1).write.mode("append").json(str(source))
+    with pytest.raises(StreamingQueryException):  # the history is gone
+        keep_merged(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()

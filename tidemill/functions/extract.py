@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import col, squeeze, strip_html, unescape
@@ -41,6 +36,7 @@ def first(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def is_blocked(page: Column | str) -> Column:
+    """Whether a page of the second layout is one that refuses the request."""
     low = F.lower(col(page))
     return F.contains(low, F.lit(BLOCKED[0])) | F.contains(low, F.lit(BLOCKED[1])) | F.contains(low, F.lit(BLOCKED[2]))
 
@@ -85,7 +81,8 @@ def description(page: Column | str, layout: int) -> Column:
     return F.when(F.contains(body, F.lit("<")), strip_html(body)).otherwise(squeeze(unescape(plain)))
 
 
-_ID = re.compile(r'"jobkey":"([^"]+)"')
+#: Marks of embedded postings: fixed values.
+_ID = r'"jobkey":"([^"]+)"'
 _EASY = ('"Indeed Apply"', '"indeedApply"', '"isIndeedApply":true')
 #: Field -> the JSON keys that may hold it, in order of preference.
 _KEYS = {
@@ -94,45 +91,49 @@ _KEYS = {
     "location": ("formattedLocation", "location"),
     "date": ("datePublished", "pubDate"),
 }
-_VALUES = {k: re.compile(rf'"{k}":"((?:\\.|[^"])*)"') for keys in _KEYS.values() for k in keys}
 _BEFORE, _AFTER = 1200, 2400
 
 
-def json_value(text: str, key: str) -> str:
-    """The first value of a string key, JSON escapes decoded, white space squeezed."""
-    m = _VALUES[key].search(text)
-    if not m:
-        return ""
-    try:
-        value = json.loads(f'"{m[1]}"', strict=False)
-    except ValueError:
-        value = m[1]
-    return " ".join(value.split())
+def json_value(text: Column, keys: tuple[str, ...]) -> Column:
+    """The first non-empty string value of the keys, JSON escapes decoded, white space squeezed."""
+    out = []
+    for key in keys:
+        raw = F.regexp_extract(text, rf'(?s)"{key}":"((?:\\.|[^"])*)"', 1)
+        plain = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "$.v"), raw)
+        out.append(F.nullif(squeeze(plain), F.lit("")))
+    return F.coalesce(*out, F.lit(""))
+
+
+def _near(page: Column) -> Column:
+    """The text around each identifier of a page, in order."""
+    gaps = F.transform(F.split(page, _ID, -1), lambda x: F.length(x))
+    sizes = F.transform(F.regexp_extract_all(page, F.lit(_ID), F.lit(0)), lambda x: F.length(x))
+
+    def around(size: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
+        start = F.greatest(F.lit(0), before - _BEFORE)
+        return F.substr(page, start + 1, before + size + _AFTER - start)
+
+    return F.transform(sizes, around)
 
 
 def mine_json(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings embedded as JSON: a row per identifier, from the text around it, once per page.
 
-    Built-in functions give no match offsets, so this one runs on Arrow batches of pages.
+    keep: columns that tell the pages apart. Places follow from the lengths of the matches and of the gaps between them.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, text in zip(b[list(keep)].itertuples(index=False), b[page].fillna("")):
-                seen = set()
-                for m in _ID.finditer(text):
-                    near = text[max(0, m.start() - _BEFORE) : m.end() + _AFTER]
-                    found = {f: next((v for key in keys if (v := json_value(near, key))), "") for f, keys in _KEYS.items()}
-                    mark = (m[1], found["position"], found["company"])
-                    if all(mark) and mark not in seen:
-                        seen.add(mark)
-                        rows.append((*k, len(seen) - 1, *found.values(), m[1], any(e in near for e in _EASY)))
-            yield pd.DataFrame(rows, columns=[*keep, "card_no", *_KEYS, "job_id", "easy_apply"])
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema)
-    raw = pages.select(*keep, page).mapInPandas(
-        run, f"{kept}card_no int, position string, company string, location string, date string, job_id string, easy_apply boolean"
-    )
-    clean = {c: strip_html(c) for c in _KEYS}
-    return raw.withColumns(clean).withColumn("url", F.concat(F.lit(f"{SITE_2}/viewjob?jk="), "job_id"))
+    ids = F.regexp_extract_all(page, F.lit(_ID), F.lit(1))
+    each = pages.select(*keep, F.posexplode(F.arrays_zip(ids.alias("job_id"), _near(F.col(page)).alias("near"))).alias("at", "x"))
+    fields = each.select(
+        *keep, "at", F.col("x.job_id").alias("job_id"),
+        *[strip_html(json_value(F.col("x.near"), keys)).alias(f) for f, keys in _KEYS.items()],
+        (F.contains("x.near", F.lit(_EASY[0])) | F.contains("x.near", F.lit(_EASY[1])) | F.contains("x.near", F.lit(_EASY[2]))).alias("easy_apply"),
+    ).where("position <> '' AND company <> ''")
+    # one page's postings are few: the first of each (identifier, title, company), numbered in order
+    rest = F.struct("location", "date", "easy_apply")
+    once = fields.groupBy(*keep, "job_id", "position", "company").agg(F.min(F.struct("at", rest.alias("rest"))).alias("m"))
+    in_page = Window.partitionBy(*keep).orderBy("m.at")
+    return once.select(
+        *keep, (F.row_number().over(in_page) - 1).alias("card_no"), "position", "company", "m.rest.*", "job_id",
+        F.concat(F.lit(f"{SITE_2}/viewjob?jk="), "job_id").alias("url"),
+    )

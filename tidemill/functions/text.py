@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space in the Unicode sense; the engine's own class misses some of it.
 WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
@@ -37,23 +36,49 @@ def slug(x: Column | str) -> Column:
     return F.coalesce(F.nullif(F.trim(dashed, F.lit("-")), F.lit("")), F.lit("job"))
 
 
-#: Entities undone by built-in functions, '&amp;' last; others need `unescape_all`.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&amp;", "&"),
-)
+#: All named references come from the standard library's table; those without a semicolon also count in front of other text.
+_NAMED = {f"&{name}": text for name, text in html5.items()}
+_BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+_REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;|&(?:" + "|".join(_BARE) + ")"
+_PREFIX = "^(&(?:" + "|".join(_BARE) + "))(.*)$"
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a numeric reference: code page 1252 from 128 to 159, nothing or U+FFFD for those that name none."""
+    old = "".join(t if (t := bytes([c]).decode("cp1252", "replace")) != "\ufffd" else chr(c) for c in range(0x80, 0xA0))
+    low = n.bitwiseAND(0xFFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (
+        F.when(n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
+        .when(n.between(0x80, 0x9F), F.substr(F.lit(old), (n - 0x7F).cast("int"), F.lit(1)))
+        .when(n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE), "")
+        .otherwise(plain)
+    )
+
+
+def _referred(ref: Column, named: Column) -> Column:
+    """What one reference stands for; one that names nothing stays as it is."""
+    digits = F.regexp_extract(ref, "^&#0*([0-9]{1,9});?$", 1)
+    digits16 = F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1)
+    # more digits are beyond all characters
+    number = F.coalesce(F.conv(F.nullif(digits16, F.lit("")), 16, 10), F.nullif(digits, F.lit(""))).cast("long")
+    bare, rest = F.regexp_extract(ref, _PREFIX, 1), F.regexp_extract(ref, _PREFIX, 2)
+    # one lookup: by the whole reference if the table has it, else by the name that it starts with
+    whole = F.transform(F.array(named), lambda m: F.coalesce(F.try_element_at(m, ref), F.concat(F.try_element_at(m, bare), rest), ref))[0]
+    return F.when(ref.startswith("&#"), _numbered(number)).otherwise(whole)
 
 
 def unescape(x: Column) -> Column:
-    for entity, char in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+    """Every HTML character reference undone, once."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
+    def undo(text: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), lambda r: _referred(r, named))
+        parts = F.zip_with(F.split(text, _REFERENCE, -1), refs, lambda gap, r: F.concat(gap, F.coalesce(r, F.lit(""))))
+        return F.when(F.regexp_like(text, F.lit("&[#A-Za-z]")), F.array_join(parts, "")).otherwise(text)
 
-@F.pandas_udf(T.StringType())
-def unescape_all(x: pd.Series) -> pd.Series:
-    """Every HTML entity; use it where the texts hold more than the common ones."""
-    return x.map(html.unescape, na_action="ignore")
+    # the one-element array binds the text to a name, so that it is made once
+    return F.transform(F.array(x), undo)[0]
 
 
 def strip_html(x: Column | str) -> Column:

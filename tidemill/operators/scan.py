@@ -11,6 +11,7 @@ PATTERNS = {
     "profile_url": r"https://www\.linkedin\.com/in/[A-Za-z0-9\-_%]+",
     "phone": r"\+\d[\d\s\-()]{7,}\d",
 }
+#: The other fixed values: credential keys, and which files of a tree are texts.
 CREDENTIAL = r'(app_id|app_secret|app_token|table_id|view_id):\s*"([^"\n]+)"'
 TEXT_SUFFIXES = (".md", ".txt", ".py", ".yaml", ".yml", ".tex", ".toml", ".json", ".gitignore")
 TEXT_NAMES = (".gitignore", "Makefile")

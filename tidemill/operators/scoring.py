@@ -13,8 +13,12 @@ from ..rules import DOWNGRADE, RISK_DEFAULTS, SECTOR_TERMS, Rules
 
 
 def with_texts(df: DataFrame) -> DataFrame:
-    """Adds title and body, the texts that rules are matched against."""
-    return df.withColumns({"title": title_of("position"), "body": body_of("position", "description", "location")})
+    """Adds title and body, the texts that rules are matched against.
+
+    They come out of a generator of one row, so that filters stay above it and each text is normalised once.
+    """
+    texts = F.struct(title_of("position").alias("title"), body_of("position", "description", "location").alias("body"))
+    return df.select("*", F.inline(F.array(texts)))
 
 
 def reject_reason(rules: Rules) -> Column:
@@ -140,7 +144,7 @@ def score(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def breakdown_text(total: str = "matching_score", breakdown: str = "score_breakdown") -> Column:
-    """The breakdown as four lines; '-' stands for nothing, and a missing breakdown leaves the total."""
+    """The breakdown as four lines of fixed wording; '-' stands for nothing, and a missing breakdown leaves the total."""
     b = lambda n: F.col(f"{breakdown}.{n}")
     listed = lambda n: F.coalesce(F.nullif(F.array_join(b(n), ", "), F.lit("")), F.lit("-"))
     label = lambda n: F.coalesce(F.nullif(b(n), F.lit("")), F.lit("-"))

@@ -2,7 +2,8 @@
 
 Postings are bound to the tables as follows: from pages, company is the host, position the first
 heading, description the article, location the language; from documents, company is the source,
-position the first 40 characters, description the text.
+position and description the text; from conversations, company is the role, position and description
+the text. Long positions are reported by their digest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import dedupe, rank, scan, scoring, sync
 from ..schema import MATERIAL
+from ..sources.settings import PROFILE
 from . import pipeline, samples
 from . import oracle as Q
 
@@ -43,7 +45,7 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
-        F.col("doc_id").alias("seq"), F.col("source").alias("company"), F.substring("text", 1, 40).alias("position"),
+        F.col("doc_id").alias("seq"), F.col("source").alias("company"), F.coalesce("text", F.lit("")).alias("position"),
         F.lit("").alias("url"), F.lit("").alias("date"), F.col("lang").alias("location"), F.lit("documents").alias("source"),
         F.col("text").alias("description"), (F.coalesce("q", F.lit(0)) == 1).alias("easy_apply"),
         F.lit("").alias("search_keyword"), F.lit("").alias("job_id"),
@@ -53,7 +55,7 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
 def turn_postings(spark: SparkSession, d: str) -> DataFrame:
     turns = _t(spark, d, "conversations")
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("company"), F.substring("text", 1, 40).alias("position"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("company"), F.coalesce("text", F.lit("")).alias("position"),
         F.lit("").alias("url"), F.lit("").alias("date"), F.lit("").alias("location"), F.lit("turns").alias("source"),
         F.col("text").alias("description"), (F.col("turn") == 0).alias("easy_apply"), F.lit("").alias("search_keyword"), F.lit("").alias("job_id"),
     )
@@ -63,7 +65,7 @@ def text_normal(spark, d):
     docs = _t(spark, d, "documents")
     return docs.select(
         "doc_id", F.md5(X.squeeze("text")).alias("squeezed"), F.md5(X.token("text")).alias("tokens"),
-        X.posting_key("source", F.substring("text", 1, 40)).alias("posting_key"), X.slug(F.substring("text", 1, 40)).alias("slug"),
+        F.md5(X.posting_key("source", "text")).alias("posting_key"), F.md5(X.slug("text")).alias("slug"),
         F.md5(X.body_of("source", "text", "lang")).alias("body"),
     )
 
@@ -94,17 +96,20 @@ def page_cards(spark, d):
 
 def merge_sources(spark, d):
     out = pipeline.merge(page_postings(spark, d), document_postings(spark, d), turn_postings(spark, d))
-    return out.select("file_ord", "seq", "company", "position", "source", F.length("description").cast("long").alias("n"), "first_seen")
+    return out.select(
+        "file_ord", "seq", "company", F.md5("position").alias("position"), "source", F.length("description").cast("long").alias("n"),
+        F.col("first_seen.file_ord").alias("first_file"), F.col("first_seen.seq").alias("first_seq"),
+    )
 
 
 def fetch_dedupe(spark, d):
     docs = document_postings(spark, d)
-    return dedupe.keep_first(docs, [dedupe.fetch_key()]).select("seq", "company", "position", "location")
+    return dedupe.keep_first(docs, [dedupe.fetch_key()]).select("seq", "company", F.md5("position").alias("position"), "location")
 
 
 def generation_dedupe(spark, d):
     turns = turn_postings(spark, d)
-    return dedupe.keep_first(turns, [X.posting_key("company", "position")]).select("seq", "company", "position")
+    return dedupe.keep_first(turns, [X.posting_key("company", "position")]).select("seq", "company", F.md5("position").alias("position"))
 
 
 def hard_filters(spark, d):
@@ -160,11 +165,13 @@ def context_sentences(spark, d):
 
 
 def _signals(spark, d):
-    return rank.with_signals(turn_postings(spark, d), samples.FAMILIES)
+    return rank.with_signals(turn_postings(spark, d))
 
 
 def role_signals(spark, d):
-    return _signals(spark, d).select("seq", "role_family", F.array_join("matched_keywords", ",").alias("matched"))
+    return _signals(spark, d).select(
+        "seq", "role_family", F.array_join("matched_keywords", ",").alias("matched"), F.array_join("focus_terms", ",").alias("focus")
+    )
 
 
 def materials(spark: SparkSession) -> DataFrame:
@@ -186,7 +193,7 @@ def private_data(spark, d):
 def upsert_plan(spark, d):
     orders = _t(spark, d, "orders")
     local = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("http://c/"), F.col("o_custkey")).alias("url"), "o_orderstatus")
-    remote = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(
+    remote = _t(spark, d, "customer").select(
         F.concat(F.lit("rec"), "c_custkey").alias("record_id"), F.col("c_custkey").alias("at"),
         F.to_json(F.struct(F.concat(F.lit("http://c/"), F.floor(F.col("c_custkey") / 2)).alias("link"))).alias("cell"),
     )
@@ -199,7 +206,7 @@ def upsert_counts(spark, d):
 
 def manifest_join(spark, d):
     scored = _t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("company"), F.lit("x").alias("position"), F.col("s_suppkey").alias("seq_s"), F.lit("u").alias("url"))
-    made = _t(spark, d, "customer").where("c_nationkey < 12").select(
+    made = _t(spark, d, "customer").select(
         F.col("c_nationkey").cast("string").alias("company"), F.lit("x").alias("position"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("resume_path")
     )
     remote = spark.createDataFrame([], "url string, record_id string")
@@ -259,11 +266,65 @@ def manual_lines(spark, d):
     return dedupe.keep_first(rows, ["url"]).select("seq", "source", "job_id", normal_line().alias("line"))
 
 
+def search_pages(spark, d):
+    """A search page per nation of the suppliers' cards; two suppliers share an address, and some cards lack a company."""
+    part = lambda c: c.cast("string")
+    supplier, nation = _t(spark, d, "supplier"), _t(spark, d, "nation")
+    card = F.concat(
+        F.lit('<li><a href="https://uk.linkedin.com/jobs/view/role-at-'), F.lit("x-"), part(F.floor(F.col("s_suppkey") / 2)), F.lit('?refId=1">a</a>'),
+        F.lit('<h3 class="base-search-card__title"> '), F.col("s_name"), F.lit(" &amp; &Eacute;&#8211; </h3>"),
+        F.when(F.col("s_suppkey") % 11 == 0, "").otherwise(F.concat(F.lit('<h4 class="base-search-card__subtitle">'), F.col("n_name"), F.lit("</h4>"))),
+        F.when(F.col("s_suppkey") % 3 == 0, "Easy Apply").otherwise(""), F.lit("</li>"),
+    )
+    joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    cards = joined.groupBy("n_nationkey", "n_name").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", card.alias("card")))).alias("cards"))
+    return cards.select(
+        F.col("n_nationkey").alias("seq"), F.lit("r").alias("region"), F.col("n_name").alias("search_keyword"),
+        F.array_join(F.transform("cards", lambda x: x["card"]), "").alias("html"),
+    )
+
+
+def collected_pages(spark, d):
+    from .collect import collect
+
+    customer = _t(spark, d, "customer")
+    body = F.concat(F.lit('<div class="show-more-less-html__markup">'), "c_name", F.lit("<br>&lt;"), "c_mktsegment", F.lit("</div>"))
+    details = customer.select(F.col("c_custkey").cast("string").alias("job_id"), body.alias("html"))
+    cached = page_postings(spark, d)
+    out = collect(search_pages(spark, d), details, 1, TODAY, "linkedin", rows=9, fallback=cached)
+    return out.select("seq", "company", "position", "url", "date", "easy_apply", "job_id", "search_keyword", "description")
+
+
+#: Texts of the daily run: fixed inputs, in place of files.
+TEMPLATE = "\\section{Experience}\n\\section{Projects}\n\\section{Technical Skills}\n\\end{document}"
+
+
+def daily(spark: SparkSession, d: str) -> pipeline.Run:
+    """The whole run over postings of all three tables."""
+    sources = page_postings(spark, d), document_postings(spark, d), turn_postings(spark, d)
+    remote = _t(spark, d, "pages").select(
+        F.to_json(F.struct(U.clean("url").alias("link"))).alias("cell"), F.concat(F.lit("rec"), "page_id").alias("record_id"), F.col("page_id").alias("at")
+    )
+    definitions = spark.createDataFrame([("Link", "Url"), ("State", "SingleSelect")], "field string, ui_type string")
+    return pipeline.run(
+        sources, samples.rules(), materials(spark), sync.remote_lookup(remote, "cell", "at"), skills={"ai_engineer": ["the"]}, snippets={},
+        profile=PROFILE, template=TEMPLATE, folder="out", min_score=30, k=10, fields=samples.FIELDS, definitions=definitions,
+    )
+
+
+def daily_run(spark, d):
+    plan = daily(spark, d).plan
+    return plan.select(
+        F.col("first_seen.file_ord").alias("first_file"), F.col("first_seen.seq").alias("first_seq"), "seq", "url", "matching_score",
+        F.md5("resume_path").alias("resume_path"), "record_id", "action", F.md5("payload").alias("payload"),
+    )
+
+
 _QUERIES = (
     text_normal, url_fields, url_dedupe, page_fields, page_cards, merge_sources, fetch_dedupe, generation_dedupe, hard_filters,
     keyword_scores, page_scores, breakdown_text, scored_dedupe, shortlist_pages, sentence_split, context_sentences, role_signals,
     material_ranking, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
-    fallback_rows, text_escapes, manual_lines,
+    fallback_rows, text_escapes, manual_lines, collected_pages, daily_run,
 )
 
 

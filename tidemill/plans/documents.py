@@ -67,8 +67,11 @@ def focus_sentence(snippets: dict[str, list[str]]) -> Column:
     return F.when(F.size("company_focus") > 0, own).otherwise(out)
 
 
-def paragraphs(snippets: dict[str, list[str]], compact: bool = False) -> Column:
-    """The letter's paragraphs as an array; compact leaves out the fourth. Needs project_names."""
+def paragraphs(snippets: dict[str, list[str]], compact: bool = False, internship: str = "internship") -> Column:
+    """The letter's paragraphs as an array; compact leaves out the fourth. Needs project_names.
+
+    internship: the key of the snippet about it.
+    """
     one = F.concat(
         F.lit("I am applying for the "), "position", F.lit(" role at "), "company", F.lit(" because I am interested in "),
         _by_family(OPENINGS, "building practical software systems"),
@@ -82,7 +85,7 @@ def paragraphs(snippets: dict[str, list[str]], compact: bool = False) -> Column:
         F.lit(". In these projects, I worked across "), _by_family(ALIGNMENTS, "real delivery work"),
         F.lit(", which maps well to roles that expect early-career engineers to contribute to real delivery work."),
     )
-    usual = (snippets.get("internship") or [INTERNSHIP])[0] + INTERNSHIP_TAIL
+    usual = (snippets.get(internship) or [INTERNSHIP])[0] + INTERNSHIP_TAIL
     four = (
         F.when(F.col("role_family") == "data_scientist", (snippets.get("data_delivery") or [usual])[0] + DATA_TAIL)
         .when(F.col("role_family") == "robotics_engineer", (snippets.get("robotics") or [usual])[0] + ROBOTICS_TAIL)
@@ -95,9 +98,9 @@ def paragraphs(snippets: dict[str, list[str]], compact: bool = False) -> Column:
     return F.array(one, two, three, five) if compact else F.array(one, two, three, four, five)
 
 
-def letter(snippets: dict[str, list[str]], profile: dict[str, str], compact: bool = False) -> Column:
+def letter(snippets: dict[str, list[str]], profile: dict[str, str], compact: bool = False, internship: str = "internship") -> Column:
     p = {k: latex(F.lit(v)) for k, v in profile.items()}
-    body = F.array_join(F.transform(paragraphs(snippets, compact), lambda x: latex(x)), "\n\n")
+    body = F.array_join(F.transform(paragraphs(snippets, compact, internship), lambda x: latex(x)), "\n\n")
     lines = [
         F.lit("% Generated tailored cover letter.\n\\documentclass[a4paper,11pt]{letter}\n\n\\usepackage[a4paper,top=0.7in,bottom=0.7in,left=0.8in,right=0.8in]{geometry}\n\\usepackage[hidelinks]{hyperref}\n\\usepackage{parskip}\n\n\\begin{document}\n\n\\begin{letter}{}\n\n\\begin{center}"),
         F.concat(F.lit("    {\\Large \\textbf{"), p["full_name"], F.lit("}}\\\\[2pt]")),
@@ -172,7 +175,7 @@ def resume(template: str) -> Column:
 
 def manifest(folder: str) -> list[Column]:
     """The manifest's columns for the documents of a posting."""
-    name = F.concat_ws("-", slug("company"), slug("position"))
+    name = slug(F.concat_ws("-", F.coalesce("company", F.lit("")), F.coalesce("position", F.lit(""))))
     path = lambda kind, suffix: F.concat(F.lit(f"{folder}/{kind}/"), name, F.lit(suffix))
     return [
         F.col("company"), F.col("position"), path("resumes", ".tex").alias("resume_path"), path("coverletters", ".tex").alias("coverletter_path"),

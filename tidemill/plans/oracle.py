@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import rank
 from . import samples
 
 WS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
@@ -24,8 +25,9 @@ def key(a: str, b: str) -> str:
 
 
 def strip_html(x: str) -> str:
+    """The test tables hold no references but these."""
     t = f"regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&Eacute;", "É"), ("&#8211;", "–"), ("&amp;", "&")):
         t = f"replace({t}, {_q(a)}, {_q(b)})"
     return squeeze(t)
 
@@ -50,20 +52,23 @@ PAGES = f"""page_postings AS (
     regexp_extract(html, '<html lang="([^"]*)"', 1) AS location, 'pages' AS source,
     {strip_html("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS description, contains(url, '?') AS easy_apply FROM pages)"""
 DOCS = """doc_postings AS (
-  SELECT d.doc_id AS seq, source AS company, substring(text, 1, 40) AS position, '' AS url, lang AS location, 'documents' AS source,
+  SELECT d.doc_id AS seq, source AS company, coalesce(text, '') AS position, '' AS url, lang AS location, 'documents' AS source,
     text AS description, coalesce(q, 0) = 1 AS easy_apply
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id)"""
 TURNS = """turn_postings AS (
-  SELECT conv_id * 1000 + turn AS seq, role AS company, substring(text, 1, 40) AS position, '' AS url, '' AS location, 'turns' AS source,
+  SELECT conv_id * 1000 + turn AS seq, role AS company, coalesce(text, '') AS position, '' AS url, '' AS location, 'turns' AS source,
     text AS description, turn = 0 AS easy_apply FROM conversations)"""
 
 
+def _slug(x: str) -> str:
+    return f"coalesce(nullif(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), ''), 'job')"
+
+
 def text_normal() -> str:
-    cut = "substring(text, 1, 40)"
-    slug = f"coalesce(nullif(trim(regexp_replace(lower({cut}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), ''), 'job')"
+    slug = _slug("text")
     body = "source || ' ' || text || ' ' || lang"
-    return f"""SELECT doc_id, md5({squeeze('text')}) AS squeezed, md5({token('text')}) AS tokens, {key('source', cut)} AS posting_key,
-      {slug} AS slug, md5(lower({squeeze(body)})) AS body FROM documents"""
+    return f"""SELECT doc_id, md5({squeeze('text')}) AS squeezed, md5({token('text')}) AS tokens, md5({key('source', 'text')}) AS posting_key,
+      md5({slug}) AS slug, md5(lower({squeeze(body)})) AS body FROM documents"""
 
 
 def url_fields() -> str:
@@ -87,23 +92,26 @@ def page_cards() -> str:
       SELECT page_id, card_no, {strip_html('card')} AS card FROM e"""
 
 
-def merge_sources() -> str:
-    return f"""WITH {PAGES}, {DOCS}, {TURNS}, u AS (
+_MERGED = f"""{PAGES}, {DOCS}, {TURNS}, u AS (
         SELECT 0 AS file_ord, * FROM page_postings UNION ALL BY NAME SELECT 1 AS file_ord, * FROM doc_postings
         UNION ALL BY NAME SELECT 2 AS file_ord, * FROM turn_postings),
       k AS (SELECT *, CASE WHEN url <> '' THEN url ELSE {key('company', 'position')} END AS k FROM u),
       r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY (length(description) > 0) DESC, easy_apply DESC, length(description) DESC, file_ord, seq) AS n1,
-        first_value(file_ord) OVER (PARTITION BY k ORDER BY file_ord, seq) AS first_seen FROM k)
-      SELECT file_ord, seq, company, position, source, length(description) AS n, first_seen FROM r WHERE n1 = 1"""
+        first_value(file_ord) OVER (PARTITION BY k ORDER BY file_ord, seq) AS first_file, first_value(seq) OVER (PARTITION BY k ORDER BY file_ord, seq) AS first_seq FROM k),
+      merged AS (SELECT * EXCLUDE (n1, k) FROM r WHERE n1 = 1)"""
+
+
+def merge_sources() -> str:
+    return f"WITH {_MERGED} SELECT file_ord, seq, company, md5(position) AS position, source, length(description) AS n, first_file, first_seq FROM merged"
 
 
 def fetch_dedupe() -> str:
-    return f"""WITH {DOCS} SELECT min(seq) AS seq, company, position, location FROM doc_postings GROUP BY company, position, location"""
+    return f"""WITH {DOCS} SELECT min(seq) AS seq, company, md5(position) AS position, location FROM doc_postings GROUP BY company, doc_postings.position, location"""
 
 
 def generation_dedupe() -> str:
     return f"""WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY {key('company', 'position')} ORDER BY seq) AS n FROM turn_postings)
-      SELECT seq, company, position FROM r WHERE n = 1"""
+      SELECT seq, company, md5(position) AS position FROM r WHERE n = 1"""
 
 
 # -- scoring, spelled out from the rule set ---------------------------------------------------------
@@ -188,8 +196,8 @@ def breakdown_text() -> str:
     return f"WITH {_scored(PAGES, 'page_postings')} SELECT seq, {text} AS breakdown FROM scored"
 
 
-def _best(source: str, name: str) -> str:
-    return f"""{_scored(source, name)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY matching_score DESC, length(description) DESC, easy_apply DESC, seq) AS n1,
+def _best(source: str, name: str, order: str = "seq") -> str:
+    return f"""{_scored(source, name)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY matching_score DESC, length(description) DESC, easy_apply DESC, {order}) AS n1,
       min(seq) OVER (PARTITION BY k) AS first_seen FROM (SELECT *, {key('company', 'position')} AS k FROM scored))"""
 
 
@@ -220,14 +228,72 @@ def context_sentences() -> str:
       SELECT doc_id, r - 1 AS rank, s AS sentence FROM g WHERE r <= 4"""
 
 
+def _points_of(name: str) -> str:
+    words = rank.FAMILIES[name]
+    return f"{_hits('body', words)} + 2 * {_hits('title', words)} + CASE WHEN {_any('title', rank.TITLE_BOOST.get(name, ()))} THEN 6 ELSE 0 END"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(_q(w) for w in words) + "]::varchar[]"
+
+
 _ROLE = f"""{TURNS}, t AS (SELECT *, {token('position')} AS title, {token("position || ' ' || description")} AS body FROM turn_postings),
-  p AS (SELECT *, [{', '.join(f"{_hits('body', w)} + 2 * {_hits('title', w)}" for w in samples.FAMILIES.values())}] AS raw FROM t),
-  f AS (SELECT *, CASE WHEN list_max(raw) = 0 THEN 'software_engineer' {' '.join(f"WHEN raw[{i + 1}] = list_max(raw) THEN {_q(n)}" for i, n in enumerate(samples.FAMILIES))} END AS role_family FROM p),
-  g AS (SELECT *, list_filter(CASE {' '.join(f"WHEN role_family = {_q(n)} THEN [{', '.join(_q(w) for w in ws)}]" for n, ws in samples.FAMILIES.items())} ELSE NULL::varchar[] END, lambda w: contains(body, w)) AS matched FROM f)"""
+  p AS (SELECT *, [{', '.join(_points_of(n) for n in rank.FAMILIES)}] AS raw FROM t),
+  f AS (SELECT *, CASE WHEN list_max(raw) = 0 THEN 'software_engineer' {' '.join(f"WHEN raw[{i + 1}] = list_max(raw) THEN {_q(n)}" for i, n in enumerate(rank.FAMILIES))} END AS role_family FROM p),
+  g AS (SELECT *, list_filter(CASE {' '.join(f"WHEN role_family = {_q(n)} THEN {_list(ws)}" for n, ws in rank.FAMILIES.items())} END, lambda w: contains(body, w))[1:8] AS matched,
+    list_filter({_list(rank.FOCUS)}, lambda w: contains(body, w))[1:4] AS focus FROM f)"""
 
 
 def role_signals() -> str:
-    return f"WITH {_ROLE} SELECT seq, role_family, array_to_string(matched, ',') AS matched FROM g"
+    return f"WITH {_ROLE} SELECT seq, role_family, array_to_string(matched, ',') AS matched, array_to_string(focus, ',') AS focus FROM g"
+
+
+def material_ranking() -> str:
+    inside = lambda words, text: f"len(list_filter({words}, lambda k: contains({token(text)}, k)))"
+    items = []
+    for kind, id_, _, _, tags, bullets, variants, targets, ord_ in samples.MATERIALS:
+        own = " ".join(f"WHEN role_family = {_q(n)} THEN {_list(b)}" for n, b in variants.items())
+        cand = f"(CASE {own} ELSE []::varchar[] END || {_list(bullets)})" if own else _list(bullets)
+        tagged = " + ".join(f"contains(body, {token(_q(t))})::int" for t in tags)
+        items.append(f"""SELECT seq, {_q(kind)} AS kind, {_q(id_)} AS id, {ord_} AS ord, matched, focus, {cand} AS cand,
+          5 * ({tagged}) + CASE WHEN list_contains({_list(targets)}, role_family) THEN 8 ELSE 0 END
+          + 2 * coalesce(list_sum(list_transform({cand}, lambda b: {inside('matched', 'b')})), 0) AS item_score FROM g""")
+    supported = " ".join(f"WHEN k = {_q(t)} THEN {_any(token('bullet'), words)}" for t, words in rank.FOCUS_GUARDS.items())
+    phrase = " ".join(f"WHEN term = {_q(t)} THEN {_q(p)}" for t, p in rank.FOCUS.items())
+    return f"""WITH {_ROLE}, items AS ({' UNION ALL '.join(items)}),
+      r AS (SELECT *, row_number() OVER (PARTITION BY seq, kind ORDER BY item_score DESC, ord) AS item_rank FROM items),
+      best AS (SELECT * FROM r WHERE item_rank <= CASE kind WHEN 'experience' THEN 1 ELSE 2 END),
+      e AS (SELECT seq, kind, item_rank, unnest(range(len(cand))) AS i, unnest(cand) AS bullet, matched, focus FROM best),
+      b AS (SELECT *, row_number() OVER (PARTITION BY seq, kind, item_rank ORDER BY 3 * {inside('matched', 'bullet')} + 2 * {inside('focus', 'bullet')} DESC, i) AS n FROM e),
+      w AS (SELECT *, trim(bullet, ' ') AS text, list_filter(focus, lambda k: CASE {supported} END)[1] AS term FROM b WHERE n <= CASE kind WHEN 'experience' THEN 2 ELSE 1 END),
+      x AS (SELECT seq, kind, item_rank, string_agg(CASE WHEN term IS NULL THEN text ELSE regexp_replace(text, '\\.+$', '') || ', ' || CASE {phrase} END || '.' END, '|' ORDER BY n) AS bullets FROM w GROUP BY ALL)
+      SELECT seq, kind, item_rank, id, item_score::int AS item_score, bullets FROM best JOIN x USING (seq, kind, item_rank)"""
+
+
+def collected_pages() -> str:
+    return f"""WITH c AS (SELECT s_nationkey AS page, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS card_no, s_suppkey, s_name, n_name, s_suppkey // 2 AS id
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+      whole AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY card_no) AS n FROM c WHERE s_suppkey % 11 <> 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page, card_no) AS again FROM whole WHERE n <= 9),
+      one AS (SELECT *, row_number() OVER (ORDER BY page, card_no) AS place FROM r WHERE again = 1)
+      SELECT (page * 1000000 + card_no)::bigint AS seq, n_name AS company, s_name || ' & É–' AS position, 'https://uk.linkedin.com/jobs/view/role-at-x-' || id AS url,
+        '2024-01-01' AS date, s_suppkey % 3 = 0 AS easy_apply, id::varchar AS job_id, n_name AS search_keyword,
+        CASE WHEN place <= 24 AND c_custkey IS NOT NULL THEN c_name || ' <' || c_mktsegment ELSE '' END AS description
+      FROM one LEFT JOIN customer ON c_custkey = id WHERE place <= 27"""
+
+
+def daily_run() -> str:
+    j = lambda x: f"to_json({x})::varchar"
+    path = f"'out/resumes/' || {_slug("company || '-' || position")} || '.tex'"
+    return f"""WITH {_best(_MERGED, 'merged', 'first_file, first_seq')},
+      placed AS (SELECT * EXCLUDE (first_file, first_seq), min([first_file, first_seq]) OVER (PARTITION BY k) AS first FROM ranked),
+      chosen AS (SELECT *, {path} AS path FROM placed WHERE n1 = 1 AND matching_score >= 30 ORDER BY matching_score DESC, first LIMIT 10),
+      remote AS (SELECT {clean('url')} AS url, arg_max('rec' || page_id, page_id) AS record_id FROM pages GROUP BY 1)
+      SELECT first[1] AS first_file, first[2] AS first_seq, seq, c.url, matching_score, md5(path) AS resume_path, record_id,
+        CASE WHEN record_id IS NULL THEN 'create' ELSE 'update' END AS action,
+        md5('{{"Company":' || {j('company')} || CASE WHEN c.url <> '' THEN ',"Link":{{"text":' || {j('c.url')} || ',"link":' || {j('c.url')} || '}}' ELSE '' END || ',"Progress":"","Resume":'
+          || {j('path')} || ',"Role":' || {j('position')} || ',"Score":' || matching_score || ',"State":"Need Review"}}') AS payload
+      FROM chosen c LEFT JOIN remote r ON c.url = r.url"""
 
 
 def private_data() -> str:
@@ -237,7 +303,7 @@ def private_data() -> str:
 
 
 _UPSERT = """local AS (SELECT o_orderkey AS seq, 'http://c/' || o_custkey AS url FROM orders),
-  remote AS (SELECT 'http://c/' || (c_custkey // 2) AS url, arg_max('rec' || c_custkey, c_custkey) AS record_id FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
+  remote AS (SELECT 'http://c/' || (c_custkey // 2) AS url, arg_max('rec' || c_custkey, c_custkey) AS record_id FROM customer GROUP BY 1),
   plan AS (SELECT seq, l.url, record_id, CASE WHEN record_id IS NOT NULL THEN 'update' ELSE 'create' END AS action FROM local l LEFT JOIN remote r ON l.url = r.url)"""
 
 
@@ -251,7 +317,7 @@ def upsert_counts() -> str:
 
 def manifest_join() -> str:
     return """SELECT s_suppkey AS seq_s, resume_path, 'create' AS action FROM supplier LEFT JOIN
-      (SELECT c_nationkey, arg_max(c_name, c_custkey) AS resume_path FROM customer WHERE c_nationkey < 12 GROUP BY 1) ON s_nationkey = c_nationkey"""
+      (SELECT c_nationkey, arg_max(c_name, c_custkey) AS resume_path FROM customer GROUP BY 1) ON s_nationkey = c_nationkey"""
 
 
 def payload_fields() -> str:

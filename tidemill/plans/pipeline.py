@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import best_scored, keep_first, merge_sources, union_all
+from ..functions.text import posting_key
+from ..operators.dedupe import best_scored, keep_best, keep_first, merge_sources, union_all
 from ..operators.rank import rank_materials, with_signals
 from ..operators.scoring import reject_reason, score, with_texts
+from ..operators.sync import assemble, payload, plan_upserts, records
 from ..rules import Rules
+from ..sources.files import write_json, write_named_texts
 from .documents import letter, manifest, resume, sections, skills_section
 
 #: Defaults: fixed values.
 TOP_K, MIN_SCORE, DOCUMENT_SCORE = 10, 70, 60
-LIMITS = ({"experience": 4, "project": 3}, {"experience": 1, "project": 3})
+EXPERIENCES = 1
+#: Limits of the attempts at documents of one page each, tried in this order.
+ATTEMPTS = (
+    {"experience_bullets": 4, "project_bullets": 3, "projects": 3, "skills": 12, "compact": False},
+    {"experience_bullets": 3, "project_bullets": 3, "projects": 3, "skills": 10, "compact": False},
+    {"experience_bullets": 3, "project_bullets": 2, "projects": 3, "skills": 9, "compact": True},
+    {"experience_bullets": 2, "project_bullets": 2, "projects": 2, "skills": 8, "compact": True},
+)
 
 
 def merge(*sources: DataFrame) -> DataFrame:
@@ -40,30 +51,101 @@ def shortlist(postings: DataFrame, rules: Rules, min_score: int = MIN_SCORE, k:
     return best.where(F.col("matching_score") >= min_score).orderBy(F.desc("matching_score"), "first_seen").limit(k or TOP_K)
 
 
+def _place() -> Column:
+    """A key that is unique over several sources, which may use the same seq: the place in first-seen order."""
+    return F.to_json(F.struct("first_seen"))
+
+
 def tailor(
     chosen: DataFrame, materials: DataFrame, skills: dict[str, list[str]], snippets: dict[str, list[str]], profile: dict[str, str],
-    template: str, folder: str, min_score: int = DOCUMENT_SCORE, compact: bool = False,
+    template: str, folder: str, min_score: int = DOCUMENT_SCORE, attempt: int = 0, internship: str = "internship",
 ) -> DataFrame:
-    """Résumé and letter text and the manifest's columns per posting with min_score or more."""
-    from ..functions.text import posting_key
-
+    """Résumé and letter text and the manifest's columns per posting with min_score or more, within the limits of one attempt."""
+    limits = ATTEMPTS[attempt]
     one = keep_first(chosen.where(F.col("matching_score") >= min_score), [posting_key("company", "position")])
-    signals = with_signals(one)
-    ranked = rank_materials(signals, materials, LIMITS[1], LIMITS[0])
-    whole = signals.join(sections(ranked), "seq").withColumn("skills_section", skills_section(skills))
-    return whole.select(*manifest(folder), resume(template).alias("resume"), letter(snippets, profile, compact).alias("letter"), "seq")
+    signals = with_signals(one.withColumn("place", _place()))
+    bullets = {"experience": limits["experience_bullets"], "project": limits["project_bullets"]}
+    ranked = rank_materials(signals, materials, {"experience": EXPERIENCES, "project": limits["projects"]}, bullets, "place")
+    whole = signals.join(sections(ranked, "place"), "place").withColumn("skills_section", skills_section(skills, limits["skills"]))
+    texts = resume(template).alias("resume"), letter(snippets, profile, limits["compact"], internship).alias("letter")
+    return whole.select(*manifest(folder), *texts, "seq")
+
+
+def tailor_to_fit(fits: Callable[[DataFrame], Column], *args, **kwargs) -> DataFrame:
+    """`tailor` by the first attempt whose texts fit, else by the last, with its number as `attempt`.
+
+    fits: from the table of one attempt to a condition on its resume and letter, say on the pages that a
+    compiler counts in them.
+    """
+    tried = None
+    for k in range(len(ATTEMPTS)):
+        made = tailor(*args, **kwargs, attempt=k)
+        made = made.withColumns({"attempt": F.lit(k), "fit": F.when(fits(made), 2).when(F.lit(k == len(ATTEMPTS) - 1), 1).otherwise(0)})
+        tried = made if tried is None else tried.unionByName(made)
+    return keep_best(tried, ["company", "position"], [F.col("fit")], ("attempt",)).drop("fit", "first_seen")
+
+
+def write_documents(made: DataFrame, folder: str) -> None:
+    """Each résumé and letter under its path, and the manifest as JSON beside them."""
+    texts = made.select(F.explode(F.array(
+        F.struct(F.col("resume_path").alias("path"), F.col("resume").alias("text")),
+        F.struct(F.col("coverletter_path").alias("path"), F.col("letter").alias("text")),
+    )).alias("d")).select("d.*")
+    write_named_texts(texts)
+    write_json(made.drop("resume", "letter", "seq", "attempt"), f"{folder}/generated_manifest")
 
 
 def guarded(action: Callable[[], object], alert: Callable[[str, str], object]):
-    """Run an action; on failure send one alert and raise the error again."""
+    """Run an action; on failure send one alert and raise the error again, also if the alert fails too."""
     try:
         return action()
     except Exception as error:
-        alert(type(error).__name__, str(error))
+        try:
+            alert(type(error).__name__, str(error))
+        except Exception as second:
+            error.add_note(f"the alert failed: {second!r}")
         raise
 
 
+#: The source where the settings name none: a fixed value.
+DEFAULT_SOURCE = "linkedin"
+
+
 def chosen_sources(search: dict) -> set[str]:
-    """The configured set of sources, else the single one."""
-    many = search.get("sources") or []
-    return {str(s) for s in many} or {str(search.get("source", ""))} - {""}
+    """The configured set of sources, else the single one, else the default; an empty single one is none."""
+    many = {str(s) for s in search.get("sources") or []}
+    return many or {str(search.get("source", DEFAULT_SOURCE)).strip()} - {""}
+
+
+@dataclass(frozen=True)
+class Run:
+    """What one run of the stages gives: all lazy but for what the sizes of small sides are checked by."""
+
+    merged: DataFrame
+    chosen: DataFrame
+    documents: DataFrame
+    plan: DataFrame
+
+
+def run(
+    sources: Sequence[DataFrame], rules: Rules, materials: DataFrame, remote: DataFrame, *, skills: dict[str, list[str]], snippets: dict[str, list[str]],
+    profile: dict[str, str], template: str, folder: str, min_score: int = MIN_SCORE, k: int = 0, document_score: int | None = None,
+    fields: dict[str, str] | None = None, definitions: DataFrame | None = None, internship: str = "internship",
+) -> Run:
+    """The stages one after another: merge the sources, score and shortlist, tailor documents, plan the upserts.
+
+    sources: postings with seq, in order of precedence among equals, as `collect` and `read_lines` give
+    them. remote: (url, record_id), as `sync.remote_lookup` gives it. With fields and definitions the plan
+    has the payload of each row, ready for `remote.apply_upserts`.
+    """
+    merged = merge(*sources)
+    chosen = shortlist(merged, rules, min_score, k)
+    made = tailor(chosen, materials, skills, snippets, profile, template, folder, min_score if document_score is None else document_score, internship=internship)
+    paths = made.select("company", "position", "seq", "resume_path", "coverletter_path", "selected_projects")
+    plan = plan_upserts(chosen, remote, paths)
+    if fields is not None and definitions is not None:
+        # two sources may use the same seq, so rows are keyed by their place
+        keyed = plan.withColumn("place", _place())
+        shaped = payload(assemble(keyed, fields, key="place"), definitions, fields.get("score_breakdown", ""))
+        plan = keyed.join(records(shaped, "place"), "place").drop("place")
+    return Run(merged, chosen, made, plan)

@@ -149,19 +149,19 @@ def rules() -> Rules:
     return build(parse(RULES_TEXT.replace("[ ]", "[]")))
 
 
-FAMILIES = {
-    "english": ("the", "tion", "that", "with"),
-    "german": ("der", "und", "die", "sch"),
-    "romance": ("de", "la", "que", "ment"),
-}
+#: Our names of values -> remote fields.
+FIELDS = {
+    "company": "Company", "position": "Role", "url": "Link", "status": "State", "progress": "Progress", "matching_score": "Score",
+    "score_breakdown": "Breakdown", "resume_draft": "Resume",
+}
 CONTEXT = ("the", "ing", "der", "que")
 HIGH_VALUE = ("ing", "that")
 BANNED = ("idiot", "zz top")
 #: (kind, id, name, title, tags, bullets, bullet_variants, role_targets, ord)
 MATERIALS = [
-    ("experience", "e1", "Mill", "Miller", ["the", "ing"], ["Ground the grain with that wheel.", "Kept the race clear"], {"german": ["Und die Räder"]}, ["english"], 0),
-    ("experience", "e2", "Weir", "Keeper", ["der", "sch"], ["Held und raised die gates..."], {}, ["german"], 1),
-    ("project", "p1", "Sluice", None, ["tion", "la"], ["Motion with that lock.", "No words"], {"romance": ["La roue que tourne"]}, ["english", "romance"], 0),
-    ("project", "p2", "Race", None, ["que"], ["Le ciment"], {}, ["romance"], 1),
-    ("project", "p3", "Dam", None, ["zz"], ["Plain"], {}, [], 2),
+    ("experience", "e1", "Mill", "Miller", ["the", "ing"], ["Ground the grain with that api.", "Kept the race clear; no data lost"], {"data_scientist": ["Und die sql Räder ..."]}, ["ai_engineer"], 0),
+    ("experience", "e2", "Weir", "Keeper", ["der", "sch"], ["Held und raised the backend gates...", "Said so again"], {}, ["data_scientist"], 1),
+    ("project", "p1", "Sluice", None, ["tion", "la"], ["Motion with that module and vision.", "No words", "Rag, rag and a report of it"], {"robotics_engineer": ["La vision que tourne, testing"]}, ["ai_engineer", "robotics_engineer"], 0),
+    ("project", "p2", "Race", None, ["que"], ["Le ciment api docker"], {}, ["software_engineer"], 1),
+    ("project", "p3", "Dam", None, ["zz"], ["Plain data"], {}, [], 2),
 ]

@@ -181,6 +181,9 @@ def build(config: dict) -> Rules:
     )
 
 
-def load(path: str, comment_mode: str = "yaml") -> Rules:
+def load(path: str, comment_mode: str = "yaml", spark=None) -> Rules:
+    """Rules from a file of this machine or, with a session, of any file system that Spark reads."""
+    if spark is not None:
+        return build(parse(spark.read.text(path, wholetext=True).first()["value"], comment_mode))
     with open(path, encoding="utf-8") as f:
         return build(parse(f.read(), comment_mode))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,19 @@ def write_lines(df: DataFrame, path: str, seq: str = "seq") -> None:
     df.orderBy(seq).select(normal_line().alias("value")).write.mode("overwrite").text(path)
 
 
+def write_named_texts(rows: DataFrame, path: str = "path", text: str = "text") -> None:
+    """Each row's text under its own path (a URI); a task that runs again writes the same files again."""
+
+    def write(part) -> None:
+        for row in part:
+            system, where = fs.FileSystem.from_uri(row[0].replace("s3a://", "s3://", 1))
+            system.create_dir(where.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(where) as out:
+                out.write((row[1] or "").encode())
+
+    rows.select(path, text).foreachPartition(write)
+
+
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the text files below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

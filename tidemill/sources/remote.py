@@ -6,15 +6,20 @@ option, so that tests and queries run against local fakes and only a deployment
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import json
 import time
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.extract import BLOCKED
+
 PAGE_SIZE = 500
 
 
@@ -32,9 +37,10 @@ class _Query(InputPartition):
 class SearchPages(DataSource):
     """One partition per region and title, region outermost; an empty region list is one placeholder.
 
-    Options: fetcher ("module:attribute", called with title, region, hours, limit, giving the page),
-    regions and titles (JSON arrays), hours, limit, pause (seconds between attempts), attempts.
-    A query that keeps failing gives no row, and the others go on.
+    Options: fetcher ("module:attribute", called with the layout and the request's parameters, giving the
+    page), layout (1 or 2), regions and titles (JSON arrays), hours, pause (seconds between attempts),
+    attempts. A query that keeps failing, or whose page refuses the request, gives no row, and the others
+    go on.
     """
 
     @classmethod
@@ -59,13 +65,16 @@ class _SearchReader(DataSourceReader):
 
     def read(self, partition: _Query) -> Iterator[tuple]:
         fetch = named(self.options["fetcher"])
-        hours, limit = int(self.options.get("hours", 24)), int(self.options.get("limit", 25))
+        layout, hours = int(self.options.get("layout", 1)), int(self.options.get("hours", 24))
+        asked = request(layout, partition.title, partition.region, hours)
         for attempt in range(int(self.options.get("attempts", 1))):
             if attempt:
                 time.sleep(float(self.options.get("pause", 0)))
             try:
-                page = fetch(partition.title, partition.region, hours, limit)
-            except OSError:
+                page = fetch(layout, asked)
+                if layout == 2:
+                    refuse_blocked(page)
+            except (OSError, Blocked):
                 continue
             yield partition.seq, partition.region, partition.title, page
             return
@@ -76,6 +85,70 @@ def recency(hours: int, layout: int) -> str:
     return f"r{hours * 3600}" if layout == 1 else str(max(1, hours // 24))
 
 
+def request(layout: int, title: str, region: str, hours: int) -> dict[str, str]:
+    """The parameters of a search, newest first."""
+    if layout == 1:
+        return {"keywords": title, "location": region, "f_TPR": recency(hours, 1), "sortBy": "DD", "start": "0"}
+    return {"q": title, "l": region, "fromage": recency(hours, 2), "sort": "date"}
+
+
+class Blocked(RuntimeError):
+    """The site answered with a page that refuses the request."""
+
+
+def refuse_blocked(page: str) -> None:
+    low = page.lower()
+    if any(mark in low for mark in BLOCKED):
+        raise Blocked("the search page refuses the request")
+
+
+def fetch_details(rows: DataFrame, fetcher: str, layout: int, n: int) -> DataFrame:
+    """(job_id, html): the detail pages of the first n rows by seq and card_no that have an identifier.
+
+    fetcher: "module:attribute", called with the layout and the identifier; one that fails gives no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = named(fetcher)
+        for b in batches:
+            found = []
+            for job_id in b.column(0).to_pylist():
+                try:
+                    found.append({"job_id": job_id, "html": fetch(layout, job_id)})
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("job_id", pa.string()), ("html", pa.string())]))
+
+    first = rows.orderBy("seq", "card_no").limit(n).where("job_id <> ''").select("job_id").distinct()
+    return first.mapInArrow(run, "job_id string, html string")
+
+
+class RemoteFields(DataSource):
+    """The field definitions of a remote table: (field, ui_type).
+
+    Option client: "module:attribute", called without arguments, giving {"items": [{"field_name", "ui_type"}]}.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "remote_fields"
+
+    def schema(self) -> str:
+        return "field string, ui_type string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _FieldReader(self.options)
+
+
+class _FieldReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def read(self, partition) -> Iterator[tuple]:
+        last = {item["field_name"]: item.get("ui_type") for item in named(self.options["client"])().get("items", [])}
+        yield from last.items()
+
+
 class RemoteRecords(DataSource):
     """All records of a remote table, page after page: (seq, record_id, fields as JSON).
 
@@ -113,27 +186,30 @@ class _RecordReader(DataSourceReader):
 def apply_upserts(plan: DataFrame, sender: str, dry_run: bool = True) -> DataFrame:
     """Send (action, record_id, payload) rows to sender; (action, n) of what was, or would be, done.
 
-    sender: "module:attribute", called with action, record_id and payload. Actions are keyed by
-    record or address on the remote side, so that a repeated task repeats no effect.
+    sender: "module:attribute", called with action, record_id, payload and a key. The key is a digest of
+    the row and the same in every attempt: the sender passes it on as the request's idempotency key, so
+    that a task that runs again creates nothing twice.
     """
     if not dry_run:
-        plan.select("action", "record_id", "payload").foreachPartition(lambda rows: _send(rows, sender))
+        key = F.sha2(F.to_json(F.struct("action", "record_id", "payload")), 256)
+        plan.select("action", "record_id", "payload", key.alias("key")).foreachPartition(lambda rows: _send(rows, sender))
     return plan.groupBy("action").count().withColumnRenamed("count", "n")
 
 
 def _send(rows, sender: str) -> None:
     send = named(sender)
     for row in rows:
-        send(row["action"], row["record_id"], row["payload"])
+        send(row["action"], row["record_id"], row["payload"], row["key"])
 
 
 def alert(summary: str, details: str, sender: str) -> dict:
     """One alert row: details cut to 120 characters, score 0."""
     row = {"summary": summary, "details": details[:120], "matching_score": 0}
-    named(sender)("create", None, json.dumps(row))
+    payload = json.dumps(row)
+    named(sender)("create", None, payload, hashlib.sha256(payload.encode()).hexdigest())
     return row
 
 
 def register(spark) -> None:
-    for source in (SearchPages, RemoteRecords):
+    for source in (SearchPages, RemoteRecords, RemoteFields):
         spark.dataSource.register(source)

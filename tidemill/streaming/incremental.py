@@ -4,27 +4,42 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedupe import merge_sources
 from ..sources.files import path_exists
 
 
+def latest(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest version that was written to its end, or None before the first."""
+    versions = sorted(int(p.rpartition("/v")[2]) for p in finished(spark, target))
+    return spark.read.parquet(f"{target}/v{versions[-1]}") if versions else None
+
+
+def finished(spark: SparkSession, target: str) -> list[str]:
+    """The folders of the versions that were written to their end."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [f.getPath().getParent().toString() for f in found or ()]
+
+
 def keep_merged(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Fold each micro-batch of postings (with seq) into the merged table under target.
 
-    Each version is a folder of its own, named by its batch, and a pointer file names the current one;
-    a batch that is run again writes the same version again, so the result is the same.
+    Each version is a folder of its own, named by its batch; `latest` reads the newest. A batch that is
+    run again starts from the version before it and writes the same version again, so the result is the
+    same. A batch whose earlier version is gone fails rather than start without the history.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{target}/v{batch_id - 1}"
-        whole = batch
-        if batch_id > 0 and path_exists(spark, before):
-            old = spark.read.parquet(before)
-            whole = old.drop("first_seen").unionByName(batch)
+        spark, whole = batch.sparkSession, batch
+        if batch_id > 0:
+            before = f"{target}/v{batch_id - 1}"
+            if not path_exists(spark, f"{before}/_SUCCESS"):
+                raise FileNotFoundError(f"the version before batch {batch_id} is missing: {before}")
+            whole = spark.read.parquet(before).drop("first_seen").unionByName(batch)
         merge_sources(whole).write.mode("overwrite").parquet(f"{target}/v{batch_id}")
 
     return (
