@@ -200,6 +200,48 @@ def test_sharding(spark, hard_docs, hard_rows, no_docs, shards):
     assert sharding.shard_documents(no_docs, shards).count() == 0
 
 
+def plain_shards(groups, shards):
+    """groups: key -> bytes. key -> shard: the least capacity, then cuts as near to even spacing as it allows."""
+    keys = sorted(groups)
+    ends = [0]
+    for k in keys:
+        ends.append(ends[-1] + groups[k])
+    total = ends[-1]
+
+    def fits(capacity):
+        at = 0
+        for _ in range(shards):
+            at = max(e for e in ends if e <= at + capacity)
+        return at == total
+
+    low, high = 1, max(1, total)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    rest = [total]  # from each cut on, the earliest boundary from which the remaining shards suffice
+    for _ in range(shards - 1):
+        rest.append(min(e for e in ends if e >= rest[-1] - low))
+    at, cuts = 0, []
+    for j in range(1, shards):
+        open_ = [e for e in ends if max(at, rest[shards - j]) <= e <= at + low]
+        at = min(open_, key=lambda e: (abs(e - j * total / shards), e))
+        cuts.append(at)
+    return {k: sum(c <= ends[i] for c in cuts) for i, k in enumerate(keys)}
+
+
+@pytest.mark.parametrize("shards", [3, 40])
+def test_shards_equal_plain_version(spark, documents, texts, hard_docs, hard_rows, shards):
+    for docs, rows in ((documents, texts), (hard_docs, hard_rows)):
+        key = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+        keys = {r.text or "": r.key for r in docs.select("text", key.alias("key")).collect()}
+        groups = collections.Counter()
+        for _, t in rows:
+            groups[keys[t or ""]] += len((t or "").encode()) + 16
+        want = plain_shards(groups, shards)
+        got = collections.Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.shard_documents(docs, shards).collect())
+        assert got == collections.Counter((i, zlib.crc32((t or "").encode()), want[keys[t or ""]]) for i, t in rows)
+
+
 def test_sharding_capacity_is_minimal(spark):
     r = random.Random(3)
     sizes = [r.randint(1, 1000) for _ in range(3000)]

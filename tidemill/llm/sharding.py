@@ -11,7 +11,8 @@ memory does not depend on the number of documents.
 
 Defined cases: a null text counts as the empty text (16 bytes); rows with a null or repeated doc_id
 keep their own rows; two texts with the same hash count as one group; with fewer groups than shards
-some shards stay empty; an empty table gives an empty result.
+some shards stay empty; doc_id may be of any type and other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -125,8 +126,8 @@ def shard_cuts(groups: DataFrame, shards: int = SHARDS) -> list[int]:
         spans = sorted({(a[0], a[1]) for a in open_})
         finer = []
         for width in sorted({w for _, w in spans}):
-            wanted = groups.sparkSession.createDataFrame([(s,) for s, w in spans if w == width], "open long")
-            part = groups.join(F.broadcast(wanted), F.shiftleft(F.shiftright("key", width), width) == F.col("open"), "left_semi")
+            # a few ranges per shard, as literals
+            part = groups.where(F.shiftleft(F.shiftright("key", width), width).isin([s for s, w in spans if w == width]))
             below = max(0, width - _STEP)
             finer += [(r.start, below, r.bytes, r.groups, r.largest) for r in _sums(part, below).toLocalIterator()]
         gone = set(spans)
