@@ -7,12 +7,23 @@ from tests.llm import brute
 from tidemill.llm import chunking, queries
 
 
+def plain_cut(data, least=chunking.LEAST, most=chunking.MOST, bits=chunking.BITS):
+    """Chunk ends, byte by byte: the hash of the 32 bytes before a place, however far the chunk's start is."""
+    gear, h, start, out = [int(g) for g in chunking._GEAR], 0, 0, []
+    for k, byte in enumerate(data, 1):
+        h = (h << 1) + gear[byte] & 0xFFFFFFFF
+        if k - start >= most or k - start >= least and h >> 32 - bits == 0 and len(data) - start > least:
+            out.append(k)
+            start = k
+    return out if start == len(data) else [*out, len(data)]
+
+
 def plain(rows):
     """(order, text) -> (bytes, removed, digest), chunk by chunk; equal orders are one document."""
     first, cuts = {}, {}
     for o, text in rows:
         b = text.encode()
-        ends = chunking.cut(chunking.cut_places(b).tolist(), 0, len(b))
+        ends = plain_cut(b)
         cuts[o] = [(a, e) for a, e in zip([0, *ends], ends)]
         for a, e in cuts[o]:
             first[b[a:e]] = min(first.get(b[a:e], (o, a)), (o, a))
@@ -33,6 +44,9 @@ def test_cuts_resist_insertions():
     assert ends[-1] == len(text) and len(again & set(ends)) > 0.97 * len(ends)
     sizes = [b - a for a, b in zip([0, *ends], ends)]
     assert all(chunking.LEAST <= s <= chunking.MOST for s in sizes[:-1])
+    for n in (0, 1, chunking.LEAST, chunking.LEAST + 1, chunking.MOST, 5000):
+        assert chunking.cut(chunking.cut_places(text[:n]).tolist(), 0, n) == plain_cut(text[:n])
+    assert chunking.cut(chunking.cut_places(b"a" * 900).tolist(), 0, 900) == plain_cut(b"a" * 900)
 
 
 def test_chunks_equal_plain_version(spark, documents, texts):
@@ -52,7 +66,7 @@ def test_chunks_hard_rows(spark, hard_docs, hard_rows, no_docs):
 
 def test_query_removes_exact_copies_whole(spark, tmp_path):
     r = random.Random(5)
-    texts = ["x", "short text", "a" * 39, "é" * 20, *("".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(30, 420, 7))]
+    texts = ["x", "short text", "a" * 39, "a" * 79, "é" * 20, *("".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(30, 420, 7))]
     rows = [(k * 1000 + i, t) for k in range(3) for i, t in enumerate(texts)]
     rows += [(5000 + i, t + " and more of it") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
