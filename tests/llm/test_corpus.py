@@ -101,6 +101,18 @@ def test_documents_form_regions_by_the_usual_parameters(spark, monkeypatch):
     assert jaccard.jaccard_join(docs).count() == 1000 and sizes and sizes[0] > 0
 
 
+def test_membership_filter(spark, monkeypatch):
+    from tidemill.llm import sketch
+
+    ids = spark.range(0, 100_000, 7).select(F.col("id").alias("ord"))
+    wanted = sketch.membership_filter(ids)
+    rows = spark.range(100_000).where(wanted(F.col("id"))).select(F.count_if(F.col("id") % 7 == 0).alias("a"), F.count(F.lit(1)).alias("b")).first()
+    assert rows.a == ids.count() and rows.b < 2 * rows.a
+    assert spark.range(10).where(sketch.membership_filter(ids.limit(0))(F.col("id"))).count() == 0
+    monkeypatch.setattr(sketch, "MOST_BYTES", 1 << 12)
+    assert spark.range(10).where(sketch.membership_filter(ids)(F.col("id"))).count() == 10
+
+
 def test_parity_is_a_lower_bound():
     import numpy as np
 
