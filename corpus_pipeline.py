@@ -1,6 +1,11 @@
 """The training-data pipeline: documents in, encoded documents out.
 
 Every stage works on all rows the one before it kept; all but the last return the columns of documents.
+
+Defined cases, of every stage: an empty table gives an empty one of the same columns; null or empty texts
+fail the quality rules, are no near-duplicates, hold no benchmark passage and no secret, and have no
+tokens; a null doc_id is kept as it is; repeated rows are judged one by one, and of linked ones the first
+stays; columns beyond those of documents are passed on by all stages but the last.
 """
 
 from __future__ import annotations
