@@ -9,16 +9,17 @@ known by 128 bits, are one point.
    other, so only points that share such a shingle need to meet. The points of one shingle are a cell;
    cells of up to LEAF points, most of all, are compared pair by pair: sizes, the places of the shared
    shingle and parity bitmaps rule most pairs out, the rest are checked on the texts.
-2. Pivots. In every larger cell PIVOTS points become pivots, and their distances to the cell's points are
-   measured, as far as bitmaps do not show that they exceed 2r. A point within r of a pivot belongs to the
-   Voronoi region of its nearest one. Where the farthest point of a region lies R from its pivot, a
-   document that may link with one of the region is, by the triangle inequality, within R + r of the pivot:
-   all documents of that window are replicated to the region. Points near no pivot are the rest.
+2. Pivots. Every point of the larger cells meets one point that many of its cells agree on; cells that
+   this connects throughout are finished. In every other PIVOTS points become pivots, and their distances to
+   the cell's points are measured, as far as they may be within 2r and matter. A point within r of a pivot
+   belongs to the Voronoi region of its nearest one. Where the farthest point of a region lies R from its
+   pivot, a document that may link with one of the region is, by the triangle inequality, within R + r of
+   the pivot: all documents of that window are replicated to the region. Points near no pivot are the rest.
 3. Recursion. A region or rest whose points are all connected by the links found so far is finished. In the
    others points of the largest connected group stay only where some point of another group may reach
-   them. What has up to BLOCK points is joined at once; what has more becomes a cell of its own, with
-   pivots from outside the largest group, as long as it gets smaller. A cell that does not is joined block
-   against block. Every pair of linked points meets in some cell or is connected through pivots, so the
+   them. What has more than BLOCK points becomes a cell of its own, with pivots from outside the largest
+   group, as long as it gets smaller. The pairs of what has up to PAIRED points are checked like those of
+   step 1, each once over all cells; the rest is joined in blocks of BLOCK points. Every pair of linked points meets in some cell or is connected through pivots, so the
    components are exact.
 4. Links become components by rounds of contraction.
 
@@ -52,6 +53,8 @@ PAGE_ENTRIES = 300_000
 #: Characters of text whose sets are held at once when pairs are measured.
 MEASURED = 1 << 20
 BLOCK = 256
+#: Points of the largest cell whose pairs are checked one by one at the end, each pair once over all cells.
+PAIRED = 48
 #: A cell is split further while its parts have at most this share of its points.
 SHRINK = 0.75
 #: Rows of pivots that may be broadcast.
@@ -117,8 +120,8 @@ def links(common: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """One bit per cell, of about as many cells as tokens: whether an odd number of tokens fall there."""
-    cells_ = 1 << max(6, int(len(tokens) - 1).bit_length())
+    """One bit per cell, of two to four times as many cells as tokens: whether an odd number of tokens fall there."""
+    cells_ = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
     counts = np.bincount((tokens & U64(cells_ - 1)).astype(np.int64), minlength=cells_)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -223,9 +226,9 @@ def _regions(threshold: int):
         for size in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):
             pairs += leaf_pairs(page, starts[sizes == size], int(size))
         pairs = np.unique(np.concatenate(pairs), axis=0)
-        yield pd.DataFrame({"kind": 1, "cell": 0, "a": [x.tobytes() for x in pairs[:, :2]], "b": [x.tobytes() for x in pairs[:, 2:]]})
+        yield pd.DataFrame({"kind": 1, "cell": 0, "place": 0, "a": [x.tobytes() for x in pairs[:, :2]], "b": [x.tobytes() for x in pairs[:, 2:]]})
         rest = page[np.repeat(sizes > LEAF, sizes)]
-        yield pd.DataFrame({"kind": 2, "cell": rest["token"].view(np.int64), "a": [x.tobytes() for x in rest["key"]], "b": None})
+        yield pd.DataFrame({"kind": 2, "cell": rest["token"].view(np.int64), "place": rest["place"].astype(np.int64), "a": [x.tobytes() for x in rest["key"]], "b": None})
 
     return run
 
@@ -346,7 +349,7 @@ def _pivots(cells_: DataFrame, level: int) -> DataFrame:
 
 
 def _regions_of(cells_: DataFrame, pivots: DataFrame, measured: DataFrame, radius: int) -> DataFrame:
-    """(cell, key, away, parent): the Voronoi regions of all cells with their windows, and the rests.
+    """(cell, key, place, away, parent): the Voronoi regions of all cells with their windows, and the rests.
 
     away: the distance to the region's pivot, null in a rest. Distances are rounded down, so windows are
     wider by two thousandths.
@@ -354,20 +357,20 @@ def _regions_of(cells_: DataFrame, pivots: DataFrame, measured: DataFrame, radiu
     known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance", "linked").unionByName(
         pivots.select("pivot", F.col("pivot").alias("key"), F.lit(0).cast("long").alias("distance"), F.lit(True).alias("linked")).distinct()
     )
-    near = cells_.select("cell", "key").join(small_side(pivots, MOST_PIVOTS), "cell").join(known, ["pivot", "key"])
+    near = cells_.select("cell", "key", "place").join(small_side(pivots, MOST_PIVOTS), "cell").join(known, ["pivot", "key"])
     home = near.where("linked").groupBy("cell", "key").agg(F.min(F.struct("distance", "pivot")).alias("home"))
     home = home.select("cell", "key", F.col("home.pivot").alias("pivot"), F.col("home.distance").alias("distance"))
     reach = home.groupBy("cell", "pivot").agg(F.max("distance").alias("reach"))
     region = F.xxhash64("cell", "pivot").alias("cell")
     inside = near.join(reach, ["cell", "pivot"]).where(F.col("distance") <= F.col("reach") + radius + 2)
-    rest = cells_.select("cell", "key").join(home.select("cell", "key"), ["cell", "key"], "left_anti")
-    return inside.select(region, "key", F.col("distance").alias("away"), F.col("cell").alias("parent")).unionByName(
-        rest.select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "key", F.lit(None).cast("long").alias("away"), F.col("cell").alias("parent"))
+    rest = cells_.select("cell", "key", "place").join(home.select("cell", "key"), ["cell", "key"], "left_anti")
+    return inside.select(region, "key", "place", F.col("distance").alias("away"), F.col("cell").alias("parent")).unionByName(
+        rest.select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "key", "place", F.lit(None).cast("long").alias("away"), F.col("cell").alias("parent"))
     )
 
 
 def _unsettled(parts: DataFrame, links_: DataFrame, radius: int) -> DataFrame:
-    """(cell, key, open, parent, n) of the parts that hold several groups of connected points; open: outside the largest group.
+    """(cell, key, place, label, open, parent, n) of the parts that hold several groups of connected points; open: outside the largest group.
 
     Points of the largest group stay where a point of another is near enough to the pivot to reach them.
     """
@@ -379,10 +382,20 @@ def _unsettled(parts: DataFrame, links_: DataFrame, radius: int) -> DataFrame:
     rows = labelled.join(main, "cell").withColumn("open", F.col("label") != F.col("main"))
     nearest = rows.where("open").groupBy("cell").agg(F.min("away").alias("nearest"))
     kept = rows.join(nearest, "cell").where(F.col("open") | F.col("away").isNull() | (F.col("away") >= F.col("nearest") - radius - 2))
-    kept = materialise(kept.select("cell", "key", "open", "parent"), "unsettled")
+    kept = materialise(kept.select("cell", "key", "place", "label", "open", "parent"), "unsettled")
     return kept.join(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
 
 
+def _may_link(threshold: int):
+    """Whether sizes and the places of a shared shingle, the first that both points have, allow a link of a and b."""
+    common = F.least("n_a", "n_b", F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return 100 * common >= threshold * (F.col("n_a") + F.col("n_b") - common)
+
+
+def _sized(cells_: DataFrame, points: DataFrame) -> DataFrame:
+    return cells_.join(points.select(F.col("rep").alias("key"), F.col("n").alias("size")), "key")
+
+
 def _blocks_met(cells_: DataFrame) -> DataFrame:
     """(pair, side, key): each cell's points in blocks, and the pairs of blocks of which one holds open points; (open, open) once."""
     counts = cells_.groupBy("cell", "open").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -397,33 +410,69 @@ def _blocks_met(cells_: DataFrame) -> DataFrame:
     return dealt_out.join(one.unionByName(two), ["cell", "open", "block"]).select("pair", "side", "key")
 
 
+def _pairs_of(cells_: DataFrame, threshold: int) -> DataFrame:
+    """The distinct pairs (a, b) of points of one small cell that are not connected yet and that sizes and places allow."""
+    side = lambda x: [F.col("key").alias(x), F.col("size").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("label").alias(f"of_{x}")]
+    met = cells_.where("open").select("cell", *side("a")).join(cells_.select("cell", *side("b")), "cell")
+    met = met.where((F.col("of_a") != F.col("of_b")) & _may_link(threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _measured(cells_: DataFrame, pivots: DataFrame, points: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, linked, distance) of pivots a and points b of their cells.
+
+    First those that may link are measured. A pivot that has links has a region, whose window may reach to
+    2r; for those all others within that range follow. All other distances are beyond every window.
+    """
+    radius = 10 * (100 - threshold)
+    own = cells_.select("cell", F.col("key").alias("pivot"), F.col("size").alias("n_a"), F.col("place").alias("place_a"))
+    named = own.join(small_side(pivots, MOST_PIVOTS), ["cell", "pivot"]).withColumnRenamed("pivot", "a")
+    spokes = cells_.select("cell", F.col("key").alias("b"), F.col("size").alias("n_b"), F.col("place").alias("place_b"))
+    spokes = materialise(named.join(spokes, "cell").where("a <> b").select("a", "b", _may_link(threshold).alias("may")), "spokes")
+    near = materialise(_check(_possible(_named(spokes.where("may").select("a", "b").distinct(), points), radius), dealt, threshold), "measured")
+    reached = near.where("linked").select("a").distinct()
+    far = spokes.select("a", "b").distinct().join(reached, "a", "left_semi").join(near.select("a", "b"), ["a", "b"], "left_anti")
+    return near.unionByName(materialise(_check(_possible(_named(far, points), 2 * radius), dealt, threshold), "measured"))
+
+
 def _pivot_links(members: DataFrame, points: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
     """The links (a, b) that connect the points of the larger cells (cell, key), by Voronoi regions, recursively."""
     radius = 10 * (100 - threshold)
-    cells_ = materialise(members.withColumns({"open": F.lit(True)}), "cells")
-    sizes = cells_.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    links_, ends, level = None, [], 0
-    while True:
+    members = materialise(_sized(members, points), "members")
+    # first each point meets one point that many of its cells agree on
+    drawn = F.struct(F.xxhash64("key").alias("drawn"), F.col("key").alias("pivot"))
+    least = members.groupBy("cell").agg(F.min(drawn).alias("p"))
+    one = members.join(least, "cell").groupBy("key").agg(F.min("p").alias("p")).select(F.col("p.pivot").alias("a"), F.col("key").alias("b"))
+    first = _check(_possible(_named(one.where("a <> b"), points), radius), dealt, threshold)
+    links_ = materialise(first.where("linked").select("a", "b"), "first-links")
+    start = members.select("cell", "key", "place", F.lit(None).cast("long").alias("away"), F.col("cell").alias("parent"))
+    cells_ = materialise(_sized(_unsettled(start, links_, radius).drop("parent"), points), "cells")
+    sizes = cells_.groupBy("cell").agg(F.first("n").alias("n"))
+    ends, level = [], 0
+    while not cells_.isEmpty():
         pivots = _pivots(cells_, level)
-        spokes = cells_.join(small_side(pivots, MOST_PIVOTS), "cell").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-        measured = materialise(_check(_possible(_named(spokes, points), 2 * radius), dealt, threshold), "spokes")
+        measured = _measured(cells_, pivots, points, dealt, threshold)
         found = measured.where("linked").select("a", "b")
-        links_ = found if links_ is None else links_.unionByName(found)
+        links_ = links_.unionByName(found)
         open_ = _unsettled(_regions_of(cells_, pivots, measured, radius), links_, radius)
         grown = open_.join(sizes.select(F.col("cell").alias("parent"), F.col("n").alias("whole")), "parent")
         deeper = (F.col("n") > BLOCK) & (F.col("n") <= SHRINK * F.col("whole"))
-        grown = materialise(grown.select("cell", "key", "open", "n", deeper.alias("deeper")), "cells")
-        ends.append(grown.where("NOT deeper").select("cell", "key", "open"))
-        cells_ = grown.where("deeper").select("cell", "key", "open")
-        if cells_.isEmpty():
-            break
+        grown = materialise(_sized(grown.select("cell", "key", "place", "label", "open", "n", deeper.alias("deeper")), points), "cells")
+        ends.append(grown.where("NOT deeper").drop("deeper"))
+        cells_ = grown.where("deeper").drop("deeper", "n")
         sizes, level = grown.where("deeper").groupBy("cell").agg(F.first("n").alias("n")), level + 1
+    if not ends:
+        return links_
     last = ends[0]
     for e in ends[1:]:
         last = last.unionByName(e)
     if last.isEmpty():
         return links_
-    last = materialise(last, "last-cells")
+    pairs = _named(_pairs_of(last.where(F.col("n") <= PAIRED), threshold), points)
+    links_ = links_.unionByName(_check(_possible(pairs, radius), dealt, threshold).where("linked").select("a", "b"))
+    last = materialise(last.where(F.col("n") > PAIRED).select("cell", "key", "open"), "last-cells")
+    if last.isEmpty():
+        return links_
     wanted = membership_filter(last.select("key"))
     texts = dealt.where(wanted(F.col("ord"))).select(F.col("ord").alias("key"), "text")
     placed = _blocks_met(last).join(texts, "key").repartition(width(dealt.sparkSession), "pair").sortWithinPartitions("pair", "side")
@@ -448,14 +497,14 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
         F.min("ord").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")
     ), "classes")
     pages = texts.mapInPandas(_region_pages(parts, classes_of, threshold), "part int, data binary")
-    found = pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, cell long, a binary, b binary")
+    found = pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, cell long, place long, a binary, b binary")
     found = materialise(found, "regions")
     dealt = ordered.select("ord", "text").where("ord IS NOT NULL")
     name = lambda x: points.select(F.col("key").alias(x), F.col("rep").alias(f"r{x}"))
     pairs = found.where("kind = 1").select("a", "b").distinct().join(name("a"), "a").join(name("b"), "b")
     pairs = _named(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")), points)
     edges = _check(_possible(pairs, 10 * (100 - threshold)), dealt, threshold).where("linked").select("a", "b")
-    members = found.where("kind = 2").select("cell", "a").join(name("a"), "a").select("cell", F.col("ra").alias("key"))
+    members = found.where("kind = 2").select("cell", "a", "place").join(name("a"), "a").select("cell", F.col("ra").alias("key"), "place")
     if not members.isEmpty():
         edges = edges.unionByName(_pivot_links(members, points, dealt, threshold))
     roots = connected_components(edges)
