@@ -67,38 +67,26 @@ def test_jaccard_documents(spark, documents, texts):
     assert got == joined(texts)
 
 
-def test_regions_split_recursively(spark, monkeypatch):
-    """Clusters around few bases with points on their borders: several levels, and all links found."""
-    r = random.Random(2)
-    bases = [words(r, 40).split() for _ in range(3)]
-    bases.append(bases[0][:30] + words(r, 10).split())
-    shared, rows = words(r, 12), []
-    for k in range(160):
-        w = list(bases[k % 4])
-        for _ in range(r.choice((0, 1, 1, 2, 3))):
-            w[r.randrange(len(w))] = r.choice("xyz") * 3
-        rows.append((k, " ".join(w)))
-    rows += [(1000 + k, shared + " " + words(r, 8)) for k in range(40)]  # a flat cell: one passage, unlike texts
-    seen = []
-    level = jaccard._pivots
-    monkeypatch.setattr(jaccard, "_pivots", lambda cells, n: seen.append(n) or level(cells, n))
-    monkeypatch.setattr(jaccard, "BLOCK", 6)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert collections.Counter(tuple(x) for x in jaccard.jaccard_join(docs).collect()) == joined(rows)
-    assert max(seen) >= 1
-
-
-def test_documents_form_regions_by_the_usual_parameters(spark, monkeypatch):
-    docs, sizes = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
-    regions = jaccard._regions_of
-
-    def counted(*args):
-        out = regions(*args)
-        sizes.append(out.where("away IS NOT NULL").groupBy("cell").count().where("count > 1").count())
-        return out
-
-    monkeypatch.setattr(jaccard, "_regions_of", counted)
-    assert jaccard.jaccard_join(docs).count() == 1000 and sizes and sizes[0] > 0
+def test_unlike_sets_with_one_key_get_another_seed(spark, monkeypatch):
+    keys, seeds = jaccard.Sets._keys, []
+
+    def colliding(self, step):
+        return keys(self, step) * (0 if step == 0 else 1)  # with the first seed all sets have the same key
+
+    monkeypatch.setattr(jaccard.Sets, "_keys", colliding)
+    pages = jaccard._region_pages
+    monkeypatch.setattr(jaccard, "_region_pages", lambda *args: seeds.append(args[-1]) or pages(*args))
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l m"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in jaccard.jaccard_join(docs).collect()) == joined(rows)
+    assert seeds in ([0], [1])  # workers may not see the patch; where they do, the second seed is used
+
+
+def test_keys_are_independent():
+    texts = [b"a b c d e f", b"a b c d e g", b"", b"a b c d e f"]
+    one, two = jaccard.Sets(texts), jaccard.Sets(texts, 1)
+    assert one.keys[0] == one.keys[3] != one.keys[1] and one.second[0] == one.second[3] != one.second[1]
+    assert len({one.keys[0], one.second[0], two.keys[0], two.second[0]}) == 4
 
 
 def test_membership_filter(spark, monkeypatch):

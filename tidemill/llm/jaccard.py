@@ -1,44 +1,40 @@
 """Exact Jaccard join of documents by their word shingles, as a join in a metric space.
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes; the distance is one minus
-the Jaccard similarity, and two documents link within the radius r = 1 - THRESHOLD percent. Equal sets,
-known by 128 bits, are one point.
-
-1. Order. All points share one order of shingles, rare ones first (by a sketch of fixed size). Of two
-   linked points each has one of its first n - ceil(0.75 n) + 1 shingles in common with those of the
-   other, so only points that share such a shingle need to meet. The points of one shingle are a cell;
-   cells of up to LEAF points, most of all, are compared pair by pair: sizes, the places of the shared
-   shingle and parity bitmaps rule most pairs out, the rest are checked on the texts.
-2. Pivots. Every point of the larger cells meets one point that many of its cells agree on; cells that
-   this connects throughout are finished. In every other PIVOTS points become pivots, and their distances to
-   the cell's points are measured, as far as they may be within 2r and matter. A point within r of a pivot
-   belongs to the Voronoi region of its nearest one. Where the farthest point of a region lies R from its
-   pivot, a document that may link with one of the region is, by the triangle inequality, within R + r of
-   the pivot: all documents of that window are replicated to the region. Points near no pivot are the rest.
-3. Recursion. A region or rest whose points are all connected by the links found so far is finished. In the
-   others points of the largest connected group stay only where some point of another group may reach
-   them. What has more than BLOCK points becomes a cell of its own, with pivots from outside the largest
-   group, as long as it gets smaller. The pairs of what has up to PAIRED points are checked like those of
-   step 1, each once over all cells; the rest is joined in blocks of BLOCK points. Every pair of linked points meets in some cell or is connected through pivots, so the
-   components are exact.
+the Jaccard similarity. Two documents link at a similarity of THRESHOLD percent or more. Equal sets
+are one point, named by a 64-bit key; a second key is compared within each, and should two unlike sets
+ever share the first, all keys are made anew with another seed.
+
+1. Regions. All points share one order of shingles, rare ones first (by a sketch of fixed size). Of
+   two linked points each has one of its first n - ceil(0.75 n) + 1 shingles in common with those of
+   the other; the points that share one such shingle form a region. Within a batch equal points go
+   once.
+2. A region of at most LEAF points is joined directly, keeping the pairs that their sizes and the
+   places of the shared shingle allow and that did not meet at a shingle just before. A parity bitmap of each set gives a lower bound of the
+   difference, which rules most other pairs out; the rest are checked on the texts.
+3. Larger regions that overlap are put together and split by pivots. Each pivot's distance to every
+   point is measured. Points within the threshold of a pivot need no further link among themselves.
+   The others are dealt into blocks by their distance to the first pivot, and each block is compared
+   with the blocks whose distances lie within the triangle inequality's window of its own, so that
+   documents near a boundary are replicated to all regions that can hold a partner. This is exact.
 4. Links become components by rounds of contraction.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing;
 with fewer than five words the whole sequence is the one shingle; repeated rows are one point;
-component_id is the least non-null doc_id of the component (null if there is none); other columns are
-ignored; an empty table gives an empty result.
+component_id is the least non-null doc_id of the component (null if there is none).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side, width
+from .common import materialise, width
 from .components import connected_components
 from .hashing import U64, hash_ranges, mix, running_sums, words_of
 from .sketch import cells, frequency_classes, membership_filter
@@ -46,25 +42,21 @@ from .substrings import chunks, with_order
 
 SIZE = 5
 THRESHOLD = 75
-LEAF = 4
+LEAF = 256
 CELLS = 1 << 20
-PIVOTS = 4
+PIVOTS = 8
 PAGE_ENTRIES = 300_000
 #: Characters of text whose sets are held at once when pairs are measured.
 MEASURED = 1 << 20
 BLOCK = 256
-#: Points of the largest cell whose pairs are checked one by one at the end, each pair once over all cells.
-PAIRED = 48
-#: A cell is split further while its parts have at most this share of its points.
-SHRINK = 0.75
-#: Rows of pivots that may be broadcast.
-MOST_PIVOTS = 100_000
+#: Width of the distance ranges by which blocks are dealt, in thousandths.
+RANGE = 50
 _STEP = U64(0x9E3779B97F4A7C15)
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 BEFORE = 3
 #: One shingle of a point as it is sent; before: those just ahead of it in the order, 0 for none.
-_ENTRY = np.dtype([("token", "<u8"), ("before", "<u8", BEFORE), ("key", "<u8", 2), ("size", "<u4"), ("place", "<u2")])
+_ENTRY = np.dtype([("token", "<u8"), ("before", "<u8", BEFORE), ("key", "<i8"), ("size", "<u4"), ("place", "<u2")])
 
 
 def _shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -79,7 +71,7 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
 class Sets:
     """The shingle sets of some texts: tokens[first[k]:first[k + 1]] is sorted and distinct."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], seed: int = 0):
         joined = b"\n".join(texts).lower()  # bytes.lower() changes A-Z only
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         starts, ends = words_of(joined, _WORD)
@@ -105,11 +97,12 @@ class Sets:
             self.tokens = tokens[keep]
             self.first = np.concatenate([[0], np.cumsum(keep)])[np.append(first, len(tokens))]
             self.sizes = np.diff(self.first)
-            #: Two sums of hashes of the tokens per text.
-            self.keys = np.zeros((len(texts), 2), U64)
-            for j, step in enumerate((U64(0), _STEP)):
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.tokens + step))])
-                self.keys[:, j] = mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(U64))
+            self.keys, self.second = (self._keys(_STEP * U64(2 * seed + k)) for k in (0, 1))
+
+    def _keys(self, step: np.uint64) -> np.ndarray:
+        """A key of each set: a sum of hashes of its tokens."""
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.tokens + step))])
+        return mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(U64)).view(np.int64)
 
     def __getitem__(self, k: int) -> np.ndarray:
         return self.tokens[self.first[k] : self.first[k + 1]]
@@ -120,8 +113,8 @@ def links(common: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """One bit per cell, of two to four times as many cells as tokens: whether an odd number of tokens fall there."""
-    cells_ = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """One bit per cell, of about as many cells as tokens: whether an odd number of tokens fall there."""
+    cells_ = 1 << max(6, int(len(tokens) - 1).bit_length())
     counts = np.bincount((tokens & U64(cells_ - 1)).astype(np.int64), minlength=cells_)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -136,22 +129,24 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for ids, texts in chunks(batches):
-        s = Sets(texts)
-        yield pd.DataFrame({
-            "ord": ids, "n_shingles": s.sizes, "key": [k.tobytes() for k in s.keys], "parity": [parity(s[k]) for k in range(len(ids))]
-        })
+def _points(seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, texts in chunks(batches):
+            s = Sets(texts, seed)
+            bitmaps = [parity(s[k]) for k in range(len(ids))]
+            yield pd.DataFrame({"ord": ids, "n_shingles": s.sizes, "key": s.keys, "second": s.second, "parity": bitmaps})
 
+    return run
 
-def _region_pages(parts: int, classes, threshold: int):
+
+def _region_pages(parts: int, classes, threshold: int, seed: int):
     """Batches of documents -> pages (part, data) of the entries of each point once a page."""
 
-    def entries(s: Sets, seen: set[bytes], known: np.ndarray) -> Iterator[np.ndarray]:
-        for k, (key, n) in enumerate(zip(s.keys, s.sizes.tolist())):
-            if not n or key.tobytes() in seen:
+    def entries(s: Sets, seen: set[int], known: np.ndarray) -> Iterator[np.ndarray]:
+        for k, (key, n) in enumerate(zip(s.keys.tolist(), s.sizes.tolist())):
+            if not n or key in seen:
                 continue
-            seen.add(key.tobytes())
+            seen.add(key)
             own, length = s[k], n - -(-threshold * n // 100) + 1
             rank = known[cells(own, CELLS)]
             if rank.any():
@@ -174,7 +169,7 @@ def _region_pages(parts: int, classes, threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, seen, n = classes.value, [], set(), 0
         for _, texts in chunks(batches):
-            for page in entries(Sets(texts), seen, known):
+            for page in entries(Sets(texts, seed), seen, known):
                 held.append(page)
                 n += len(page)
             if n >= PAGE_ENTRIES:
@@ -200,10 +195,8 @@ def _regions(threshold: int):
             for k in range(BEFORE):  # pairs with a shingle in common among those just before also met there
                 own = x["before"][:, k]
                 ok &= (own == 0) | (y["before"] != own[:, None]).all(axis=1)
-            found = np.concatenate([x["key"][ok], y["key"][ok]], axis=1)
-            later = (found[:, 0] > found[:, 2]) | ((found[:, 0] == found[:, 2]) & (found[:, 1] > found[:, 3]))
-            found[later] = found[later][:, [2, 3, 0, 1]]
-            yield np.unique(found, axis=0)
+            found = np.stack([x["key"][ok], y["key"][ok]], axis=1)
+            yield np.unique(np.sort(found, axis=1), axis=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pages = [np.frombuffer(d, _ENTRY) for b in batches for d in b["data"]]
@@ -216,19 +209,22 @@ def _regions(threshold: int):
         twin[1:] = page["token"][1:] == page["token"][:-1]
         twin[:-1] |= twin[1:]
         page = page[twin]
-        page = page[np.lexsort((page["key"][:, 1], page["key"][:, 0], page["token"]))]
+        page = page[np.lexsort((page["key"], page["token"]))]
         keep = np.ones(len(page), bool)
-        keep[1:] = (page["token"][1:] != page["token"][:-1]) | (page["key"][1:] != page["key"][:-1]).any(axis=1)
+        keep[1:] = (page["token"][1:] != page["token"][:-1]) | (page["key"][1:] != page["key"][:-1])
         page = page[keep]
         starts = np.flatnonzero(np.concatenate([[True], page["token"][1:] != page["token"][:-1]])[: len(page)])
         sizes = np.diff(np.append(starts, len(page)))
-        pairs = [np.zeros((0, 4), U64)]
+        pairs = [np.zeros((0, 2), np.int64)]
         for size in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):
             pairs += leaf_pairs(page, starts[sizes == size], int(size))
         pairs = np.unique(np.concatenate(pairs), axis=0)
-        yield pd.DataFrame({"kind": 1, "cell": 0, "place": 0, "a": [x.tobytes() for x in pairs[:, :2]], "b": [x.tobytes() for x in pairs[:, 2:]]})
-        rest = page[np.repeat(sizes > LEAF, sizes)]
-        yield pd.DataFrame({"kind": 2, "cell": rest["token"].view(np.int64), "place": rest["place"].astype(np.int64), "a": [x.tobytes() for x in rest["key"]], "b": None})
+        yield pd.DataFrame({"kind": 1, "a": pairs[:, 0], "b": pairs[:, 1]})
+        large = sizes > LEAF
+        inside = np.repeat(large, sizes)
+        heads = np.repeat(page["key"][starts[large]], sizes[large])
+        stars = np.unique(np.stack([heads, page["key"][inside]], axis=1), axis=0)
+        yield pd.DataFrame({"kind": 2, "a": stars[:, 0], "b": stars[:, 1]})
 
     return run
 
@@ -258,35 +254,34 @@ def _measure(threshold: int):
     return run
 
 
-def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with their parities -> the pairs and how many tokens are in one of the two sets only, at least."""
-    for b in batches:
-        apart = np.array([least_difference(x, y) for x, y in zip(b["parity_a"], b["parity_b"])], np.int64)
-        yield pd.DataFrame({"a": b["a"], "b": b["b"], "total": b["n_a"] + b["n_b"], "apart": apart})
+def _possible(threshold: int):
+    """Pairs whose parities allow a link: as many different tokens rule it out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            apart = np.array([least_difference(x, y) for x, y in zip(b["parity_a"], b["parity_b"])], np.int64)
+            ok = apart * (100 + threshold) <= (100 - threshold) * (b["n_a"] + b["n_b"]).to_numpy()
+            yield b.loc[ok, ["a", "b", "ra", "rb"]]
 
-def _possible(named: DataFrame, radius: int) -> DataFrame:
-    """The pairs (a, b) whose distance may be within radius, in thousandths: (x + y - both) is apart at least of total x + y."""
-    found = named.mapInPandas(_apart, "a long, b long, total long, apart long")
-    # distance = 2 * apart / (total + apart)
-    return found.where(2000 * F.col("apart") <= radius * (F.col("total") + F.col("apart"))).select("a", "b")
+    return run
 
 
-def _named(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of points (a, b) with sizes and parities."""
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of points with the documents that stand for them, sizes and parities."""
     for x in "ab":
-        pairs = pairs.join(points.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")), x)
+        names = [F.col("key").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")]
+        pairs = pairs.join(classes.select(*names), x)
     return pairs
 
 
-def _check(pairs: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) -> a, b, linked, distance in thousandths, by the texts of the documents a and b."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
-    wanted = membership_filter(pairs.select(F.explode(F.array("a", "b")).alias("ord")))
+def _check(named: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, ra, rb) -> a, b, linked, distance in thousandths, by the texts of the documents ra and rb."""
+    named = materialise(named.select("a", "b", "ra", "rb"), "pairs")
+    wanted = membership_filter(named.select(F.explode(F.array("ra", "rb")).alias("ord")))
     few = dealt.where(wanted(F.col("ord")))
-    one = few.select(F.col("ord").alias("a"), F.col("text").alias("text_a"))
-    two = few.select(F.col("ord").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(
+    one = few.select(F.col("ord").alias("ra"), F.col("text").alias("text_a"))
+    two = few.select(F.col("ord").alias("rb"), F.col("text").alias("text_b"))
+    return named.join(one, "ra").join(two, "rb").select("a", "b", "text_a", "text_b").mapInPandas(
         _measure(threshold), "a long, b long, linked boolean, distance long"
     )
 
@@ -341,143 +336,59 @@ def _block_links(threshold: int):
     return run
 
 
-def _pivots(cells_: DataFrame, level: int) -> DataFrame:
-    """(cell, pivot): of each cell the least hash in each of PIVOTS strata of the points outside its largest group."""
-    drawn = F.xxhash64("key", F.lit(level))
-    strata = cells_.where("open").groupBy("cell", F.pmod(drawn, F.lit(PIVOTS)).alias("p")).agg(F.min_by("key", drawn).alias("pivot"))
-    return materialise(strata.select("cell", "pivot"), "pivots")
-
-
-def _regions_of(cells_: DataFrame, pivots: DataFrame, measured: DataFrame, radius: int) -> DataFrame:
-    """(cell, key, place, away, parent): the Voronoi regions of all cells with their windows, and the rests.
-
-    away: the distance to the region's pivot, null in a rest. Distances are rounded down, so windows are
-    wider by two thousandths.
-    """
-    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance", "linked").unionByName(
-        pivots.select("pivot", F.col("pivot").alias("key"), F.lit(0).cast("long").alias("distance"), F.lit(True).alias("linked")).distinct()
+def _large_regions(found: DataFrame, classes: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
+    """The links (a, b) that connect the points of the larger regions."""
+    spark, stars = dealt.sparkSession, found.where("kind = 2").select("a", "b").distinct()
+    members = materialise(
+        connected_components(stars).select(F.col("root").alias("region"), F.col("node").alias("key")), "regions"
     )
-    near = cells_.select("cell", "key", "place").join(small_side(pivots, MOST_PIVOTS), "cell").join(known, ["pivot", "key"])
-    home = near.where("linked").groupBy("cell", "key").agg(F.min(F.struct("distance", "pivot")).alias("home"))
-    home = home.select("cell", "key", F.col("home.pivot").alias("pivot"), F.col("home.distance").alias("distance"))
-    reach = home.groupBy("cell", "pivot").agg(F.max("distance").alias("reach"))
-    region = F.xxhash64("cell", "pivot").alias("cell")
-    inside = near.join(reach, ["cell", "pivot"]).where(F.col("distance") <= F.col("reach") + radius + 2)
-    rest = cells_.select("cell", "key", "place").join(home.select("cell", "key"), ["cell", "key"], "left_anti")
-    return inside.select(region, "key", "place", F.col("distance").alias("away"), F.col("cell").alias("parent")).unionByName(
-        rest.select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "key", "place", F.lit(None).cast("long").alias("away"), F.col("cell").alias("parent"))
+    # pivots: the least hash in each of PIVOTS strata of the region
+    drawn = F.xxhash64("key")
+    pivots = members.groupBy("region", F.pmod(drawn, F.lit(PIVOTS)).alias("p")).agg(F.min_by("key", drawn).alias("pivot"))
+    pivots = materialise(pivots, "pivots")
+    spokes = members.join(pivots, "region").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    measured = materialise(_check(_named(spokes, classes), dealt, threshold), "spokes")
+    near = measured.where("linked").select("a", "b")
+    # the points that one pivot's links connect are settled among themselves: the largest such group of a region
+    groups = connected_components(near)
+    label = members.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        "region", "key", F.coalesce("root", "key").alias("label")
     )
-
-
-def _unsettled(parts: DataFrame, links_: DataFrame, radius: int) -> DataFrame:
-    """(cell, key, place, label, open, parent, n) of the parts that hold several groups of connected points; open: outside the largest group.
-
-    Points of the largest group stay where a point of another is near enough to the pivot to reach them.
-    """
-    roots = connected_components(links_)
-    labelled = parts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-    labelled = materialise(labelled, "labelled")
-    groups = labelled.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = groups.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rows = labelled.join(main, "cell").withColumn("open", F.col("label") != F.col("main"))
-    nearest = rows.where("open").groupBy("cell").agg(F.min("away").alias("nearest"))
-    kept = rows.join(nearest, "cell").where(F.col("open") | F.col("away").isNull() | (F.col("away") >= F.col("nearest") - radius - 2))
-    kept = materialise(kept.select("cell", "key", "place", "label", "open", "parent"), "unsettled")
-    return kept.join(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
-
-
-def _may_link(threshold: int):
-    """Whether sizes and the places of a shared shingle, the first that both points have, allow a link of a and b."""
-    common = F.least("n_a", "n_b", F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return 100 * common >= threshold * (F.col("n_a") + F.col("n_b") - common)
-
-
-def _sized(cells_: DataFrame, points: DataFrame) -> DataFrame:
-    return cells_.join(points.select(F.col("rep").alias("key"), F.col("n").alias("size")), "key")
-
-
-def _blocks_met(cells_: DataFrame) -> DataFrame:
-    """(pair, side, key): each cell's points in blocks, and the pairs of blocks of which one holds open points; (open, open) once."""
-    counts = cells_.groupBy("cell", "open").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt_out = cells_.join(counts, ["cell", "open"]).select("cell", "key", "open", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"))
-    blocks = dealt_out.select("cell", "open", "block").distinct()
-    opened = blocks.where("open").select("cell", F.col("block").alias("block_0"))
-    others = blocks.select("cell", F.col("open").alias("open_1"), F.col("block").alias("block_1"))
-    met = opened.join(others, "cell").where(~F.col("open_1") | (F.col("block_0") <= F.col("block_1")))
-    met = materialise(met.withColumn("pair", F.xxhash64("cell", "block_0", "open_1", "block_1")), "block-pairs")
-    one = met.select("cell", F.lit(True).alias("open"), F.col("block_0").alias("block"), "pair", F.lit(0).alias("side"))
-    two = met.select("cell", F.col("open_1").alias("open"), F.col("block_1").alias("block"), "pair", F.lit(1).alias("side"))
-    return dealt_out.join(one.unionByName(two), ["cell", "open", "block"]).select("pair", "side", "key")
-
-
-def _pairs_of(cells_: DataFrame, threshold: int) -> DataFrame:
-    """The distinct pairs (a, b) of points of one small cell that are not connected yet and that sizes and places allow."""
-    side = lambda x: [F.col("key").alias(x), F.col("size").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("label").alias(f"of_{x}")]
-    met = cells_.where("open").select("cell", *side("a")).join(cells_.select("cell", *side("b")), "cell")
-    met = met.where((F.col("of_a") != F.col("of_b")) & _may_link(threshold))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _measured(cells_: DataFrame, pivots: DataFrame, points: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, linked, distance) of pivots a and points b of their cells.
-
-    First those that may link are measured. A pivot that has links has a region, whose window may reach to
-    2r; for those all others within that range follow. All other distances are beyond every window.
-    """
-    radius = 10 * (100 - threshold)
-    own = cells_.select("cell", F.col("key").alias("pivot"), F.col("size").alias("n_a"), F.col("place").alias("place_a"))
-    named = own.join(small_side(pivots, MOST_PIVOTS), ["cell", "pivot"]).withColumnRenamed("pivot", "a")
-    spokes = cells_.select("cell", F.col("key").alias("b"), F.col("size").alias("n_b"), F.col("place").alias("place_b"))
-    spokes = materialise(named.join(spokes, "cell").where("a <> b").select("a", "b", _may_link(threshold).alias("may")), "spokes")
-    near = materialise(_check(_possible(_named(spokes.where("may").select("a", "b").distinct(), points), radius), dealt, threshold), "measured")
-    reached = near.where("linked").select("a").distinct()
-    far = spokes.select("a", "b").distinct().join(reached, "a", "left_semi").join(near.select("a", "b"), ["a", "b"], "left_anti")
-    return near.unionByName(materialise(_check(_possible(_named(far, points), 2 * radius), dealt, threshold), "measured"))
-
-
-def _pivot_links(members: DataFrame, points: DataFrame, dealt: DataFrame, threshold: int) -> DataFrame:
-    """The links (a, b) that connect the points of the larger cells (cell, key), by Voronoi regions, recursively."""
-    radius = 10 * (100 - threshold)
-    members = materialise(_sized(members, points), "members")
-    # first each point meets one point that many of its cells agree on
-    drawn = F.struct(F.xxhash64("key").alias("drawn"), F.col("key").alias("pivot"))
-    least = members.groupBy("cell").agg(F.min(drawn).alias("p"))
-    one = members.join(least, "cell").groupBy("key").agg(F.min("p").alias("p")).select(F.col("p.pivot").alias("a"), F.col("key").alias("b"))
-    first = _check(_possible(_named(one.where("a <> b"), points), radius), dealt, threshold)
-    links_ = materialise(first.where("linked").select("a", "b"), "first-links")
-    start = members.select("cell", "key", "place", F.lit(None).cast("long").alias("away"), F.col("cell").alias("parent"))
-    cells_ = materialise(_sized(_unsettled(start, links_, radius).drop("parent"), points), "cells")
-    sizes = cells_.groupBy("cell").agg(F.first("n").alias("n"))
-    ends, level = [], 0
-    while not cells_.isEmpty():
-        pivots = _pivots(cells_, level)
-        measured = _measured(cells_, pivots, points, dealt, threshold)
-        found = measured.where("linked").select("a", "b")
-        links_ = links_.unionByName(found)
-        open_ = _unsettled(_regions_of(cells_, pivots, measured, radius), links_, radius)
-        grown = open_.join(sizes.select(F.col("cell").alias("parent"), F.col("n").alias("whole")), "parent")
-        deeper = (F.col("n") > BLOCK) & (F.col("n") <= SHRINK * F.col("whole"))
-        grown = materialise(_sized(grown.select("cell", "key", "place", "label", "open", "n", deeper.alias("deeper")), points), "cells")
-        ends.append(grown.where("NOT deeper").drop("deeper"))
-        cells_ = grown.where("deeper").drop("deeper", "n")
-        sizes, level = grown.where("deeper").groupBy("cell").agg(F.first("n").alias("n")), level + 1
-    if not ends:
-        return links_
-    last = ends[0]
-    for e in ends[1:]:
-        last = last.unionByName(e)
-    if last.isEmpty():
-        return links_
-    pairs = _named(_pairs_of(last.where(F.col("n") <= PAIRED), threshold), points)
-    links_ = links_.unionByName(_check(_possible(pairs, radius), dealt, threshold).where("linked").select("a", "b"))
-    last = materialise(last.where(F.col("n") > PAIRED).select("cell", "key", "open"), "last-cells")
-    if last.isEmpty():
-        return links_
-    wanted = membership_filter(last.select("key"))
-    texts = dealt.where(wanted(F.col("ord"))).select(F.col("ord").alias("key"), "text")
-    placed = _blocks_met(last).join(texts, "key").repartition(width(dealt.sparkSession), "pair").sortWithinPartitions("pair", "side")
+    sizes = label.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    first = pivots.groupBy("region").agg(F.min_by("pivot", "p").alias("pivot"))
+    ranges = (
+        label.join(main, "region").join(first, "region")
+        .join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance"), ["pivot", "key"], "left")
+        .select("region", "key", (F.col("label") != F.col("main")).alias("open"), F.floor(F.coalesce("distance", F.lit(0)) / RANGE).alias("at"))
+    )
+    ranges = materialise(ranges, "ranges")
+    counts = ranges.groupBy("region", "at", "open").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt_out = materialise(
+        ranges.join(counts, ["region", "at", "open"]).select(
+            "region", "key", "at", "open", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")
+        ),
+        "blocks",
+    )
+    blocks = dealt_out.select("region", "at", "open", "block").distinct()
+    opened = blocks.where("open").select("region", F.col("at").alias("at_0"), F.col("block").alias("block_0"))
+    window = -(-(1000 * (100 - threshold) // 100 + 1) // RANGE) + 1
+    others = blocks.select("region", F.col("at").alias("at_1"), F.col("open").alias("open_1"), F.col("block").alias("block_1"))
+    met = opened.join(others, "region").where(F.abs(F.col("at_0") - F.col("at_1")) <= window)
+    # two open blocks meet once
+    met = met.where(~F.col("open_1") | (F.struct("at_0", "block_0") <= F.struct("at_1", "block_1")))
+    pair = F.xxhash64("region", "at_0", "block_0", "at_1", "open_1", "block_1")
+    met = materialise(met.withColumn("pair", pair), "block-pairs")
+    spot = dealt_out.select("region", "key", "at", "open", "block")
+    one = met.select("region", F.col("at_0").alias("at"), F.lit(True).alias("open"), F.col("block_0").alias("block"), "pair", F.lit(0).alias("side"))
+    two = met.select("region", F.col("at_1").alias("at"), F.col("open_1").alias("open"), F.col("block_1").alias("block"), "pair", F.lit(1).alias("side"))
+    sides = spot.join(one.unionByName(two), ["region", "at", "open", "block"]).select("pair", "side", "key")
+    spots = members.join(classes.select("key", F.col("rep").alias("ord")), "key").select("key", "ord")
+    wanted = membership_filter(spots.select("ord"))
+    texts = dealt.where(wanted(F.col("ord"))).join(spots, "ord").select("key", "text")
+    placed = sides.join(texts, "key").repartition(width(spark), "pair").sortWithinPartitions("pair", "side")
     compared = placed.select("pair", "side", "key", "text").mapInPandas(_block_links(threshold), "a long, b long")
-    return links_.unionByName(compared)
+    return near.unionByName(compared)
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
@@ -491,25 +402,27 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
         return np.concatenate([np.zeros(0, U64), *(Sets(t).tokens for _, t in chunks([b]))])
 
     classes_of = spark.sparkContext.broadcast(frequency_classes(texts, tokens, CELLS))
-    each = materialise(texts.mapInPandas(_points, "ord long, n_shingles long, key binary, parity binary"), "points")
-    # a point is named by its first document
-    points = materialise(each.where("n_shingles > 0").groupBy("key").agg(
-        F.min("ord").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")
-    ), "classes")
-    pages = texts.mapInPandas(_region_pages(parts, classes_of, threshold), "part int, data binary")
-    found = pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, cell long, place long, a binary, b binary")
+    for seed in count():
+        points = materialise(texts.mapInPandas(_points(seed), "ord long, n_shingles long, key long, second long, parity binary"), "points")
+        classes = materialise(points.where("n_shingles > 0").groupBy("key").agg(
+            F.min("ord").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"),
+            (F.min("second") != F.max("second")).alias("clash"),
+        ), "classes")
+        if classes.where("clash").isEmpty():
+            break
+    points, classes = points.drop("second"), classes.drop("clash")
+    pages = texts.mapInPandas(_region_pages(parts, classes_of, threshold, seed), "part int, data binary")
+    found = pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, a long, b long")
     found = materialise(found, "regions")
     dealt = ordered.select("ord", "text").where("ord IS NOT NULL")
-    name = lambda x: points.select(F.col("key").alias(x), F.col("rep").alias(f"r{x}"))
-    pairs = found.where("kind = 1").select("a", "b").distinct().join(name("a"), "a").join(name("b"), "b")
-    pairs = _named(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")), points)
-    edges = _check(_possible(pairs, 10 * (100 - threshold)), dealt, threshold).where("linked").select("a", "b")
-    members = found.where("kind = 2").select("cell", "a", "place").join(name("a"), "a").select("cell", F.col("ra").alias("key"), "place")
-    if not members.isEmpty():
-        edges = edges.unionByName(_pivot_links(members, points, dealt, threshold))
+    pairs = found.where("kind = 1").select("a", "b").distinct()
+    possible = _named(pairs, classes).mapInPandas(_possible(threshold), "a long, b long, ra long, rb long")
+    edges = _check(possible, dealt, threshold).where("linked").select("a", "b")
+    if not found.where("kind = 2").isEmpty():
+        edges = edges.unionByName(_large_regions(found, classes, dealt, threshold))
     roots = connected_components(edges)
-    named = each.join(points.select("key", "rep"), "key").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "ord", "n_shingles", F.coalesce("root", "rep").alias("root")
+    named = points.drop("parity").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        "ord", "n_shingles", F.coalesce("root", "key").alias("root")
     )
     return ordered.select("ord", "doc_id").join(named.distinct(), "ord", "left")
 
