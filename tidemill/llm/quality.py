@@ -194,11 +194,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The rows are written once beside their metrics; the cutoffs are taken from
-    the metrics alone and the rows filtered on reading, so that no text is shuffled or measured twice.
+    The metrics are made twice, once for the cutoffs and once beside the rows: no text is shuffled, and no
+    copy of the corpus stays in the shared folder.
     """
+    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
+    measured = materialise(metrics(docs.select("doc_id", "text", stratum), ("doc_id", "stratum")), "quality-metrics")
+    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta), "quality-cutoffs")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keep = docs.select(row, "doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"))
-    measured = materialise(metrics(keep, ("row", "doc_id", "stratum")), "quality-rows")
-    cutoffs = materialise(certified_cutoffs(measured.drop("row"), labels, risk, delta), "quality-cutoffs")
-    return _ruled(measured, cutoffs).where(_kept()).select("row.*")
+    # with the partition beside them the metrics are not moved into the filter, where they would be made once more
+    rows = metrics(docs.select(row, "text", stratum), ("row", "stratum")).withColumn("partition", F.spark_partition_id())
+    return _ruled(rows, cutoffs).where(_kept() & (F.col("partition") >= 0)).select("row.*")
