@@ -155,7 +155,8 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     found = materialise(parts(docs), "secret-parts")
     spans = found.where(F.col("kind") < len(BASE)).unionByName(linked(found))
     by_doc = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    rows = _keyed(docs, F.struct(*docs.columns).alias("row")).join(by_doc, "key", "left")
+    # the spans grow with the documents, so they are never broadcast, however few there are here
+    rows = _keyed(docs, F.struct(*docs.columns).alias("row")).join(by_doc.hint("merge"), "key", "left")
     bounds = "array<struct<start:bigint,end:bigint>>"
     merged = F.aggregate(
         "spans",
