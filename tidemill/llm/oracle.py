@@ -1,7 +1,7 @@
 """SQL for the operators that SQL can express on whole tables, written from their definitions.
 
-Left out: the repeated substrings (a row per byte is too slow), sharding, tokens and their files, and the
-linked secrets; the tests hold those against brute force.
+Left out: the repeated substrings (a row per byte is too slow), sharding, tokens (of either encoder) and their
+files, and the linked secrets; the tests hold those against brute force.
 """
 
 from __future__ import annotations
@@ -89,5 +89,42 @@ def op10_quality_rules() -> str:
       FROM cuts LEFT JOIN rules ON in_pool = rules.pooled AND (in_pool OR stratum = of_)"""
 
 
+def op11_fill_in_middle() -> str:
+    draw = "('0x' || substr(h, {}, 8))::bigint".format
+    joined = "array_to_string(u[{}:{}], '')".format
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+      u AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u FROM d),
+      r AS (SELECT *, len(u) AS n, {draw(1)} % (len(u) + 1) AS x, {draw(9)} % (len(u) + 1) AS y,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(17)} % 100 >= 100 THEN 'plain'
+          WHEN {draw(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+      p AS (SELECT *, {joined(1, 'least(x, y)')} AS pre, {joined('least(x, y) + 1', 'greatest(x, y)')} AS mid, {joined('greatest(x, y) + 1', 'n')} AS suf FROM r)
+      SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::bigint AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(mid) END::bigint AS middle_chars,
+        sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM p"""
+
+
+def op12_source_divergence() -> str:
+    share = "1 + 1000000000::hugeint * ({} + 1) // ({} + v)".format
+    f = "(({0} - {1}) * ({0} - {1}) // {1})".format
+    terms = r"regexp_extract_all({}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {terms} AS w FROM documents),
+      t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+      kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+      c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+      g AS (SELECT lang, source, coalesce(any_value(x.total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) x USING (lang, source) GROUP BY ALL),
+      l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+      s AS (SELECT lang, source, term, coalesce(n, 0) AS n, {share('coalesce(n, 0)', 'total')} AS p, {share('lang_n', 'lang_total')} AS q
+        FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+      x AS (SELECT a.lang, a.source, b.source AS item, sum({f('a.p', 'b.p')}) AS value
+        FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+      r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, {f('p', 'q')} FROM s WHERE n > 0 AND p > q)
+      SELECT lang, source, part, item, value::bigint AS value, rank::int AS rank FROM
+        (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
+
 def sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op2_decontaminate, op3_jaccard_join, op8_chat_formatting, op10_quality_rules)}
+    return {f.__name__: f() for f in (op2_decontaminate, op3_jaccard_join, op8_chat_formatting, op10_quality_rules, op11_fill_in_middle, op12_source_divergence)}

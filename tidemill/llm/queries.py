@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, chunking, decontaminate, jaccard, oracle, quality, secrets, sharding, sst, substrings
+from . import bpe, chat, chunking, decontaminate, divergence, infill, jaccard, oracle, quality, secrets, sharding, sst, substrings, treebpe
 from .common import table
 
 
@@ -60,10 +61,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_tree_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return treebpe.encoding_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_decontaminate, op3_jaccard_join, op4_content_chunks, op5_minimax_shards,
-        op6_byte_pair_encoding, op7_token_shards, op8_chat_formatting, op9_secrets, op10_quality_rules,
+        op6_byte_pair_encoding, op7_token_shards, op8_chat_formatting, op9_secrets, op10_quality_rules, op11_fill_in_middle,
+        op12_source_divergence, op13_tree_byte_pair_encoding,
     )}
 
 
