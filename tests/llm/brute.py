@@ -133,8 +133,10 @@ def tail(n, k, p):
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
-def kept(rows, good, ladder, risk=0.02, delta=0.05):
-    """rows: (id, stratum, text); good: ids labelled good. The ids that the base rules and the certified steps keep."""
+def kept(rows, good, ladder, risk=0.02, delta=0.05, pooled=False):
+    """rows: (id, stratum, text); good: ids labelled good. The ids that the base rules and the certified steps keep.
+
+    pooled: strata with labels, but too few, take the rule of all of them together."""
     measured = [(i, s, metrics(t), n_lines(t)) for i, s, t in rows]
 
     def fails(m, lines, step):
@@ -145,7 +147,8 @@ def kept(rows, good, ladder, risk=0.02, delta=0.05):
         if i in good and not base_fails(m):
             held[s].append((m, lines))
     fewest = math.ceil(math.log(delta / max(1, len(held))) / math.log(1 - risk))
-    pool = [x for own in held.values() if len(own) < fewest for x in own]
+    thin = {s for s, own in held.items() if len(own) < fewest}
+    pool = [x for s in thin for x in held[s]] if pooled else []
     groups = {s: own for s, own in held.items() if len(own) >= fewest}
     tested, rule = len(groups) + bool(pool), {}
     for s, own in [*groups.items(), (None, pool)]:
@@ -157,7 +160,7 @@ def kept(rows, good, ladder, risk=0.02, delta=0.05):
             rule[s] = step
     out = set()
     for i, s, m, lines in measured:
-        step = rule[s if s in groups else None]
+        step = rule[s] if s in groups else rule[None] if pooled and s in thin else None
         if not base_fails(m) and not (step and fails(m, lines, step)):
             out.add(i)
     return out

@@ -18,19 +18,27 @@ def plain_cut(data, least=chunking.LEAST, most=chunking.MOST, bits=chunking.BITS
     return out if start == len(data) else [*out, len(data)]
 
 
-def plain(rows):
-    """(order, text) -> (bytes, removed, digest), chunk by chunk; equal orders are one document."""
+def plain(rows, whole=False):
+    """(order, text) -> (bytes, removed, digest), chunk by chunk; equal orders are one document.
+
+    whole: a short last piece is known together with the chunk before it; without it such pieces stay."""
     first, cuts = {}, {}
     for o, text in rows:
         b = text.encode()
         ends = plain_cut(b)
         cuts[o] = [(a, e) for a, e in zip([0, *ends], ends)]
-        for a, e in cuts[o]:
-            first[b[a:e]] = min(first.get(b[a:e], (o, a)), (o, a))
+        for n, (a, e) in enumerate(cuts[o]):
+            known = b[cuts[o][max(0, n - 1)][0] if e - a < chunking.LEAST else a : e]
+            first[known] = min(first.get(known, (o, a)), (o, a))
     out = {}
     for o, text in rows:
         b = text.encode()
-        kept = b"".join(b[a:e] for a, e in cuts[o] if e - a < chunking.LEAST or first[b[a:e]] == (o, a))
+        kept = b""
+        for n, (a, e) in enumerate(cuts[o]):
+            short = e - a < chunking.LEAST
+            known = b[cuts[o][max(0, n - 1)][0] if short else a : e]
+            if short and not whole or first[known] == (o, a):
+                kept += b[a:e]
         out[o] = (len(b), len(b) - len(kept), brute.sha(kept))
     return out
 
@@ -50,17 +58,19 @@ def test_cuts_resist_insertions():
 
 
 def test_chunks_equal_plain_version(spark, documents, texts):
-    want = plain(texts)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in chunking.remove_chunks(documents).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 0
+    for whole in (False, True):
+        want = plain(texts, whole)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in chunking.remove_chunks(documents, whole).collect()}
+        assert got == want and sum(w[1] for w in want.values()) > 0
 
 
 def test_chunks_hard_rows(spark, hard_docs, hard_rows, no_docs):
     tie = {(r.doc_id, r.text): r.h for r in hard_docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     rows = [((i is not None, i or 0, tie[i, t]), t or "") for i, t in hard_rows]
-    want = plain(rows)
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in chunking.remove_chunks(hard_docs).collect())
-    assert got == collections.Counter((i, *want[o]) for (i, _), (o, _) in zip(hard_rows, rows))
+    for whole in (False, True):
+        want = plain(rows, whole)
+        got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in chunking.remove_chunks(hard_docs, whole).collect())
+        assert got == collections.Counter((i, *want[o]) for (i, _), (o, _) in zip(hard_rows, rows))
     assert chunking.remove_chunks(no_docs).count() == 0
 
 

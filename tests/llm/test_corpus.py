@@ -70,8 +70,8 @@ def test_jaccard_documents(spark, documents, texts):
 def test_unlike_sets_with_one_key_get_another_seed(spark, monkeypatch):
     keys, seeds = jaccard.Sets._keys, []
 
-    def colliding(self, step):
-        return keys(self, step) * (0 if step == 0 else 1)  # with the first seed all sets have the same key
+    def colliding(self, tokens, step):
+        return keys(self, tokens, step) * (0 if step == 0 else 1)  # with the first seed all sets have the same key
 
     monkeypatch.setattr(jaccard.Sets, "_keys", colliding)
     pages = jaccard._region_pages
@@ -84,7 +84,7 @@ def test_unlike_sets_with_one_key_get_another_seed(spark, monkeypatch):
 
 def test_keys_are_independent():
     texts = [b"a b c d e f", b"a b c d e g", b"", b"a b c d e f"]
-    one, two = jaccard.Sets(texts), jaccard.Sets(texts, 1)
+    one, two = jaccard.Sets(texts, second=True), jaccard.Sets(texts, 1, second=True)
     assert one.keys[0] == one.keys[3] != one.keys[1] and one.second[0] == one.second[3] != one.second[1]
     assert len({one.keys[0], one.second[0], two.keys[0], two.second[0]}) == 4
 
@@ -159,16 +159,75 @@ def test_cutoffs_keep_their_promise(spark, hard_docs, no_docs):
     assert quality.quality_rules(no_docs, labels).count() == 0 and quality.keep_good(no_docs, labels).count() == 0
 
 
-def test_thin_strata_share_a_rule_and_a_failed_step_ends_the_ladder(spark):
+def doubling(n, a="a", b="b"):
+    """The word of n letters that begins a, b, b, a: each half but the first is the one before with its letters changed."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a
+
+
+def test_unlike_words_of_many_letters_are_unlike_documents(spark):
+    rows, i = [], 0
+    for n in (2**k for k in range(10, 17)):
+        for w in (doubling(n), doubling(n, "b", "a")):
+            rows += [(i, w), (i + 1, f"one {w} two three four five"), (i + 2, w)]
+            i += 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in jaccard.jaccard_join(docs).collect()) == joined(rows)
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {k for k, _ in rows if k % 3 < 2}
+
+
+def test_word_hashes_and_exact_sets():
+    import numpy as np
+
+    from tidemill.llm.hashing import hash_words
+
+    r = random.Random(9)
+    long_ = ["".join(r.choice("ab") for _ in range(n)) for n in (1, 7, 8, 9, 16, 63, 64, 65, 200) for _ in range(30)]
+    texts = [" ".join(r.choices(long_, k=r.randint(0, 12))) for _ in range(200)] + [" ".join(long_)] * 2
+    found = {}
+    for t in texts:
+        data = t.encode()
+        spans = [(m.start(), m.end()) for m in brute.WORDS.finditer(t)]
+        starts, ends = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+        for seed in (0, 1):
+            for (a, b), h in zip(spans, hash_words(data, starts, ends, seed).tolist()):
+                assert found.setdefault((seed, t[a:b]), h) == h  # wherever the word stands
+    assert len(set(found.values())) == len(found)
+    hashed, exact = jaccard.Sets([t.encode() for t in texts]), jaccard.ExactSets([t.encode() for t in texts])
+    want = [brute.shingle_set(t) for t in texts]
+    assert hashed.sizes.tolist() == exact.sizes.tolist() == [len(w) for w in want]
+    for x in range(0, 200, 7):
+        for y in range(200):
+            for s in (hashed, exact):
+                assert len(set(s[x].tolist()) & set(s[y].tolist())) == len(want[x] & want[y])
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    from tidemill.llm import chat, chunking, sst, substrings
+
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    shards = lambda d: sst.token_shards(d, public_tokenizers.path("word_bpe_49k.json"))
+    for run in (jaccard.jaccard_join, jaccard.keep_one, substrings.remove_repeats, chunking.remove_chunks, shards):
+        with pytest.raises(TypeError):
+            run(docs)
+    with pytest.raises(TypeError):
+        chat.format_turns(spark.createDataFrame([("c", 1, "user", "t")], "conv_id string, turn long, role string, text string"))
+
+
+def test_thin_strata_and_a_failed_step_ends_the_ladder(spark):
     text = lambda k, sym: " ".join(f"w{k}x{j}" for j in range(25)) + " " + "#" * sym
     rows = [(1000 * n + k, text(k, 0), s, 1) for n, s in enumerate(("de", "fr", None)) for k in range(110)]
-    rows += [(9000 + n, text(n, 30), s, None) for n, s in enumerate(("de", "fr", "new", None, "en"))]
+    rows += [(9000 + n, text(n, 30), s, None) for n, s in enumerate(("de", "fr", "new", None, "en"))]  # 'new' has no label
     rows += [(20000 + k, text(k, 12 if k % 20 == 0 else 0), "en", 1) for k in range(400)]  # 5 % have 12 symbols
     docs, labels = labelled(spark, rows)
-    got = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
-    assert [got[9000 + n].kept for n in range(5)] == [False, False, False, False, False]
-    assert got[0].cut_symbols == got[9002].cut_symbols == 5 and got[20001].cut_symbols == 80 and got[20001].cut_dup_lines == 50
-    assert {i for i, r in got.items() if r.kept} == brute.kept([(i, s or "", t) for i, t, s, _ in rows], {r[0] for r in rows if r[3]}, quality.LADDER)
+    for pooled in (False, True):
+        got = {r.doc_id: r for r in quality.quality_rules(docs, labels, pooled=pooled).collect()}
+        assert [got[9000 + n].kept for n in range(5)] == [not pooled, not pooled, True, not pooled, False]
+        assert got[0].cut_symbols == (5 if pooled else None) and got[9002].cut_symbols is None
+        assert got[20001].cut_symbols == 80 and got[20001].cut_dup_lines == 50
+        want = brute.kept([(i, s or "", t) for i, t, s, _ in rows], {r[0] for r in rows if r[3]}, quality.LADDER, pooled=pooled)
+        assert {i for i, r in got.items() if r.kept} == want == {r.doc_id for r in quality.keep_good(docs, labels, pooled=pooled).collect()}
 
 
 def test_queries_run_and_oracles_agree(spark, sf):

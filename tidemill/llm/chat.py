@@ -17,7 +17,8 @@ digests piece by piece, so a conversation of any length needs no more memory tha
 Defined cases: a null text is empty, a null role is '', a null turn sorts first; turns with the same
 number are ordered by role, then text; a null conv_id is a conversation of its own; conv_ids are exact
 over the whole range of a long; a turn of any length is formatted and parsed in memory in proportion to
-it; other columns, whatever their names, are ignored; an empty table gives an empty result.
+it; conv_id and turn have to be of whole-number types, others are refused; other columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import materialise, whole_number_ids, width
 
 ASSISTANT = "assistant"
 #: Expanded token counts: an image by tiles of 512 with a base, audio by seconds, a document by pages.
@@ -150,6 +151,7 @@ def format_turns(turns: DataFrame, parts: str | None = None) -> DataFrame:
             kinds = _SEGMENT_SCHEMA.types[3:]
             yield pa.RecordBatch.from_arrays([conv, turn, role, *[pa.array(x, k) for x, k in zip(made, kinds)]], schema=_SEGMENT_SCHEMA)
 
+    whole_number_ids(turns, "conv_id", "turn")
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), content]
     return turns.select(*columns).mapInArrow(run, _SEGMENTS)
 
@@ -201,8 +203,11 @@ def read_back(segments: DataFrame) -> DataFrame:
         if current is not None:
             yield pa.RecordBatch.from_pylist([current.row()], _DIGESTS)
 
+    # turns with one number and role go by their text: the segment without its end mark, escapes undone
+    bare = F.expr(f"left(segment, length(segment) - if(role = '{ASSISTANT}', 4, 7))")
+    text = F.regexp_replace(bare, r"(?s)\\(.)", "$1")
     ordered = segments.repartition(width(segments.sparkSession), "conv_id").sortWithinPartitions(
-        "conv_id", "turn", "role", "segment"
+        "conv_id", "turn", F.coalesce("role", F.lit("")), text
     )
     return ordered.select("conv_id", "segment", "mask_start", "mask_end").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

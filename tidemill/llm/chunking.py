@@ -15,7 +15,7 @@ exact copy loses every byte; without, such pieces stay.
 
 Defined cases: a null or empty text has no chunk; rows with a null doc_id come first; rows that share a
 doc_id are ordered by a hash of their text, fully equal rows are the same document; extra columns are
-ignored.
+ignored; doc_id has to be of a whole-number type, others are refused; an empty table gives an empty one.
 """
 
 from __future__ import annotations

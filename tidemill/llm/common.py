@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: The white space between words of quality rules and shingles, as a regex class.
 SPACES = r"[\x20\x09-\x0D]"
 _CHECKPOINT = "spark.checkpoint.dir"
+#: The folder of a local session that names none.
+_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_CHECKPOINT} to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
-        spark.conf.set(_CHECKPOINT, found)
+        if not _local:
+            _local.append(f"file://{tempfile.mkdtemp(prefix='tidemill-')}")
+        found = _local[0]
     return found.rstrip("/")
 
 
@@ -36,7 +40,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
+    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    An empty table is written and read back as one of the same columns.
+    """
     return read_scratch(write_scratch(df, name), df)
 
 
@@ -51,7 +58,7 @@ def read_scratch(path: str, like: DataFrame) -> DataFrame:
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more; one that is gone already, or no path at all, is no error."""
     jvm = spark.sparkContext._jvm
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -63,5 +70,13 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def whole_number_ids(df: DataFrame, *columns: str) -> None:
+    """Refuse, before anything runs, identifiers that are not of a whole-number type."""
+    for c in columns:
+        kind = df.schema[c].dataType
+        if not isinstance(kind, IntegralType):
+            raise TypeError(f"{c} has to be of a whole-number type, not {kind.simpleString()}")
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

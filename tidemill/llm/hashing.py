@@ -6,6 +6,8 @@ task, executor and session.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
@@ -44,6 +46,32 @@ def words_of(buffer: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: The longest word that is hashed by blocks of eight bytes; what is left of a last block counts.
+_SHORT = 64
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+
+
+def hash_words(buffer: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each byte range, for words: blocks are mixed one after another, long words go through BLAKE2b.
+
+    Other seeds give independent hashes.
+    """
+    padded = np.frombuffer(buffer + bytes(8), np.uint8)
+    blocks = np.ndarray(len(buffer) + 1, "<u8", padded, 0, (1,))  # eight bytes from each place on
+    length = (ends - starts).astype(np.int64)
+    with np.errstate(over="ignore"):
+        h = mix(length.astype(U64) + U64(BASE) * U64(seed + 1))
+        for k in range(0, _SHORT, 8):
+            on = np.flatnonzero((length > k) & (length <= _SHORT))
+            if not len(on):
+                break
+            h[on] = mix((h[on] ^ (blocks[starts[on] + k] & _LEFT[np.minimum(length[on] - k, 8)])) * U64(BASE))
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(length > _SHORT).tolist():
+        h[i] = int.from_bytes(blake2b(buffer[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return h
+
+
 def running_sums(buffer: bytes) -> np.ndarray:
     """Prefix sums of the polynomial hash; every range's hash is a difference of two."""
     power, _ = _power_tables(len(buffer) + 1)

@@ -1,15 +1,17 @@
 """Exact Jaccard join of documents by their word shingles, as a join in a metric space.
 
-A document is the set of its distinct five-word shingles, as 64-bit hashes; the distance is one minus
-the Jaccard similarity. Two documents link at a similarity of THRESHOLD percent or more. Equal sets
-are one point, named by a 64-bit key; a second key is compared within each, and should two unlike sets
-ever share the first, all keys are made anew with another seed.
+A document is the set of its distinct five-word shingles; the distance is one minus the Jaccard
+similarity. Two documents link at a similarity of THRESHOLD percent or more. Candidates are found by
+64-bit hashes of shingles; whether a pair links is decided by its words themselves (`ExactSets`). Equal
+sets are one point, named by a 64-bit key; a second key, from an independent hash of the words, is
+compared within each, and should two unlike sets ever share the first, all is hashed anew with another
+seed.
 
 1. Regions. All points share one order of shingles, rare ones first (by a sketch of fixed size). Of
    two linked points each has one of its first n - ceil(0.75 n) + 1 shingles in common with those of
    the other; the points that share one such shingle form a region. Within a batch equal points go
    once.
-2. A region of at most LEAF points is joined directly, keeping the pairs that their sizes and the
+2. A region of at most LEAF points (a switch by size of the path, not of the result) is joined directly, keeping the pairs that their sizes and the
    places of the shared shingle allow and that did not meet at a shingle just before. A parity bitmap of each set gives a lower bound of the
    difference, which rules most other pairs out; the rest are checked on the texts.
 3. Larger regions that overlap are put together and split by pivots. Each pivot's distance to every
@@ -21,7 +23,8 @@ ever share the first, all keys are made anew with another seed.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing;
 with fewer than five words the whole sequence is the one shingle; repeated rows are one point;
-component_id is the least non-null doc_id of the component (null if there is none).
+component_id is the least non-null doc_id of the component (null if there is none); doc_id has to be
+of a whole-number type.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import discard, materialise, read_scratch, width, write_scratch
 from .components import connected_components
-from .hashing import U64, hash_ranges, mix, running_sums, words_of
+from .hashing import U64, hash_words, mix, words_of
 from .sketch import cells, frequency_classes, membership_filter
 from .substrings import chunks, with_order
 
@@ -69,24 +72,36 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Sets:
-    """The shingle sets of some texts: tokens[first[k]:first[k + 1]] is sorted and distinct."""
+    """The shingle sets of some texts, as hashes: tokens[first[k]:first[k + 1]] is sorted and distinct.
 
-    def __init__(self, texts: list[bytes], seed: int = 0):
+    With keys, each set also has a key by these hashes and a second one by independent ones.
+    """
+
+    def __init__(self, texts: list[bytes], seed: int = 0, keys: bool = True, second: bool = False):
         joined = b"\n".join(texts).lower()  # bytes.lower() changes A-Z only
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         starts, ends = words_of(joined, _WORD)
-        h = hash_ranges(running_sums(joined), starts, ends)
+        h = hash_words(joined, starts, ends, 2 * seed)
+        other = hash_words(joined, starts, ends, 2 * seed + 1) if second else None
         word = np.searchsorted(starts, bounds)
         counts = np.diff(word)
-        parts = []
+        parts, others = [], []
         with np.errstate(over="ignore"):
             whole = _shingles(h, SIZE) if len(h) >= SIZE else h[:0]
+            whole_other = _shingles(other, SIZE) if second and len(h) >= SIZE else None
             for at, c in zip(word.tolist(), counts.tolist()):
                 if c >= SIZE:
                     own = whole[at : at + c - SIZE + 1]
-                    own.sort()
+                    if second:
+                        order = np.argsort(own, kind="stable")
+                        own = own[order]
+                        others.append(whole_other[at : at + c - SIZE + 1][order])
+                    else:
+                        own.sort()
                 else:
                     own = _shingles(h[at : at + c], c) if c else h[:0]
+                    if second:
+                        others.append(_shingles(other[at : at + c], c) if c else h[:0])
                 parts.append(own)
             tokens = np.concatenate([np.zeros(0, U64), *parts])
             lengths = np.array([len(p) for p in parts], np.int64)
@@ -97,17 +112,55 @@ class Sets:
             self.tokens = tokens[keep]
             self.first = np.concatenate([[0], np.cumsum(keep)])[np.append(first, len(tokens))]
             self.sizes = np.diff(self.first)
-            self.keys, self.second = (self._keys(_STEP * U64(2 * seed + k)) for k in (0, 1))
+            if keys:
+                self.keys = self._keys(self.tokens, _STEP * U64(2 * seed))
+            if second:
+                self.second = self._keys(np.concatenate([np.zeros(0, U64), *others])[keep], _STEP * U64(2 * seed + 1))
 
-    def _keys(self, step: np.uint64) -> np.ndarray:
+    def _keys(self, tokens: np.ndarray, step: np.uint64) -> np.ndarray:
         """A key of each set: a sum of hashes of its tokens."""
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.tokens + step))])
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(tokens + step))])
         return mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(U64)).view(np.int64)
 
     def __getitem__(self, k: int) -> np.ndarray:
         return self.tokens[self.first[k] : self.first[k + 1]]
 
 
+class ExactSets:
+    """The shingle sets of some texts by their words, numbered within these texts; the same fields as Sets.
+
+    Words are numbered by a dictionary, runs of two, four and five words by the numbers of their parts.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        words = [t.lower().split() for t in texts]  # white space of bytes is that of words
+        known: dict = {}
+        ids = np.fromiter((known.setdefault(w, len(known)) for own in words for w in own), np.int64)
+        five = ids[:0]
+        if len(ids) >= SIZE:
+            two = self._numbered(ids[:-1], ids[1:])
+            five = self._numbered(self._numbered(two[:-2], two[2:])[:-1], ids[4:])
+        parts, at, few = [], 0, {}
+        for own in words:
+            c = len(own)
+            if c >= SIZE:
+                parts.append(np.unique(five[at : at + c - SIZE + 1]))
+            else:
+                parts.append(np.array([-1 - few.setdefault(tuple(own), len(few))] if own else [], np.int64))
+            at += c
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.tokens = np.concatenate([ids[:0], *parts])
+
+    @staticmethod
+    def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A number for each pair (a, b), equal for equal pairs."""
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.tokens[self.first[k] : self.first[k + 1]]
+
+
 def links(common: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: int) -> np.ndarray:
     return 100 * common >= threshold * (size_a + size_b - common)
 
@@ -132,7 +185,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 def _points(seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in chunks(batches):
-            s = Sets(texts, seed)
+            s = Sets(texts, seed, second=True)
             bitmaps = [parity(s[k]) for k in range(len(ids))]
             yield pd.DataFrame({"ord": ids, "n_shingles": s.sizes, "key": s.keys, "second": s.second, "parity": bitmaps})
 
@@ -236,7 +289,7 @@ def _measure(threshold: int):
         texts: dict[str, int] = {}
         left = [texts.setdefault(t, len(texts)) for t in b["text_a"]]
         right = [texts.setdefault(t, len(texts)) for t in b["text_b"]]
-        s = Sets([t.encode() for t in texts])
+        s = ExactSets([t.encode() for t in texts])
         common = np.array([len(np.intersect1d(s[x], s[y], assume_unique=True)) for x, y in zip(left, right)], np.int64)
         sa, sb = s.sizes[left], s.sizes[right]
         union = np.maximum(1, sa + sb - common)
@@ -290,7 +343,7 @@ def _block_links(threshold: int):
     """Rows of (pair of blocks, side, key, text), in order -> links, a spanning set per pair of blocks."""
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        s = Sets([t.encode() for t in group["text"]])
+        s = ExactSets([t.encode() for t in group["text"]])
         keys, near = group["key"].to_numpy(), group["side"].to_numpy() == 0
         ones, twos = np.flatnonzero(near), np.flatnonzero(~near)
         doc = np.repeat(np.arange(len(keys)), s.sizes)
@@ -399,12 +452,18 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
     texts = ordered.select("ord", "text").where("text <> ''")
 
     def tokens(b: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([np.zeros(0, U64), *(Sets(t).tokens for _, t in chunks([b]))])
+        return np.concatenate([np.zeros(0, U64), *(Sets(t, keys=False).tokens for _, t in chunks([b]))])
 
     classes_of = spark.sparkContext.broadcast(frequency_classes(texts, tokens, CELLS))
+    scratch: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(write_scratch(df, name))
+        return read_scratch(scratch[-1], df)
+
     for seed in count():
-        points = materialise(texts.mapInPandas(_points(seed), "ord long, n_shingles long, key long, second long, parity binary"), "points")
-        classes = materialise(points.where("n_shingles > 0").groupBy("key").agg(
+        points = kept(texts.mapInPandas(_points(seed), "ord long, n_shingles long, key long, second long, parity binary"), "points")
+        classes = kept(points.where("n_shingles > 0").groupBy("key").agg(
             F.min("ord").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"),
             (F.min("second") != F.max("second")).alias("clash"),
         ), "classes")
@@ -412,8 +471,7 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
             break
     points, classes = points.drop("second"), classes.drop("clash")
     pages = texts.mapInPandas(_region_pages(parts, classes_of, threshold, seed), "part int, data binary")
-    found = pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, a long, b long")
-    found = materialise(found, "regions")
+    found = kept(pages.repartition(width(spark), "part").mapInPandas(_regions(threshold), "kind int, a long, b long"), "regions")
     dealt = ordered.select("ord", "text").where("ord IS NOT NULL")
     pairs = found.where("kind = 1").select("a", "b").distinct()
     possible = _named(pairs, classes).mapInPandas(_possible(threshold), "a long, b long, ra long, rb long")
@@ -424,7 +482,9 @@ def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
     named = points.drop("parity").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "ord", "n_shingles", F.coalesce("root", "key").alias("root")
     )
-    return ordered.select("ord", "doc_id").join(named.distinct(), "ord", "left")
+    rows = materialise(ordered.select("ord", "doc_id").join(named.distinct(), "ord", "left"), "rooted")
+    discard(spark, *scratch)
+    return rows
 
 
 def _is_empty():
@@ -433,7 +493,7 @@ def _is_empty():
 
 def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    rows = materialise(_rooted(docs, threshold), "rooted")
+    rows = _rooted(docs, threshold)
     some = rows.where(~_is_empty())
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     none = rows.where(_is_empty()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -445,14 +505,19 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Every row with an empty set stays, repeated or not. Of several rows with the first document's id and
     text the one stays whose JSON form has the least digest; rows that are equal in all columns are one.
+
+    What stays is settled on a narrow table, which the rows meet in one join.
     """
-    rows = materialise(_rooted(docs, threshold), "rooted")
-    some = rows.where(~_is_empty())
-    first = some.groupBy("root").agg(F.min("ord").alias("ord")).select("ord")
-    again = some.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ord", F.lit(True).alias("again"))
+    rows = _rooted(docs, threshold)
+    first = rows.where(~_is_empty()).groupBy("root").agg(F.min("ord").alias("ord")).select("ord", F.lit(True).alias("first"))
+    each = rows.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.first(_is_empty()).alias("empty"))
+    stays = materialise(
+        each.join(first, "ord", "left").where("empty OR first").select("ord", (~F.col("empty") & (F.col("n") > 1)).alias("again")), "stays"
+    )
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    numbered = with_order(whole, ("row",))
-    empty = numbered.join(rows.where(_is_empty()).select("ord").distinct(), "ord", "left_semi").select("row.*")
-    stays = numbered.join(first.join(again, "ord", "left"), "ord").select("ord", "row", F.coalesce("again", F.lit(False)).alias("again"))
-    repeated = stays.where("again").groupBy("ord").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
-    return stays.where("NOT again").select("row.*").unionByName(repeated.select("row.*")).unionByName(empty)
+    # the same join at every size: the narrow side is hashed, the rows are not sorted
+    numbered = with_order(whole, ("row",)).join(stays.hint("shuffle_hash"), "ord").select("ord", "again", "row")
+    if stays.where("again").isEmpty():
+        return numbered.select("row.*")
+    repeated = numbered.where("again").groupBy("ord").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return numbered.where("NOT again").select("row.*").unionByName(repeated.select("row.*"))

@@ -77,16 +77,13 @@ def op10_quality_rules() -> str:
       v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
       good AS (SELECT v.* FROM v JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) > 0) l ON v.doc_id = l.doc_id WHERE NOT base_failed),
       tests AS ({counts}),
-      thin AS (SELECT DISTINCT stratum, n < ceil(ln({quality.DELTA} / (SELECT count(DISTINCT stratum) FROM good)) / ln({q})) AS pooled FROM tests),
-      grouped AS (SELECT CASE WHEN pooled THEN NULL ELSE stratum END AS of_, pooled, step, sum(n)::bigint AS n, sum(k)::bigint AS k
-        FROM tests JOIN thin USING (stratum) GROUP BY ALL),
-      judged AS (SELECT *, k < {p} * n AND {tail} <= {quality.DELTA} / (SELECT count(*) FROM grouped WHERE step = 0) AS ok FROM grouped),
-      last AS (SELECT of_, pooled, coalesce(min(step) FILTER (WHERE NOT ok), {len(quality.LADDER)}) - 1 AS step FROM judged GROUP BY ALL),
-      rules AS (SELECT of_, pooled, s.* FROM last JOIN (VALUES {steps}) s(step, symbols, dup_lines, long_words) ON last.step = s.step),
-      cuts AS (SELECT v.*, CASE WHEN thin.pooled IS NULL OR thin.pooled THEN true ELSE false END AS in_pool FROM v LEFT JOIN thin ON v.stratum = thin.stratum)
+      sized AS (SELECT * FROM tests WHERE n >= ceil(ln({quality.DELTA} / (SELECT count(DISTINCT stratum) FROM good)) / ln({q}))),
+      judged AS (SELECT *, k < {p} * n AND {tail} <= {quality.DELTA} / (SELECT count(*) FROM sized WHERE step = 0) AS ok FROM sized),
+      last AS (SELECT stratum, coalesce(min(step) FILTER (WHERE NOT ok), {len(quality.LADDER)}) - 1 AS step FROM judged GROUP BY ALL),
+      rules AS (SELECT stratum, s.* FROM last JOIN (VALUES {steps}) s(step, symbols, dup_lines, long_words) ON last.step = s.step)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         NOT base_failed AND NOT {fails(('symbols', 'dup_lines', 'long_words'))} AS kept
-      FROM cuts LEFT JOIN rules ON in_pool = rules.pooled AND (in_pool OR stratum = of_)"""
+      FROM v LEFT JOIN rules ON v.stratum = rules.stratum"""
 
 
 def op11_fill_in_middle() -> str:

@@ -11,9 +11,10 @@ most `risk` of a stratum's good documents are wrongly rejected. With no step cer
 rejects nothing there.
 
 A stratum with fewer good labels than could certify anything (`fewest_labels`: 149 for one stratum at
-the default risk and error, 217 for four) is thin. All thin strata are tested together as one, named
-POOL, and share its rule; the promise then holds for the good documents of the pool as a whole. A
-language without labels belongs to the pool.
+the default risk and error, 217 for four) is thin: nothing is certified there and the ladder rejects
+nothing, as in a language without labels. With `pooled` all thin strata are tested together as one, named
+POOL, and share its rule; the promise then holds for their good documents as a whole only. A language
+without labels has no cutoffs in either case.
 
 Defined cases: a null or empty text has no words, hence base_failed. A null language is the
 stratum ''. Label rows with a null quality or doc_id are ignored; of several rows for a document the
@@ -139,10 +140,11 @@ def _tail(n: str, k: str, p: float) -> Column:
     )
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, pooled, one column per signal): the rule of each labelled stratum and of POOL; null cutoffs where none is certified.
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, pooled: bool = False) -> DataFrame:
+    """(stratum, one column per signal): the rule of each labelled stratum; null cutoffs where none is certified.
 
-    pooled strata are those that take POOL's rule. measured: stratum, doc_id and the metrics.
+    pooled: thin strata take the rule of all of them together; without, they have none and are left out.
+    measured: stratum, doc_id and the metrics.
     """
     best = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good = measured.join(best.where("quality > 0").select("doc_id"), "doc_id").where(~base_failed())
@@ -150,48 +152,42 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK
     counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), fails.alias("k"))
     # one row per language from here on
     total = counts.agg(F.count(F.lit(1)).alias("strata"))
-    sized = counts.crossJoin(F.broadcast(total)).withColumn("pooled", F.col("n") < fewest_labels(F.col("strata"), risk, delta))  # a single row
-    group = F.when(F.col("pooled"), POOL).otherwise(F.concat(F.lit("="), "stratum"))
-    groups = sized.groupBy(group.alias("of")).agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.get("k", F.lit(i))) for i in range(len(LADDER))]).alias("k"),
-        F.collect_list("stratum").alias("strata"), F.first("pooled").alias("pooled"),
-    )
+    sized = counts.crossJoin(F.broadcast(total)).withColumn("thin", F.col("n") < fewest_labels(F.col("strata"), risk, delta))  # a single row
+    if not pooled:
+        sized = sized.where("NOT thin")
+    named = sized.withColumn("of", F.when(F.col("thin"), POOL).otherwise(F.concat(F.lit("="), "stratum")))
+    groups = named.groupBy("of").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("k", F.lit(i))) for i in range(len(LADDER))]).alias("k"))
     many = groups.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("tested"))))  # a single row
     steps = many.select("of", "n", "tested", F.posexplode("k").alias("step", "fail"))
     failed = steps.where(~((F.col("fail") < risk * F.col("n")) & (_tail("n", "fail", risk) <= F.lit(delta) / F.col("tested"))))
     last = failed.groupBy("of").agg(F.min("step").alias("stop"))
     table = F.array(*[F.struct(*[F.lit(c).alias(f"cut_{s}") for s, c in zip(SIGNALS, step)]) for step in LADDER])
     rule = F.get(table, F.coalesce("stop", F.lit(len(LADDER))) - 1)
-    ruled = groups.join(last, "of", "left").withColumn("rule", rule)
-    names = F.when(F.col("pooled"), F.array(F.lit(None).cast("string"))).otherwise(F.col("strata"))
-    return ruled.select(F.explode(names).alias("stratum"), "pooled", *[F.col(f"rule.cut_{s}").alias(f"cut_{s}") for s in SIGNALS])
+    ruled = named.select("stratum", "of").join(last, "of", "left").withColumn("rule", rule)
+    return ruled.select("stratum", *[F.col(f"rule.cut_{s}").alias(f"cut_{s}") for s in SIGNALS])
 
 
 def _ruled(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """rows (with stratum and the metrics) with the cutoffs of their stratum, else those of the pool."""
-    cuts = [f"cut_{s}" for s in SIGNALS]
-    own = cutoffs.where("NOT pooled").select("stratum", F.lit(True).alias("own"), *cuts)
-    pool = cutoffs.where("pooled").agg(*[F.first(c).alias(f"pool_{c}") for c in cuts])
-    joined = rows.join(small_side(own, MAX_STRATA), "stratum", "left").crossJoin(F.broadcast(pool))  # a single row
-    return joined.withColumns({c: F.when(F.col("own"), F.col(c)).otherwise(F.col(f"pool_{c}")) for c in cuts}).drop("own", *[f"pool_{c}" for c in cuts])
+    """rows (with stratum and the metrics) with the cutoffs of their stratum, null where it has none."""
+    return rows.join(small_side(cutoffs, MAX_STRATA), "stratum", "left")
 
 
 def _kept() -> Column:
     return ~base_failed() & ~_fails([F.col(f"cut_{s}") for s in SIGNALS])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """One row per document: doc_id, metrics, base_failed, the cutoffs used and kept."""
     keep = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"))
     measured = materialise(metrics(keep, ("doc_id", "stratum")), "quality-metrics")
-    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta), "quality-cutoffs")
+    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta, pooled), "quality-cutoffs")
     return _ruled(measured, cutoffs).select(
         "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), *[f"cut_{s}" for s in SIGNALS], _kept().alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
     The metrics are made twice, once for the cutoffs and once beside the rows: no text is shuffled, and no
@@ -199,8 +195,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     """
     stratum = F.coalesce("lang", F.lit("")).alias("stratum")
     measured = materialise(metrics(docs.select("doc_id", "text", stratum), ("doc_id", "stratum")), "quality-metrics")
-    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta), "quality-cutoffs")
+    cutoffs = materialise(certified_cutoffs(measured, labels, risk, delta, pooled), "quality-cutoffs")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    # with the partition beside them the metrics are not moved into the filter, where they would be made once more
-    rows = metrics(docs.select(row, "text", stratum), ("row", "stratum")).withColumn("partition", F.spark_partition_id())
-    return _ruled(rows, cutoffs).where(_kept() & (F.col("partition") >= 0)).select("row.*")
+    rows = metrics(docs.select(row, "text", stratum), ("row", "stratum"))
+    # out of a generator of one row the metrics are not moved into the filter, where they would be made once more
+    bound = rows.select("row", "stratum", F.inline(F.array(F.struct(*[c for c in rows.columns if c not in ("row", "stratum")]))))
+    return _ruled(bound, cutoffs).where(_kept()).select("row.*")

@@ -12,7 +12,7 @@ Spans are code-point offsets, end exclusive. They come from the lengths of the m
 gaps between them, summed by a window over the document's matches.
 
 Defined cases: a null text is empty and has no spans (spans is ''); weak parts that overlap a base
-span are dropped; repeated rows (same doc_id and text) each get the same result; rows that share a
+span are dropped; `redact` passes other columns on, whatever their names; repeated rows (same doc_id and text) each get the same result; rows that share a
 doc_id but not the text are told apart by a digest of both.
 """
 
@@ -34,6 +34,8 @@ KINDS = {
     "endpoint": (r"(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!&*+,;=%-]+", 0, 8, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
+#: The characters of which the kinds without hints (access, hex, weak) have 16 in a row at least.
+RUN = "[A-Za-z0-9+/_-]"
 #: Literals of which a text must hold one, in lower case, for the pattern to match at all.
 _HINTS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -150,13 +152,27 @@ def secrets_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _may_match() -> Column:
+    """Whether the column text may hold a match of any kind: a hint, or a run that the patterns without hints need."""
+    out = F.col("text").rlike(f"{RUN}{{16}}")
+    for hint in dict.fromkeys(h for hints in _HINTS.values() for h in hints):
+        out = out | F.contains(F.lower("text"), F.lit(hint))
+    return F.coalesce(out, F.lit(False))
+
+
 def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """docs with every reported span replaced by mark; n_chars, if there, follows. All rows stay."""
-    found = materialise(parts(docs), "secret-parts")
+    """docs with every reported span replaced by mark; n_chars, if there, follows. All rows stay.
+
+    Rows that cannot hold a match go through as they are; only the others meet the spans, in a join of
+    the same kind at every size.
+    """
+    some = docs.where(_may_match())
+    found = materialise(parts(some), "secret-parts")
     spans = found.where(F.col("kind") < len(BASE)).unionByName(linked(found))
     by_doc = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     # the spans grow with the documents, so they are never broadcast, however few there are here
-    rows = _keyed(docs, F.struct(*docs.columns).alias("row")).join(by_doc.hint("merge"), "key", "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _keyed(some, row).join(by_doc.hint("shuffle_hash"), "key", "left")
     bounds = "array<struct<start:bigint,end:bigint>>"
     merged = F.aggregate(
         "spans",
@@ -184,7 +200,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     fields["text"] = F.coalesce("clean", fields["text"])
     if "n_chars" in fields:
         fields["n_chars"] = F.when(changed, F.length("clean")).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return clean.select(*[x.alias(c) for c, x in fields.items()])
+    return docs.where(~_may_match()).unionByName(clean.select(*[x.alias(c) for c, x in fields.items()]))
 
 
 def _after(spans: Column, i: Column) -> Column:

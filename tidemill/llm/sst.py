@@ -15,8 +15,8 @@ manifest are read, so a lost or repeated task leaves no trace in the result.
 
 Defined cases: a null or empty text has only the end id; a null doc_id sorts first; ids are exact over
 the whole range of a long, beside nulls too; rows with equal doc_id all stay, ordered by a hash of their
-text; a text of any length is encoded whole, a stretch at a time; other columns are ignored; an empty
-table writes no shard.
+text; a text of any length is encoded whole, a stretch at a time; doc_id has to be of a whole-number type,
+others are refused; other columns are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import materialise, scratch_path, width
+from .common import materialise, scratch_path, whole_number_ids, width
 
 END_ID = 2
 BLOCK_BYTES = 1 << 18
@@ -331,6 +331,7 @@ _MANIFEST = "shard string, first_key binary, last_key binary, entries long, ids
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Write docs as shards under folder; the manifest: shard, first_key, last_key, entries and ids per file."""
+    whole_number_ids(docs, "doc_id")
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

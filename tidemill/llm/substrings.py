@@ -21,7 +21,7 @@ Equality of 16-grams and contexts in step 2 is by two 64-bit hashes together; st
 Defined cases: a null or empty text has no bytes and nothing is removed; texts shorter than `least`
 are kept whole; rows with a null doc_id come first; rows that share a doc_id are ordered by a hash of
 their text, and fully equal rows are the same document (each gets its result); extra columns are
-ignored.
+ignored; doc_id has to be of a whole-number type, others are refused; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import materialise, whole_number_ids, width
 from .hashing import U64, hash_grams, hash_ranges, mix, running_sums, sliding_min
 from .sketch import cells, frequency_classes
 from .suffixes import maximal_repeats, piecewise_repeats
@@ -52,15 +52,15 @@ _SLAB = 60_000
 
 def with_order(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(ord, doc_id, text, and keep): ord is unique per (doc_id, text) and orders documents; it is doc_id itself if that is unique."""
+    whole_number_ids(docs, "doc_id")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     clash = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if clash.isEmpty():
         return rows.select(F.col("doc_id").cast("long").alias("ord"), "doc_id", "text", *keep)
     hashed = rows.withColumn("tie", F.xxhash64("text"))
     ordered = hashed.select("doc_id", "tie").distinct().orderBy(F.asc_nulls_first("doc_id"), "tie")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(f"id {kind}, tie long, ord long")
-    numbered = materialise(numbered, "document-order")
+    # ids of rows grow along the sorted partitions; written once, they no longer depend on how these are made
+    numbered = materialise(ordered.select(F.col("doc_id").alias("id"), "tie", F.monotonically_increasing_id().alias("ord")), "document-order")
     return hashed.join(numbered, F.col("doc_id").eqNullSafe(F.col("id")) & (hashed["tie"] == numbered["tie"])).select(
         "ord", "doc_id", "text", *keep
     )
