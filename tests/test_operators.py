@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import dedupe, rank, scan, scoring, sync
+from tidemill.operators import dedupe, matching, rank, scan, scoring, sync
 from tidemill.plans import documents, pipeline
 from tidemill.rules import Rules, build
 from tidemill.schema import MATERIAL
@@ -209,3 +209,64 @@ def test_manifest_misses(spark):
     made = spark.createDataFrame([("a", "x", 1, "old"), ("a", "x", 2, "new")], "company string, position string, seq int, resume_path string")
     out = sync.plan_upserts(scored, spark.createDataFrame([("v", "r")], "url string, record_id string"), made)
     assert {(r.seq, r.resume_path, r.action) for r in out.collect()} == {(1, "new", "create"), (2, None, "update")}
+
+
+def test_phrases_of_any_length(spark):
+    r = random.Random(3)
+    texts = [(k, "".join(r.choice("ab \n🙂é") for _ in range(r.randint(0, 60)))) for k in range(60)] + [(90, None), (91, ""), (92, "ab" * 5000)]
+    phrases = {"".join(r.choice("ab 🙂é") for _ in range(r.randint(1, 7))) for _ in range(200)} | {"a", "🙂", "\n", "ab" * 40}
+    docs = spark.createDataFrame(texts, "id long, body string").repartition(3)
+    rules = spark.createDataFrame([(p,) for p in [*phrases, "", None, *list(phrases)[:5]]], "phrase string")
+    want = {(k, p) for k, t in texts if t for p in phrases if p in t}
+    for few in (10**6, 0):
+        matching.FEW_ANCHORS = matching.FEW_PAIRS = few
+        found = [tuple(x) for x in matching.phrase_matches(docs, rules, "id", "body").collect()]
+        assert len(found) == len(want) and set(found) == want
+    matching.FEW_ANCHORS, matching.FEW_PAIRS = 200_000, 100_000
+    assert matching.phrase_matches(docs, rules.limit(0), "id", "body").count() == 0
+    assert matching.phrase_matches(docs.limit(0), rules, "id", "body").count() == 0
+
+
+def test_rule_table_counts_like_the_literals(spark):
+    df = scoring.with_texts(postings(spark, [(1, "c", "Dev", "", "", "x1 py export k1 train 3+ years", False), (2, "c", "ops lead", "", "", "sql", False)]))
+    rows = df.select("seq", "body").collect()
+    got = {(r.seq, r.section, r.grp): (r.n, r.value) for r in matching.rule_hits(df.select("seq", "body"), matching.rule_table(spark, RULES), "seq", "body").collect()}
+    want = {}
+    for r in rows:
+        for section, grp, _, phrase, _, value in matching.rule_rows(RULES):
+            if phrase in r.body:
+                n, v = want.get((r.seq, section, grp), (0, 0.0))
+                want[r.seq, section, grp] = (n + 1, v + (value or 0.0))
+    assert got == want and got[1, "track_body", "b"] == (2, 4.0)  # listed twice, counted twice
+
+
+def test_sparse_ranking_equals_the_dense_one(spark):
+    r = random.Random(4)
+    words = ["data", "python", "api", "the", "c++", "ai", "sensor", "zz", "ros2", "sql", "é", "backend tools"]
+    pick = lambda n: [r.choice(words) + r.choice(["", " x", "!"]) for _ in range(r.randint(0, n))]
+    rows = []
+    for k in range(120):
+        kind = r.choice(["experience", "project", "other"])
+        variants = {"data_scientist": pick(3)} if k % 3 else None
+        rows.append((kind, f"i{k}", f"n{k}", "", "", "", "", pick(4) if k % 7 else None, pick(4) if k % 5 else None, variants, r.sample(list(rank.FAMILIES), r.randint(0, 2)) if k % 4 else None, k))
+    items = spark.createDataFrame(rows, MATERIAL)
+    jobs = postings(spark, [(k, "c", " ".join(pick(3)), "", "", " ".join(pick(12)) + " testing workflow", False) for k in range(80)])
+    signals = rank.with_signals(jobs)
+    limits = ({"experience": 1, "project": 3}, {"experience": 2, "project": 2})
+    both = []
+    for few in (1000, 0):
+        rank.FEW_MATERIALS = few
+        ranked = rank.rank_materials(signals, items, *limits)
+        both.append(sorted((x.seq, x.kind, x.item_rank, x.id, x.item_score, tuple(x.selected_bullets)) for x in ranked.collect()))
+        if few == 0:
+            plan = ranked._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    rank.FEW_MATERIALS = 1000
+    assert both[0] == both[1] and len(both[0]) > 100
+    assert "item_score" in ranked.columns and "norm_tags" not in ranked.columns
+
+
+def test_each_text_is_normalised_once(spark):
+    jobs = postings(spark, [(1, "c", "data", "", "", "d", False)])
+    plan = rank.with_signals(jobs).select("seq", "role_family", "matched_keywords", "focus_terms")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 4  # two steps each for title and body

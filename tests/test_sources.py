@@ -53,6 +53,37 @@ def test_search_pages(spark):
         remote.refuse_blocked("<title>Blocked - Indeed.com</title>")
 
 
+def counted(layout, asked):
+    """A page that leaves a mark of each call; the look-back tells how often the test may call."""
+    with open(asked["location"].partition("@")[2] or os.devnull, "a") as f:
+        f.write(f"{asked['keywords']} {asked['f_TPR']}\n")
+    return "page"
+
+
+def test_filters_choose_the_searches(spark, tmp_path):
+    remote.register(spark)
+    log = tmp_path / "calls"
+    df = spark.read.format("search_pages").options(
+        fetcher="tests.test_sources:counted", regions=json.dumps([f"r1@{log}", "r2"]), titles='["a","b","c"]', hours="[24,48]"
+    ).load()
+    some = df.where((F.col("region") == f"r1@{log}") & F.col("search_keyword").isin("a", "b", "zz") & (F.col("hours") == 48) & (F.length("html") > 0))
+    assert sorted((r.seq, r.search_keyword, r.hours) for r in some.collect()) == [(1, "a", 48), (3, "b", 48)]
+    assert sorted(log.read_text().split("\n")[:-1]) == ["a r172800", "b r172800"]  # no other search was made
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "region" not in plan.partition("Filter")[2].split("\n")[0] and "length(html" in plan
+    assert df.where("region = 'r3'").count() == 0 and df.where("region = 'r2' AND search_keyword = 'c'").count() == 2
+
+
+def viewed(page_size, token, view):
+    return {"items": [{"record_id": f"{view}{k}"} for k in range(2)]} if view != "closed" else 1 / 0
+
+
+def test_views_are_partitions(spark):
+    remote.register(spark)
+    df = spark.read.format("remote_records").options(client="tests.test_sources:viewed", views='["a","closed","b"]').load()
+    assert [(r.view, r.seq, r.record_id) for r in df.where("view IN ('a', 'b')").orderBy("view", "seq").collect()] == [("a", 0, "a0"), ("a", 1, "a1"), ("b", 0, "b0"), ("b", 1, "b1")]
+
+
 def test_details_and_field_definitions(spark):
     remote.register(spark)
     rows = spark.createDataFrame([(0, 0, "j1"), (0, 1, ""), (0, 2, "j2"), (1, 0, "j3"), (1, 1, "j4")], "seq int, card_no int, job_id string")
@@ -93,6 +124,107 @@ def test_upserts_and_alert(spark, tmp_path, monkeypatch):
     assert pipeline.chosen_sources({}) == {"linkedin"} and pipeline.chosen_sources({"source": ""}) == set()
 
 
+def growing(page_size, token, view):
+    """The remote table: what was sent so far, to the file that the view names."""
+    with open(view) as f:
+        sent = [json.loads(json.loads(line)[2]) for line in f]
+    return {"items": [{"record_id": f"r{k}", "fields": {"url": {"link": x["url"]}}} for k, x in enumerate(sent)]}
+
+
+def test_counts_are_of_what_was_sent(spark, tmp_path):
+    """The plan looks into a remote table that grows while it is sent."""
+    from tidemill.operators import sync
+
+    sent = tmp_path / "sent"
+    sent.touch()
+    remote.register(spark)
+    there = spark.read.format("remote_records").options(client="tests.test_sources:growing", views=json.dumps([str(sent)])).load()
+    seen = sync.remote_lookup(there.select("seq", "record_id", F.get_json_object("fields", "$.url").alias("cell")), "cell", "seq")
+    rows = spark.createDataFrame([(f"u{k % 2}", k) for k in range(4)], "url string, seq int")
+    plan = sync.plan_upserts(rows, seen).select("action", "record_id", F.to_json(F.struct("url", F.lit(str(sent)).alias("to"))).alias("payload"))
+    assert [tuple(r) for r in remote.apply_upserts(plan, "tests.test_sources:send", dry_run=False).collect()] == [("create", 4)]
+    lines = [json.loads(x) for x in sent.read_text().splitlines()]
+    assert len(lines) == 4 and len({x[3] for x in lines}) == 4  # equal rows are all sent, by keys of their own
+    assert {x[3].partition(":")[2] for x in lines} == {"0", "1"}
+    again = remote.apply_upserts(plan, "tests.test_sources:send", dry_run=False)
+    assert [tuple(r) for r in again.collect()] == [("update", 4)]
+    assert remote.apply_upserts(plan.limit(0), "tests.test_sources:send", dry_run=False).count() == 0
+
+
+def test_a_plan_that_fails_sends_nothing(spark, tmp_path):
+    sent = tmp_path / "sent"
+    to = json.dumps({"to": str(sent)})
+    plan = spark.range(8, numPartitions=4).select(
+        F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise("create").alias("action"), F.lit(None).cast("string").alias("record_id"), F.lit(to).alias("payload")
+    )
+    with pytest.raises(Exception, match="no"):
+        remote.apply_upserts(plan, "tests.test_sources:send", dry_run=False)
+    assert not sent.exists()
+
+
+def test_staged_files_of_an_aborted_job_go(tmp_path):
+    from pyspark.sql import Row
+
+    writer = remote._StageWriter({"staging": f"file://{tmp_path}/s"})
+    done = writer.write(iter([Row(action="create", record_id=None, payload="p", key="k")]))
+    assert (tmp_path / "s" / done.file).exists()
+    writer.abort([done, None])
+    assert not list((tmp_path / "s").iterdir())
+    writer.commit([writer.write(iter([Row(action="create", record_id=None, payload="p", key="k")] * 2)), None])
+    part = next(p for p in (tmp_path / "s").iterdir() if p.name.startswith("part-"))
+    assert [json.loads(x)["key"] for x in part.read_text().splitlines()] == ["k:0", "k:1"]
+
+
+def test_json_round_trips(spark, tmp_path):
+    rows = [(f"c{k}", "é\n\"x\"" if k % 3 else "", k % 2 == 0) for k in range(50)]
+    df = spark.createDataFrame(rows, "company string, description string, easy_apply boolean")
+    for name, array in (("lines", False), ("array", True)):
+        path = f"file://{tmp_path}/{name}"
+        files.write_json(df.repartition(3), path, array)
+        back = files.read_postings(spark, path)
+        assert {(r.company, r.description, r.easy_apply) for r in back.collect()} == set(rows) and back.count() == 50
+    for part in (tmp_path / "array").glob("part-*"):
+        assert isinstance(json.loads(part.read_text()), list)
+    files.write_json(df.limit(0), f"file://{tmp_path}/none", True)
+    assert files.read_postings(spark, f"file://{tmp_path}/none").count() == 0
+    files.write_json(df.limit(0), f"file://{tmp_path}/none2")
+    assert files.read_postings(spark, f"file://{tmp_path}/none2").count() == 0
+
+
+def test_text_tree_has_hidden_files(spark, tmp_path):
+    root = tmp_path / "tree"
+    names = ["a.py", "__init__.py", "_config.yml", ".env.json", "_site/x.md", ".conf/y.yaml"]
+    others = [".git/config.yml", ".gitignore", "sub/__pycache__/c.py", "plain", "data.bin"]
+    for n in names + others:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text("mail me: a@b.org")
+    (root / "data.bin").unlink()
+    with open(root / "data.bin", "wb") as f:
+        f.truncate(5 << 30)  # never opened
+    found = files.read_text_tree(spark, f"file://{root}")
+    assert sorted(r.path for r in found.collect()) == sorted(f"file://{root}/{n}" for n in names)
+    from tidemill.operators import scan
+
+    assert scan.findings(found, "content", ("path",)).count() == 6 and not scan.clean(scan.findings(found, "content", ("path",)))
+    assert scan.clean(scan.findings(found.where("path LIKE '%none%'"), "content", ("path",)))
+    (tmp_path / "nothing").mkdir()
+    assert files.read_text_tree(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    for name in ("l1.txt", "l2.txt"):
+        (tmp_path / name).write_text("".join(f"http://x.org/{name}/{k} | é{'y' * (k % 37)}\n" for k in range(3000)) + "http://last")
+    got = []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        lines = files.numbered_lines(spark, f"file://{tmp_path}/l*.txt")
+        got.append({(r.file.rpartition("/")[2], r.seq, r.value) for r in lines.collect()})
+        parts = lines.select("file").distinct().count()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(n, k, x) for n in ("l1.txt", "l2.txt") for k, x in enumerate((tmp_path / n).read_text().split("\n"))}
+    assert parts == 2 and got == [want, want]
+
+
 def test_files(spark, tmp_path):
     path = f"file://{tmp_path}"
     assert files.read_postings(spark, f"{path}/none.json").count() == 0
@@ -102,7 +234,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "l.txt").write_text("# c\n\nhttp://x.org/a?q=1 | A  B | Dev | L | d | more\nftp://no\nhttp://x.org/a#f\n")
     lines = files.read_lines(spark, f"{path}/l.txt", "2024-01-01")
     assert [(r.url, r.company, r.job_id) for r in lines.orderBy("seq").collect()] == [("http://x.org/a", "A B", "a"), ("http://x.org/a", "", "a")]
-    files.write_lines(lines.limit(1), f"{path}/out")
+    files.write_lines(lines.orderBy("seq").limit(1), f"{path}/out")
     assert spark.read.text(f"{path}/out").first()[0] == "http://x.org/a | A B | Dev | L | d"
     tree = files.read_text_tree(spark, f"{path}/l.txt")
     assert tree.count() == 1 and files.read_lines(spark, f"{path}/none", "").count() == 0

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, hits, matching, sentences, token
+from ..sources.scratch import materialise
+from .matching import phrase_matches
 
 #: Families with their keywords, and the other word lists of ranking: fixed values.
 FAMILIES = {
@@ -45,10 +47,12 @@ BANNED = (
 DEFAULT_FAMILY = "software_engineer"
 
 
-def role_family(position: str = "position", description: str = "description", families: dict | None = None) -> Column:
-    """The first family with the most points: 1 for a keyword in the body, 2 in the title, 6 for a boosted title."""
+def role_family(title: Column, body: Column, families: dict | None = None) -> Column:
+    """The first family with the most points: 1 for a keyword in the body, 2 in the title, 6 for a boosted title.
+
+    title and body are normalised already, and columns, as they are read once per keyword.
+    """
     families = families or FAMILIES
-    title, body = token(position), token(F.concat_ws(" ", F.coalesce(position, F.lit("")), F.coalesce(description, F.lit(""))))
     total = []
     for name, words in families.items():
         boost = F.when(contains_any(title, list(TITLE_BOOST.get(name, ()))), 6).otherwise(0)
@@ -63,22 +67,28 @@ def role_family(position: str = "position", description: str = "description", fa
 
 def context_sentences(description: Column | str, context=CONTEXT, high=HIGH_VALUE, banned=BANNED) -> Column:
     """Up to four of the first eight telling sentences, best first, ties in order of the text."""
+    lowered = F.transform(sentences(description), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
     eligible = F.filter(
-        sentences(description),
-        lambda s: ~contains_any(F.lower(s), list(banned)) & F.length(s).between(40, 240) & contains_any(F.lower(s), list(context)),
+        lowered,
+        lambda x: F.length(x["s"]).between(40, 240) & contains_any(x["low"], list(context)) & ~contains_any(x["low"], list(banned)),
     )
     scored = F.transform(
         F.slice(eligible, 1, 8),
-        lambda s, i: F.struct((-(2 * hits(F.lower(s), list(high)) + hits(F.lower(s), list(context)))).alias("a"), i.alias("i"), s.alias("s")),
+        lambda x, i: F.struct((-(2 * hits(x["low"], list(high)) + hits(x["low"], list(context)))).alias("a"), i.alias("i"), x["s"].alias("s")),
     )
     return F.transform(F.slice(F.sort_array(scored), 1, 4), lambda x: x["s"])
 
 
 def with_signals(jobs: DataFrame, families: dict | None = None) -> DataFrame:
-    """Adds role_family, norm_body, matched_keywords (8 at most), focus_terms (4 at most) and company_focus."""
+    """Adds role_family, norm_body, matched_keywords (8 at most), focus_terms (4 at most) and company_focus.
+
+    The normalised texts come out of a generator of one row, so that each is made once, not once per phrase.
+    """
     families = families or FAMILIES
     body = token(F.concat_ws(" ", F.coalesce("position", F.lit("")), F.coalesce("description", F.lit(""))))
-    base = jobs.withColumns({"role_family": role_family(families=families), "norm_body": body})
+    texts = F.struct(token("position").alias("norm_title"), body.alias("norm_body"))
+    base = jobs.drop("norm_title", "norm_body").select("*", F.inline(F.array(texts)))
+    base = base.withColumn("role_family", role_family(F.col("norm_title"), F.col("norm_body"), families)).drop("norm_title")
     words = F.lit(None).cast("array<string>")
     for name, keys in families.items():
         words = F.when(F.col("role_family") == name, matching(F.col("norm_body"), list(keys))).otherwise(words)
@@ -91,56 +101,136 @@ def with_signals(jobs: DataFrame, families: dict | None = None) -> DataFrame:
     )
 
 
-def candidate_bullets() -> Column:
-    """A material item's bullets for role_family, those written for it first."""
-    own = F.coalesce(F.element_at("bullet_variants", F.col("role_family")), F.array().cast("array<string>"))
-    return F.concat(own, F.coalesce("bullets", F.array().cast("array<string>")))
+_BULLETS = "array<struct<text:string,norm:string>>"
+
+
+def _texts(x: str) -> Column:
+    return F.coalesce(F.col(x), F.array().cast("array<string>"))
+
+
+def with_norms(materials: DataFrame) -> DataFrame:
+    """materials with their tags and bullets normalised: norm_tags, norm_bullets and norm_variants (by family)."""
+    both = lambda b: F.struct(b.alias("text"), token(b).alias("norm"))
+    none = F.create_map().cast("map<string,array<string>>")
+    return materials.withColumns(
+        {
+            "norm_tags": F.transform(_texts("tags"), lambda t: token(t)),
+            "norm_bullets": F.transform(_texts("bullets"), both),
+            "norm_variants": F.transform_values(F.coalesce("bullet_variants", none), lambda _, v: F.transform(v, both)),
+        }
+    )
+
+
+def candidate_bullets(family: Column) -> Column:
+    """A material item's bullets (text and norm) for a family, those written for it first."""
+    own = F.coalesce(F.element_at("norm_variants", family), F.array().cast(_BULLETS))
+    return F.concat(own, F.col("norm_bullets"))
 
 
 def item_score() -> Column:
     """5 per tag in the body, 8 for a targeted role, 2 per bullet and matched keyword in it."""
-    tags = F.size(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.contains(F.col("norm_body"), token(t))))
-    target = F.when(F.array_contains(F.coalesce("role_targets", F.array().cast("array<string>")), F.col("role_family")), 8).otherwise(0)
+    tags = F.size(F.filter("norm_tags", lambda t: F.contains(F.col("norm_body"), t)))
+    target = F.when(F.array_contains(_texts("role_targets"), F.col("role_family")), 8).otherwise(0)
     pairs = F.aggregate(
-        candidate_bullets(), F.lit(0),
-        lambda acc, b: acc + F.size(F.filter("matched_keywords", lambda k: F.contains(token(b), k))),
+        candidate_bullets(F.col("role_family")), F.lit(0),
+        lambda acc, b: acc + F.size(F.filter("matched_keywords", lambda k: F.contains(b["norm"], k))),
     )
     return 5 * tags + target + 2 * pairs
 
 
-def bullet_score(bullet: Column) -> Column:
-    text = token(bullet)
-    return 3 * F.size(F.filter("matched_keywords", lambda k: F.contains(text, k))) + 2 * F.size(F.filter("focus_terms", lambda k: F.contains(text, k)))
+def _per_kind(counts: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in counts.items()], F.lit(0))
+
+
+_ITEM = ("kind", "ord")
+
+
+def _profile_scores(profiles: DataFrame, materials: DataFrame, keep: dict[str, int]) -> DataFrame:
+    """(profile, kind, ord, score, place) of the items with points for a family and its matched keywords, and of the
+    first `keep` of each kind; profiles: (profile, role_family, matched_keywords)."""
+    families = [r.role_family for r in profiles.select("role_family").distinct().collect()]  # a rule set's few families
+    keyed = profiles.select("profile", "role_family", F.explode("matched_keywords").alias("keyword"))
+    of_family = F.array(*[F.struct(F.lit(f).alias("role_family"), candidate_bullets(F.lit(f)).alias("own")) for f in families])
+    bullets = materials.select(*_ITEM, F.inline(of_family) if families else F.expr("inline(array(struct('' AS role_family, norm_bullets AS own)))"))
+    held = bullets.join(keyed.select("role_family", "keyword").distinct(), "role_family")
+    n = F.size(F.filter("own", lambda b: F.contains(b["norm"], F.col("keyword"))))
+    counted = held.select(*_ITEM, "role_family", "keyword", (2 * n).alias("points")).where("points > 0")
+    by_word = keyed.join(counted, ["role_family", "keyword"]).select("profile", *_ITEM, "points")
+    # a tag without letters is in every body
+    blank = F.size(F.filter("norm_tags", lambda t: t == ""))
+    roles = materials.select(*_ITEM, "role_targets", (5 * blank).alias("blank"), F.explode(F.array(*[F.lit(f) for f in families or [""]])).alias("role_family"))
+    target = F.when(F.array_contains(_texts("role_targets"), F.col("role_family")), 8).otherwise(0)
+    by_role = profiles.select("profile", "role_family").join(
+        roles.select(*_ITEM, "role_family", (target + F.col("blank")).alias("points")).where("points > 0"), "role_family"
+    ).select("profile", *_ITEM, "points")
+    heads = materials.select(*_ITEM).withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("ord"))).where(F.col("n") <= _per_kind(keep))
+    kinds = profiles.select("profile", F.explode(F.array(*[F.lit(k) for k in keep])).alias("kind"))
+    first = kinds.join(heads, "kind").select("profile", *_ITEM, F.lit(0).alias("points"))
+    summed = by_word.unionByName(by_role).unionByName(first).groupBy("profile", *_ITEM).agg(F.sum("points").alias("score"))
+    return summed.withColumn("place", F.row_number().over(Window.partitionBy("profile", "kind").orderBy(F.desc("score"), "ord")))
+
+
+def sparse_scores(jobs: DataFrame, materials: DataFrame, keep: dict[str, int], key: str) -> DataFrame:
+    """(key, kind, ord, item_score) of at least the best `keep` items of each kind for each job, by joins of what they share.
+
+    Points for keywords and role depend on a job's family and matched keywords alone. There are few such
+    profiles, bounded by the word lists, and their items' points are added up once per profile. Points for
+    tags come from the tags found in the body. A job's best items are then among those with a tag in its
+    body and the best of its profile, since any other item is behind all of the latter. materials: as
+    `with_norms` gives them; (kind, ord) tells the items apart.
+    """
+    profile = F.xxhash64("role_family", "matched_keywords")
+    of_job = jobs.select(key, profile.alias("profile"))
+    profiles = materialise(jobs.select(profile.alias("profile"), "role_family", "matched_keywords").distinct(), "profiles")
+    scored = materialise(_profile_scores(profiles, materials, keep), "profile-scores")
+    tags = materials.select(*_ITEM, F.explode("norm_tags").alias("phrase")).groupBy("phrase", *_ITEM).agg((5 * F.count(F.lit(1))).alias("tagged"))
+    found = phrase_matches(jobs, tags, key, "norm_body").join(tags, "phrase").groupBy(key, *_ITEM).agg(F.sum("tagged").alias("tagged"))
+    best = of_job.join(scored.where(F.col("place") <= _per_kind(keep)).drop("place"), "profile")
+    hit = found.where(F.col("kind").isin(*keep)).join(of_job, key).join(scored.drop("place"), ["profile", *_ITEM], "left")
+    rows = best.select(key, *_ITEM, "score", F.lit(0).cast("long").alias("tagged")).unionByName(hit.select(key, *_ITEM, F.coalesce("score", F.lit(0)).alias("score"), "tagged"))
+    # an item that is both has one score and one sum of tags
+    return rows.groupBy(key, *_ITEM).agg((F.max("score") + F.max("tagged")).cast("int").alias("item_score"))
+
+
+def bullet_score(norm: Column) -> Column:
+    return 3 * F.size(F.filter("matched_keywords", lambda k: F.contains(norm, k))) + 2 * F.size(F.filter("focus_terms", lambda k: F.contains(norm, k)))
 
 
 def rewrite_bullet(bullet: Column) -> Column:
-    """The bullet with the phrase of the first focus term that its words support."""
-    bullet = F.trim(bullet)
-    text = token(bullet)
-    fits = [F.when(contains_any(text, list(FOCUS_GUARDS[t])), F.lit(t)) for t in FOCUS]
+    """The text of a bullet (text and norm) with the phrase of the first focus term that its words support."""
+    text = F.trim(bullet["text"])
+    fits = [F.when(contains_any(bullet["norm"], list(FOCUS_GUARDS[t])), F.lit(t)) for t in FOCUS]
     supported = F.array_compact(F.array(*fits))
     term = F.get(F.filter("focus_terms", lambda t: F.array_contains(supported, t)), F.lit(0))
     phrase = F.element_at(F.create_map(*[F.lit(x) for kv in FOCUS.items() for x in kv]), term)
-    return F.when(phrase.isNull(), bullet).otherwise(F.concat(F.regexp_replace(bullet, r"\.+$", ""), F.lit(", "), phrase, F.lit(".")))
+    return F.when(phrase.isNull(), text).otherwise(F.concat(F.regexp_replace(text, r"\.+$", ""), F.lit(", "), phrase, F.lit(".")))
+
+
+#: Materials up to which every job meets every item, by a broadcast; more meet by `sparse_scores`.
+FEW_MATERIALS = 1_000
 
 
 def rank_materials(jobs: DataFrame, materials: DataFrame, items: dict[str, int], bullets: dict[str, int], key: str = "seq") -> DataFrame:
     """The best material items per posting and kind, each with its best bullets rewritten.
 
-    items, bullets: how many per kind. Materials are one person's and few; they are broadcast only
-    below a checked number of rows.
+    items, bullets: how many per kind. jobs: as `with_signals` gives them, with a unique key.
     """
-    few = F.broadcast(materials) if materials.limit(1001).count() <= 1000 else materials
     needed = jobs.select(key, "role_family", "norm_body", "matched_keywords", "focus_terms")
-    scored = needed.crossJoin(few).withColumn("item_score", item_score())
+    normal = with_norms(materials)
+    if materials.limit(FEW_MATERIALS + 1).count() <= FEW_MATERIALS:
+        scored = needed.crossJoin(F.broadcast(normal)).withColumn("item_score", item_score())
+    else:
+        needed, normal = materialise(needed, "signals"), materialise(normal, "materials")
+        scored = sparse_scores(needed, normal, items, key)
     order = Window.partitionBy(key, "kind").orderBy(F.desc("item_score"), "ord")
-    limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in items.items()], F.lit(0))
-    best = scored.withColumn("item_rank", F.row_number().over(order)).where(F.col("item_rank") <= limit)
-    n = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in bullets.items()], F.lit(0))
+    best = scored.withColumn("item_rank", F.row_number().over(order)).where(F.col("item_rank") <= _per_kind(items))
+    if "norm_body" not in best.columns:
+        best = best.join(normal, [*_ITEM]).join(needed, key)
     ranked = F.sort_array(
-        F.transform(candidate_bullets(), lambda b, i: F.struct((-bullet_score(b)).alias("a"), i.alias("i"), b.alias("b")))
+        F.transform(candidate_bullets(F.col("role_family")), lambda b, i: F.struct((-bullet_score(b["norm"])).alias("a"), i.alias("i"), b.alias("b")))
     )
-    return best.withColumn("selected_bullets", F.transform(F.slice(ranked, 1, n), lambda x: rewrite_bullet(x["b"])))
+    chosen = F.transform(F.slice(ranked, 1, _per_kind(bullets)), lambda x: rewrite_bullet(x["b"]))
+    return best.withColumn("selected_bullets", chosen).drop("norm_tags", "norm_bullets", "norm_variants")
 
 
 def ordered_skills(skills: dict[str, list[str]], limit: int = 12) -> Column:

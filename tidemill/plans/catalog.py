@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import dedupe, rank, scan, scoring, sync
+from ..operators import dedupe, matching, rank, scan, scoring, sync
 from ..schema import MATERIAL
 from ..sources.settings import PROFILE
 from . import pipeline, samples
@@ -184,6 +184,45 @@ def material_ranking(spark, d):
     return out.select("seq", "kind", "item_rank", "id", "item_score", F.array_join("selected_bullets", "|").alias("bullets"))
 
 
+def part_materials(spark: SparkSession, d: str) -> DataFrame:
+    """A material item per part: tags and bullets are runs of its name and kind, so that some occur in many texts."""
+    part = _t(spark, d, "part")
+    words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    piece = F.lower(F.substr(F.col("p_type"), F.pmod(F.col("p_partkey"), F.lit(5)).cast("int") + 1, F.lit(3)))
+    kind = F.when(F.col("p_size") > 25, "project").otherwise("experience")
+    return part.select(
+        kind.alias("kind"), F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("title"),
+        F.lit("").alias("location"), F.lit("").alias("date_range"), F.lit("").alias("repo_url"),
+        F.concat(words, F.array(piece, F.lit("the"), piece)).alias("tags"), F.array("p_name", F.concat("p_type", F.lit(" data api"))).alias("bullets"),
+        F.create_map(F.lit("data_scientist"), F.array(F.concat(F.lit("sql "), "p_brand"))).alias("bullet_variants"),
+        F.when(F.col("p_size") % 5 == 0, F.array(F.lit("data_scientist"), F.lit("software_engineer"))).otherwise(F.array().cast("array<string>")).alias("role_targets"),
+        F.col("p_partkey").cast("int").alias("ord"),
+    )
+
+
+def sparse_ranking(spark, d):
+    """Items as many as parts, ranked for each turn without meeting all of them."""
+    out = rank.rank_materials(_signals(spark, d), part_materials(spark, d), {"experience": 1, "project": 2}, {"experience": 2, "project": 1})
+    return out.select("seq", "kind", "item_rank", "id", "item_score", F.array_join("selected_bullets", "|").alias("bullets"))
+
+
+def benchmark_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """A rule table: every run of two and of three words of each benchmark item, its place as its points."""
+    words = F.split(F.lower(X.squeeze("text")), " ")
+    run = lambda n: F.transform("w", lambda w, i: F.struct(i.alias("i"), F.array_join(F.slice("w", i + 1, n), " ").alias("phrase")))
+    each = _t(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", F.explode(F.concat(run(2), run(3))).alias("x"))
+    return each.select(
+        F.lit("item").alias("section"), F.col("item_id").cast("string").alias("grp"), "x.phrase", F.col("x.i").cast("int").alias("phrase_ord"),
+        F.col("x.i").cast("double").alias("value"),
+    )
+
+
+def rule_matches(spark, d):
+    texts = _t(spark, d, "documents").select("doc_id", F.lower(X.squeeze("text")).alias("body"))
+    found = matching.rule_hits(texts, benchmark_phrases(spark, d), "doc_id", "body")
+    return found.select("doc_id", F.col("grp").alias("item"), "n", "value")
+
+
 def private_data(spark, d):
     docs = _t(spark, d, "documents")
     allowed = docs.sparkSession.createDataFrame([("email", "you@example.com"), ("phone", "+44 0000 000000")], "kind string, value string")
@@ -323,7 +362,7 @@ def daily_run(spark, d):
 _QUERIES = (
     text_normal, url_fields, url_dedupe, page_fields, page_cards, merge_sources, fetch_dedupe, generation_dedupe, hard_filters,
     keyword_scores, page_scores, breakdown_text, scored_dedupe, shortlist_pages, sentence_split, context_sentences, role_signals,
-    material_ranking, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
+    material_ranking, sparse_ranking, rule_matches, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
     fallback_rows, text_escapes, manual_lines, collected_pages, daily_run,
 )
 

@@ -248,28 +248,61 @@ def role_signals() -> str:
     return f"WITH {_ROLE} SELECT seq, role_family, array_to_string(matched, ',') AS matched, array_to_string(focus, ',') AS focus FROM g"
 
 
-def material_ranking() -> str:
-    inside = lambda words, text: f"len(list_filter({words}, lambda k: contains({token(text)}, k)))"
-    items = []
-    for kind, id_, _, _, tags, bullets, variants, targets, ord_ in samples.MATERIALS:
-        own = " ".join(f"WHEN role_family = {_q(n)} THEN {_list(b)}" for n, b in variants.items())
-        cand = f"(CASE {own} ELSE []::varchar[] END || {_list(bullets)})" if own else _list(bullets)
-        tagged = " + ".join(f"contains(body, {token(_q(t))})::int" for t in tags)
-        items.append(f"""SELECT seq, {_q(kind)} AS kind, {_q(id_)} AS id, {ord_} AS ord, matched, focus, {cand} AS cand,
-          5 * ({tagged}) + CASE WHEN list_contains({_list(targets)}, role_family) THEN 8 ELSE 0 END
-          + 2 * coalesce(list_sum(list_transform({cand}, lambda b: {inside('matched', 'b')})), 0) AS item_score FROM g""")
+def _inside(words: str, text: str) -> str:
+    return f"len(list_filter({words}, lambda k: contains({token(text)}, k)))"
+
+
+def _best_items(items: str) -> str:
+    """Rows (seq, kind, id, ord, matched, focus, cand, item_score) as the CTE items -> the ranked items with their bullets."""
     supported = " ".join(f"WHEN k = {_q(t)} THEN {_any(token('bullet'), words)}" for t, words in rank.FOCUS_GUARDS.items())
     phrase = " ".join(f"WHEN term = {_q(t)} THEN {_q(p)}" for t, p in rank.FOCUS.items())
-    return f"""WITH {_ROLE}, items AS ({' UNION ALL '.join(items)}),
+    return f"""{items},
       r AS (SELECT *, row_number() OVER (PARTITION BY seq, kind ORDER BY item_score DESC, ord) AS item_rank FROM items),
       best AS (SELECT * FROM r WHERE item_rank <= CASE kind WHEN 'experience' THEN 1 ELSE 2 END),
       e AS (SELECT seq, kind, item_rank, unnest(range(len(cand))) AS i, unnest(cand) AS bullet, matched, focus FROM best),
-      b AS (SELECT *, row_number() OVER (PARTITION BY seq, kind, item_rank ORDER BY 3 * {inside('matched', 'bullet')} + 2 * {inside('focus', 'bullet')} DESC, i) AS n FROM e),
+      b AS (SELECT *, row_number() OVER (PARTITION BY seq, kind, item_rank ORDER BY 3 * {_inside('matched', 'bullet')} + 2 * {_inside('focus', 'bullet')} DESC, i) AS n FROM e),
       w AS (SELECT *, trim(bullet, ' ') AS text, list_filter(focus, lambda k: CASE {supported} END)[1] AS term FROM b WHERE n <= CASE kind WHEN 'experience' THEN 2 ELSE 1 END),
       x AS (SELECT seq, kind, item_rank, string_agg(CASE WHEN term IS NULL THEN text ELSE regexp_replace(text, '\\.+$', '') || ', ' || CASE {phrase} END || '.' END, '|' ORDER BY n) AS bullets FROM w GROUP BY ALL)
       SELECT seq, kind, item_rank, id, item_score::int AS item_score, bullets FROM best JOIN x USING (seq, kind, item_rank)"""
 
 
+def material_ranking() -> str:
+    items = []
+    for kind, id_, _, _, tags, bullets, variants, targets, ord_ in samples.MATERIALS:
+        own = " ".join(f"WHEN role_family = {_q(n)} THEN {_list(b)}" for n, b in variants.items())
+        cand = f"(CASE {own} ELSE []::varchar[] END || {_list(bullets)})" if own else _list(bullets)
+        tagged = " + ".join(f"contains(body, {token(_q(t))})::int" for t in tags)
+        items.append(f"""SELECT seq, {_q(kind)} AS kind, {_q(id_)} AS id, {ord_} AS ord, matched, focus, {cand} AS cand,
+          5 * ({tagged}) + CASE WHEN list_contains({_list(targets)}, role_family) THEN 8 ELSE 0 END
+          + 2 * coalesce(list_sum(list_transform({cand}, lambda b: {_inside('matched', 'b')})), 0) AS item_score FROM g""")
+    each = ' UNION ALL '.join(items)
+    return f"WITH {_ROLE}, {_best_items(f'items AS ({each})')}"
+
+
+def sparse_ranking() -> str:
+    """Every turn meets every part here; words are normal already, so that tags and bullets need no normalising."""
+    piece = "lower(substr(p_type, p_partkey::int % 5 + 1, 3))"
+    return f"""WITH {_ROLE}, m AS (SELECT CASE WHEN p_size > 25 THEN 'project' ELSE 'experience' END AS kind, 'p' || p_partkey AS id, p_partkey AS ord, p_size, p_name, p_type, p_brand,
+        list_transform(string_split(lower(p_name || ' ' || p_type), ' ') || [{piece}, 'the', {piece}], lambda t: {token('t')}) AS tags FROM part),
+      tagged AS (SELECT kind, ord, t, count(*) AS n FROM (SELECT kind, ord, unnest(tags) AS t FROM m) GROUP BY ALL),
+      found AS (SELECT seq, t FROM g JOIN (SELECT DISTINCT t FROM tagged) ON contains(body, t)),
+      points AS (SELECT seq, kind, ord, 5 * sum(n) AS p FROM found JOIN tagged USING (t) GROUP BY ALL),
+      families AS (SELECT DISTINCT role_family, matched FROM g),
+      own AS (SELECT *, CASE WHEN role_family = 'data_scientist' THEN ['sql ' || p_brand] ELSE []::varchar[] END || [p_name, p_type || ' data api'] AS cand FROM families, m),
+      base AS (SELECT role_family, matched, kind, id, ord, cand, CASE WHEN p_size % 5 = 0 AND role_family IN ('data_scientist', 'software_engineer') THEN 8 ELSE 0 END
+        + 2 * coalesce(list_sum(list_transform(cand, lambda b: {_inside('matched', 'b')})), 0) AS s FROM own),
+      {_best_items("""items AS (SELECT g.seq, b.kind, b.id, b.ord, g.matched, g.focus, b.cand, b.s + coalesce(p, 0) AS item_score FROM g
+        JOIN base b ON g.role_family = b.role_family AND g.matched = b.matched LEFT JOIN points p ON p.seq = g.seq AND p.kind = b.kind AND p.ord = b.ord)""")}"""
+
+
+def rule_matches() -> str:
+    return f"""WITH i AS (SELECT item_id, string_split(lower({squeeze('text')}), ' ') AS w FROM benchmark),
+      p AS (SELECT item_id, k, array_to_string(w[k + 1 : k + n], ' ') AS phrase FROM (SELECT *, unnest(range(len(w))) AS k FROM i), (VALUES (2), (3)) s(n)),
+      d AS (SELECT doc_id, lower({squeeze('text')}) AS body FROM documents),
+      f AS (SELECT doc_id, phrase FROM d JOIN (SELECT DISTINCT phrase FROM p WHERE phrase <> '') ON contains(body, phrase))
+      SELECT doc_id, item_id::varchar AS item, count(*) AS n, sum(k)::double AS value FROM f JOIN p USING (phrase) GROUP BY ALL"""
+
+
 def collected_pages() -> str:
     return f"""WITH c AS (SELECT s_nationkey AS page, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS card_no, s_suppkey, s_name, n_name, s_suppkey // 2 AS id
         FROM supplier JOIN nation ON s_nationkey = n_nationkey),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +30,38 @@ def _present(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: F.coalesce(f.name, empty[f.dataType]) for f in schema if f.dataType in empty})
 
 
-def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING) -> DataFrame:
-    """A JSON array of records; a missing file is an empty table."""
+def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING, array: bool | None = None) -> DataFrame:
+    """Records as `write_json` writes them: a JSON array per file, or a record per line; a missing file is an empty table.
+
+    array: which of the two, None to see by the first character. A file of lines is read in splits, one
+    with an array by one task.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _present(spark.read.schema(schema).option("multiLine", True).json(path), schema)
+    if array is None:
+        first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
+        array = first is not None and first.c == "["
+    return _present(spark.read.schema(schema).option("multiLine", array).json(path), schema)
+
 
+def write_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """A record per line; or, for readers of whole files, an array per part, which is streamed like lines."""
+    if not array:
+        df.write.mode("overwrite").json(path)
+        return
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for b in batches:
+            lines = []
+            for record in b.column(0):
+                lines.append(mark + record.as_py())
+                mark = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["[]" if mark == "[" else "]"], pa.string())})
+
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def parse_lines(lines: DataFrame, today: str, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -55,10 +81,23 @@ def read_lines(spark: SparkSession, path: str, today: str) -> DataFrame:
     """parse_lines over a text file, in file order by seq; a missing file is an empty table."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("seq", T.LongType()), *POSTING.fields]))
-    # one file is one ordered list, so it is read whole, like the format asks, and numbered by place
-    whole = spark.read.text(path, wholetext=True)
-    numbered = whole.select(F.posexplode(F.split("value", "\n")).alias("seq", "value")).withColumn("seq", F.col("seq").cast("long"))
-    return parse_lines(numbered, today, keep=("seq",))
+    return parse_lines(numbered_lines(spark, path), today, keep=("seq",))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, value): the lines of text files with their number in the file, from 0, read in splits.
+
+    A line's number is its place in its block plus the lines of the blocks before it; blocks are told apart
+    by where they start, and counted in a pass of their own.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("seq"), "value")
 
 
 def normal_line() -> Column:
@@ -75,7 +114,7 @@ def write_named_texts(rows: DataFrame, path: str = "path", text: str = "text") -
 
     def write(part) -> None:
         for row in part:
-            system, where = fs.FileSystem.from_uri(row[0].replace("s3a://", "s3://", 1))
+            system, where = _opened(row[0])
             system.create_dir(where.rpartition("/")[0], recursive=True)
             with system.open_output_stream(where) as out:
                 out.write((row[1] or "").encode())
@@ -83,7 +122,52 @@ def write_named_texts(rows: DataFrame, path: str = "path", text: str = "text") -
     rows.select(path, text).foreachPartition(write)
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def file_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of every file below root, whatever its name; root may be one file.
+
+    The driver lists the first level only, tasks list each folder in it.
+    """
+    root = root.rstrip("/")
+    system, where = _opened(root)
+    prefix = root.removesuffix(where)
+    top = system.get_file_info(where)
+    found = [top] if top.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where))
+    rows = [(prefix + f.path, None if f.type == fs.FileType.Directory else f.size) for f in found]
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64())])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, size in zip(*(c.to_pylist() for c in b.columns)):
+                files = [(path, size)]
+                if size is None:
+                    system, where = _opened(path)
+                    start = path.removesuffix(where)
+                    infos = system.get_file_info(fs.FileSelector(where, recursive=True))
+                    files = [(start + f.path, f.size) for f in infos if f.type == fs.FileType.File]
+                for k in range(0, len(files), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*files[k : k + 10_000]), schema.types)], schema=schema)
+
+    listed = spark.createDataFrame(rows, "path string, size long")
+    return listed.repartition(max(1, len(rows))).mapInArrow(below, "path string, size long")
+
+
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of the text files below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(is_text_path(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("content"))
+    """(path, content) of the text files below root, hidden ones too; other files are not opened.
+
+    Bytes that are no UTF-8 become U+FFFD. Files are read one by one, each whole.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                system, where = _opened(path)
+                with system.open_input_stream(where) as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "content": pa.array([text], pa.string())})
+
+    wanted = file_tree(spark, root).where(is_text_path(F.col("path"))).select("path")
+    return wanted.repartition("path").mapInArrow(read, "path string, content string")
