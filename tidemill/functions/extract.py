@@ -104,26 +104,52 @@ def json_value(text: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*out, F.lit(""))
 
 
-def _near(page: Column) -> Column:
-    """The text around each identifier of a page, in order."""
-    gaps = F.transform(F.split(page, _ID, -1), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(page, F.lit(_ID), F.lit(0)), lambda x: F.length(x))
+def running_sums(values: str) -> Column:
+    """The sums of an array column's numbers up to each place, by sums of stretches, so that n take n ** 1.5 steps."""
+    x = F.col(values)
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, v: acc + v)
+    stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), side), lambda b: total(F.slice(x, b + 1, side)))
+    # the one-element arrays bind what is inside to a name, so that it is made once
+    before = F.transform(F.array(stretches), lambda s: F.transform(s, lambda _, j: total(F.slice(s, 1, j))))[0]
 
-    def around(size: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-        start = F.greatest(F.lit(0), before - _BEFORE)
-        return F.substr(page, start + 1, before + size + _AFTER - start)
+    def upto(t: Column):
+        at = lambda i: F.floor(i / side).cast("int")
+        return F.transform(x, lambda _, i: F.get(t, at(i)) + total(F.slice(x, at(i) * side + 1, i - at(i) * side + 1)))
 
-    return F.transform(sizes, around)
+    return F.transform(F.array(before), upto)[0]
 
 
 def mine_json(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings embedded as JSON: a row per identifier, from the text around it, once per page.
 
-    keep: columns that tell the pages apart. Places follow from the lengths of the matches and of the gaps between them.
+    keep: columns that tell the pages apart. Places follow from the lengths of the matches and of the gaps
+    between them; the text around a match is cut from the blocks of the page that it touches, so that a
+    page takes time in proportion to its length, whatever the number of identifiers in it.
     """
-    ids = F.regexp_extract_all(page, F.lit(_ID), F.lit(1))
-    each = pages.select(*keep, F.posexplode(F.arrays_zip(ids.alias("job_id"), _near(F.col(page)).alias("near"))).alias("at", "x"))
+    text = F.col(page)
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(_ID), F.lit(1)).alias("ids"),
+        F.transform(F.regexp_extract_all(text, F.lit(_ID), F.lit(0)), lambda x: F.length(x)).alias("sizes"),
+        F.transform(F.split(text, _ID, -1), lambda x: F.length(x)).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BEFORE}}}"), F.lit(0)).alias("blocks"),
+    )
+    # each step comes out of a generator of one row, so that the arrays are made once and then read by place
+    spans = pages.where(text.rlike(_ID)).select(*keep, F.inline(F.array(found)))
+    steps = F.transform("sizes", lambda n, i: n + F.get("gaps", i))
+    placed = spans.select(*keep, "ids", "sizes", "blocks", F.inline(F.array(F.struct(steps.alias("steps")))))
+    ended = placed.select(*keep, "ids", "sizes", "blocks", F.inline(F.array(F.struct(running_sums("steps").alias("ends")))))
+
+    def around(i: Column) -> Column:
+        end = F.get("ends", i)
+        start = F.greatest(F.lit(0), end - F.get("sizes", i) - _BEFORE)
+        block = F.floor(start / _BEFORE).cast("int")
+        size = end + _AFTER - start
+        touched = F.slice("blocks", block + 1, F.floor((start + size) / _BEFORE).cast("int") - block + 1)
+        return F.substr(F.array_join(touched, ""), start - block * _BEFORE + 1, size)
+
+    near = F.transform("ids", lambda x, i: F.struct(x.alias("job_id"), around(i).alias("near")))
+    each = ended.select(*keep, F.posexplode(near).alias("at", "x"))
     fields = each.select(
         *keep, "at", F.col("x.job_id").alias("job_id"),
         *[strip_html(json_value(F.col("x.near"), keys)).alias(f) for f, keys in _KEYS.items()],

@@ -13,18 +13,31 @@ URL, SINGLE, MULTI, ATTACHMENT, CREATED = "Url", "SingleSelect", "MultiSelect",
 
 
 def cell_text(cell: Column) -> Column:
-    """The address in a remote cell: text, the first of a list, or a link before a text; cell is JSON."""
-    def pick(x: Column) -> Column:
-        linked = F.nullif(F.get_json_object(x, "$.link"), F.lit(""))
-        return F.coalesce(linked, F.get_json_object(x, "$.text"), F.lit(""))
+    """The address in a remote cell: a text, or in an object or a list's first one a link before a text.
 
-    head = F.substr(F.trim(cell), F.lit(1), F.lit(1))
-    return F.trim(
-        F.when(head == "[", F.coalesce(pick(F.get_json_object(cell, "$[0]")), F.lit("")))
-        .when(head == "{", pick(cell))
-        .when(head == '"', F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), cell, F.lit("}")), "$.v"), F.lit("")))
-        .otherwise("")
-    )
+    cell: JSON; one that is null, no JSON, or of another kind has none.
+    """
+
+    def inside(v: Column, path: str) -> Column:
+        link, text = (F.try_variant_get(v, f"${path}.{name}", "string") for name in ("link", "text"))
+        return F.coalesce(F.nullif(link, F.lit("")), text, F.lit(""))
+
+    def pick(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return (
+            F.when(kind == "STRING", F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+            .when(kind.startswith("OBJECT"), inside(v, ""))
+            .when(kind.startswith("ARRAY"), inside(v, "[0]"))
+            .otherwise("")
+        )
+
+    # the one-element array binds the parsed cell to a name, so that it is parsed once
+    return F.trim(F.transform(F.array(F.try_parse_json(cell)), pick)[0])
+
+
+def _json(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.to_json(text.cast("variant"))
 
 
 def remote_lookup(records: DataFrame, url_cell: str, seq: str) -> DataFrame:
@@ -86,14 +99,12 @@ def payload(values: DataFrame, fields: DataFrame, breakdown_field: str = "score_
     kinds = F.broadcast(fields) if fields.limit(1001).count() <= 1000 else fields
     joined = values.join(kinds, "field", "left")
     number = F.col("number") if "number" in values.columns else F.lit(False)
-    text = F.to_json(F.struct(F.col("value").alias("v")))
-    quoted = F.regexp_extract(text, r'(?s)^\{"v":(.*)\}$', 1)
     kind = F.col("ui_type")
     shaped = (
         F.when(kind == URL, F.to_json(F.struct(F.col("value").alias("text"), F.col("value").alias("link"))))
         .when(kind == MULTI, F.to_json(F.array("value")))
-        .when(number & ~F.coalesce(kind == SINGLE, F.lit(False)), F.col("value"))
-        .otherwise(quoted)
+        .when(number & ~F.coalesce(kind == SINGLE, F.lit(False)), F.to_json(F.try_parse_json("value")))
+        .otherwise(_json(F.col("value")))
     )
     empty = (F.coalesce("value", F.lit("")) == "") | (number & (F.col("value") == "0"))
     wanted = F.when(kind.isNull(), F.col("field") != breakdown_field).otherwise(
@@ -104,7 +115,6 @@ def payload(values: DataFrame, fields: DataFrame, breakdown_field: str = "score_
 
 def records(shaped: DataFrame, key: str = "seq") -> DataFrame:
     """(key, payload): the shaped fields of each row as one JSON object, fields in order of name."""
-    name = F.regexp_extract(F.to_json(F.struct(F.col("field").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    pair = F.struct("field", F.concat(name, F.lit(":"), "json").alias("text"))  # a handful per row
+    pair = F.struct("field", F.concat(_json(F.col("field")), F.lit(":"), "json").alias("text"))  # a handful per row
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["text"]), ",")
     return shaped.groupBy(key).agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("payload"))

@@ -334,6 +334,76 @@ def collected_pages(spark, d):
     return out.select("seq", "company", "position", "url", "date", "easy_apply", "job_id", "search_keyword", "description")
 
 
+def mined_pages(spark, d):
+    """Postings embedded in a page per customer, with windows that reach into the neighbours' text."""
+    from ..functions.extract import mine_json
+
+    order = _t(spark, d, "orders")
+    text = lambda c: F.col(c).cast("string")
+    place = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"formattedLocation":"F&eacute;'), "o_orderstatus", F.lit('",'))).otherwise('"location":"L",')
+    entry = F.concat(
+        F.lit('{"jobkey":"'), F.floor(F.col("o_orderkey") / 2).cast("string"), F.lit('",'), F.when(F.col("o_orderkey") % 7 != 0, F.concat(
+            F.lit('"displayTitle":"'), "o_orderpriority", F.lit(" &amp;  "), F.floor(F.col("o_orderkey") / 2).cast("string"), F.lit('",'))).otherwise(""),
+        F.lit('"companyName":"C '), "o_orderstatus", F.lit('",'), place, F.lit('"pubDate":"'), F.substr(text("o_orderdate"), F.lit(1), F.lit(10)), F.lit('"'),
+        F.when(F.col("o_orderkey") % 5 == 0, ',"isIndeedApply":true').otherwise(""), F.lit("}"),
+        F.repeat(F.lit("x é"), (F.col("o_orderkey") % 700).cast("int")),
+    )
+    each = order.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", entry.alias("entry")))).alias("e"))
+    pages = each.select(F.col("o_custkey").alias("page"), F.array_join(F.transform("e", lambda x: x["entry"]), "").alias("html"))
+    out = mine_json(pages, keep=("page",))
+    return out.select("page", F.col("card_no").cast("long").alias("card_no"), "position", "company", "location", "date", "easy_apply", "job_id", "url")
+
+
+def search_pages_2(spark, d):
+    """Search pages of the second layout, one per nation: embedded postings, cards, or a page that refuses."""
+    part = lambda c: c.cast("string")
+    supplier, nation = _t(spark, d, "supplier"), _t(spark, d, "nation")
+    job = part(F.floor(F.col("s_suppkey") / 2))
+    firm = F.when(F.col("s_suppkey") % 11 == 0, "").otherwise(F.col("n_name"))
+    mined = F.concat(
+        F.lit('{"jobkey":"'), job, F.lit('","title":"'), "s_name", F.lit('","company":"'), firm, F.lit('","location":"L","datePublished":"D"'),
+        F.when(F.col("s_suppkey") % 3 == 0, ',"indeedApply"').otherwise(""), F.lit("}"), F.repeat(F.lit(" "), F.lit(4000)),
+    )
+    card = F.concat(
+        F.lit('<article class="a"><a href="/viewjob?jk='), job, F.lit('&amp;x=1" title="'), "s_name", F.lit('">b</a><span data-testid="company-name"> '), "n_name",
+        F.lit("</span>"), F.when(F.col("s_suppkey") % 11 == 0, "").otherwise('<div data-testid="text-location">P &lt;1</div>'),
+        F.lit('<span data-testid="myJobsStateDate"> two  days </span>'), F.when(F.col("s_suppkey") % 3 == 0, "Easily apply").otherwise(""), F.lit("</article>"),
+    )
+    kind = F.col("n_nationkey") % 3
+    joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    cards = joined.groupBy("n_nationkey", "n_name").agg(
+        F.sort_array(F.collect_list(F.struct("s_suppkey", F.when(kind == 0, mined).otherwise(card).alias("card")))).alias("cards")
+    )
+    return cards.select(
+        F.col("n_nationkey").alias("seq"), F.lit("r").alias("region"), F.col("n_name").alias("search_keyword"),
+        F.concat(F.when(F.col("n_nationkey") % 5 == 4, "<p>CF-Challenge</p>").otherwise(""), F.array_join(F.transform("cards", lambda x: x["card"]), "")).alias("html"),
+    )
+
+
+def collected_pages_2(spark, d):
+    from .collect import collect
+
+    customer = _t(spark, d, "customer")
+    body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<div id="jobDescriptionText" x> <b>'), "c_name", F.lit("</b>&lt;")))
+    body = F.concat(body, F.lit(" </div>"))
+    quoted = F.concat(F.lit('"jobDescriptionText":"'), "c_name", F.lit('\\n\\u00e9 &amp;'), "c_mktsegment", F.lit('"'))
+    details = customer.select(F.col("c_custkey").cast("string").alias("job_id"), F.coalesce(body, quoted).alias("html"))
+    out = collect(search_pages_2(spark, d), details, 2, TODAY, "indeed", rows=9)
+    return out.select("seq", "company", "position", "url", "date", "location", "easy_apply", "job_id", "search_keyword", "description")
+
+
+def tailored_documents(spark, d):
+    """Both documents of every turn, as digests of their whole texts."""
+    turns = turn_postings(spark, d)
+    ending = F.element_at(F.array(*[F.lit(x) for x in samples.ENDINGS]), (F.col("seq") % len(samples.ENDINGS) + 1).cast("int"))
+    jobs = turns.withColumns({"company": F.concat("company", F.lit("_&")), "description": F.concat("position", ending), "matching_score": F.lit(80), "first_seen": F.col("seq")})
+    made = pipeline.tailor(jobs, materials(spark), samples.SKILLS, samples.SNIPPETS, PROFILE, samples.TEMPLATE, "out")
+    return made.select(
+        "seq", F.md5("resume").alias("resume"), F.md5("letter").alias("letter"), F.md5("coverletter_pdf_path").alias("pdf"),
+        F.array_join("selected_projects", ",").alias("projects"),
+    )
+
+
 #: Texts of the daily run: fixed inputs, in place of files.
 TEMPLATE = "\\section{Experience}\n\\section{Projects}\n\\section{Technical Skills}\n\\end{document}"
 
@@ -363,7 +433,7 @@ _QUERIES = (
     text_normal, url_fields, url_dedupe, page_fields, page_cards, merge_sources, fetch_dedupe, generation_dedupe, hard_filters,
     keyword_scores, page_scores, breakdown_text, scored_dedupe, shortlist_pages, sentence_split, context_sentences, role_signals,
     material_ranking, sparse_ranking, rule_matches, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
-    fallback_rows, text_escapes, manual_lines, collected_pages, daily_run,
+    fallback_rows, text_escapes, manual_lines, collected_pages, collected_pages_2, mined_pages, tailored_documents, daily_run,
 )
 
 

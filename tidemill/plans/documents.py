@@ -35,13 +35,14 @@ STUDIES = {
     True: " Across my studies, internship and projects, I have built systems with reproducible workflows and clear communication.",
     False: " Across my studies, internship experience and software projects, I have built systems that combine implementation detail with reproducible workflows and clear communication.",
 }
-ATTRACTS = "What attracts me most is the "
+#: Words, whether all or any of them have to be in the posting, and the sentence that they lead to.
 FOCUS_FALLBACKS = (
-    (("production", "reliability"), "all", "chance to help move systems into reliable, production-ready use."),
-    (("internal tools", "stakeholder"), "any", "practical focus on building tools that support real internal users and decisions."),
-    (("team", "product"), "all", "opportunity to work closely across product, engineering and data-facing workflows."),
+    (("production", "reliability"), "all", "What attracts me most is the chance to help move systems into reliable, production-ready use."),
+    (("internal tools", "stakeholder"), "any", "What attracts me most is the practical focus on building tools that support real internal users and decisions."),
+    (("team", "product"), "all", "What attracts me most is the opportunity to work closely across product, engineering and data-facing workflows."),
 )
-LAST_FOCUS = "chance to build practical software and AI systems that are useful for real users."
+LAST_FOCUS = "What attracts me most is the chance to build practical software and AI systems that are useful for real users."
+OWN_FOCUS = "What attracts me most is the practical direction described in the role itself: "
 INTERNSHIP = "During my internship, I built internal tooling and supported evaluation-focused delivery work."
 INTERNSHIP_TAIL = " That experience strengthened my ability to connect technical implementation with usability, metrics and day-to-day collaboration."
 DATA_TAIL = " During my internship, I also built internal analysis tooling and supported metric-oriented reporting and review."
@@ -58,12 +59,12 @@ def _by_family(words: dict[str, str], other: str) -> Column:
 def focus_sentence(snippets: dict[str, list[str]]) -> Column:
     """The first telling sentence of the posting, else what its words suggest, else a snippet."""
     body = F.lower(squeeze("description"))
-    mission = (snippets.get("team_mission") or [ATTRACTS + LAST_FOCUS])[0]
+    mission = (snippets.get("team_mission") or [LAST_FOCUS])[0]
     out = F.lit(mission)
     for words, how, text in reversed(FOCUS_FALLBACKS):
         each = [contains_any(body, [w]) for w in words]
-        out = F.when(each[0] & each[1] if how == "all" else each[0] | each[1], ATTRACTS + text).otherwise(out)
-    own = F.concat(F.lit(ATTRACTS + "practical direction described in the role itself: "), F.get("company_focus", F.lit(0)))
+        out = F.when(each[0] & each[1] if how == "all" else each[0] | each[1], text).otherwise(out)
+    own = F.concat(F.lit(OWN_FOCUS), F.get("company_focus", F.lit(0)))
     return F.when(F.size("company_focus") > 0, own).otherwise(out)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions import extract as E
 from ..operators import rank
-from . import samples
+from ..sources.settings import PROFILE
+from . import documents, samples
 
 WS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
 
@@ -27,7 +29,7 @@ def key(a: str, b: str) -> str:
 def strip_html(x: str) -> str:
     """The test tables hold no references but these."""
     t = f"regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&Eacute;", "É"), ("&#8211;", "–"), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&Eacute;", "É"), ("&eacute;", "é"), ("&#8211;", "–"), ("&amp;", "&")):
         t = f"replace({t}, {_q(a)}, {_q(b)})"
     return squeeze(t)
 
@@ -237,11 +239,12 @@ def _list(words) -> str:
     return "[" + ", ".join(_q(w) for w in words) + "]::varchar[]"
 
 
-_ROLE = f"""{TURNS}, t AS (SELECT *, {token('position')} AS title, {token("position || ' ' || description")} AS body FROM turn_postings),
+_SIGNALS = f"""t AS (SELECT *, {token('position')} AS title, {token("position || ' ' || description")} AS body FROM turn_postings),
   p AS (SELECT *, [{', '.join(_points_of(n) for n in rank.FAMILIES)}] AS raw FROM t),
   f AS (SELECT *, CASE WHEN list_max(raw) = 0 THEN 'software_engineer' {' '.join(f"WHEN raw[{i + 1}] = list_max(raw) THEN {_q(n)}" for i, n in enumerate(rank.FAMILIES))} END AS role_family FROM p),
   g AS (SELECT *, list_filter(CASE {' '.join(f"WHEN role_family = {_q(n)} THEN {_list(ws)}" for n, ws in rank.FAMILIES.items())} END, lambda w: contains(body, w))[1:8] AS matched,
     list_filter({_list(rank.FOCUS)}, lambda w: contains(body, w))[1:4] AS focus FROM f)"""
+_ROLE = f"{TURNS}, {_SIGNALS}"
 
 
 def role_signals() -> str:
@@ -252,31 +255,37 @@ def _inside(words: str, text: str) -> str:
     return f"len(list_filter({words}, lambda k: contains({token(text)}, k)))"
 
 
-def _best_items(items: str) -> str:
-    """Rows (seq, kind, id, ord, matched, focus, cand, item_score) as the CTE items -> the ranked items with their bullets."""
+def _best_items(items: str, keep=(1, 2), bullets=(2, 1)) -> str:
+    """Rows (seq, kind, id, ord, matched, focus, cand, item_score) as the CTE items -> best, the ranked items of the two kinds,
+    and x, their bullets."""
     supported = " ".join(f"WHEN k = {_q(t)} THEN {_any(token('bullet'), words)}" for t, words in rank.FOCUS_GUARDS.items())
     phrase = " ".join(f"WHEN term = {_q(t)} THEN {_q(p)}" for t, p in rank.FOCUS.items())
     return f"""{items},
       r AS (SELECT *, row_number() OVER (PARTITION BY seq, kind ORDER BY item_score DESC, ord) AS item_rank FROM items),
-      best AS (SELECT * FROM r WHERE item_rank <= CASE kind WHEN 'experience' THEN 1 ELSE 2 END),
+      best AS (SELECT * FROM r WHERE item_rank <= CASE kind WHEN 'experience' THEN {keep[0]} ELSE {keep[1]} END),
       e AS (SELECT seq, kind, item_rank, unnest(range(len(cand))) AS i, unnest(cand) AS bullet, matched, focus FROM best),
       b AS (SELECT *, row_number() OVER (PARTITION BY seq, kind, item_rank ORDER BY 3 * {_inside('matched', 'bullet')} + 2 * {_inside('focus', 'bullet')} DESC, i) AS n FROM e),
-      w AS (SELECT *, trim(bullet, ' ') AS text, list_filter(focus, lambda k: CASE {supported} END)[1] AS term FROM b WHERE n <= CASE kind WHEN 'experience' THEN 2 ELSE 1 END),
-      x AS (SELECT seq, kind, item_rank, string_agg(CASE WHEN term IS NULL THEN text ELSE regexp_replace(text, '\\.+$', '') || ', ' || CASE {phrase} END || '.' END, '|' ORDER BY n) AS bullets FROM w GROUP BY ALL)
-      SELECT seq, kind, item_rank, id, item_score::int AS item_score, bullets FROM best JOIN x USING (seq, kind, item_rank)"""
+      w AS (SELECT *, trim(bullet, ' ') AS text, list_filter(focus, lambda k: CASE {supported} END)[1] AS term FROM b WHERE n <= CASE kind WHEN 'experience' THEN {bullets[0]} ELSE {bullets[1]} END),
+      x AS (SELECT seq, kind, item_rank, list(CASE WHEN term IS NULL THEN text ELSE regexp_replace(text, '\\.+$', '') || ', ' || CASE {phrase} END || '.' END ORDER BY n) AS bullets FROM w GROUP BY ALL)"""
 
 
-def material_ranking() -> str:
+_RANKED = "SELECT seq, kind, item_rank, id, item_score::int AS item_score, array_to_string(bullets, '|') AS bullets FROM best JOIN x USING (seq, kind, item_rank)"
+
+
+def _sample_items() -> str:
     items = []
-    for kind, id_, _, _, tags, bullets, variants, targets, ord_ in samples.MATERIALS:
+    for kind, id_, name, title, tags, bullets, variants, targets, ord_ in samples.MATERIALS:
         own = " ".join(f"WHEN role_family = {_q(n)} THEN {_list(b)}" for n, b in variants.items())
         cand = f"(CASE {own} ELSE []::varchar[] END || {_list(bullets)})" if own else _list(bullets)
         tagged = " + ".join(f"contains(body, {token(_q(t))})::int" for t in tags)
-        items.append(f"""SELECT seq, {_q(kind)} AS kind, {_q(id_)} AS id, {ord_} AS ord, matched, focus, {cand} AS cand,
+        items.append(f"""SELECT seq, {_q(kind)} AS kind, {_q(id_)} AS id, {_q(name)} AS name, {'NULL' if title is None else _q(title)}::varchar AS title, {ord_} AS ord, matched, focus, {cand} AS cand,
           5 * ({tagged}) + CASE WHEN list_contains({_list(targets)}, role_family) THEN 8 ELSE 0 END
           + 2 * coalesce(list_sum(list_transform({cand}, lambda b: {_inside('matched', 'b')})), 0) AS item_score FROM g""")
-    each = ' UNION ALL '.join(items)
-    return f"WITH {_ROLE}, {_best_items(f'items AS ({each})')}"
+    return f"items AS ({' UNION ALL '.join(items)})"
+
+
+def material_ranking() -> str:
+    return f"WITH {_ROLE}, {_best_items(_sample_items())} {_RANKED}"
 
 
 def sparse_ranking() -> str:
@@ -292,7 +301,7 @@ def sparse_ranking() -> str:
       base AS (SELECT role_family, matched, kind, id, ord, cand, CASE WHEN p_size % 5 = 0 AND role_family IN ('data_scientist', 'software_engineer') THEN 8 ELSE 0 END
         + 2 * coalesce(list_sum(list_transform(cand, lambda b: {_inside('matched', 'b')})), 0) AS s FROM own),
       {_best_items("""items AS (SELECT g.seq, b.kind, b.id, b.ord, g.matched, g.focus, b.cand, b.s + coalesce(p, 0) AS item_score FROM g
-        JOIN base b ON g.role_family = b.role_family AND g.matched = b.matched LEFT JOIN points p ON p.seq = g.seq AND p.kind = b.kind AND p.ord = b.ord)""")}"""
+        JOIN base b ON g.role_family = b.role_family AND g.matched = b.matched LEFT JOIN points p ON p.seq = g.seq AND p.kind = b.kind AND p.ord = b.ord)""")} {_RANKED}"""
 
 
 def rule_matches() -> str:
@@ -315,6 +324,116 @@ def collected_pages() -> str:
       FROM one LEFT JOIN customer ON c_custkey = id WHERE place <= 27"""
 
 
+def mined_pages() -> str:
+    mark = E._ID
+
+    def value(keys) -> str:
+        found = ", ".join(f"""nullif({squeeze(f"regexp_extract(near, '(?s){_j(k)}:{_J}', 1)")}, '')""" for k in keys)
+        return strip_html(f"coalesce({found}, '')")
+
+    easy = " OR ".join(f"contains(near, {_q(e)})" for e in E._EASY)
+    entry = """'{"jobkey":"' || o_orderkey // 2 || '",' || CASE WHEN o_orderkey % 7 <> 0 THEN '"displayTitle":"' || o_orderpriority || ' &amp;  ' || o_orderkey // 2 || '",' ELSE '' END
+      || '"companyName":"C ' || o_orderstatus || '",' || CASE WHEN o_orderkey % 3 = 0 THEN '"formattedLocation":"F&eacute;' || o_orderstatus || '",' ELSE '"location":"L",' END
+      || '"pubDate":"' || strftime(o_orderdate, '%Y-%m-%d') || '"' || CASE WHEN o_orderkey % 5 = 0 THEN ',"isIndeedApply":true' ELSE '' END || '}' || repeat('x é', o_orderkey % 700)"""
+    return f"""WITH p AS (SELECT o_custkey AS page, string_agg({entry}, '' ORDER BY o_orderkey) AS html FROM orders GROUP BY 1),
+      m AS (SELECT *, regexp_extract_all(html, '{mark}', 1) AS ids, regexp_extract_all(html, '{mark}') AS hits, string_split_regex(html, '{mark}') AS gaps FROM p),
+      x AS (SELECT page, unnest(range(len(ids))) AS place, unnest(ids) AS job_id, unnest(list_transform(hits, lambda h: length(h))) AS size, unnest(list_transform(gaps[1:len(ids)], lambda h: length(h))) AS gap FROM m),
+      y AS (SELECT *, (sum(size + gap) OVER (PARTITION BY page ORDER BY place))::bigint AS stop FROM x),
+      z AS (SELECT *, greatest(0, stop - size - 1200) AS start FROM y),
+      n AS (SELECT z.page, place, job_id, substr(html, start + 1, stop + 2400 - start) AS near FROM z JOIN p ON z.page = p.page),
+      f AS (SELECT page, place, job_id, {', '.join(f'{value(keys)} AS {name}' for name, keys in E._KEYS.items())}, {easy} AS easy_apply FROM n),
+      o AS (SELECT *, row_number() OVER (PARTITION BY page, job_id, position, company ORDER BY place) AS again FROM f WHERE position <> '' AND company <> '')
+      SELECT page, row_number() OVER (PARTITION BY page ORDER BY place) - 1 AS card_no, position, company, location, date, easy_apply, job_id,
+        '{E.SITE_2}/viewjob?jk=' || job_id AS url FROM o WHERE again = 1"""
+
+
+#: A JSON string's content, and a key as it stands in a pattern.
+_J = r'"((?:\\.|[^"])*)"'
+
+
+def _j(name: str) -> str:
+    return f'"{name}"'
+
+
+def collected_pages_2() -> str:
+    return f"""WITH c AS (SELECT s_nationkey AS page, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place, s_suppkey, s_name, n_name, s_suppkey // 2 AS id
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey % 5 <> 4),
+      mined AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY place) - 1 AS card_no FROM c WHERE page % 3 = 0 AND s_suppkey % 11 <> 0),
+      found AS (SELECT page, card_no, s_suppkey, s_name, n_name, id, '{E.SITE_2}/viewjob?jk=' || id AS url, 'D' AS date, 'L' AS location FROM mined
+        UNION ALL SELECT page, place, s_suppkey, s_name, n_name, id, '{E.SITE_2}/viewjob?jk=' || id || '&x=1', 'two days', CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE 'P <1' END FROM c WHERE page % 3 <> 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY card_no) AS n FROM found),
+      u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page, card_no) AS again FROM r WHERE n <= 9),
+      one AS (SELECT *, row_number() OVER (ORDER BY page, card_no) AS place FROM u WHERE again = 1)
+      SELECT (page * 1000000 + card_no)::bigint AS seq, n_name AS company, s_name AS position, url, date, location, s_suppkey % 3 = 0 AS easy_apply, id::varchar AS job_id,
+        n_name AS search_keyword, CASE WHEN place > 18 OR c_custkey IS NULL THEN '' WHEN c_custkey % 2 = 0 THEN c_name || ' <' ELSE c_name || ' é &' || c_mktsegment END AS description
+      FROM one LEFT JOIN customer ON c_custkey = id"""
+
+
+def latex(x: str) -> str:
+    for a, b in (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}")):
+        x = f"replace({x}, {_q(a)}, {_q(b)})"
+    return x
+
+
+def _family(words: dict, other: str) -> str:
+    return "CASE role_family " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in words.items()) + f" ELSE {_q(other)} END"
+
+
+def tailored_documents() -> str:
+    D, snippets = documents, samples.SNIPPETS
+    nl = lambda *x: " || ".join(x)
+    ending = "[" + ", ".join(_q(x) for x in samples.ENDINGS) + f"][seq % {len(samples.ENDINGS)} + 1]"
+    low = "lower(s)"
+    context = f"""se AS (SELECT seq, unnest(range(len(a))) AS pos, unnest(a) AS s FROM (SELECT seq, {_sentences('description')} AS a FROM g)),
+      el AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY pos) AS n FROM se WHERE NOT {_any(low, rank.BANNED)} AND length(s) BETWEEN 40 AND 240 AND {_any(low, rank.CONTEXT)}),
+      own AS (SELECT seq, arg_max(s, [2 * {_hits(low, rank.HIGH_VALUE)} + {_hits(low, rank.CONTEXT)}, -pos]) AS sentence FROM el WHERE n <= 8 GROUP BY seq)"""
+    bullet = f"array_to_string(list_transform(bullets, lambda b: '      \\item \\small{{' || {latex('b')} || '}}' || chr(10)), '')"
+    head = lambda one, three: nl("'  \\resumeSubheading' || chr(10) || '    {'", one, "'}{}' || chr(10) || '    {'", three, "'}{}' || chr(10) || '    \\resumeItemListStart' || chr(10)")
+    text = f"{head(latex('name'), latex("coalesce(title, CASE kind WHEN 'project' THEN 'Project' ELSE '' END)"))} || {bullet} || '    \\resumeItemListEnd' || chr(10)"
+    section = lambda kind, title: f"'\\section{{{title}}}' || chr(10) || '\\resumeSubHeadingListStart' || chr(10) || chr(10) || coalesce(string_agg(text || chr(10), '' ORDER BY item_rank) FILTER (WHERE kind = '{kind}'), '') || '\\resumeSubHeadingListEnd'"
+    groups = []
+    for k, (group, names) in enumerate((g, n) for g, n in samples.SKILLS.items() if n):
+        each = ", ".join(f"{{'a': CASE WHEN contains(body, {token(_q(n))}) THEN 0 ELSE 1 END, 'l': {_q(n.lower())}, 'k': {i}, 's': {_q(n)}}}" for i, n in enumerate(names))
+        listed = f"array_to_string(list_transform(list_sort([{each}])[1:12], lambda x: x.s), ', ')"
+        line = nl(f"'    \\textbf{{{D.GROUP_TITLES.get(group, group)}}}{{: '", latex(listed), "'} \\\\'")
+        groups.append(f"{{'o': CASE WHEN role_family = {_q(group)} THEN -1 ELSE {k} END, 'g': {_q(group)}, 'line': {line}}}")
+    skills = f"'\\section{{Technical Skills}}' || chr(10) || '\\resumeSubHeadingListStart' || chr(10) || '  \\item{{' || chr(10) || array_to_string(list_transform(list_sort([{', '.join(groups)}]), lambda x: x.line), chr(10)) || chr(10) || '  }}' || chr(10) || '\\resumeSubHeadingListEnd'"
+    focus = "CASE WHEN sentence IS NOT NULL THEN " + f"{_q(D.OWN_FOCUS)} || sentence"
+    for words, how, sentence in D.FOCUS_FALLBACKS:
+        focus += f" WHEN {(' AND ' if how == 'all' else ' OR ').join(f'contains(plain, {_q(w)})' for w in words)} THEN {_q(sentence)}"
+    focus += f" ELSE {_q(snippets['team_mission'][0])} END"
+    usual = snippets["internship"][0] + D.INTERNSHIP_TAIL
+    paragraphs = [
+        f"'I am applying for the ' || position || ' role at ' || company || ' because I am interested in ' || {_family(D.OPENINGS, '')} || ' that move beyond experimentation and become reliable tools for real users. ' || {focus}",
+        f"{_family(D.BACKGROUNDS, '')} || {_q(D.STUDIES[False])}",
+        f"'My strongest evidence for this role comes from ' || array_to_string(projects[1:2], ', ') || '. In these projects, I worked across ' || {_family(D.ALIGNMENTS, '')} || ', which maps well to roles that expect early-career engineers to contribute to real delivery work.'",
+        _family({"data_scientist": snippets["data_delivery"][0] + D.DATA_TAIL, "robotics_engineer": usual + D.ROBOTICS_TAIL}, usual),
+        "'I believe I would be a strong fit because I bring hands-on experience in Python, delivery-focused engineering work, documentation and collaborative problem-solving, and I am motivated to contribute as I continue growing in a strong team at ' || company || '.'",
+    ]
+    tex = lambda v: v.replace("\\", r"\textbackslash{}").replace("&", r"\&").replace("%", r"\%").replace("$", r"\$").replace("#", r"\#").replace("_", r"\_")
+    p = {k: tex(v) for k, v in PROFILE.items()}
+    top = (
+        "% Generated tailored cover letter.\n\\documentclass[a4paper,11pt]{letter}\n\n\\usepackage[a4paper,top=0.7in,bottom=0.7in,left=0.8in,right=0.8in]{geometry}\n"
+        "\\usepackage[hidelinks]{hyperref}\n\\usepackage{parskip}\n\n\\begin{document}\n\n\\begin{letter}{}\n\n\\begin{center}\n"
+        f"    {{\\Large \\textbf{{{p['full_name']}}}}}\\\\[2pt]\n    \\href{{mailto:{p['email']}}}{{{p['email']}}}\n    \\;|\\;\n{p['phone']}\n    \\;|\\;\n"
+        f"    \\href{{{p['linkedin_url']}}}{{LinkedIn}}\n    \\;|\\;\n    \\href{{{p['portfolio_url']}}}{{Portfolio}}\n\\end{{center}}\n\n\\vspace{{-0.1cm}}\n\n\\opening{{Dear "
+    )
+    end = f" Hiring Team,}}\n\n"
+    close = f"\n\n\\closing{{Yours sincerely,\\\\[2pt] {p['closing_name']}}}\n\n\\end{{letter}}\n\n\\end{{document}}"
+    letter = nl(_q(top), latex("company"), _q(end), " || chr(10) || chr(10) || ".join(latex(f"({x})") for x in paragraphs), _q(close))
+    resume = nl("'% Generated for ' || company || ' - ' || position || chr(10) || '% Selected role family: ' || role_family || chr(10) || '% Selected projects: '",
+        "array_to_string(ids, ', ')", "chr(10)", _q(samples.TEMPLATE.partition("\\section")[0]), "experience", "chr(10) || chr(10)", "project", "chr(10) || chr(10)", skills, "chr(10) || chr(10) || '\\end{document}'")
+    return f"""WITH {TURNS}, d AS (SELECT seq, company || '_&' AS company, position, position || {ending} AS description FROM turn_postings),
+      first AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY {key('company', 'position')} ORDER BY seq) AS n FROM d) WHERE n = 1),
+      {_SIGNALS.replace('FROM turn_postings', 'FROM first')}, {context},
+      {_best_items(_sample_items(), (1, 3), (4, 3))},
+      texts AS (SELECT best.seq, kind, item_rank, id, name, {text} AS text FROM best JOIN x USING (seq, kind, item_rank)),
+      parts AS (SELECT seq, {section('experience', 'Experience')} AS experience, {section('project', 'Projects')} AS project,
+        list(name ORDER BY item_rank) FILTER (WHERE kind = 'project') AS projects, list(id ORDER BY item_rank) FILTER (WHERE kind = 'project') AS ids FROM texts GROUP BY seq),
+      whole AS (SELECT g.*, parts.* EXCLUDE (seq), sentence, lower({squeeze('description')}) AS plain FROM g JOIN parts ON g.seq = parts.seq LEFT JOIN own ON g.seq = own.seq)
+      SELECT seq, md5({resume}) AS resume, md5({letter}) AS letter, md5('out/coverletters/' || {_slug("company || '-' || position")} || '.pdf') AS pdf, array_to_string(projects, ',') AS projects FROM whole"""
+
+
 def daily_run() -> str:
     j = lambda x: f"to_json({x})::varchar"
     path = f"'out/resumes/' || {_slug("company || '-' || position")} || '.tex'"

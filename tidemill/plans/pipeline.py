@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import posting_key
-from ..operators.dedupe import best_scored, keep_best, keep_first, merge_sources, union_all
+from ..operators.dedupe import best_scored, keep_first, merge_sources, union_all
 from ..operators.rank import rank_materials, with_signals
 from ..operators.scoring import reject_reason, score, with_texts
 from ..operators.sync import assemble, payload, plan_upserts, records
 from ..rules import Rules
 from ..sources.files import write_json, write_named_texts
+from ..sources.scratch import materialise
 from .documents import letter, manifest, resume, sections, skills_section
 
 #: Defaults: fixed values.
@@ -71,18 +72,27 @@ def tailor(
     return whole.select(*manifest(folder), *texts, "seq")
 
 
-def tailor_to_fit(fits: Callable[[DataFrame], Column], *args, **kwargs) -> DataFrame:
+def tailor_to_fit(fits: Callable[[DataFrame], Column], chosen: DataFrame, *args, **kwargs) -> DataFrame:
     """`tailor` by the first attempt whose texts fit, else by the last, with its number as `attempt`.
 
     fits: from the table of one attempt to a condition on its resume and letter, say on the pages that a
-    compiler counts in them.
+    compiler counts in them; null is no. Every attempt is made of the postings that did not fit before, and
+    of these only, and written down, so that no posting is rendered or judged twice; the rounds end as soon
+    as all fit.
     """
-    tried = None
+    left, done, last = materialise(chosen, "to-fit"), None, len(ATTEMPTS) - 1
     for k in range(len(ATTEMPTS)):
-        made = tailor(*args, **kwargs, attempt=k)
-        made = made.withColumns({"attempt": F.lit(k), "fit": F.when(fits(made), 2).when(F.lit(k == len(ATTEMPTS) - 1), 1).otherwise(0)})
-        tried = made if tried is None else tried.unionByName(made)
-    return keep_best(tried, ["company", "position"], [F.col("fit")], ("attempt",)).drop("fit", "first_seen")
+        made = tailor(left, *args, **kwargs, attempt=k)
+        fit = F.lit(True) if k == last else F.coalesce(fits(made), F.lit(False))
+        made = materialise(made.withColumns({"attempt": F.lit(k), "fit": fit}), "attempt")
+        fitting = made.where("fit").drop("fit")
+        done = fitting if done is None else done.unionByName(fitting)
+        rest = made.where("NOT fit").select(F.col("company").alias("c"), F.col("position").alias("p"))
+        if k == last or rest.isEmpty():
+            break
+        same = F.col("company").eqNullSafe(F.col("c")) & F.col("position").eqNullSafe(F.col("p"))
+        left = materialise(left.join(rest, same, "left_semi"), "to-fit")
+    return done
 
 
 def write_documents(made: DataFrame, folder: str) -> None:

@@ -165,3 +165,13 @@ MATERIALS = [
     ("project", "p2", "Race", None, ["que"], ["Le ciment api docker"], {}, ["software_engineer"], 1),
     ("project", "p3", "Dam", None, ["zz"], ["Plain data"], {}, [], 2),
 ]
+
+#: Wording and templates of the tailored documents' query: fixed inputs, in place of files.
+SKILLS = {"ai_engineer": ["the", "Zeta & co", "and"], "empty": [], "data_scientist": ["ing", "B_1", "of", "Alpha"], "other": ["zzz", "ER"]}
+SNIPPETS = {"team_mission": ["I like the {mission}."], "data_delivery": ["I shipped data & reports."], "internship": ["In 2024 I worked at 100% speed."]}
+TEMPLATE = "\\begin{document}\n\\section{Experience}\nold\n\\section{Projects}\nold $1\n\\section{Technical Skills}\nold\n\\end{document}"
+#: What is appended to a turn's text by the last digit of its number, so that every way to a focus sentence is gone.
+ENDINGS = (
+    " The team will help to maintain the production workflow and its tooling for internal users.", " A team with a product.",
+    " For internal tools", " production and reliability", "",
+)
