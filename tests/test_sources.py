@@ -121,7 +121,7 @@ def test_upserts_and_alert(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         pipeline.guarded(lambda: 1 / 0, broken)
     assert pipeline.chosen_sources({"source": " a "}) == {"a"} and pipeline.chosen_sources({"sources": ["x", "y"]}) == {"x", "y"}
-    assert pipeline.chosen_sources({}) == {"linkedin"} and pipeline.chosen_sources({"source": ""}) == set()
+    assert pipeline.chosen_sources({}) == {"linkedin"} == pipeline.chosen_sources({"source": "", "sources": []})
 
 
 def growing(page_size, token, view):

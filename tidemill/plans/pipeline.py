@@ -122,9 +122,9 @@ DEFAULT_SOURCE = "linkedin"
 
 
 def chosen_sources(search: dict) -> set[str]:
-    """The configured set of sources, else the single one, else the default; an empty single one is none."""
+    """The configured set of sources, else the single one; the default where neither names any."""
     many = {str(s) for s in search.get("sources") or []}
-    return many or {str(search.get("source", DEFAULT_SOURCE)).strip()} - {""}
+    return many or {str(search.get("source", DEFAULT_SOURCE)).strip() or DEFAULT_SOURCE}
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,8 @@ class Run:
 def run(
     sources: Sequence[DataFrame], rules: Rules, materials: DataFrame, remote: DataFrame, *, skills: dict[str, list[str]], snippets: dict[str, list[str]],
     profile: dict[str, str], template: str, folder: str, min_score: int = MIN_SCORE, k: int = 0, document_score: int | None = None,
-    fields: dict[str, str] | None = None, definitions: DataFrame | None = None, internship: str = "internship",
+    fields: dict[str, str] | None = None, definitions: DataFrame | None = None, defaults: dict[str, str] | None = None,
+    internship: str = "internship",
 ) -> Run:
     """The stages one after another: merge the sources, score and shortlist, tailor documents, plan the upserts.
 
@@ -156,6 +157,6 @@ def run(
     if fields is not None and definitions is not None:
         # two sources may use the same seq, so rows are keyed by their place
         keyed = plan.withColumn("place", _place())
-        shaped = payload(assemble(keyed, fields, key="place"), definitions, fields.get("score_breakdown", ""))
+        shaped = payload(assemble(keyed, fields, defaults, key="place"), definitions, fields.get("score_breakdown", ""))
         plan = keyed.join(records(shaped, "place"), "place").drop("place")
     return Run(merged, chosen, made, plan)

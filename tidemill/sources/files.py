@@ -30,6 +30,13 @@ def _present(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: F.coalesce(f.name, empty[f.dataType]) for f in schema if f.dataType in empty})
 
 
+def _records(spark: SparkSession, path: str, schema: T.StructType, array: bool | None) -> DataFrame:
+    if array is None:
+        first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
+        array = first is not None and first.c == "["
+    return spark.read.schema(schema).option("multiLine", array).json(path)
+
+
 def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING, array: bool | None = None) -> DataFrame:
     """Records as `write_json` writes them: a JSON array per file, or a record per line; a missing file is an empty table.
 
@@ -38,10 +45,14 @@ def read_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    if array is None:
-        first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
-        array = first is not None and first.c == "["
-    return _present(spark.read.schema(schema).option("multiLine", array).json(path), schema)
+    return _present(_records(spark, path, schema, array), schema)
+
+
+def read_numbered_postings(spark: SparkSession, path: str, schema: T.StructType = POSTING) -> DataFrame:
+    """`read_postings` of one file, with seq: the records' places in it."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField("seq", T.LongType()), *schema.fields]))
+    return _present(numbered(_records(spark, path, schema, None)).drop("file"), schema)
 
 
 def write_json(df: DataFrame, path: str, array: bool = False) -> None:
@@ -84,20 +95,26 @@ def read_lines(spark: SparkSession, path: str, today: str) -> DataFrame:
     return parse_lines(numbered_lines(spark, path), today, keep=("seq",))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, value): the lines of text files with their number in the file, from 0, read in splits.
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows, as a file source gives them, with file and seq: their number in the file, from 0, read in splits.
 
-    A line's number is its place in its block plus the lines of the blocks before it; blocks are told apart
-    by where they start, and counted in a pass of their own.
+    A row's number is its place in its block plus the rows of the blocks before it; blocks are told apart by
+    where they start, and counted in a pass of their own.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value",
+    placed = rows.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"), *rows.columns,
     )
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("seq"), "value")
+    blocks = placed.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "__block", "__first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    seq = F.col("__before") + F.col("__at") - F.col("__first")
+    return placed.join(starts, ["file", "__block"]).select("file", seq.alias("seq"), *rows.columns)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, value): the lines of text files with their numbers."""
+    return numbered(spark.read.option("lineSep", "\n").text(path))
 
 
 def normal_line() -> Column:
