@@ -139,6 +139,11 @@ class BytePairEncoder:
         parts = self._split.split(text)
         return b"".join(array("I", [self.added[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
+    def forget(self) -> None:
+        """Give the cache back."""
+        self._tokens.clear()
+        self._tokens.old = {}
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
@@ -154,6 +159,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
+        yield from encoded(bpe, batches)
+        bpe.forget()  # other stages run in the same worker, and need the room
+
+    def encoded(bpe: BytePairEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(1)]
             ids = [bpe.encode(t) for t in texts]
