@@ -121,9 +121,8 @@ def run(spark: SparkSession, places: Places, outside: Outside, today: str, dry_r
     )
     for name, df in (("jobs", found.merged.drop("first_seen")), ("scored_jobs", found.chosen.drop("first_seen"))):
         files.write_json(df, f"{places.output}/{name}")
-    documents = materialise(found.documents, "documents")
-    pipeline.write_documents(documents, places.output)
-    return Result(found.merged, found.chosen, documents, remote.apply_upserts(found.plan, outside.sender, dry_run))
+    pipeline.write_documents(found.documents, places.output)
+    return Result(found.merged, found.chosen, found.documents, remote.apply_upserts(found.plan, outside.sender, dry_run))
 
 
 def run_guarded(spark: SparkSession, places: Places, outside: Outside, today: str, dry_run: bool = False) -> Result:

@@ -129,7 +129,7 @@ def chosen_sources(search: dict) -> set[str]:
 
 @dataclass(frozen=True)
 class Run:
-    """What one run of the stages gives: all lazy but for what the sizes of small sides are checked by."""
+    """What one run of the stages gives: the plan lazily, over stages that were each evaluated once and written down."""
 
     merged: DataFrame
     chosen: DataFrame
@@ -149,9 +149,10 @@ def run(
     them. remote: (url, record_id), as `sync.remote_lookup` gives it. With fields and definitions the plan
     has the payload of each row, ready for `remote.apply_upserts`.
     """
-    merged = merge(*sources)
-    chosen = shortlist(merged, rules, min_score, k)
-    made = tailor(chosen, materials, skills, snippets, profile, template, folder, min_score if document_score is None else document_score, internship=internship)
+    merged = materialise(merge(*sources), "merged")
+    chosen = materialise(shortlist(merged, rules, min_score, k), "chosen")
+    least = min_score if document_score is None else document_score
+    made = materialise(tailor(chosen, materials, skills, snippets, profile, template, folder, least, internship=internship), "documents")
     paths = made.select("company", "position", "seq", "resume_path", "coverletter_path", "selected_projects")
     plan = plan_upserts(chosen, remote, paths)
     if fields is not None and definitions is not None:
