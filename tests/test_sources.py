@@ -1,8 +1,8 @@
 import json
 import os
+import random
 
 import pytest
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemill import rules
@@ -268,17 +268,24 @@ def test_settings(spark, tmp_path):
 
 
 def test_incremental_merge(spark, tmp_path):
+    from tidemill.operators.dedupe import merge_sources
+
     schema = "seq long, company string, position string, url string, description string, easy_apply boolean"
-    source = tmp_path / "in"
+    source, target = tmp_path / "in", f"file://{tmp_path}/out"
     stream = lambda: spark.readStream.schema(schema).json(str(source))
-    assert latest(spark, f"file://{tmp_path}/out") is None
-    rows = [[(1, "a", "x", "", "d", False), (2, "b", "x", "", "", False)], [(3, "a", "x", "", "long", False), (4, "a", "x", "", "dd", False)]]
-    for part in rows:
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(source))
-        keep_merged(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
-    got = latest(spark, f"file://{tmp_path}/out").select("seq", "company", F.length("description")).collect()
-    assert {tuple(r) for r in got} == {(3, "a", 4), (2, "b", 0)}
-    (tmp_path / "out/v1/_SUCCESS").unlink()
-    spark.createDataFrame(rows[0], schema).coalesce(1).write.mode("append").json(str(source))
-    with pytest.raises(StreamingQueryException):  # the history is gone
-        keep_merged(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    assert latest(spark, target) is None
+    r = random.Random(7)
+    rows = [(k, r.choice("abc"), r.choice("xyz"), r.choice(["", "", f"u{r.randint(0, 5)}"]), r.choice(["", "d", "dd", None, "é" * 5]), r.choice([True, False, None])) for k in range(120)]
+    rows.append((200, "new", "new", "", "", False))
+    r.shuffle(rows)
+    cuts = [0, 60, 61, 110, 121]
+    for n, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        spark.createDataFrame(rows[i:j], schema).coalesce(1).write.mode("append").json(str(source))
+        keep_merged(stream(), target, f"file://{tmp_path}/cp").awaitTermination()
+        want = {tuple(x) for x in merge_sources(spark.createDataFrame(rows[:j], schema)).collect()}
+        got = [tuple(x) for x in latest(spark, target).select(*schema.replace(",", "").split()[::2], "first_seen").collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert spark.read.parquet(f"{target}/b{n}").count() <= j - i  # no more than the batch
+    (tmp_path / "out/b1/_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):  # the history is gone
+        latest(spark, target)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.text import posting_key
 
@@ -22,7 +22,8 @@ def keep_best(df: DataFrame, keys: Sequence[Column | str], prefer: Sequence[Colu
     """
     seq = order_of(df) if seq is None else seq
     fields = [F.col(c) for c in df.columns if c != "first_seen"]
-    ks = [F.col(k) if isinstance(k, str) else k for k in keys]
+    # texts are grouped by their digests, so that a key is never a second copy of a long text
+    ks = [F.sha2(k, 256) if isinstance(df.select(k).schema[0].dataType, StringType) else k for k in (F.col(k) if isinstance(k, str) else k for k in keys)]
     order = [*prefer, *[-F.col(s) for s in seq]]
     best = F.max_by(F.struct(*fields), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(order)]))
     place = [F.col(s).alias(s.rpartition(".")[2]) for s in seq]

@@ -23,6 +23,10 @@ ALLOWED = {
 }
 
 
+#: Allowed values up to which their table is broadcast.
+FEW_ALLOWED = 10_000
+
+
 def findings(texts: DataFrame, text: str, keep: tuple[str, ...], allowed: DataFrame | None = None) -> DataFrame:
     """(keep, kind, value) per match, without the (kind, value) pairs of allowed."""
     def of(kind: str, pattern: str) -> Column:
@@ -31,10 +35,12 @@ def findings(texts: DataFrame, text: str, keep: tuple[str, ...], allowed: DataFr
 
     each = [of(k, p) for k, p in PATTERNS.items()]
     found = texts.select(*keep, F.explode(F.concat(*each)).alias("m")).select(*keep, "m.*")
-    if allowed is None:
-        rows = [(k, v) for k, vs in ALLOWED.items() for v in vs]
-        allowed = texts.sparkSession.createDataFrame(rows, "kind string, value string")
-    return found.join(allowed, ["kind", "value"], "left_anti").select(*keep, "kind", "value")
+    if allowed is None:  # a few fixed values, as literals
+        for kind, values in ALLOWED.items():
+            found = found.where(~((F.col("kind") == kind) & F.col("value").isin(*values)))
+        return found
+    few = F.broadcast(allowed) if allowed.limit(FEW_ALLOWED + 1).count() <= FEW_ALLOWED else allowed
+    return found.join(few, ["kind", "value"], "left_anti").select(*keep, "kind", "value")
 
 
 def credentials(files: DataFrame, service: str, allowed: tuple[str, ...]) -> DataFrame:
