@@ -161,6 +161,7 @@ def test_run_of_the_stages(spark, tmp_path):
     folder = f"file://{tmp_path}/docs"
     found = pipeline.run([one, two], RULES, materials, remote, **texts, folder=folder, min_score=0, k=9, fields=fields, definitions=definitions, internship="mine")
     plan = {(r.company, r.url): r for r in found.plan.collect()}
+    assert {k: n for k, n in found.counts.items() if n} == {"merged": 4, "kept": 4, "chosen": 4, "tailored": 4} and found.actions.get == {"create": 3, "update": 1}
     assert {k: (r.action, r.record_id) for k, r in plan.items()} == {("a", "u1"): ("update", "r1"), ("b", ""): ("create", None), ("c", "u3"): ("create", None), ("", ""): ("create", None)}
     assert json.loads(plan["a", "u1"].payload) == {"Company": "a", "Link": {"link": "u1", "text": "u1"}, "Resume": f"{folder}/resumes/a-dev.tex", "Role": "dev", "Score": plan["a", "u1"].matching_score, "State": "Need Review"}
     assert "Link" not in json.loads(plan["b", ""].payload)

@@ -288,6 +288,13 @@ def fallback_rows(spark, d):
     return dedupe.or_else(live, region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
 
 
+def live_rows(spark, d):
+    """The other way of fallback_rows: there are live rows, so the fallback is not used."""
+    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    live = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return dedupe.or_else(live, region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
+
+
 def text_escapes(spark, d):
     part = _t(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("_{&%$\\"), "p_type").alias("t"))
     template = F.lit("Hi {{NAME}}, {{NAME}}: {{KIND}}")
@@ -433,7 +440,7 @@ _QUERIES = (
     text_normal, url_fields, url_dedupe, page_fields, page_cards, merge_sources, fetch_dedupe, generation_dedupe, hard_filters,
     keyword_scores, page_scores, breakdown_text, scored_dedupe, shortlist_pages, sentence_split, context_sentences, role_signals,
     material_ranking, sparse_ranking, rule_matches, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
-    fallback_rows, text_escapes, manual_lines, collected_pages, collected_pages_2, mined_pages, tailored_documents, daily_run,
+    fallback_rows, live_rows, text_escapes, manual_lines, collected_pages, collected_pages_2, mined_pages, tailored_documents, daily_run,
 )
 
 

@@ -66,6 +66,7 @@ class Result:
     chosen: DataFrame
     documents: DataFrame
     sent: DataFrame
+    counts: dict[str, int]
 
 
 def template(spark: SparkSession, path: str, profile: dict[str, str]) -> str:
@@ -122,7 +123,7 @@ def run(spark: SparkSession, places: Places, outside: Outside, today: str, dry_r
     for name, df in (("jobs", found.merged.drop("first_seen")), ("scored_jobs", found.chosen.drop("first_seen"))):
         files.write_json(df, f"{places.output}/{name}")
     pipeline.write_documents(found.documents, places.output)
-    return Result(found.merged, found.chosen, found.documents, remote.apply_upserts(found.plan, outside.sender, dry_run))
+    return Result(found.merged, found.chosen, found.documents, remote.apply_upserts(found.plan, outside.sender, dry_run), found.counts)
 
 
 def run_guarded(spark: SparkSession, places: Places, outside: Outside, today: str, dry_run: bool = False) -> Result:

@@ -496,6 +496,10 @@ def fallback_rows() -> str:
     return "SELECT r_regionkey AS k, r_name AS name FROM region"
 
 
+def live_rows() -> str:
+    return "SELECT n_nationkey AS k, n_name AS name FROM nation"
+
+
 def text_escapes() -> str:
     t = r"(p_brand || '_{&%$\' || p_type)"
     e = t

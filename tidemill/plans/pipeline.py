@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import posting_key
@@ -35,10 +35,22 @@ def merge(*sources: DataFrame) -> DataFrame:
     return merge_sources(union_all(*sources), ("file_ord", "seq"))
 
 
-def scored(postings: DataFrame, rules: Rules) -> DataFrame:
-    """Postings that pass the hard filters, with their scores; rows are filtered before they are scored."""
+#: The reasons of the hard filters, as they are counted: fixed values.
+REASONS = ("title_hard_filter", "experience_hard_filter", "visa_hard_filter", "student_status_hard_filter")
+
+
+def scored(postings: DataFrame, rules: Rules, counted: Observation | None = None) -> DataFrame:
+    """Postings that pass the hard filters, with their scores; rows are filtered before they are scored.
+
+    counted: gets the number of rows kept and of those rejected by each reason, in the same pass.
+    """
     texts = with_texts(postings)
-    return score(texts.where(reject_reason(rules) == ""), rules)
+    if counted is None:
+        return score(texts.where(reject_reason(rules) == ""), rules)
+    reason = F.col("__reason")
+    counts = [F.count_if(reason == r).alias(r) for r in REASONS]
+    judged = texts.withColumn("__reason", reject_reason(rules)).observe(counted, F.count_if(reason == "").alias("kept"), *counts)
+    return score(judged.where(reason == "").drop("__reason"), rules)
 
 
 def rejected(postings: DataFrame, rules: Rules) -> DataFrame:
@@ -46,9 +58,9 @@ def rejected(postings: DataFrame, rules: Rules) -> DataFrame:
     return with_texts(postings).withColumn("reason", reject_reason(rules)).where("reason <> ''")
 
 
-def shortlist(postings: DataFrame, rules: Rules, min_score: int = MIN_SCORE, k: int = 0) -> DataFrame:
+def shortlist(postings: DataFrame, rules: Rules, min_score: int = MIN_SCORE, k: int = 0, counted: Observation | None = None) -> DataFrame:
     """The k best postings by score, one per company and position; ties in first-seen order."""
-    best = best_scored(scored(postings, rules))
+    best = best_scored(scored(postings, rules, counted))
     return best.where(F.col("matching_score") >= min_score).orderBy(F.desc("matching_score"), "first_seen").limit(k or TOP_K)
 
 
@@ -135,6 +147,10 @@ class Run:
     chosen: DataFrame
     documents: DataFrame
     plan: DataFrame
+    #: Rows merged, kept by the hard filters, rejected by each reason, chosen and tailored, counted while they were made.
+    counts: dict[str, int]
+    #: create and update, once the plan has been evaluated.
+    actions: Observation
 
 
 def run(
@@ -149,10 +165,12 @@ def run(
     them. remote: (url, record_id), as `sync.remote_lookup` gives it. With fields and definitions the plan
     has the payload of each row, ready for `remote.apply_upserts`.
     """
-    merged = materialise(merge(*sources), "merged")
-    chosen = materialise(shortlist(merged, rules, min_score, k), "chosen")
+    seen = {name: Observation() for name in ("merged", "judged", "chosen", "tailored")}
+    rows = lambda name: (seen[name], F.count(F.lit(1)).alias(name))
+    merged = materialise(merge(*sources).observe(*rows("merged")), "merged")
+    chosen = materialise(shortlist(merged, rules, min_score, k, seen["judged"]).observe(*rows("chosen")), "chosen")
     least = min_score if document_score is None else document_score
-    made = materialise(tailor(chosen, materials, skills, snippets, profile, template, folder, least, internship=internship), "documents")
+    made = materialise(tailor(chosen, materials, skills, snippets, profile, template, folder, least, internship=internship).observe(*rows("tailored")), "documents")
     paths = made.select("company", "position", "seq", "resume_path", "coverletter_path", "selected_projects")
     plan = plan_upserts(chosen, remote, paths)
     if fields is not None and definitions is not None:
@@ -160,4 +178,6 @@ def run(
         keyed = plan.withColumn("place", _place())
         shaped = payload(assemble(keyed, fields, defaults, key="place"), definitions, fields.get("score_breakdown", ""))
         plan = keyed.join(records(shaped, "place"), "place").drop("place")
-    return Run(merged, chosen, made, plan)
+    actions = Observation()
+    plan = plan.observe(actions, *[F.count_if(F.col("action") == a).alias(a) for a in ("create", "update")])
+    return Run(merged, chosen, made, plan, {k: v for o in seen.values() for k, v in o.get.items()}, actions)
