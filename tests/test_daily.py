@@ -85,7 +85,7 @@ def test_whole_run(spark, world):
     chosen = [(r.company, r.position) for r in found.chosen.collect()]
     assert chosen == [("Acme", "Dev 11"), ("Acme", "Dev 12"), ("Beta", "Dev"), ("Acme", "Dev 13")]
     assert {r.action: r.n for r in found.sent.collect()} == {"update": 1, "create": 3}
-    assert {k: n for k, n in found.counts.items() if n} == {"merged": 6, "kept": 5, "title_hard_filter": 1, "chosen": 4, "tailored": 4}
+    assert {k: n for k, n in found.counts.items() if n} == {"merged": 7, "kept": 6, "title_hard_filter": 1, "chosen": 4, "tailored": 4}
     sent = [json.loads(x) for x in (folder / "sent").read_text().splitlines()]
     assert len(sent) == 4 and {x[1] for x in sent} == {"r11", None} and len({x[3] for x in sent}) == 4
     assert {json.loads(x[2])["Status"] for x in sent} == {"New"}
