@@ -17,6 +17,15 @@ from tidemill.llm import bpe, decontaminate, jaccard, quality, secrets
 from tidemill.llm.common import materialise, table
 
 
+#: Bytes of the batches in which texts go to Python workers and back: each is held there and, as it is made, in the executor
+#: too. The default of Spark is eight times as large.
+BATCH = "8m"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -24,11 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document stays."""
+    _in_small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    _in_small_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
+    _in_small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
