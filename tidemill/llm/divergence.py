@@ -58,7 +58,7 @@ def terms_of(text: str) -> list[bytes]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     occurs: dict[tuple, Counter] = defaultdict(Counter)
     within: dict[tuple, Counter] = defaultdict(Counter)
-    held = 0
+    held_terms = held_bytes = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, source), counts in occurs.items():
@@ -72,13 +72,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, source, text in zip(*(b.column(k) for k in range(3))):
             group, text = (lang.as_py(), source.as_py()), text.as_py()
-            terms = terms_of(text)
-            occurs[group].update(terms)
+            terms, own = terms_of(text), occurs[group]
+            held_terms -= len(own)
+            own.update(terms)
             within[group].update(set(terms))
-            held += len(text)
-            if held >= HELD_BYTES or sum(map(len, occurs.values())) >= HELD_TERMS:
+            held_terms += len(own)
+            held_bytes += len(text)
+            if held_bytes >= HELD_BYTES or held_terms >= HELD_TERMS:
                 yield from flush()
-                held = 0
+                held_terms = held_bytes = 0
     yield from flush()
 
 
