@@ -255,15 +255,17 @@ def test_sparse_ranking_equals_the_dense_one(spark):
     signals = rank.with_signals(jobs)
     limits = ({"experience": 1, "project": 3}, {"experience": 2, "project": 2})
     both = []
-    for few in (1000, 0):
-        rank.FEW_MATERIALS = few
+    for few, entries in ((1000, 1 << 20), (0, 1 << 20), (0, 40)):
+        rank.FEW_MATERIALS, rank.BLOCK_ENTRIES = few, entries
         ranked = rank.rank_materials(signals, items, *limits)
         both.append(sorted((x.seq, x.kind, x.item_rank, x.id, x.item_score, tuple(x.selected_bullets)) for x in ranked.collect()))
         if few == 0:
             plan = ranked._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    rank.FEW_MATERIALS = 1000
-    assert both[0] == both[1] and len(both[0]) > 100
+    rank.FEW_MATERIALS, rank.BLOCK_ENTRIES = 1000, 1 << 20
+    assert both[0] == both[1] == both[2] and len(both[0]) > 100
+    none = rank.rank_materials(signals.limit(0), items, *limits)
+    assert none.count() == 0
     assert "item_score" in ranked.columns and "norm_tags" not in ranked.columns
 
 

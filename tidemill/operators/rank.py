@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, hits, matching, sentences, token
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, new_path, opened
 from .matching import phrase_matches
 
 #: Families with their keywords, and the other word lists of ranking: fixed values.
@@ -145,51 +153,106 @@ def _per_kind(counts: dict[str, int]) -> Column:
 _ITEM = ("kind", "ord")
 
 
-def _profile_scores(profiles: DataFrame, materials: DataFrame, keep: dict[str, int]) -> DataFrame:
-    """(profile, kind, ord, score, place) of the items with points for a family and its matched keywords, and of the
-    first `keep` of each kind; profiles: (profile, role_family, matched_keywords)."""
-    families = [r.role_family for r in profiles.select("role_family").distinct().collect()]  # a rule set's few families
-    keyed = profiles.select("profile", "role_family", F.explode("matched_keywords").alias("keyword"))
-    of_family = F.array(*[F.struct(F.lit(f).alias("role_family"), candidate_bullets(F.lit(f)).alias("own")) for f in families])
-    bullets = materials.select(*_ITEM, F.inline(of_family) if families else F.expr("inline(array(struct('' AS role_family, norm_bullets AS own)))"))
-    held = bullets.join(keyed.select("role_family", "keyword").distinct(), "role_family")
+#: Entries of an index block: a task holds one block at a time, some twenty bytes an entry beside its distinct terms.
+BLOCK_ENTRIES = 1 << 20
+
+
+def _entries(jobs: DataFrame, materials: DataFrame) -> DataFrame:
+    """(term, kind, ord, points): what an item gets from a posting that has the term.
+
+    Terms are 't' and a tag, 'k' and a family's keyword, 'r' and a family. Every posting has the term '',
+    and every item an entry for it, with its tags without letters, which are in every body.
+    """
+    words = jobs.select("role_family", F.explode("matched_keywords").alias("keyword")).distinct()  # of the word lists
+    families = F.array(*[F.lit(r.role_family) for r in jobs.select("role_family").distinct().collect()], F.lit(""))  # those of the word lists
+    tags = materials.select(F.explode("norm_tags").alias("tag"), *_ITEM).where("tag <> ''")
+    by_tag = tags.select(F.concat(F.lit("t"), "tag").alias("term"), *_ITEM, F.lit(5).alias("points"))
+    of_family = F.transform(families, lambda f: F.struct(f.alias("role_family"), candidate_bullets(f).alias("own")))
+    held = materials.select(*_ITEM, F.inline(of_family)).join(F.broadcast(words), "role_family")
     n = F.size(F.filter("own", lambda b: F.contains(b["norm"], F.col("keyword"))))
-    counted = held.select(*_ITEM, "role_family", "keyword", (2 * n).alias("points")).where("points > 0")
-    by_word = keyed.join(counted, ["role_family", "keyword"]).select("profile", *_ITEM, "points")
-    # a tag without letters is in every body
+    by_word = held.select(_keyword_term(F.col("role_family"), F.col("keyword")).alias("term"), *_ITEM, (2 * n).alias("points")).where("points > 0")
+    targets = F.array_intersect(families, _texts("role_targets"))
+    by_role = materials.select(F.explode(targets).alias("family"), *_ITEM).select(F.concat(F.lit("r"), "family").alias("term"), *_ITEM, F.lit(8).alias("points"))
     blank = F.size(F.filter("norm_tags", lambda t: t == ""))
-    roles = materials.select(*_ITEM, "role_targets", (5 * blank).alias("blank"), F.explode(F.array(*[F.lit(f) for f in families or [""]])).alias("role_family"))
-    target = F.when(F.array_contains(_texts("role_targets"), F.col("role_family")), 8).otherwise(0)
-    by_role = profiles.select("profile", "role_family").join(
-        roles.select(*_ITEM, "role_family", (target + F.col("blank")).alias("points")).where("points > 0"), "role_family"
-    ).select("profile", *_ITEM, "points")
-    heads = materials.select(*_ITEM).withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("ord"))).where(F.col("n") <= _per_kind(keep))
-    kinds = profiles.select("profile", F.explode(F.array(*[F.lit(k) for k in keep])).alias("kind"))
-    first = kinds.join(heads, "kind").select("profile", *_ITEM, F.lit(0).alias("points"))
-    summed = by_word.unionByName(by_role).unionByName(first).groupBy("profile", *_ITEM).agg(F.sum("points").alias("score"))
-    return summed.withColumn("place", F.row_number().over(Window.partitionBy("profile", "kind").orderBy(F.desc("score"), "ord")))
+    return by_tag.unionByName(by_word).unionByName(by_role).unionByName(materials.select(F.lit("").alias("term"), *_ITEM, (5 * blank).alias("points")))
+
+
+def _keyword_term(family: Column, keyword: Column) -> Column:
+    return F.concat(F.lit("k"), family, F.lit("|"), keyword)
+
+
+class _Block:
+    """One block of the index: per term the items that have it, and their points."""
+
+    def __init__(self, path: str):
+        system, where = opened(path)
+        there = system.get_file_info(where).type != fs.FileType.NotFound
+        found = pq.read_table(where, filesystem=system, partitioning=None).to_pandas() if there else None
+        self.kinds, self.ords, self.spans = np.empty(0, object), np.empty(0, np.int32), {}
+        if there:
+            item, items = pd.MultiIndex.from_frame(found[[*_ITEM]]).factorize(sort=True)
+            self.kinds, self.ords = (items.get_level_values(k).to_numpy() for k in range(2))
+            code, terms = pd.factorize(found["term"])
+            order = np.argsort(code, kind="stable")
+            bounds = np.searchsorted(code[order], np.arange(len(terms) + 1)).tolist()
+            self.items, self.points = item[order], found["points"].to_numpy()[order]
+            self.spans = dict(zip(terms, map(slice, bounds, bounds[1:])))
+
+    def best(self, terms: list[str], keep: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+        """(kind, ord, score) of the block's best items of each kind, ties to the lower ord."""
+        spans = [self.spans[t] for t in terms if t in self.spans]
+        if not spans:
+            return
+        score = np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.points[s] for s in spans]), len(self.ords))
+        for kind, n in keep.items():
+            first, end = np.searchsorted(self.kinds, kind, "left"), np.searchsorted(self.kinds, kind, "right")
+            size = int(end - first)
+            if n and size:
+                # one number per item: its score, then how early it stands
+                rank = score[first:end].astype(np.int64) * size - np.arange(size)
+                for k in np.argpartition(rank, max(size - n, 0))[max(size - n, 0) :]:
+                    yield kind, self.ords[first + k], int(score[first + k])
+
+
+@lru_cache(maxsize=1)
+def _block(path: str) -> _Block:
+    return _Block(path)
 
 
 def sparse_scores(jobs: DataFrame, materials: DataFrame, keep: dict[str, int], key: str) -> DataFrame:
-    """(key, kind, ord, item_score) of at least the best `keep` items of each kind for each job, by joins of what they share.
+    """(key, kind, ord, item_score) of at least the best `keep` items of each kind for each job.
 
-    Points for keywords and role depend on a job's family and matched keywords alone. There are few such
-    profiles, bounded by the word lists, and their items' points are added up once per profile. Points for
-    tags come from the tags found in the body. A job's best items are then among those with a tag in its
-    body and the best of its profile, since any other item is behind all of the latter. materials: as
+    A score is a sum over what a job and an item share: tags in the body, matched keywords, the role. The
+    items are an index by these terms, in blocks of about BLOCK_ENTRIES entries in the shared folder, a pass
+    of the jobs for each. A task adds up the entries of a job's terms and sends on the best of the block
+    only, so that a tag of all items costs additions, never a row per job and item. materials: as
     `with_norms` gives them; (kind, ord) tells the items apart.
     """
-    profile = F.xxhash64("role_family", "matched_keywords")
-    of_job = jobs.select(key, profile.alias("profile"))
-    profiles = materialise(jobs.select(profile.alias("profile"), "role_family", "matched_keywords").distinct(), "profiles")
-    scored = materialise(_profile_scores(profiles, materials, keep), "profile-scores")
-    tags = materials.select(*_ITEM, F.explode("norm_tags").alias("phrase")).groupBy("phrase", *_ITEM).agg((5 * F.count(F.lit(1))).alias("tagged"))
-    found = phrase_matches(jobs, tags, key, "norm_body").join(tags, "phrase").groupBy(key, *_ITEM).agg(F.sum("tagged").alias("tagged"))
-    best = of_job.join(scored.where(F.col("place") <= _per_kind(keep)).drop("place"), "profile")
-    hit = found.where(F.col("kind").isin(*keep)).join(of_job, key).join(scored.drop("place"), ["profile", *_ITEM], "left")
-    rows = best.select(key, *_ITEM, "score", F.lit(0).cast("long").alias("tagged")).unionByName(hit.select(key, *_ITEM, F.coalesce("score", F.lit(0)).alias("score"), "tagged"))
-    # an item that is both has one score and one sum of tags
-    return rows.groupBy(key, *_ITEM).agg((F.max("score") + F.max("tagged")).cast("int").alias("item_score"))
+    spark = jobs.sparkSession
+    entries = materialise(_entries(jobs, materials), "entries")
+    blocks = entries.count() // BLOCK_ENTRIES + 1
+    path = new_path(spark, "entry-blocks")
+    of_item = F.pmod(F.xxhash64(*_ITEM), F.lit(blocks)).cast("int")
+    entries.withColumn("block", of_item).repartition("block").write.partitionBy("block").parquet(path)
+    tags = materials.select(F.explode("norm_tags").alias("phrase"))
+    found = phrase_matches(jobs, tags, key, "norm_body").groupBy(key).agg(F.collect_list(F.concat(F.lit("t"), "phrase")).alias("found"))
+    none = F.array().cast("array<string>")
+    words = F.transform(F.coalesce("matched_keywords", none), lambda k: _keyword_term(F.col("role_family"), k))
+    terms = F.concat(F.array(F.lit(""), F.concat(F.lit("r"), "role_family")), words, F.coalesce("found", none))
+    asked = materialise(jobs.join(found, key, "left").select(key, terms.alias("terms")), "job-terms")
+
+    def scored_by(block: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(k, *x) for k, terms in enumerate(b.column(1).to_pylist()) for x in _block(block).best(terms, keep)]
+                at, kind, place, score = zip(*rows) if rows else [()] * 4
+                columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(kind, pa.string()), pa.array(place, pa.int32()), pa.array(score, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [key, *_ITEM, "item_score"])
+
+        return run
+
+    schema = f"`{key}` {asked.schema[key].dataType.simpleString()}, kind string, ord int, item_score int"
+    return reduce(DataFrame.unionByName, [asked.mapInArrow(scored_by(f"{path}/block={k}"), schema) for k in range(blocks)])
 
 
 def bullet_score(norm: Column) -> Column:

@@ -14,6 +14,7 @@ from ..functions import urls
 from ..functions.text import squeeze
 from ..operators.scan import is_text_path
 from ..schema import POSTING
+from .scratch import opened
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -131,7 +132,7 @@ def write_named_texts(rows: DataFrame, path: str = "path", text: str = "text") -
 
     def write(part) -> None:
         for row in part:
-            system, where = _opened(row[0])
+            system, where = opened(row[0])
             system.create_dir(where.rpartition("/")[0], recursive=True)
             with system.open_output_stream(where) as out:
                 out.write((row[1] or "").encode())
@@ -139,17 +140,13 @@ def write_named_texts(rows: DataFrame, path: str = "path", text: str = "text") -
     rows.select(path, text).foreachPartition(write)
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, size) of every file below root, whatever its name; root may be one file.
 
     The driver lists the first level only, tasks list each folder in it.
     """
     root = root.rstrip("/")
-    system, where = _opened(root)
+    system, where = opened(root)
     prefix = root.removesuffix(where)
     top = system.get_file_info(where)
     found = [top] if top.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where))
@@ -161,7 +158,7 @@ def file_tree(spark: SparkSession, root: str) -> DataFrame:
             for path, size in zip(*(c.to_pylist() for c in b.columns)):
                 files = [(path, size)]
                 if size is None:
-                    system, where = _opened(path)
+                    system, where = opened(path)
                     start = path.removesuffix(where)
                     infos = system.get_file_info(fs.FileSelector(where, recursive=True))
                     files = [(start + f.path, f.size) for f in infos if f.type == fs.FileType.File]
@@ -181,7 +178,7 @@ def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                system, where = _opened(path)
+                system, where = opened(path)
                 with system.open_input_stream(where) as f:
                     text = f.read().decode("utf-8", "replace")
                 yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "content": pa.array([text], pa.string())})

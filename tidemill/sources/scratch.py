@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -33,3 +34,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path within it, for tasks that read or write files themselves."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
