@@ -1,8 +1,8 @@
 """Phrases inside texts for rule sets of any size: an inverted index over character grams.
 
 `contains` for every phrase and text is what the scoring operators do with some hundred phrases, as
-literals of the plan. Here the phrases are a table. Each has one anchor, its rarest run of three
-characters (of all its characters, if it has fewer). The runs of each text meet the anchors in an equi-join
+literals of the plan. Here the phrases are a table. Each has one anchor, its rarest run of eight
+characters, or of three, two or one if it has fewer. The runs of each text meet the anchors in an equi-join
 of narrow rows, and only the pairs that met are verified by `contains`.
 """
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..rules import Rules
 from ..sources.scratch import materialise
 
-GRAM = 3
+#: Lengths of anchors. Runs of three are in most long texts; those of eight are nearly as rare as what holds them.
+SIZES = (1, 2, 3, 8)
 #: Texts by which runs are ranked by frequency; the rank decides only which run of a phrase is its anchor.
-SAMPLE = 2_000
+SAMPLE = 300
 #: Anchors up to which their table is broadcast; a row has some twenty bytes.
 FEW_ANCHORS = 200_000
 #: Pairs that met, up to which they are broadcast to the texts that they are verified on.
@@ -34,10 +35,11 @@ def anchors(phrases: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     Runs that are frequent in the first SAMPLE texts are avoided.
     """
     distinct = phrases.where("phrase <> ''").select("phrase").distinct()
-    sized = distinct.withColumn("n", F.least(F.lit(GRAM), F.length("phrase")))
-    by_size = [sized.where(F.col("n") == n).select("phrase", "n", F.explode(runs("phrase", n)).alias("gram")) for n in range(1, GRAM + 1)]
-    grams = by_size[0].unionByName(by_size[1]).unionByName(by_size[2])
-    seen = texts.limit(SAMPLE).select(F.explode(runs(text, GRAM)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    fits = F.coalesce(*[F.when(F.length("phrase") >= n, n) for n in reversed(SIZES)])
+    sized = distinct.withColumn("n", fits)
+    by_size = F.coalesce(*[F.when(F.col("n") == n, runs("phrase", n)) for n in SIZES])
+    grams = sized.select("phrase", "n", F.explode(by_size).alias("gram"))
+    seen = texts.limit(SAMPLE).select(F.explode(F.concat(*[runs(text, n) for n in SIZES[2:]])).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
     ranked = grams.join(seen, "gram", "left")
     best = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("gram"))).alias("best")
     return ranked.groupBy("phrase", "n").agg(best).select("phrase", "n", F.col("best.gram").alias("gram"))
@@ -49,18 +51,16 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, key: str, text: str) ->
     Null texts and null or empty phrases match nothing; repeated phrases count once, join the rule table for
     its entries.
     """
-    named = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    # a generator of one row, so that a text made by expressions is made once, not once per use
+    named = texts.select(F.col(key).alias("key"), F.explode(F.array(text)).alias("text")).where("text IS NOT NULL")
     index = materialise(anchors(phrases, named, "text"), "anchors")
-    sizes = [r.n for r in index.select("n").distinct().collect()]  # three at most
+    sizes = [r.n for r in index.select("n").distinct().collect()]  # of SIZES
     few = index.limit(FEW_ANCHORS + 1).count() <= FEW_ANCHORS
-    met = None
-    for n in sizes:
-        of_size = index.where(F.col("n") == n).select("phrase", "gram")
-        narrow = named.select("key", F.explode(runs("text", n)).alias("gram"))
-        pairs = narrow.join(F.broadcast(of_size) if few else of_size, "gram").select("key", "phrase")
-        met = pairs if met is None else met.unionByName(pairs)
-    if met is None:
+    if not sizes:
         return named.select(F.col("key").alias(key), F.lit("").alias("phrase")).limit(0)
+    # runs of all lengths in one pass over the texts; those of different lengths never meet
+    narrow = named.select("key", F.explode(F.concat(*[runs("text", n) for n in sizes])).alias("gram"))
+    met = narrow.join(F.broadcast(index) if few else index, "gram").select("key", "phrase")
     met = materialise(met, "phrase-pairs")
     some = F.broadcast(met) if met.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS else met
     return named.join(some, "key").where(F.contains("text", F.col("phrase"))).select(F.col("key").alias(key), "phrase")
