@@ -18,6 +18,8 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import dedupe, matching, rank, scan, scoring, sync
 from ..schema import MATERIAL
+from ..sources.files import normal_line, parse_lines, read_lines, read_postings, write_json, write_lines
+from ..sources.scratch import new_path
 from ..sources.settings import PROFILE
 from . import pipeline, samples
 from . import oracle as Q
@@ -282,6 +284,29 @@ def hydrated(spark, d):
     )
 
 
+def hydrated_postings(spark, d):
+    """All orders as postings of one search; the first of them get the description of their customer's page."""
+    from .collect import hydrate
+
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.lit(0).alias("card_no"), F.col("o_custkey").cast("string").alias("job_id"), F.lit("").alias("description"))
+    return hydrate(rows, customer_pages(spark, d), 1).select("seq", "job_id", "description")
+
+
+def json_handover(spark, d):
+    """Postings of pages as one stage leaves them, a JSON array per part, and the next one reads them."""
+    path = new_path(spark, "postings")
+    write_json(page_postings(spark, d).drop("seq"), path, array=True)
+    back = read_postings(spark, path)
+    return back.select("url", "company", F.md5("position").alias("position"), F.md5("description").alias("description"), "location", "source", "easy_apply")
+
+
+def line_handover(spark, d):
+    """The lines of manual_lines written as a file of lines, and read and parsed again."""
+    path = new_path(spark, "lines")
+    write_lines(_manual_rows(spark, d), path)
+    return read_lines(spark, path, TODAY).select("source", "job_id", "date", normal_line().alias("line"))
+
+
 def fallback_rows(spark, d):
     nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
     live = nation.where("n_nationkey < 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
@@ -301,15 +326,17 @@ def text_escapes(spark, d):
     return part.select("p_partkey", X.latex("t").alias("escaped"), X.fill(template, {"{{NAME}}": F.col("t"), "{{KIND}}": "x"}).alias("filled"))
 
 
-def manual_lines(spark, d):
-    from ..sources.files import normal_line, parse_lines
-
+def _manual_rows(spark, d):
     lines = _t(spark, d, "pages").select(
         F.col("page_id").alias("seq"),
         F.concat(F.when(F.col("page_id") % 7 == 0, "# ").when(F.col("page_id") % 5 == 0, "ftp").otherwise(" "), "url", F.lit(" | Acme  Co | Dev |  | a  b")).alias("value"),
     )
     rows = parse_lines(lines, TODAY, keep=("seq",))
-    return dedupe.keep_first(rows, ["url"]).select("seq", "source", "job_id", normal_line().alias("line"))
+    return dedupe.keep_first(rows, ["url"])
+
+
+def manual_lines(spark, d):
+    return _manual_rows(spark, d).select("seq", "source", "job_id", normal_line().alias("line"))
 
 
 def search_pages(spark, d):
@@ -330,14 +357,17 @@ def search_pages(spark, d):
     )
 
 
+def customer_pages(spark, d):
+    """A detail page of the first layout per customer."""
+    body = F.concat(F.lit('<div class="show-more-less-html__markup">'), "c_name", F.lit("<br>&lt;"), "c_mktsegment", F.lit("</div>"))
+    return _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("job_id"), body.alias("html"))
+
+
 def collected_pages(spark, d):
     from .collect import collect
 
-    customer = _t(spark, d, "customer")
-    body = F.concat(F.lit('<div class="show-more-less-html__markup">'), "c_name", F.lit("<br>&lt;"), "c_mktsegment", F.lit("</div>"))
-    details = customer.select(F.col("c_custkey").cast("string").alias("job_id"), body.alias("html"))
     cached = page_postings(spark, d)
-    out = collect(search_pages(spark, d), details, 1, TODAY, "linkedin", rows=9, fallback=cached)
+    out = collect(search_pages(spark, d), customer_pages(spark, d), 1, TODAY, "linkedin", rows=9, fallback=cached)
     return out.select("seq", "company", "position", "url", "date", "easy_apply", "job_id", "search_keyword", "description")
 
 
@@ -440,6 +470,7 @@ _QUERIES = (
     text_normal, url_fields, url_dedupe, page_fields, page_cards, merge_sources, fetch_dedupe, generation_dedupe, hard_filters,
     keyword_scores, page_scores, breakdown_text, scored_dedupe, shortlist_pages, sentence_split, context_sentences, role_signals,
     material_ranking, sparse_ranking, rule_matches, private_data, upsert_plan, upsert_counts, manifest_join, payload_fields, region_titles, query_limits, hydrated,
+    hydrated_postings, json_handover, line_handover,
     fallback_rows, live_rows, text_escapes, manual_lines, collected_pages, collected_pages_2, mined_pages, tailored_documents, daily_run,
 )
 

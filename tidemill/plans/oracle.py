@@ -492,6 +492,19 @@ def hydrated() -> str:
       LEFT JOIN customer ON c_custkey = o_custkey"""
 
 
+def hydrated_postings() -> str:
+    return """SELECT o_orderkey AS seq, o_custkey::varchar AS job_id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= 24 AND c_custkey IS NOT NULL
+      THEN c_name || ' <' || c_mktsegment ELSE '' END AS description FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
+
+
+def json_handover() -> str:
+    return f"WITH {PAGES} SELECT url, company, md5(position) AS position, md5(description) AS description, location, source, easy_apply FROM page_postings"
+
+
+def line_handover() -> str:
+    return f"SELECT source, job_id, '2024-01-01' AS date, line FROM ({manual_lines()})"
+
+
 def fallback_rows() -> str:
     return "SELECT r_regionkey AS k, r_name AS name FROM region"
 
