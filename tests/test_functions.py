@@ -1,6 +1,7 @@
 import html
 import html.entities
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -85,6 +86,20 @@ def test_embedded_json(spark):
     assert [(r.id, r.job_id, r.position, r.company, r.location) for r in rows] == [(7, "a1", "Dév", "X", "L")]
 
 
+def test_embedded_json_cut_and_escaped(spark):
+    mark = '{"jobkey":"a"}'
+    # a value that the window cuts ends at its last quote, a key inside another's value counts, blanks give way to the next key
+    cut = '"title":"' + '\\"x' * 1000
+    nested = '"displayTitle":" ","title":"A\\"company":"B &amp; <b>C</b>"'
+    pages = spark.createDataFrame([(1, mark + '"company":"C",' + cut), (2, nested + mark), (3, None), (4, "none")], "id int, html string")
+    began = time.time()
+    got = {r.id: r for r in extract.mine_json(pages, keep=("id",)).collect()}
+    assert time.time() - began < 60  # steps in proportion to the window, not to the choices at its escapes
+    assert set(got) == {1, 2} and (got[2].position, got[2].company) == ('A"company', "B & C") and got[1].company == "C"
+    window = (mark + '"company":"C",' + cut)[: len(mark) - 1 + 2400]
+    assert got[1].position == window[: window.rindex('"')].partition('"title":"')[2]  # its last escape is lone, so that none is undone
+
+
 def test_descriptions_and_blocks(spark):
     one_ = '<div class="show-more-less-html__markup x">A<br>b</div><div>c</div>'
     two = '<div class="q" id="jobDescriptionText">A <b>b</b></div>'

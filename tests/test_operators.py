@@ -273,3 +273,10 @@ def test_each_text_is_normalised_once(spark):
     jobs = postings(spark, [(1, "c", "data", "", "", "d", False)])
     plan = rank.with_signals(jobs).select("seq", "role_family", "matched_keywords", "focus_terms")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 4  # two steps each for title and body
+
+
+def test_pages_are_made_after_their_rows_met(spark, sf):
+    from tidemill.plans import catalog
+
+    plan = catalog.mined_pages(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "jobkey" in plan and not [x for x in plan.splitlines() if "Aggregate" in x and "jobkey" in x]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import col, squeeze, strip_html, unescape
+from .text import WS, col, squeeze, strip_html, unescape
 from .urls import query_values
 
 #: Patterns of the two page layouts: fixed values.
@@ -94,67 +99,70 @@ _KEYS = {
 _BEFORE, _AFTER = 1200, 2400
 
 
-def json_value(text: Column, keys: tuple[str, ...]) -> Column:
-    """The first non-empty string value of the keys, JSON escapes decoded, white space squeezed."""
+#: The rest of a JSON string as far as its end; a lone escape at the end of a cut text is left out.
+_CLOSED = re.compile(r'(?:[^"\\]++|\\.)*+"', re.S)
+
+
+def _raw_value(text: str, key: str, start: int, end: int) -> str:
+    """The first match of "key":"((?:\\\\.|[^"])*)" between two places, '' without one, in time linear in what lies between.
+
+    A string that is cut before its end stops at its last quote, though that is escaped.
+    """
+    mark = f'"{key}":"'
+    at = text.find(mark, start, end)
+    if at < 0:
+        return ""
+    at += len(mark)
+    closed = _CLOSED.match(text, at, end)
+    stop = closed.end() - 1 if closed else text.rfind('"', at, end)
+    return text[at : max(at, stop)]
+
+
+def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of what is kept and a page -> rows of what is kept, at, job_id, easy_apply and the raw values of all keys."""
+    mark, keys = re.compile(_ID), [k for keys in _KEYS.values() for k in keys]
+    kinds = [pa.int32(), pa.string(), pa.bool_(), *[pa.string()] * len(keys)]
+    for b in batches:
+        pages, rows = [], []
+        for page, text in enumerate(b.column(b.num_columns - 1)):
+            text = text.as_py() or ""
+            for at, m in enumerate(mark.finditer(text)):
+                start, end = max(0, m.start() - _BEFORE), m.end() + _AFTER
+                easy = any(text.find(e, start, end) >= 0 for e in _EASY)
+                pages.append(page)
+                rows.append((at, m[1], easy, *(_raw_value(text, k, start, end) for k in keys)))
+            if rows and (len(rows) >= 5_000 or page == b.num_rows - 1):
+                kept = [c.take(pa.array(pages)) for c in b.columns[:-1]]
+                found = [pa.array(v, t) for v, t in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], [*b.schema.names[:-1], "at", "job_id", "easy_apply", *[f"raw_{k}" for k in keys]])
+                pages, rows = [], []
+
+
+def json_value(keys: tuple[str, ...]) -> Column:
+    """The first string of the columns of raw values that has more than white space, JSON escapes decoded, or ''."""
     out = []
     for key in keys:
-        raw = F.regexp_extract(text, rf'(?s)"{key}":"((?:\\.|[^"])*)"', 1)
+        raw = F.col(f"raw_{key}")
         plain = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "$.v"), raw)
-        out.append(F.nullif(squeeze(plain), F.lit("")))
+        plain = F.when(F.contains(raw, F.lit("\\")), plain).otherwise(raw)
+        out.append(F.when(F.regexp_like(plain, F.lit(f"[^{WS[1:]}")), plain))
     return F.coalesce(*out, F.lit(""))
 
 
-def running_sums(values: str) -> Column:
-    """The sums of an array column's numbers up to each place, by sums of stretches, so that n take n ** 1.5 steps."""
-    x = F.col(values)
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, v: acc + v)
-    stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), side), lambda b: total(F.slice(x, b + 1, side)))
-    # the one-element arrays bind what is inside to a name, so that it is made once
-    before = F.transform(F.array(stretches), lambda s: F.transform(s, lambda _, j: total(F.slice(s, 1, j))))[0]
-
-    def upto(t: Column):
-        at = lambda i: F.floor(i / side).cast("int")
-        return F.transform(x, lambda _, i: F.get(t, at(i)) + total(F.slice(x, at(i) * side + 1, i - at(i) * side + 1)))
-
-    return F.transform(F.array(before), upto)[0]
-
-
 def mine_json(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings embedded as JSON: a row per identifier, from the text around it, once per page.
 
-    keep: columns that tell the pages apart. Places follow from the lengths of the matches and of the gaps
-    between them; the text around a match is cut from the blocks of the page that it touches, so that a
-    page takes time in proportion to its length, whatever the number of identifiers in it.
+    keep: columns that tell the pages apart. A page is searched where it stands, around each identifier, and
+    only the values found leave it.
     """
-    text = F.col(page)
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(_ID), F.lit(1)).alias("ids"),
-        F.transform(F.regexp_extract_all(text, F.lit(_ID), F.lit(0)), lambda x: F.length(x)).alias("sizes"),
-        F.transform(F.split(text, _ID, -1), lambda x: F.length(x)).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BEFORE}}}"), F.lit(0)).alias("blocks"),
-    )
-    # each step comes out of a generator of one row, so that the arrays are made once and then read by place
-    spans = pages.where(text.rlike(_ID)).select(*keep, F.inline(F.array(found)))
-    steps = F.transform("sizes", lambda n, i: n + F.get("gaps", i))
-    placed = spans.select(*keep, "ids", "sizes", "blocks", F.inline(F.array(F.struct(steps.alias("steps")))))
-    ended = placed.select(*keep, "ids", "sizes", "blocks", F.inline(F.array(F.struct(running_sums("steps").alias("ends")))))
-
-    def around(i: Column) -> Column:
-        end = F.get("ends", i)
-        start = F.greatest(F.lit(0), end - F.get("sizes", i) - _BEFORE)
-        block = F.floor(start / _BEFORE).cast("int")
-        size = end + _AFTER - start
-        touched = F.slice("blocks", block + 1, F.floor((start + size) / _BEFORE).cast("int") - block + 1)
-        return F.substr(F.array_join(touched, ""), start - block * _BEFORE + 1, size)
-
-    near = F.transform("ids", lambda x, i: F.struct(x.alias("job_id"), around(i).alias("near")))
-    each = ended.select(*keep, F.posexplode(near).alias("at", "x"))
-    fields = each.select(
-        *keep, "at", F.col("x.job_id").alias("job_id"),
-        *[strip_html(json_value(F.col("x.near"), keys)).alias(f) for f, keys in _KEYS.items()],
-        (F.contains("x.near", F.lit(_EASY[0])) | F.contains("x.near", F.lit(_EASY[1])) | F.contains("x.near", F.lit(_EASY[2]))).alias("easy_apply"),
-    ).where("position <> '' AND company <> ''")
+    keys = [f"raw_{k}" for keys in _KEYS.values() for k in keys]
+    wanted = pages.select(*keep, page)
+    kinds = [T.StructField("at", T.IntegerType()), T.StructField("job_id", T.StringType()), T.StructField("easy_apply", T.BooleanType())]
+    schema = T.StructType([*wanted.schema.fields[:-1], *kinds, *[T.StructField(k, T.StringType()) for k in keys]])
+    each = wanted.mapInArrow(_mined, schema)
+    # the values come out of a generator of one row, so that each is made once, not again in the filter
+    values = F.struct(*[strip_html(json_value(keys)).alias(f) for f, keys in _KEYS.items()])
+    fields = each.select(*keep, "at", "job_id", "easy_apply", F.inline(F.array(values))).where("position <> '' AND company <> ''")
     # one page's postings are few: the first of each (identifier, title, company), numbered in order
     rest = F.struct("location", "date", "easy_apply")
     once = fields.groupBy(*keep, "job_id", "position", "company").agg(F.min(F.struct("at", rest.alias("rest"))).alias("m"))
