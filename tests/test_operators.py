@@ -279,4 +279,21 @@ def test_pages_are_made_after_their_rows_met(spark, sf):
     from tidemill.plans import catalog
 
     plan = catalog.mined_pages(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert "jobkey" in plan and not [x for x in plan.splitlines() if "Aggregate" in x and "jobkey" in x]
+    collected = plan.partition("collect_list(struct(")[2].partition(")")[0]
+    assert "o_orderpriority" in collected and "concat" not in collected and "entry" not in collected
+
+
+def test_items_of_equal_entries_are_indexed_once(spark):
+    rows = [(t, kind, k, 5) for k in range(40) for kind in ("experience", "project", "other") for t in (["", "ta"] if k % 2 else [""])]
+    entries = spark.createDataFrame(rows, "term string, kind string, ord int, points int").repartition(3)
+    got = {(x.kind, x.ord) for x in rank._first_of_equals(entries, {"experience": 1, "project": 2}).collect()}
+    assert got == {("experience", 0), ("experience", 1), ("project", 0), ("project", 1), ("project", 2), ("project", 3)}
+
+
+def test_phrases_are_found_without_a_row_per_run(spark):
+    phrases = ["a", "bc", "the ", "é😀é", "12345678", "123456789", "zz top zz", "8 characters and more"]
+    texts = [(1, "x123456789 bc"), (2, "12345678"), (3, "the é😀é of 8 characters and more"), (4, "zz top z"), (5, ""), (6, None)]
+    df, table = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    found = matching.phrase_matches(df, table, "k", "t")
+    assert {(x.k, x.phrase) for x in found.collect()} == {(k, p) for k, t in texts for p in phrases if t and p in t}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
