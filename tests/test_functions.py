@@ -23,6 +23,14 @@ def test_tokens_keys_slugs(spark):
     ) == ("caf c c 2x", "|", "ünï-code-x", "job")
 
 
+def test_tokens_take_one_pass(spark):
+    texts = ["\u00a0A\u2028 b\x0b\x1c\x85C\u3000", "\u0130\u212a ΟΔΟΣ x", "\n\t", "", None, "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    twice = F.trim(F.regexp_replace(F.lower(text.squeeze("t")), "[^a-z0-9]+", " "))
+    assert all(a == b for a, b in df.select(text.token("t"), twice).collect())
+    assert df.select(text.token("t").alias("k"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
 def test_latex_escapes_backslash_first(spark):
     assert one(spark, text.latex(F.lit("a\\b&{c}"))) == (r"a\textbackslash\{\}b\&\{c\}",)
 

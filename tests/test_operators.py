@@ -297,3 +297,18 @@ def test_phrases_are_found_without_a_row_per_run(spark):
     found = matching.phrase_matches(df, table, "k", "t")
     assert {(x.k, x.phrase) for x in found.collect()} == {(k, p) for k, t in texts for p in phrases if t and p in t}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_are_searched_for_once(spark):
+    df = postings(spark, [(1, "c", "Dev", "", "", "x1", False)])
+    plan = pipeline.scored(df, RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[defence work,export]") == 1 and plan.count("[k1,k2]") == 1
+
+
+def test_shortlist_takes_no_texts_of_its_own_through_the_shuffle(spark):
+    df = postings(spark, [(1, "c", " Dev ", "", "l", "x1  y", False), (2, "c", "dev", "", "", "", False)])
+    out = pipeline.shortlist(df, RULES, min_score=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("body" not in line and "title" not in line for line in plan.split("\n") if "Aggregate [" in line) and "Aggregate [" in plan
+    assert out.columns == [*pipeline.scored(df, RULES).columns, "first_seen"]
+    assert [(r.seq, r.title, r.body, r.first_seen) for r in out.collect()] == [(1, "dev", "dev x1 y l", 1)]
